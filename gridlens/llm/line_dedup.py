@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.llm.common import key_back, stage, texts
+from gridlens.llm.common import doc_key, stage, texts
 from gridlens.llm.url_filter import LOWER, UPPER
 
 FANOUT = 4
@@ -110,7 +110,7 @@ def index_lines(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CH
 
 def drop_frequent(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES) -> DataFrame:
     """``docs`` with ``n_lines``, ``n_dropped`` and the kept ``text``; other columns stay."""
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("text", F.coalesce(F.col("text"), F.lit("")))
+    rows = docs.withColumn("_id", doc_key()).withColumn("text", F.coalesce(F.col("text"), F.lit("")))
     runs, all_lines = index_lines(texts(docs), batches, min_chars)
     gone = (
         runs.known(all_lines, min_docs)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from gridlens.llm import line_dedup, token_counts, url_filter
+from gridlens.llm import line_dedup, mixing, token_counts, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op3_url_filters": url_filter.op3_url_filters,
         "op4_token_counts": token_counts.op4_token_counts,
+        "op5_toxicity": toxicity.op5_toxicity,
+        "op6_mixing": mixing.op6_mixing,
         "op9_line_dedup": line_dedup.op9_line_dedup,
     }
 
