@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gridlens.llm import line_dedup, mixing, substring_dedup, token_counts, toxicity, url_filter
+from gridlens.llm import line_dedup, mixing, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op3_url_filters": url_filter.op3_url_filters,
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_toxicity": toxicity.op5_toxicity,
