@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from gridlens.llm import line_dedup, mixing, ngram_join, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
+from gridlens.llm import embedding_dedup, line_dedup, mixing, ngram_join, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+        "op2_embedding_near_dedup": embedding_dedup.op2_embedding_near_dedup,
         "op3_url_filters": url_filter.op3_url_filters,
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_toxicity": toxicity.op5_toxicity,
