@@ -229,3 +229,22 @@ def merge_ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray
         return lo, hi
     new = np.concatenate(([True], lo[1:] > hi[:-1]))
     return lo[new], hi[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(lo) - 1]))]
+
+
+def pack(cols: list[np.ndarray]) -> tuple[bytes, int]:
+    """Columns of numbers as one compressed blob, and its size before."""
+    head = np.array([c.nbytes for c in cols], np.int64).tobytes()
+    # bytes of a number's column lie together, which packs better
+    raw = head + b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, c.itemsize).T).tobytes() for c in cols)
+    return pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True), len(raw)
+
+
+def unpack(blob: bytes, size: int, kinds: list) -> list[np.ndarray]:
+    """The columns, of these kinds, that ``pack`` was given."""
+    raw = np.frombuffer(pa.Codec("zstd").decompress(blob, size, asbytes=True), np.uint8)
+    sizes, at, out = raw[: 8 * len(kinds)].view(np.int64), 8 * len(kinds), []
+    for n, kind in zip(sizes, kinds, strict=True):
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + n].reshape(width, -1).T).reshape(-1).view(kind))
+        at += n
+    return out

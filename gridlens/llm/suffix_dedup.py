@@ -31,13 +31,13 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.llm.common import byte_values, chunks, inside, key_back, merge_ranges, mix, partitions, rolling, signed, sliding_argmin, texts
+from gridlens.llm.common import byte_values, chunks, inside, key_back, merge_ranges, mix, pack, partitions, rolling, signed, sliding_argmin, texts, unpack
 
 LENGTH = 100
 GRAM = 20
 BACK = LENGTH - GRAM
 #: Text bytes from which a task makes one sorted run.
-RUN_BYTES = 16 << 20
+RUN_BYTES = 6 << 20
 #: Ranges per shuffle partition, and sampled documents that place them.
 RANGES = 4
 SAMPLE_DOCS = 2000
@@ -86,23 +86,6 @@ def place(rows: DataFrame, buckets: int, sample_docs: int = SAMPLE_DOCS) -> tupl
     return np.unique(cut), hot
 
 
-def _pack(cols: list[np.ndarray]) -> tuple[bytes, int]:
-    head = np.array([c.nbytes for c in cols], np.int64).tobytes()
-    # bytes of a number's column lie together, which packs better
-    raw = head + b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, c.itemsize).T).tobytes() for c in cols)
-    return pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True), len(raw)
-
-
-def _unpack(blob: bytes, size: int, kinds: list) -> list[np.ndarray]:
-    raw = np.frombuffer(pa.Codec("zstd").decompress(blob, size, asbytes=True), np.uint8)
-    sizes, at, out = raw[: 8 * len(kinds)].view(np.int64), 8 * len(kinds), []
-    for n, kind in zip(sizes, kinds, strict=True):
-        width = np.dtype(kind).itemsize
-        out.append(np.ascontiguousarray(raw[at : at + n].reshape(width, -1).T).reshape(-1).view(kind))
-        at += n
-    return out
-
-
 _kinds = [np.uint8, np.uint8, np.uint8, np.int64, np.int64, np.uint8, np.uint8]
 
 
@@ -166,7 +149,7 @@ def _make_runs(buckets: int, cuts: np.ndarray, hot: np.ndarray):
         out, lo = [[], [], []], 0
         for hi in ends.tolist():
             part = slice(lo, hi)
-            blob, size = _pack([prefix[part].astype(np.uint8), right[part].astype(np.uint8), left[part].astype(np.uint8), doc[part], at[part], suffix[part][tail[part]], before[part][side[part]]])
+            blob, size = pack([prefix[part].astype(np.uint8), right[part].astype(np.uint8), left[part].astype(np.uint8), doc[part], at[part], suffix[part][tail[part]], before[part][side[part]]])
             for c, v in zip(out, (int(bucket[lo]), blob, size), strict=True):
                 c.append(v)
             lo = hi
@@ -291,7 +274,7 @@ def merge_runs(runs: list[list[bytes]], prefixes: list[list[int]]) -> tuple[list
 
 def _repeats(runs: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the runs of one range: (doc_id, lo, hi), ranges of window starts that are repeats."""
-    parts = [_unpack(blob, size, _kinds) for blob, size in runs]
+    parts = [unpack(blob, size, _kinds) for blob, size in runs]
     from_run, common = merge_runs([read_run(p[0], p[1], p[5]) for p in parts], [p[0].tolist() for p in parts])
     from_run, common = np.array(from_run), np.array(common)
     order = np.empty(len(from_run), np.int64)  # the j-th of a run, in merged order
