@@ -115,8 +115,13 @@ def _repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def _window_rows(size: int):
-    """(key, h, doc_id, lo, hi): windows to count (key is their hash), and ranges of window starts that this task found repeated."""
-    names = ["key", "h", "doc_id", "lo", "hi"]
+    """(key, h, doc_id, starts, hi): windows to count, a row for each hash (the key) and document; and ranges of window starts
+    (one start, and hi, which is else -1) that this task found repeated."""
+    names = ["key", "h", "doc_id", "starts", "hi"]
+
+    def batch(key: np.ndarray, h: np.ndarray, doc: np.ndarray, starts: np.ndarray, first: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(starts)), pa.int32()), pa.array(starts))
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(h), pa.array(doc), lists, pa.array(hi)], names)
 
     def flush(h: list, doc: list, pos: list) -> Iterator[pa.RecordBatch]:
         h, doc, pos = signed(np.concatenate(h)), np.concatenate(doc), np.concatenate(pos)
@@ -125,10 +130,12 @@ def _window_rows(size: int):
         new = np.concatenate(([True], h[1:] != h[:-1]))
         least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
         again = doc > least
-        yield _batch(names, h[~again], h[~again], doc[~again], pos[~again], pos[~again])
+        first = np.flatnonzero(new)  # of the hash, and so of its smallest document
+        count = np.add.reduceat(~again, first)
+        yield batch(h[first], h[first], doc[first], pos[~again], np.cumsum(count) - count, np.full(len(first), -1, np.int64))
         if again.any():
             doc, lo, hi = _ranges(doc[again], pos[again])
-            yield _batch(names, _spread(doc, lo), np.zeros(len(doc), np.int64), doc, lo, hi)
+            yield batch(_spread(doc, lo), np.zeros(len(doc), np.int64), doc, lo, np.arange(len(doc)), hi)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold, held = ([], [], []), 0
@@ -160,19 +167,33 @@ def _ranges(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def _repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "lo", "hi"]
-    h, doc, lo, hi = _gather(batches, ["h", *names])
-    told = hi > lo
-    if told.any():
-        yield _batch(names, doc[told], lo[told], hi[told])
-    h, doc, lo = h[~told], doc[~told], lo[~told]
+    hs, docs, at, starts, total = [], [], [], [], 0
+    for b in batches:
+        h, doc, hi = (b.column(c).to_numpy() for c in ("h", "doc_id", "hi"))
+        offs = b.column("starts").offsets.to_numpy().astype(np.int64)
+        values = b.column("starts").values.to_numpy()[offs[0] : offs[-1]]
+        offs = offs - offs[0]
+        told = hi >= 0
+        if told.any():
+            yield _batch(names, doc[told], values[offs[:-1][told]], hi[told])
+        hs.append(h[~told])
+        docs.append(doc[~told])
+        at.append(np.stack((offs[:-1], offs[1:]), 1)[~told] + total)
+        starts.append(values)
+        total += len(values)
+    if not hs:
+        return
+    h, doc, at, starts = np.concatenate(hs), np.concatenate(docs), np.concatenate(at), np.concatenate(starts)
     if not len(h):
         return
     order = np.lexsort((doc, h))
-    h, doc, lo = h[order], doc[order], lo[order]
+    h, doc, at = h[order], doc[order], at[order]
     new = np.concatenate(([True], h[1:] != h[:-1]))
     again = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
     if again.any():
-        yield _batch(names, *_ranges(doc[again], lo[again]))
+        lo, count = at[again, 0], at[again, 1] - at[again, 0]
+        each = np.arange(count.sum()) + np.repeat(lo - (np.cumsum(count) - count), count)
+        yield _batch(names, *_ranges(np.repeat(doc[again], count), starts[each]))
 
 
 def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -181,7 +202,7 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     rows = texts(docs)
     anchors = rows.mapInArrow(_anchor_rows(size), "key long, h long, doc_id long, sure byte").repartition(p, "key")
     wanted = anchors.mapInArrow(_repeated_anchors, "doc_id long, h long").groupBy("doc_id").agg(F.collect_list("h").alias("hs"))
-    hashed = rows.join(wanted, "doc_id").mapInArrow(_window_rows(size), "key long, h long, doc_id long, lo long, hi long")
+    hashed = rows.join(wanted, "doc_id").mapInArrow(_window_rows(size), "key long, h long, doc_id long, starts array<long>, hi long")
     found = hashed.repartition(p, "key").mapInArrow(_repeated_windows, "doc_id long, lo long, hi long")
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
