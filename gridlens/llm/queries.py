@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridlens.llm import embedding_dedup, line_dedup, mixing, ngram_join, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
+from gridlens.llm import decontaminate, embedding_dedup, line_dedup, mixing, ngram_join, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_mixing": mixing.op6_mixing,
         "op7_ngram_join": ngram_join.op7_ngram_join,
+        "op8_decontamination": decontaminate.op8_decontamination,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     }
