@@ -5,7 +5,10 @@
    to ``d + 1 + SPARE`` classes by hash, one class at least is equal in both, and with the spare ones a non-empty one unless both
    have more than SPARE empty classes, in which case empty ones count too. d depends on size, so a document deals its
    shingles for its size band and for the next; a pair that can link is in one band or in neighbouring ones. What is
-   equal in a class meets by hash; documents that meet are candidates, and their components are the blocks.
+   equal in a class meets by hash (shingles that very many documents have are left out, which the bound allows). Up to
+   ``FEW`` documents that meet are pairs, and stay candidates if the parities of their shingles' counts by hash differ in no more
+   than d places, a lower bound of what the sets differ in; more of them are candidates as a star. The components of the
+   candidates are the blocks.
 3. In a block the incidence matrix of documents by shingles that at least two of them hold is multiplied with its transpose,
    in slabs of columns, which accumulates the overlap counts; pairs below the bound that their sizes give are discarded.
    Blocks over ``TILE`` documents are cut into tiles and every pair of tiles is a task: first each with the first tile, and
@@ -25,13 +28,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.llm.common import chunks, components, inside, key_back, lower_ascii, mix, partitions, rolling, signed, stage, texts, word_hashes, words
+from gridlens.llm.common import chunks, components, inside, key_back, lower_ascii, mix, pack, partitions, rolling, signed, stage, texts, unpack, word_hashes, words
 
 SIZE = 4
 PERCENT = 85
 SPARE = 3
 TILE = 256
 SLAB = 8192
+#: Shingles that a sample of documents finds in more than this share of them take no part in dealing; their number is bounded by
+#: the shingles of a document over this share. It steers which documents meet by chance, not which pairs can be found.
+COMMON = 0.002
+SAMPLE_DOCS = 8000
+#: So many documents that meet are taken pair by pair.
+FEW = 8
 #: Text bytes from which a task pre-aggregates and hands on what it has.
 HOLD_BYTES = 16 << 20
 #: Shingles in blocks that are multiplied together.
@@ -70,37 +79,119 @@ def bands(most: int, percent: int) -> np.ndarray:
     return np.array(first, np.int64)
 
 
-def classes_of(last: np.ndarray, percent: int) -> np.ndarray:
-    """Classes for sets of up to ``last`` shingles."""
-    d = 2 * last * (100 - percent) // (100 + percent)
-    return np.where(d > 0, d + 1 + SPARE, 1)
+def differ_most(n, percent: int):
+    """How many shingles two sets of ``n`` together may differ in and still link."""
+    return n * (100 - percent) // (100 + percent)
 
 
-_names = ["key", "kind", "doc_id", "other", "n"]
-_ROW = "key long, kind byte, doc_id long, other long, n long"
-MEET, NEAR, SAME = 0, 1, 2
+def classes_of(last: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes for sets of up to ``last`` shingles, and the spare ones among them: more than a set leaves empty by chance."""
+    t = percent / 100
+    empty = np.exp(-t * t * (1 + t) / (2 * (1 - t)) / 1.1) if t < 1 else 0.0
+    d = differ_most(2 * last, percent)
+    spare = np.where(d > 0, SPARE + np.ceil(1.2 * empty * d + 3 * np.sqrt(empty * d)).astype(np.int64), 0)
+    return d + 1 + spare, spare
 
 
-def _rows(key: np.ndarray, kind: int, doc: np.ndarray, other: np.ndarray, n: np.ndarray | None = None) -> pa.RecordBatch:
+def common_shingles(rows: DataFrame, size: int, share: float = COMMON, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
+    """Sorted hashes of the shingles in more than ``share`` of a bounded sample of documents."""
+    n = rows.count()
+    few = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_docs / max(1, n))))
+    least = max(8, int(share * min(n, sample_docs)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [shingle_sets(data, offs, size)[1] for _, data, offs in chunks(batches)]
+        if found:
+            h, k = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(k)], ["h", "n"])
+
+    got = few.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > least).select("h").toArrow()
+    return np.sort(got.column("h").to_numpy().astype(np.int64).view(np.uint64))
+
+
+_names = ["key", "kind", "doc_id", "other", "n", "blob", "size"]
+_ROW = "key long, kind byte, doc_id long, other long, n long, blob binary, size long"
+#: Signatures to bring together; candidates for certain; candidates by pairs; a document, its chief, set size and parities.
+MEET, NEAR, PAIR, SAME = 0, 1, 2, 3
+#: Buckets of signatures per shuffle partition.
+BUCKETS = 4
+
+
+def _rows(key: np.ndarray, kind: int, doc: np.ndarray, other: np.ndarray, n: np.ndarray | None = None, blob: pa.Array | None = None) -> pa.RecordBatch:
     n = np.zeros(len(doc), np.int64) if n is None else n
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(doc), kind, np.int8)), pa.array(doc), pa.array(other), pa.array(n)], _names)
+    blob = pa.nulls(len(doc), pa.binary()) if blob is None else blob
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(doc), kind, np.int8)), pa.array(doc), pa.array(other), pa.array(n), blob, pa.nulls(len(doc), pa.int64())], _names)
+
+
+def _blobs(key: np.ndarray, doc: np.ndarray, many: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Sorted (signature, document, whether it stands for many) by bucket of the signature, a blob for each."""
+    bucket = ((key.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    order = np.lexsort((key.view(np.uint64), bucket))
+    key, doc, many, bucket = key.view(np.uint64)[order], doc[order], many[order], bucket[order]
+    at = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]))
+    packed = [pack([np.diff(key[lo:hi], prepend=np.uint64(0)), doc[lo:hi], many[lo:hi]]) for lo, hi in zip(at[:-1], at[1:], strict=True)]
+    m = len(packed)
+    none = pa.nulls(m, pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]]), pa.array(np.full(m, MEET, np.int8)), none, none, none, pa.array([x[0] for x in packed], pa.binary()), pa.array([x[1] for x in packed], pa.int64())], _names)
 
 
 def _spread(doc: np.ndarray, other: np.ndarray) -> np.ndarray:
     return signed(mix(doc.view(np.uint64) * np.uint64(3) + other.view(np.uint64)))
 
 
-def _stars(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each key its smallest document; and (document, that) of the others, each once."""
+def _groups(key: np.ndarray, doc: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows by key and document, each once; the number of each row's group, its size, and whether it stands for many."""
     order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
+    key, doc, many = key[order], doc[order], many[order]
     new = np.concatenate(([True], key[1:] != key[:-1]))
-    least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-    pairs = np.unique(np.stack([doc, least], 1)[doc != least], axis=0) if (doc != least).any() else np.zeros((0, 2), np.int64)
-    return key[new], doc[new], pairs[:, 0].copy(), pairs[:, 1].copy()
+    keep = new | np.concatenate(([True], doc[1:] != doc[:-1]))
+    group = (np.cumsum(new) - 1)
+    flag = np.zeros(int(group[-1]) + 1, bool)
+    flag[group[many > 0]] = True
+    key, doc, group = key[keep], doc[keep], group[keep]
+    size = np.bincount(group)
+    return key, doc, group, size, flag | (size > FEW)
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (larger, smaller) of different documents, each once."""
+    pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1)[a != b], axis=0) if len(a) else np.zeros((0, 2), np.int64)
+    return pairs[:, 0].copy(), pairs[:, 1].copy()
+
 
+def parities(row: np.ndarray, h: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """For each set, whether the number of its shingles in each of 2^k hash classes is odd, as bits; 2^k is at least its size."""
+    bits = np.where(n > 0, 1 << np.maximum(3, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)), 0)
+    at = np.cumsum(bits) - bits
+    cell = at[row] + (mix(h ^ np.uint64(0x9FB21C651E98DF25)) & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=int(bits.sum())) & 1).astype(np.uint8)
+    raw = np.packbits(odd, bitorder="little").tobytes()
+    return [raw[a : a + k] for a, k in zip((at // 8).tolist(), (bits // 8).tolist(), strict=True)]
 
-def _signatures(size: int, percent: int):
+
+def _differ(a: bytes, b: bytes) -> int:
+    """In how many shingles two sets differ at least."""
+    while len(a) != len(b):  # fold the longer one
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        half = len(a) // 2
+        a = (int.from_bytes(a[:half], "little") ^ int.from_bytes(a[half:], "little")).to_bytes(half, "little")
+    return (int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count()
+
+
+def _close_enough(percent: int):
+    """The pairs (doc_id, other) that their parities don't rule out."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
+            most = differ_most(n + m, percent).tolist()
+            keep = [_differ(a, b) <= d for a, b, d in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), most, strict=True)]
+            yield batch.select(["doc_id", "other"]).filter(pa.array(keep, pa.bool_()))
+
+    return task
+
+
+def _signatures(size: int, percent: int, buckets: int, common: np.ndarray):
     def flush(held: list) -> Iterator[pa.RecordBatch]:
         base, rows, hashes, ids = 0, [], [], []
         for row, h, doc in held:
@@ -121,11 +212,11 @@ def _signatures(size: int, percent: int):
         chief = np.empty(m, np.int64)
         chief[order] = head
         other = np.where(n > 0, doc[chief], doc)
-        yield _rows(_spread(doc, other), SAME, doc, other, n)
+        yield _rows(_spread(doc, other), SAME, doc, other, n, pa.array(parities(row, h, n), pa.binary()))
         live = (chief == np.arange(m)) & (n > 0)
         if not live.any():
             return
-        mine = live[row]
+        mine = live[row] & ~np.isin(h, common)
         row, h = row[mine], h[mine]
         first = bands(int(n.max()), percent)
         band = np.searchsorted(first, n, "right") - 1
@@ -134,7 +225,8 @@ def _signatures(size: int, percent: int):
         keys, docs = [], []
         for up in (0, 1):
             group = band + up
-            width = np.where(live, classes_of(first[group] * 100 // percent, percent), 0)
+            classes, spare = classes_of(first[group] * 100 // percent, percent)
+            width = np.where(live, classes, 0)
             at = np.cumsum(width) - width
             cell = at[row] + (deal % width[row].astype(np.uint64)).astype(np.int64)
             total, filled = np.zeros(int(width.sum()), np.uint64), np.zeros(int(width.sum()), bool)
@@ -142,12 +234,16 @@ def _signatures(size: int, percent: int):
             filled[cell] = True
             owner = np.repeat(np.arange(m), width)
             empty = width - np.bincount(owner[filled], minlength=m)
-            send = filled | (empty > SPARE)[owner]
+            send = filled | (empty > spare)[owner]
             place = np.arange(len(owner)) - at[owner]
             keys.append(mix(total[send] ^ mix((group[owner[send]] * 1_000_003 + place[send] + 1).astype(np.uint64))))
             docs.append(doc[owner[send]])
-        key, who, a, b = _stars(signed(np.concatenate(keys)), np.concatenate(docs))
-        yield _rows(key, MEET, who, who)
+        key, who, group, size, many = _groups(signed(np.concatenate(keys)), np.concatenate(docs), np.zeros(sum(map(len, keys)), np.int8))
+        # of many documents of one signature the smallest stands for all
+        lead = np.concatenate(([True], group[1:] != group[:-1]))
+        send = lead | ~many[group]
+        yield _blobs(key[send], who[send], many[group[send]].astype(np.uint8), buckets)
+        a, b = _pairs(who[~send], who[np.flatnonzero(lead)][group[~send]])
         if len(a):
             yield _rows(_spread(a, b), NEAR, a, b)
 
@@ -166,20 +262,32 @@ def _signatures(size: int, percent: int):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, docs = [], []
+    met: dict[int, list] = {}
     for b in batches:
         kind = b.column("kind").to_numpy()
-        key, doc, other, n = (b.column(c).to_numpy() for c in ("key", "doc_id", "other", "n"))
-        for k in (NEAR, SAME):
-            if (at := kind == k).any():
-                yield _rows(key[at], k, doc[at], other[at], n[at])
-        at = kind == MEET
-        keys.append(key[at])
-        docs.append(doc[at])
-    if keys:
-        _, _, a, b = _stars(np.concatenate(keys), np.concatenate(docs))
+        rest = b.filter(pa.array(kind != MEET))
+        if rest.num_rows:
+            yield rest
+        part = b.filter(pa.array(kind == MEET))
+        for bucket, *blob in zip(*(part.column(c).to_pylist() for c in ("key", "blob", "size")), strict=True):
+            met.setdefault(bucket, []).append(blob)
+    while met:
+        parts = [unpack(*blob, [np.uint64, np.int64, np.uint8]) for blob in met.popitem()[1]]
+        key = signed(np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]))
+        key, doc, group, size, many = _groups(key, *(np.concatenate([p[k] for p in parts]) for k in (1, 2)))
+        first = np.cumsum(size) - size
+        a, b = _pairs(doc, np.where(many[group], doc[first[group]], doc))
         if len(a):
             yield _rows(a, NEAR, a, b)
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(2, FEW + 1):
+            at = first[(size == k) & ~many]
+            i, j = np.triu_indices(k, 1)
+            left.append(doc[at[:, None] + i].ravel())
+            right.append(doc[at[:, None] + j].ravel())
+        a, b = _pairs(np.concatenate(left), np.concatenate(right))
+        if len(a):
+            yield _rows(a, PAIR, a, b)
 
 
 def link_block(hashes: np.ndarray, row: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
@@ -257,10 +365,9 @@ def _multiply(size: int, percent: int):
     return task
 
 
-def _links(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links within (block, i, j) of ``members`` (doc_id, block, i, j)."""
-    p = partitions(docs.sparkSession)
-    placed = docs.join(members, "doc_id").repartition(p, "block", "i", "j").sortWithinPartitions("block", "i", "j", "doc_id")
+def _links(placed: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links within each (block, i, j) of documents placed there."""
+    placed = placed.repartition(partitions(placed.sparkSession), "block", "i", "j").sortWithinPartitions("block", "i", "j", "doc_id")
     return placed.mapInArrow(_multiply(size, percent), "doc_id long, other long")
 
 
@@ -268,28 +375,37 @@ def join_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Da
     """``doc_id, n_shingles, component_id`` (the smallest doc_id reachable by links) per row of ``docs``."""
     spark = docs.sparkSession
     rows = texts(docs)
-    sent = rows.mapInArrow(_signatures(size, percent), _ROW).repartition(partitions(spark), "key")
-    met = stage(sent.mapInArrow(_meet, _ROW), "met")
+    p = partitions(spark)
+    sent = rows.mapInArrow(_signatures(size, percent, p * BUCKETS, common_shingles(rows, size)), _ROW).repartition(p, "key")
+    met = stage(sent.mapInArrow(_meet, _ROW).drop("key", "size"), "met")
     same = met.where(F.col("kind") == SAME).select("doc_id", "other", "n")
-
-    block = components(met.where(F.col("kind") == NEAR).select("doc_id", "other"), "doc_id", "other")
+    # joins that grow with the corpus: one plan at every size, by merging
+    sketch = met.where((F.col("kind") == SAME) & (F.col("n") > 0)).select("doc_id", "n", F.col("blob").alias("x"))
+    pairs = met.where(F.col("kind") == PAIR).select("doc_id", "other").distinct()
+    pairs = pairs.join(sketch.hint("merge"), "doc_id").join(sketch.hint("merge").select(F.col("doc_id").alias("other"), F.col("n").alias("m"), F.col("x").alias("y")), "other")
+    close = pairs.mapInArrow(_close_enough(percent), "doc_id long, other long")
+    near = met.where(F.col("kind") == NEAR).select("doc_id", "other").union(close)
+
+    block = components(near, "doc_id", "other")
     sizes = block.groupBy(F.col("component").alias("block")).agg(F.count("*").alias("members"))
     tiled = block.select(F.col("id").alias("doc_id"), F.col("component").alias("block")).join(sizes, "block")
     tiles = F.ceil(F.col("members") / TILE).cast("long")
-    tiled = stage(tiled.select("doc_id", "block", tiles.alias("tiles"), F.pmod(F.xxhash64("doc_id"), tiles).alias("tile")), "tiles")
+    tiled = tiled.select("doc_id", "block", tiles.alias("tiles"), F.pmod(F.xxhash64("doc_id"), tiles).alias("tile"))
+    # the texts of candidates move once; what comes after reads them from there
+    asked = stage(rows.join(tiled.hint("merge"), "doc_id"), "candidates")
+    zero = F.lit(0).cast("long")
     # each tile with the first; the first tile's documents go to all of them
-    start = tiled.select("doc_id", "block", F.lit(0).cast("long").alias("i"), F.explode(F.when(F.col("tile") == 0, F.sequence(F.least(F.lit(1), F.col("tiles") - 1), F.col("tiles") - 1)).otherwise(F.array("tile"))).alias("j"))
-    edges = stage(_links(rows, start, size, percent), "links")
-    large = tiled.where("tiles > 2")
+    to = F.when(F.col("tile") == 0, F.sequence(F.least(F.lit(1), F.col("tiles") - 1), F.col("tiles") - 1)).otherwise(F.array("tile"))
+    edges = stage(_links(asked.select("doc_id", "text", "block", zero.alias("i"), F.explode(to).alias("j")), size, percent), "links")
+    large = asked.where("tiles > 2").select("doc_id", "block")
     if not large.isEmpty():
         part = components(edges, "doc_id", "other")
-        parts = large.join(part, large.doc_id == part.id, "left").select(large.doc_id, "block", "tiles", "tile", F.coalesce("component", large.doc_id).alias("part"))
+        parts = large.join(part, large.doc_id == part.id, "left").select("block", F.coalesce("component", large.doc_id).alias("part"))
         open_ = parts.groupBy("block").agg(F.min("part").alias("l"), F.max("part").alias("h")).where("l <> h").select("block")
-        rest = large.where("tile > 0").join(open_, "block")
-        pairs = rest.select("doc_id", "block", "tile", F.explode(F.sequence(F.lit(1).cast("long"), F.col("tiles") - 1)).alias("k"))
-        pairs = pairs.select("doc_id", "block", F.least("tile", "k").alias("i"), F.greatest("tile", "k").alias("j"))
-        if not rest.isEmpty():
-            edges = edges.union(stage(_links(rows, pairs, size, percent), "links"))
+        rest = asked.where("tiles > 2 and tile > 0").join(open_, "block")
+        rest = rest.select("doc_id", "text", "block", "tile", F.explode(F.sequence(zero + 1, F.col("tiles") - 1)).alias("k"))
+        rest = rest.select("doc_id", "text", "block", F.least("tile", "k").alias("i"), F.greatest("tile", "k").alias("j"))
+        edges = edges.union(stage(_links(rest, size, percent), "links"))
     group = components(edges.union(same.where("doc_id <> other").select("doc_id", "other")), "doc_id", "other")
     out = same.join(group, same.doc_id == group.id, "left")
     out = out.select(same.doc_id, F.col("n").alias("n_shingles"), F.coalesce("component", same.doc_id).alias("component_id"))
