@@ -42,9 +42,9 @@ SAMPLE_DOCS = 8000
 #: So many documents that meet are taken pair by pair.
 FEW = 8
 #: Text bytes from which a task pre-aggregates and hands on what it has.
-HOLD_BYTES = 16 << 20
+HOLD_BYTES = 6 << 20
 #: Shingles in blocks that are multiplied together.
-HOLD_SHINGLES = 2_000_000
+HOLD_SHINGLES = 1_000_000
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ from gridlens.llm.common import chunks, inside, key_back, merge_ranges, mix, par
 WINDOW = 50
 GRAM = 8
 #: Rows that a task gathers before it pre-aggregates and hands them on; bounds its memory.
-HOLD = 2_000_000
+HOLD = 1_000_000
 
 
 def _anchored(data: np.ndarray, offs: np.ndarray, size: int) -> tuple:
