@@ -28,7 +28,7 @@ def duration_text(seconds: float) -> str:
 
 @dataclass
 class Session:
-    """What a report needs of one session; the frames stay lazy."""
+    """What a report needs of one session. A report reads each table several times, so all but the records are cached."""
 
     records: DataFrame
     events: DataFrame
@@ -42,8 +42,9 @@ def analyse(records: DataFrame, rules: EventRules | None = None, finding_rules:
     nominal = ev.nominal_voltage(records, 277.0)
     if nominal_v is not None:
         nominal = nominal.withColumn("nominal_v", F.lit(float(nominal_v)))
-    found = ev.detect_events(records, nominal, rules)
-    return Session(records, found, nominal, fi.analyze(records, found, finding_rules), rolling.pick_snapshots(records, found))
+    nominal = nominal.cache()
+    found = ev.detect_events(records, nominal, rules).cache()
+    return Session(records, found, nominal, fi.analyze(records, found, finding_rules).cache(), rolling.pick_snapshots(records, found).cache())
 
 
 def worst_events(events: DataFrame) -> DataFrame:

