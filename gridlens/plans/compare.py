@@ -111,8 +111,8 @@ def event_trend(facts: DataFrame, events: DataFrame, rules: CompareRules) -> Dat
 
 
 def analyze_compare(records: DataFrame, events: DataFrame, rules: CompareRules | None = None, single: FindingRules | None = None) -> DataFrame:
-    """All findings across the sessions of ``records``."""
-    rules = rules or CompareRules()
+    """All findings across the sessions of ``records``. Several rules read the events, so they are kept (in memory or on disk)."""
+    rules, events = rules or CompareRules(), events.persist()
     facts = session_facts(records)
     stiff = freq_source_stiffness(records, events, single or FindingRules())
     found = [voltage_drift(facts, rules), recurring_outages(facts, events, rules), pf_degradation(facts, rules), stiffness_emergence(facts, stiff), event_trend(facts, events, rules)]

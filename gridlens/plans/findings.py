@@ -140,8 +140,8 @@ def ranked(findings: DataFrame, by: str) -> DataFrame:
 
 
 def analyze(records: DataFrame, events: DataFrame, rules: FindingRules | None = None) -> DataFrame:
-    """All findings of each session."""
-    rules = rules or FindingRules()
+    """All findings of each session. Several rules read the events, so they are kept (in memory or on disk)."""
+    rules, events = rules or FindingRules(), events.persist()
     found = reduce(DataFrame.unionByName, [rule(records, events, rules) for rule in RULES])
     what = F.create_map(*[x for k, v in ACTIONS.items() for x in (F.lit(k), F.array(*[F.lit(a) for a in v]))])
     return ranked(found, SESSION).withColumn("recommended_actions", what[F.col("kind")])
