@@ -106,9 +106,9 @@ def settle(sizes: np.ndarray, parts: np.ndarray, rng: np.random.Generator, last:
     return out
 
 
-def _rounder(name: str, last: bool):
+def _rounder(name: str, last: bool, keys: list[str]):
     def round_leaf(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")
+        pdf = pdf.sort_values(["size", *keys], ascending=[False] + [True] * len(keys), kind="stable")
         rng = np.random.default_rng(zlib.crc32(f"{name}/{pdf['source'].iloc[0]!r}/{pdf['leaf'].iloc[0]}".encode()))
         return pdf.assign(part=settle(pdf["size"].to_numpy(float), pdf["part"].to_numpy(float), rng, last))
 
@@ -124,10 +124,14 @@ def targets(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float =
     return pd.DataFrame({"source": [r["source"] for r in rows], "source_size": sizes, "docs": [int(r["docs"]) for r in rows], "target": goal})
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken`` of every document."""
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, source, size, source_size, target, copies, taken`` of every document, and the columns of ``keep``.
+
+    ``keep`` names numbers that tell rows of one doc_id (or of none) apart: ties and leaves go by them too.
+    """
     spark = docs.sparkSession
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
+    keys = ["doc_id", *keep]
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), *keep)
     sized = stage(sized, "sizes")
     plan = targets(sized, weights, share, cap)
     if plan.empty:
@@ -141,13 +145,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     sources = spark.createDataFrame(catalogue, schema)
     rows = sized.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rows = rows.withColumn("part", F.when(F.col("size") > 0, F.col("part")).otherwise(0.0))
-    rows = rows.withColumn("leaf", F.pmod(F.xxhash64("doc_id"), "leaves")).drop("leaves")
+    rows = rows.withColumn("leaf", F.pmod(F.xxhash64(*keys), "leaves")).drop("leaves")
     fields = rows.schema
     most, level, done = max(c[-1] for c in catalogue), 0, []
     while True:
         last = most == 1
 
-        rows = stage(rows.groupBy("source", "leaf").applyInPandas(_rounder(f"{seed}/{level}", last), fields), "rounded")
+        rows = stage(rows.groupBy("source", "leaf").applyInPandas(_rounder(f"{seed}/{level}", last, keys), fields), "rounded")
         done.append(rows.where("part = 0 or part = 1"))
         if last:
             break
@@ -157,7 +161,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     for more in done[1:]:
         out = out.union(more)
     copies = (F.col("whole") + F.col("part")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *keep)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,8 @@ either), everything that is no letter to one space. The lexicon holds whole word
 learned from labelled documents; a hit counts once per word, at its highest weight, unless an exception phrase covers it.
 The sum of weights is divided by the logarithm of the length and turned into a probability by monotone regression.
 
-Null or empty text: no hit, the score of texts without hits. Labels that repeat for a document: the highest. No labels at all:
-an empty lexicon and score 0. Rows that repeat are scored each.
+Null or empty text: no hit, the score of texts without hits. Labels that repeat for a document: the highest. No labels at all, or
+none of these documents: an empty lexicon and score 0. Rows that repeat are scored each.
 """
 
 from __future__ import annotations
@@ -99,8 +99,11 @@ class Scorer:
                 spared.append((start, end))
             elif w > hits.get(start, 0.0):
                 hits[start] = w
-        for lo, hi in spared:
-            hits = {s: w for s, w in hits.items() if not lo <= s < hi}
+        if spared:
+            covered = bytearray(len(folded))
+            for lo, hi in spared:
+                covered[lo:hi] = b"\1" * (hi - lo)
+            hits = {s: w for s, w in hits.items() if not covered[s]}
         return sum(hits.values()) / math.log2(2 + len(folded) / 600) if hits else 0.0
 
 
@@ -129,7 +132,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tup
     n = known.count()
     if not n:
         return {}, [0.0] * BINS
-    few = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, max_train / n))).limit(max_train)
+    # the first by hash, so that each pass and each retry gets the same ones
+    few = known.orderBy(F.xxhash64("_id"), "_id").limit(max_train)
     # bounded by max_train rows of two numbers, so a broadcast; the texts don't move
     train = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(few), "_id").select("text", "toxic")
 
@@ -149,6 +153,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tup
     share = F.col("pos") / F.col("n")
     low = (share + z2 / (2 * F.col("n")) - Z * F.sqrt((share * (1 - share) + z2 / (4 * F.col("n"))) / F.col("n"))) / (1 + z2 / F.col("n"))
     best = sums.withColumn("low", low).where("pattern = '' or low > 0.5").orderBy(F.col("pattern") != "", F.desc("low"), "pattern").limit(MAX_PATTERNS + 1).collect()
+    if not best or not best[0]["n"]:
+        return {}, [0.0] * BINS
     all_pos, all_n = best[0]["pos"], best[0]["n"]
     base = (all_pos + 0.5) / (all_n + 1)
     odds = math.log(base / (1 - base))

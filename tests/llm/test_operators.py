@@ -233,6 +233,9 @@ def test_toxicity(spark):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     plain = toxicity.score(spark.createDataFrame([(None, None, "c"), (1, "x", "c")], "doc_id long, text string, score string"), toxicity.learn(got.select("doc_id").withColumn("text", F.lit("")), empty))
     assert [r.score for r in plain.collect()] == [0.0, 0.0]
+    assert toxicity.learn(got.limit(0).select("doc_id", F.lit("x").alias("text")), labels) == ({}, [0.0] * toxicity.BINS)
+    again = toxicity.Scorer({" trash ": 3.0, " idiot ": 3.0})
+    assert again.raw("trash can " * 100_000) == 0.0 < again.raw("trash can " * 10 + "idiot")
 
 
 def test_mixing(spark, sf, odd):
@@ -295,6 +298,22 @@ def test_pipeline(spark, sf):
     assert cp.ORACLE_SQL is None
 
 
+def test_mixing_of_rows_that_share_an_id(spark, sf):
+    import corpus_pipeline as cp
+
+    rows = [(None, "a b c", None, "s", 5)] * 3 + [(None, f"w{k} x", "en", "s", None) for k in range(20)] + [(7, "p q", "en", None, 3), (7, "r s", "en", None, 3), (8, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = cp.mix_sources(spark, docs, sf).collect()
+    words = collections.Counter()
+    for r in out:
+        words[r.source] += len((r.text or "").split())
+    # 53 words; the shares of both sources are above what they may take, twice their size, or just their part
+    assert abs(words["s"] - min(2 * 49, 79.5 - words[None])) <= 3 and words[None] <= 8
+    most = collections.Counter(map(tuple, rows))
+    assert all(n <= 2 * most[k] for k, n in collections.Counter(tuple(r)[:5] for r in out).items())
+    assert sorted(map(str, out)) == sorted(map(str, cp.mix_sources(spark, docs.repartition(3), sf).collect()))
+
+
 def test_every_number_is_registered():
     names = list(__spark_entry__.queries())
     assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
