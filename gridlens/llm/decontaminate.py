@@ -1,8 +1,9 @@
 """Benchmark decontamination: a BM25 index of test items, queried by every training passage with block-max bounds.
 
 Items (few, and their size is checked) are indexed on the driver, shard by shard of ``SHARD`` items, and the index goes to the
-tasks; documents never move. A document is read as overlapping passages long enough to hold the longest item of the shard
-whole. A passage is a query of its distinct words. Impacts are BM25 weights divided by the score an item gets from its own text, so
+tasks; documents never move. What a score depends on (number of items, how many have a word, mean length) and the longest item
+are counted over all items before, so where shards are cut changes no result. A document is read as overlapping passages long
+enough to hold the longest item whole. A passage is a query of its distinct words. Impacts are BM25 weights divided by the score an item gets from its own text, so
 that one threshold fits all items:
 
 * bound: per block of ``BLOCK`` items of similar weight, the sum over the passage's words of the block's highest impact;
@@ -19,13 +20,14 @@ words are left out; repeated items are matched each; no items, no match. Null id
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.llm.common import chunks, lower_ascii, rolling, word_hashes, words
+from gridlens.llm.common import chunks, lower_ascii, rolling, signed, word_hashes, words
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -67,21 +69,61 @@ def split_item(text: str) -> tuple[str, str]:
     return " ".join(w[:cut]), " ".join(w[cut:])
 
 
+def _item(*given: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of the question and the answer of an item given as two texts or as one."""
+    q, a = given if len(given) == 2 else split_item(given[0] or "")
+    return _hashes(q or ""), _hashes(a or "")
+
+
+class Statistics(NamedTuple):
+    """What is counted over all items that have words: how many, their mean and greatest length, the items that have each term."""
+
+    items: int
+    mean: float
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per batch (term, items that have it), and one row without a term: items, their words, words of the longest."""
+    for b in batches:
+        parts = [np.concatenate(_item(*given)) for given in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        parts = [h for h in parts if len(h)]
+        if parts:
+            terms, df = np.unique(np.concatenate([np.unique(h) for h in parts]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(terms)), pa.array(df.astype(np.int64)), pa.nulls(len(df), pa.int64()), pa.nulls(len(df), pa.int64())], ["term", "items", "words", "longest"])
+            sizes = [len(h) for h in parts]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (None, len(sizes), sum(sizes), max(sizes))], ["term", "items", "words", "longest"])
+
+
+def statistics(items: DataFrame) -> Statistics:
+    """``items`` has the columns of text only."""
+    rows = items.mapInArrow(_count, "term long, items long, words long, longest long").groupBy("term")
+    got = rows.agg(F.sum("items").alias("items"), F.sum("words").alias("words"), F.max("longest").alias("longest")).toArrow()
+    every = got.filter(got["term"].is_null()).to_pylist()
+    if not every:
+        return Statistics(0, 1.0, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    got = got.filter(got["term"].is_valid())
+    terms = got["term"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(terms)
+    return Statistics(every[0]["items"], every[0]["words"] / every[0]["items"], every[0]["longest"], terms[order], got["items"].to_numpy()[order])
+
+
 class Index:
-    """Normalised BM25 impacts of up to ``SHARD`` items, and their blocks' highest."""
+    """Normalised BM25 impacts of up to ``SHARD`` items, and their blocks' highest; ``every`` counts all items, of other shards too."""
 
-    def __init__(self, items: list[tuple[int, str, str]]):
-        parts = [(i, _hashes(q), _hashes(a)) for i, q, a in items]
-        parts = [(i, np.concatenate((q, a)), q, a) for i, q, a in parts if len(q) + len(a)]
-        self.longest = max((len(x[1]) for x in parts), default=0)
+    def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray]], every: Statistics):
+        parts = [(i, np.concatenate((q, a)), q, a) for i, q, a in items if len(q) + len(a)]
+        self.longest = every.longest
         counts = [np.unique(x[1], return_counts=True) for x in parts]
-        self.terms, df = np.unique(np.concatenate([c[0] for c in counts]), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0))
-        idf = np.log(1 + (len(parts) - df + 0.5) / (df + 0.5))
-        mean = np.mean([len(x[1]) for x in parts]) if parts else 1.0
+        self.terms = np.unique(np.concatenate([c[0] for c in counts])) if parts else np.zeros(0, np.uint64)
+        df = every.df[np.searchsorted(every.terms, self.terms)]
+        idf = np.log(1 + (every.items - df + 0.5) / (df + 0.5))
         impact = np.zeros((len(self.terms), len(parts)), np.float32)
         for k, ((t, n), x) in enumerate(zip(counts, parts, strict=True)):
             at = np.searchsorted(self.terms, t)
-            w = idf[at] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(x[1]) / mean))
+            w = idf[at] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(x[1]) / every.mean))
             impact[at, k] = w / w.sum()
         # blocks of items with similar impacts: by length
         order = np.argsort([len(x[1]) for x in parts], kind="stable") if parts else np.zeros(0, int)
@@ -119,7 +161,7 @@ class Index:
             bound = np.add.reduceat(self.highest[term[base : end[e - 1]]], start[s:e] - base, axis=0)
             passage, block = np.nonzero(bound >= threshold - 1e-5)
             for p, k in zip((s + passage).tolist(), block.tolist(), strict=True):
-                score = self.impact[term[start[p] : end[p]], k * BLOCK : (k + 1) * BLOCK].sum(0)
+                score = self.impact[term[start[p] : end[p]], k * BLOCK : (k + 1) * BLOCK].sum(0, dtype=np.float64)
                 for j in np.flatnonzero(score >= threshold - 1e-5).tolist():
                     r = int(of[start[p]])
                     yield int(row[r]), int(lo[r]), int(hi[r]), k * BLOCK + j, float(score[j])
@@ -147,8 +189,8 @@ def indexes(benchmark: DataFrame, question: str | None = None, answer: str | Non
     if sum(x or 0 for x in size) > MAX_ITEM_BYTES:
         raise ValueError(f"the benchmark has more than {MAX_ITEM_BYTES} bytes of text")
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), *cols).orderBy("item_id", *cols).collect()
-    items = [(r[0], r[1] or "", r[2] or "") if len(cols) == 2 else (r[0], *split_item(r[1] or "")) for r in rows]
-    return [Index(items[lo : lo + shard]) for lo in range(0, len(items), shard)]
+    every = statistics(benchmark.select(*cols))
+    return [Index([(r[0], *_item(*r[1:])) for r in rows[lo : lo + shard]], every) for lo in range(0, len(rows), shard)]
 
 
 def find_leaks(docs: DataFrame, shards: list[Index], threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:

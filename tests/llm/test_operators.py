@@ -272,6 +272,17 @@ def test_decontamination(spark, odd):
     assert decontaminate.find_leaks(odd, decontaminate.indexes(bench.limit(0))).count() == 0
 
 
+def test_decontamination_does_not_depend_on_shards(spark):
+    """Items of a template of 50 words and 10 of their own: the template alone is no leak, wherever the shards are cut."""
+    template = " ".join(f"t{k}" for k in range(50))
+    items = [(i, template + " " + " ".join(f"own{i}x{k}" for k in range(10))) for i in range(40)] + [(40, "pi rho sigma tau " * 40)]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    docs = spark.createDataFrame([(1, template), (2, "noise " * 90 + items[7][1]), (3, items[39][1] + " noise" * 90), (4, items[40][1])], "doc_id long, text string")
+    found = [rows_of(decontaminate.find_leaks(docs, decontaminate.indexes(bench, shard=k)), "doc_id", "item_id", "score", "overlap") for k in (2, 40, 512)]
+    assert [r[:2] for r in found[0]] == [(2, 7), (3, 39), (4, 40)]
+    assert all(len(f) == 3 and f == [pytest.approx(r) for r in found[0]] for f in found)
+
+
 def test_line_runs(spark, odd):
     docs = spark.createDataFrame([(i, "Same \n" + f"own {i}\n\n" + ("rare" if i < 9 else "")) for i in range(12)] + [(3, "Same \nown 3\n\nrare"), (20, None), (None, " same")], "doc_id long, text string")
     got = collections.Counter((r.doc_id, r.text, r.n_dropped) for r in line_dedup.drop_frequent(docs, 10, batches=5).collect())
