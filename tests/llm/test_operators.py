@@ -309,6 +309,18 @@ def test_pipeline(spark, sf):
     assert cp.ORACLE_SQL is None
 
 
+def test_near_copies_of_rows_that_share_an_id(spark, sf):
+    import corpus_pipeline as cp
+
+    a, b, c, d, e, f = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcdef")
+    rows = [(1, a, "en"), (1, b, "en"), (2, b + " more", "en"), (None, c, "en"), (None, c, "en"), (None, d, "en"), (3, c, "en"), (4, e, "en"), (4, e, "de"), (9, f, "en"), (8, f + " more", "en")]
+    rows += [(5, "", "en"), (5, "", "en"), (5, " ", "en"), (6, None, "en"), (None, "", "en"), (None, "", "en")]
+    docs = spark.createDataFrame([(i, t, lang, "s", 1) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = cp.drop_near_copies(spark, docs, sf)
+    assert rows_of(out, "doc_id", "text") == [(None, ""), (None, c), (None, d), (1, a), (1, b), (4, e), (5, ""), (5, " "), (6, None), (8, f + " more")]
+    assert rows_of(out, *cp.COLUMNS) == rows_of(cp.drop_near_copies(spark, docs.orderBy(F.desc("lang")).repartition(3), sf), *cp.COLUMNS)
+
+
 def test_mixing_of_rows_that_share_an_id(spark, sf):
     import corpus_pipeline as cp
 
