@@ -1,15 +1,20 @@
-"""What the operators of this subpackage share: ids, staging, vectorised words and hashes, connected components.
+"""What the operators of this subpackage share: ids, staging, hot keys, vectorised words and hashes, connected components.
 
-Conventions.  A document's id is a LONG; a null id is carried as ``NULL_ID`` inside a job and turned back at
-the end, so rows with a null id count as one document.  Rows that share an id are repeats of one document.
-A null text is an empty text.  Columns other than those an operator names are ignored.
+Conventions.  Every row is a document of its own. A document's id is a LONG; a null id is carried as ``NULL_ID``, smaller than any,
+inside a job and turned back at the end. Rows that share an id, or have none, have no order between them: neither is earlier
+than the other. Of rows that are equal in id and text each gets the same result. A null text is an empty text. Columns other
+than those an operator names are ignored.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +37,7 @@ _IS_SPACE[list(SPACES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE_VALUE = np.random.default_rng(20240229).integers(1, 2**64 - 1, 256, dtype=np.uint64)
+_BYTE_VALUE_2 = np.random.default_rng(20250711).integers(1, 2**64 - 1, 256, dtype=np.uint64)
 _powers = {"n": 0}
 
 
@@ -53,46 +59,112 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(doc_key().alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+#: Shared ids are known by their hash modulo this, so what is broadcast to tell their rows apart is bounded by as many numbers.
+SLOTS = 1 << 20
+
+
+def told_apart(docs: DataFrame, *more: str) -> DataFrame:
+    """``texts`` with ``sub``: 0 where no other row has the id, else a hash of the text that tells the rows of the id apart.
+
+    Ids that only share a slot with a shared one get a hash as well; that costs bytes and changes nothing.
+    """
+    slot = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+    ids = docs.select(doc_key().alias("doc_id")).groupBy("doc_id").count().where("count > 1")
+    shared = stage(ids.select(slot().alias("_slot")).distinct().withColumn("_shared", F.lit(True)), "shared")
+    rows = texts(docs, *more).withColumn("_slot", slot()).join(F.broadcast(shared), "_slot", "left")
+    return rows.select("doc_id", F.when(F.col("_shared"), F.xxhash64("text")).otherwise(F.lit(0)).alias("sub"), "text", *more)
+
+
+@lru_cache(maxsize=4)
+def _own_dir(app: str) -> str:
+    there = tempfile.mkdtemp(prefix="gridlens-")
+    atexit.register(shutil.rmtree, there, ignore_errors=True)
+    return there
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of this machine only where none is configured (tests)."""
+    """The folder that driver and executors share. Only where both are one process may it be unset; the folder is removed at exit then."""
     there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        there = tempfile.mkdtemp(prefix="gridlens-")
-        spark.conf.set("spark.checkpoint.dir", there)
-    return there.rstrip("/")
+    if there:
+        return there.rstrip("/")
+    sc = spark.sparkContext
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_dir(sc.applicationId)
+
+
+_folders: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def new_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = new_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Remove staged tables that nothing will read any more."""
+    for df in staged:
+        if path := _folders.pop(df, None):
+            sc = df.sparkSession.sparkContext
+            there = sc._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(sc._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Text bytes for each shuffle partition whose rows a task gathers.
+PART_BYTES = 8 << 20
+
+
+def partitions_for(spark: SparkSession, size: int) -> int:
+    """Shuffle partitions for so many bytes of text."""
+    return max(partitions(spark), -(-size // PART_BYTES))
+
+
+#: Keys with more than this part of all rows are hot; there are at most as many of them.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int, count: str = "k", how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left_semi) to ``keyed``, which has each key once and in ``count`` how many of the ``total`` rows have it.
+
+    A key of more than a ``HOT``-th of the rows would fill one task. There are at most ``HOT`` of those, so they are broadcast
+    and their rows stay where they are; only the rest is dealt by key.
+    """
+    hot = F.broadcast(keyed.where(F.col(count) * HOT > total).drop(count))
+    cold = keyed.where(F.col(count) * HOT <= total).drop(count)
+    return rows.join(hot, keys, how).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys, how))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge table: ``id``, ``component`` (the smallest id reachable) for each id that has an edge.
 
-    Large-star and small-star in turn; each is a minimum per node, joined back to the edges, so a hub is neither
-    gathered in one task nor in one group. Edges shrink to one per node at the end.
+    Large-star and small-star in turn; each is a minimum per node, joined back to the edges, with the edges of hubs left where
+    they are (``join_hot``). Edges shrink to one per node at the end. Ids may be of any type that has an order.
     """
-    e = stage(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(),
-        "edges",
-    )
+    e = stage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     while True:
+        n = e.count()
         both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", "m")).distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k")).select("u", F.least("u", "m").alias("m"), "k")
+        large = stage(join_hot(both, low, ["u"], 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "stars")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
+        small = join_hot(large, low, ["u"], large.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", "m")).distinct()
         after = stage(small, "stars")
+        discard(e, large)
         # done once no node is both somebody's parent and somebody's child: every edge is (node, root)
-        if after.join(after.select(F.col("v").alias("u")), "u", "left_semi").isEmpty() and not _two_parents(after):
+        if after.join(after.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty() and not _two_parents(after):
             return after.select(F.col("u").alias("id"), F.col("v").alias("component")).union(after.select("v", "v").distinct())
         e = after
 
@@ -178,15 +250,20 @@ def words(data: np.ndarray, offs: np.ndarray, is_space: np.ndarray = _IS_SPACE)
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTE_VALUE) -> np.ndarray:
     """64-bit hashes of the words between these bytes."""
     n = len(data)
     up, down = _pow(n + 1)
     c = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_VALUE[data] * up[:n], out=c[1:])
+    np.cumsum(values[data] * up[:n], out=c[1:])
     return mix((c[ends] - c[starts]) * down[starts])
 
 
+def word_hashes_2(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Other 64 bits of the same words."""
+    return word_hashes(data, starts, ends, _BYTE_VALUE_2)
+
+
 def inside(offs: np.ndarray, size: int, n: int) -> np.ndarray:
     """For n - size + 1 windows over concatenated sequences: which lie within one sequence."""
     m = n - size + 1

@@ -1,14 +1,17 @@
 """Substring dedup over word windows: Rabin-Karp hashes of every fixed-length window, counted in Spark.
 
 1. Every window of ``size`` words has an anchor: the word 8-gram of least hash in it. Equal windows have equal anchors, so a
-   window can repeat in another document only if its anchor does. Anchors (about one per 22 words) are counted by hash.
-2. Documents get back which of their anchors repeat. Every window on such an anchor is hashed (rolling, 64 bits) and the
-   hashes are counted: a window is removed if its hash has a smaller doc_id.
+   window can repeat in another document only if its anchor does. Spark counts anchors (about one per 22 words): least and
+   greatest doc_id by hash.
+2. Documents get back which of their anchors repeat. Every window on such an anchor is hashed (two rolling hashes, 128 bits in
+   all), and Spark finds each hash's least doc_id: a window of a greater one is removed.
 3. A document's repeated windows merge into maximal removal intervals of words.
 
-Before either shuffle a task keeps one row per hash (the smallest document), so a passage of a third of all documents is as
-many rows as there are tasks. Words are ``[^\x20\x09-\x0D]+``. Null text: no words. Texts shorter than a window lose
-nothing. Repeats within one document only lose nothing. Rows that share a doc_id are one document; each gets its result.
+Before either shuffle a task keeps one row per hash (the smallest document) and says at once what it knows to repeat, so a
+passage of a third of all documents is as many rows as there are tasks. Words are ``[^\x20\x09-\x0D]+``. Null text: no words.
+Texts shorter than a window lose nothing. Repeats within one document only lose nothing. No id is smaller than any. Rows that
+share a doc_id, or have none, are documents with no order between them: none loses what another of them has too. No
+documents, no rows.
 """
 
 from __future__ import annotations
@@ -18,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridlens.llm.common import chunks, inside, key_back, merge_ranges, mix, partitions, rolling, signed, sliding_argmin, texts, word_hashes, words
+from gridlens.llm.common import chunks, inside, join_hot, key_back, merge_ranges, mix, partitions_for, rolling, signed, sliding_argmin, stage, told_apart, word_hashes, word_hashes_2, words
 
 WINDOW = 50
 GRAM = 8
@@ -29,182 +32,158 @@ GRAM = 8
 HOLD = 1_000_000
 
 
-def _anchored(data: np.ndarray, offs: np.ndarray, size: int) -> tuple:
-    """Of each whole window: its first word, its document's row, its anchor's hash, its own hash."""
+def _anchored(data: np.ndarray, offs: np.ndarray, size: int, twice: bool = False) -> tuple:
+    """Of each whole window: its first word, its document's row, its anchor's hash, its own hash, and (``twice``) another one."""
     starts, ends, first = words(data, offs)
     n = len(starts)
     if n < size:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 3
     h = word_hashes(data, starts, ends)
     gram = min(GRAM, size)
     grams = rolling(h, gram)
     at = sliding_argmin((grams >> np.uint64(32)).astype(np.uint32), size - gram + 1)
     pos = np.flatnonzero(inside(first, size, n))
     row = np.searchsorted(first, pos, "right") - 1
-    return pos - first[row], row, grams[at[pos]], rolling(h, size)[pos]
+    other = rolling(word_hashes_2(data, starts, ends), size)[pos] if twice else h[:0]
+    return pos - first[row], row, grams[at[pos]], rolling(h, size)[pos] if twice else h[:0], other
 
 
 def _batch(schema: list[str], *cols: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema)
 
 
-def _spread(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return signed(mix(a.view(np.uint64) ^ mix(b.view(np.uint64).copy())))
+def _new(*cols: np.ndarray) -> np.ndarray:
+    """Where a row of sorted columns differs from the row before."""
+    out = np.ones(len(cols[0]), bool)
+    out[1:] = False
+    for c in cols:
+        out[1:] |= c[1:] != c[:-1]
+    return out
 
 
 def _anchor_rows(size: int):
-    """(key, h, doc_id, sure): one row per anchor and task; sure 1: some document of this task, which knows of others."""
-    names = ["key", "h", "doc_id", "sure"]
-
-    def flush(h: list[np.ndarray], doc: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        h, doc = signed(np.concatenate(h)), np.concatenate(doc)
-        order = np.lexsort((doc, h))
-        h, doc = h[order], doc[order]
-        new_h = np.concatenate(([True], h[1:] != h[:-1]))
-        keep = new_h | np.concatenate(([True], doc[1:] != doc[:-1]))
-        h, doc, new_h = h[keep], doc[keep], new_h[keep]
-        group = np.cumsum(new_h) - 1
-        many = (np.bincount(group) > 1)[group]
-        one = new_h  # a row for each anchor; those of many documents are known to repeat
-        yield _batch(names, h[one], h[one], doc[one], many[one].astype(np.int8))
-        if many.any():
-            yield _batch(names, _spread(h[many], doc[many]), h[many], doc[many], np.full(many.sum(), 2, np.int8))
+    """(h, doc_id, sub, told): one row per anchor and task, and one (told) per document of an anchor that this task knows to repeat."""
+    names = ["h", "doc_id", "sub", "told"]
+
+    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        h, doc, sub = (np.concatenate(c) for c in zip(*held, strict=True))
+        h = signed(h)
+        order = np.lexsort((sub, doc, h))
+        h, doc, sub = h[order], doc[order], sub[order]
+        keep = _new(h, doc, sub)
+        h, doc, sub = h[keep], doc[keep], sub[keep]
+        first = np.flatnonzero(_new(h))
+        last = np.append(first[1:], len(h)) - 1
+        group = np.repeat(np.arange(len(first)), last - first + 1)
+        told = (doc[first] != doc[last])[group]
+        # documents that share the least id are told apart: each needs to hear of smaller ids elsewhere
+        send = ~told
+        send[first] = True
+        yield _batch(names, h[send], doc[send], sub[send], np.zeros(send.sum(), bool))
+        yield _batch(names, h[told], doc[told], sub[told], np.ones(told.sum(), bool))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs, docs, held = [], [], 0
+        held, count = [], 0
         for part, data, offs in chunks(batches):
-            ids = part.column("doc_id").to_numpy()
-            _, row, anchor, _ = _anchored(data, offs, size)
+            ids, subs = part.column("doc_id").to_numpy(), part.column("sub").to_numpy()
+            _, row, anchor, _, _ = _anchored(data, offs, size)
             if not len(row):
                 continue
-            new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])))
-            hs.append(anchor[new])
-            docs.append(ids[row[new]])
-            held += int(new.sum())
-            if held >= HOLD:
-                yield from flush(hs, docs)
-                hs, docs, held = [], [], 0
+            new = _new(anchor, row)
+            held.append((anchor[new], ids[row[new]], subs[row[new]]))
+            count += int(new.sum())
+            if count >= HOLD:
+                yield from flush(held)
+                held, count = [], 0
         if held:
-            yield from flush(hs, docs)
+            yield from flush(held)
 
     return task
 
 
-def _gather(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[np.ndarray]:
-    cols = [[] for _ in names]
-    for b in batches:
-        for c, n in zip(cols, names, strict=True):
-            c.append(b.column(n).to_numpy())
-    return [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
-
-
-def _repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    h, doc, sure = _gather(batches, ["h", "doc_id", "sure"])
-    if not len(h):
-        return
-    told = sure == 2
-    yield _batch(["doc_id", "h"], doc[told], h[told])
-    h, doc, sure = h[~told], doc[~told], sure[~told]
-    if not len(h):
-        return
-    order = np.argsort(h, kind="stable")
-    h, doc, sure = h[order], doc[order], sure[order]
-    group = np.cumsum(np.concatenate(([True], h[1:] != h[:-1]))) - 1
-    hit = (np.bincount(group) > 1)[group] & (sure == 0)
-    yield _batch(["doc_id", "h"], doc[hit], h[hit])
-
-
 def _window_rows(size: int):
-    """(key, h, doc_id, starts, hi): windows to count, a row for each hash (the key) and document; and ranges of window starts
-    (one start, and hi, which is else -1) that this task found repeated."""
-    names = ["key", "h", "doc_id", "starts", "hi"]
+    """(h1, h2, doc_id, sub, starts, hi): windows to count, a row for each hash and document; and ranges of window starts (one
+    start, and hi, which is else -1) that this task found repeated, under a hash of their own."""
+    names = ["h1", "h2", "doc_id", "sub", "starts", "hi"]
 
-    def batch(key: np.ndarray, h: np.ndarray, doc: np.ndarray, starts: np.ndarray, first: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    def batch(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, sub: np.ndarray, starts: np.ndarray, first: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
         lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(starts)), pa.int32()), pa.array(starts))
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(h), pa.array(doc), lists, pa.array(hi)], names)
-
-    def flush(h: list, doc: list, pos: list) -> Iterator[pa.RecordBatch]:
-        h, doc, pos = signed(np.concatenate(h)), np.concatenate(doc), np.concatenate(pos)
-        order = np.lexsort((pos, doc, h))
-        h, doc, pos = h[order], doc[order], pos[order]
-        new = np.concatenate(([True], h[1:] != h[:-1]))
-        least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-        again = doc > least
-        first = np.flatnonzero(new)  # of the hash, and so of its smallest document
-        count = np.add.reduceat(~again, first)
-        yield batch(h[first], h[first], doc[first], pos[~again], np.cumsum(count) - count, np.full(len(first), -1, np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(doc), pa.array(sub), lists, pa.array(hi)], names)
+
+    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        h1, h2, doc, sub, pos = (np.concatenate(c) for c in zip(*held, strict=True))
+        h1, h2 = signed(h1), signed(h2)
+        order = np.lexsort((pos, sub, doc, h2, h1))
+        h1, h2, doc, sub, pos = h1[order], h2[order], doc[order], sub[order], pos[order]
+        new = _new(h1, h2)
+        again = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
         if again.any():
-            doc, lo, hi = _ranges(doc[again], pos[again])
-            yield batch(_spread(doc, lo), np.zeros(len(doc), np.int64), doc, lo, np.arange(len(doc)), hi)
+            d, s, lo, hi = _ranges(doc[again], sub[again], pos[again])
+            spread = signed(mix(d.view(np.uint64) ^ mix(lo.view(np.uint64).copy())))
+            yield batch(spread, np.full(len(d), -1), d, s, lo, np.arange(len(d)), hi)
+        h1, h2, doc, sub, pos = h1[~again], h2[~again], doc[~again], sub[~again], pos[~again]
+        first = np.flatnonzero(_new(h1, h2, doc, sub))
+        yield batch(h1[first], h2[first], doc[first], sub[first], pos, first, np.full(len(first), -1, np.int64))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold, held = ([], [], []), 0
+        held, count = [], 0
         for part, data, offs in chunks(batches):
-            ids = part.column("doc_id").to_numpy()
+            ids, subs = part.column("doc_id").to_numpy(), part.column("sub").to_numpy()
             wanted = np.unique(part.column("hs").flatten().to_numpy())
-            pos, row, anchor, h = _anchored(data, offs, size)
+            pos, row, anchor, h1, h2 = _anchored(data, offs, size, twice=True)
             hit = np.isin(signed(anchor), wanted)
-            for c, x in zip(hold, (h[hit], ids[row[hit]], pos[hit]), strict=True):
-                c.append(x)
-            held += int(hit.sum())
-            if held >= HOLD:
-                yield from flush(*hold)
-                hold, held = ([], [], []), 0
+            if hit.any():
+                held.append((h1[hit], h2[hit], ids[row[hit]], subs[row[hit]], pos[hit]))
+                count += int(hit.sum())
+            if count >= HOLD:
+                yield from flush(held)
+                held, count = [], 0
         if held:
-            yield from flush(*hold)
+            yield from flush(held)
 
     return task
 
 
-def _ranges(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of consecutive positions of a document, as (doc, first, one past the last)."""
-    order = np.lexsort((pos, doc))
-    doc, pos = doc[order], pos[order]
-    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (pos[1:] > pos[:-1] + 1)))
+def _ranges(doc: np.ndarray, sub: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of consecutive positions of a document, as (doc, sub, first, one past the last)."""
+    order = np.lexsort((pos, sub, doc))
+    doc, sub, pos = doc[order], sub[order], pos[order]
+    new = _new(doc, sub)
+    new[1:] |= pos[1:] > pos[:-1] + 1
     at = np.flatnonzero(new)
-    return doc[at], pos[at], pos[np.concatenate((at[1:] - 1, [len(pos) - 1]))] + 1
+    return doc[at], sub[at], pos[at], pos[np.append(at[1:] - 1, len(pos) - 1)] + 1
 
 
-def _repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "lo", "hi"]
-    hs, docs, at, starts, total = [], [], [], [], 0
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, sub, lo, hi) of batches of repeated windows; those side by side as one."""
+    names = ["doc_id", "sub", "lo", "hi"]
     for b in batches:
-        h, doc, hi = (b.column(c).to_numpy() for c in ("h", "doc_id", "hi"))
+        doc, sub, hi = (b.column(c).to_numpy() for c in ("doc_id", "sub", "hi"))
         offs = b.column("starts").offsets.to_numpy().astype(np.int64)
-        values = b.column("starts").values.to_numpy()[offs[0] : offs[-1]]
-        offs = offs - offs[0]
+        values = b.column("starts").values.to_numpy()
         told = hi >= 0
         if told.any():
-            yield _batch(names, doc[told], values[offs[:-1][told]], hi[told])
-        hs.append(h[~told])
-        docs.append(doc[~told])
-        at.append(np.stack((offs[:-1], offs[1:]), 1)[~told] + total)
-        starts.append(values)
-        total += len(values)
-    if not hs:
-        return
-    h, doc, at, starts = np.concatenate(hs), np.concatenate(docs), np.concatenate(at), np.concatenate(starts)
-    if not len(h):
-        return
-    order = np.lexsort((doc, h))
-    h, doc, at = h[order], doc[order], at[order]
-    new = np.concatenate(([True], h[1:] != h[:-1]))
-    again = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-    if again.any():
-        lo, count = at[again, 0], at[again, 1] - at[again, 0]
-        each = np.arange(count.sum()) + np.repeat(lo - (np.cumsum(count) - count), count)
-        yield _batch(names, *_ranges(np.repeat(doc[again], count), starts[each]))
-
-
-def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """``doc_id, spans``: ranges (lo, hi) of the starts of windows that a smaller doc_id also has."""
-    p = partitions(docs.sparkSession)
-    rows = texts(docs)
-    anchors = rows.mapInArrow(_anchor_rows(size), "key long, h long, doc_id long, sure byte").repartition(p, "key")
-    wanted = anchors.mapInArrow(_repeated_anchors, "doc_id long, h long").groupBy("doc_id").agg(F.collect_list("h").alias("hs"))
-    hashed = rows.join(wanted, "doc_id").mapInArrow(_window_rows(size), "key long, h long, doc_id long, starts array<long>, hi long")
-    found = hashed.repartition(p, "key").mapInArrow(_repeated_windows, "doc_id long, lo long, hi long")
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+            yield _batch(names, doc[told], sub[told], values[offs[:-1][told]], hi[told])
+        count = np.where(told, 0, np.diff(offs))
+        if count.sum():
+            each = np.arange(count.sum()) + np.repeat(offs[:-1] - (np.cumsum(count) - count), count)
+            yield _batch(names, *_ranges(np.repeat(doc, count), np.repeat(sub, count), values[each]))
+
+
+def repeated_windows(rows: DataFrame, size: int = WINDOW) -> DataFrame:
+    """``doc_id, sub, spans``: ranges (lo, hi) of the starts of windows that a smaller doc_id also has; ``rows`` are told apart."""
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    p = partitions_for(rows.sparkSession, total)
+    anchors = stage(rows.mapInArrow(_anchor_rows(size), "h long, doc_id long, sub long, told boolean"), "anchors")
+    asked = anchors.where("not told")
+    twice = asked.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("h", "k")
+    wanted = join_hot(asked.select("doc_id", "sub", "h"), twice, ["h"], asked.count(), how="left_semi").unionByName(anchors.where("told").select("doc_id", "sub", "h"))
+    wanted = wanted.groupBy("doc_id", "sub").agg(F.collect_list("h").alias("hs"))
+    hashed = rows.join(wanted, ["doc_id", "sub"]).mapInArrow(_window_rows(size), "h1 long, h2 long, doc_id long, sub long, starts array<long>, hi long")
+    least = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
+    found = hashed.repartition(p, "h1", "h2").withColumn("least", least).where("hi >= 0 or doc_id > least")
+    found = found.select("doc_id", "sub", "starts", "hi").mapInArrow(_spans, "doc_id long, sub long, lo long, hi long")
+    return found.groupBy("doc_id", "sub").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
 def _cut(size: int):
@@ -236,7 +215,8 @@ def _cut(size: int):
 
 def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` and ``kept``, the words left (null where nothing was removed)."""
-    out = texts(docs).join(repeated_windows(docs, size), "doc_id", "left").select("doc_id", "text", "spans")
+    rows = told_apart(docs)
+    out = rows.join(repeated_windows(rows, size), ["doc_id", "sub"], "left").select("doc_id", "text", "spans")
     out = out.mapInArrow(_cut(size), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out.withColumn("doc_id", key_back("doc_id"))
 

@@ -5,18 +5,23 @@ A distributed merge sort of suffixes that keeps what it knows about common prefi
 * Only the suffixes at anchors are sorted: the anchor of a 100-byte window is its 20-byte gram of least hash, so equal windows
   have it at the same offset, and a run of neighbouring windows shares one. A record is the suffix from the anchor on, as far as
   its windows reach, and the bytes before it, backwards.
-* A task sorts its records into runs, keeps the earliest of equal ones (the windows of the others are repeats, whole), cuts the
-  runs at splitters, front-codes them (length of the prefix shared with the suffix before, and the rest) and sends them off.
+* Where records come thick (text that repeats itself every few bytes), windows that equal the one a short period before are
+  repeats at once, and no records are made of them.
+* A task sorts its records into runs of ``RUN_RECORDS`` at most, keeps the earliest of equal ones (the windows of the others are
+  repeats, whole), cuts the runs at splitters, front-codes them (length of the prefix shared with the suffix before, and the
+  rest) and sends them off.
 * The other side merges the runs of a range with a loser tree that compares the known common prefix lengths first and
-  bytes only beyond them; the merged sequence comes out with its longest common prefixes.
+  bytes only beyond them, never the known prefixes; the merged sequence comes out with its longest common prefixes.
 * Suffixes that share 20 bytes or more form a group. At each offset of the anchor in a window, two records of a group hold the
   same window if they agree on so many bytes to the right (prefix lengths) and to the left; all but the earliest are repeats.
 
 Anchors that a sample finds in a large share of all records (a passage in very many contexts) would fill one range: their
 windows are sent one by one instead, by a hash of all 100 bytes. The sample steers only where records go, not results.
 
-Order is doc_id, then the byte at which a string starts. Null text: no bytes. Texts under 100 bytes lose nothing. Matches
-never cross documents. Rows that share a doc_id are one document (no repeat of each other); each gets its result.
+Order is doc_id (no id before all others), then the byte at which a string starts. Null text: no bytes. Texts under 100 bytes lose
+nothing. Matches never cross documents. Rows that share a doc_id, or have none, are documents with no order between them: none
+loses what another of them has too, whatever their texts. No documents, no rows. A long text is read in pieces that overlap by
+99 bytes; no window is lost between them.
 """
 
 from __future__ import annotations
@@ -31,49 +36,83 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.llm.common import byte_values, chunks, inside, key_back, merge_ranges, mix, pack, partitions, rolling, signed, sliding_argmin, texts, unpack
+from gridlens.llm.common import STEP_BYTES, byte_values, chunks, inside, key_back, merge_ranges, mix, pack, partitions_for, rolling, signed, sliding_argmin, told_apart, unpack
 
 LENGTH = 100
 GRAM = 20
 BACK = LENGTH - GRAM
-#: Text bytes from which a task makes one sorted run.
+#: Text bytes from which a task makes sorted runs, and records of a run at most.
 RUN_BYTES = 6 << 20
-#: Ranges per shuffle partition, and sampled documents that place them.
+RUN_RECORDS = 1 << 18
+#: Ranges per shuffle partition, sampled documents that place them, and anchors of each at most.
 RANGES = 4
 SAMPLE_DOCS = 2000
-_sent = ["bucket", "run", "size", "doc_id", "lo", "hi"]
-SENT = "bucket long, run binary, size long, doc_id long, lo long, hi long"
+SAMPLE_ANCHORS = 512
+#: Records for each byte from which a text is looked at for short periods.
+THICK = 1 / 16
+_sent = ["bucket", "run", "size", "doc_id", "sub", "lo", "hi"]
+SENT = "bucket long, run binary, size long, doc_id long, sub long, lo long, hi long"
+
+
+def _periodic(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """For each window start: whether its text also has the window some 1 to ``GRAM`` - 1 bytes earlier."""
+    n, m = len(data), len(data) - LENGTH + 1
+    found = np.zeros(m, bool)
+    for p in range(1, GRAM):
+        same = np.zeros(n - p + 1, np.int32)
+        np.cumsum(data[p:] == data[:-p], out=same[1:])
+        hit = same[LENGTH:] - same[: n - p + 1 - LENGTH] == LENGTH  # of the starts from p on
+        edge = (offs[:, None] + np.arange(p)).ravel() - p  # the window before would be of another text
+        hit[edge[(edge >= 0) & (edge < len(hit))]] = False
+        found[p:] |= hit
+    return found
 
 
 def _records(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Per record: its document's row, first window, last window and anchor, as byte positions in ``data``."""
+    """Per record: its document's row, first window, last window and anchor, as byte positions in ``data``; and window starts that repeat, by row."""
+    none = np.zeros(0, np.int64)
     n = len(data)
     if n < LENGTH:
-        return (np.zeros(0, np.int64),) * 4
+        return (none,) * 6
     grams = (rolling(byte_values(data), GRAM) >> np.uint64(32)).astype(np.uint32)
     at = sliding_argmin(grams, LENGTH - GRAM + 1)
+    del grams
     pos = np.flatnonzero(inside(offs, LENGTH, n))
     if not len(pos):
-        return (np.zeros(0, np.int64),) * 4
+        return (none,) * 6
+    gone = none
     anchor = at[pos]
-    new = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+    new = np.concatenate(([True], anchor[1:] != anchor[:-1]))
+    if new.sum() > THICK * n:
+        again = _periodic(data, offs)[pos]
+        gone, pos = pos[again], pos[~again]
+        anchor = at[pos]
+        new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (pos[1:] != pos[:-1] + 1)))
+    new = np.flatnonzero(new)
     last = np.concatenate((new[1:] - 1, [len(pos) - 1]))
-    return np.searchsorted(offs, pos[new], "right") - 1, pos[new], pos[last], anchor[new]
+    row = np.searchsorted(offs, pos[new], "right") - 1
+    return row, pos[new], pos[last], anchor[new], np.searchsorted(offs, gone, "right") - 1, gone
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, data, offs in chunks(batches):
-        _, first, last, anchor = _records(data, offs)
+        row, first, last, anchor, _, _ = _records(data, offs)
         if len(anchor):
+            start = np.searchsorted(row, row)
+            step = np.bincount(row)[row] // SAMPLE_ANCHORS + 1
+            few = (np.arange(len(row)) - start) % step == 0
+            first, last, anchor = first[few], last[few], anchor[few]
             grams = sliding_window_view(data, GRAM)[anchor]
             whole = rolling(byte_values(data), LENGTH)
             yield pa.RecordBatch.from_arrays([pa.array([g.tobytes() for g in grams], pa.binary()), pa.array(signed(whole[first] ^ mix(whole[last].copy())))], ["gram", "context"])
 
 
-def place(rows: DataFrame, buckets: int, sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray]:
-    """Splitters of the ranges, and the grams of anchors that come in too many contexts for one; from a bounded sample."""
-    n = rows.count()
-    few = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_docs / max(1, n))))
+def place(rows: DataFrame, docs: int, buckets: int, sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray]:
+    """Splitters of the ranges, and the grams of anchors that come in too many contexts for one.
+
+    From about ``sample_docs`` rows, whatever their ids, and ``SAMPLE_ANCHORS`` of each: so much at most comes to the driver.
+    """
+    few = rows.sample(min(1.0, sample_docs / max(1, docs)), seed=5)
     got = few.mapInArrow(_sample, "gram binary, context long").distinct().toArrow()
     grams = np.array([g.ljust(GRAM, b"\0") for g in got.column("gram").to_pylist()], f"S{GRAM}")
     if not len(grams):
@@ -86,34 +125,23 @@ def place(rows: DataFrame, buckets: int, sample_docs: int = SAMPLE_DOCS) -> tupl
     return np.unique(cut), hot
 
 
-_kinds = [np.uint8, np.uint8, np.uint8, np.int64, np.int64, np.uint8, np.uint8]
+_kinds = [np.uint8, np.uint8, np.uint8, np.int64, np.int64, np.int64, np.uint8, np.uint8]
+
+
+def _told(doc: np.ndarray, sub: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    """Ranges of window starts that are known to be repeats, each dealt to a bucket of its own."""
+    doc, sub, lo, hi = _joined(doc, sub, lo, hi)
+    m = len(doc)
+    bucket = signed(mix(doc.view(np.uint64) + lo.view(np.uint64)))
+    return pa.RecordBatch.from_arrays([pa.array(bucket), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), *map(pa.array, (doc, sub, lo, hi))], _sent)
 
 
 def _make_runs(buckets: int, cuts: np.ndarray, hot: np.ndarray):
     """Sorted, front-coded runs of a task's records, by bucket; and the ranges of window starts it knows to be repeats."""
 
-    def flush(held: list) -> Iterator[pa.RecordBatch]:
-        data = np.concatenate([np.zeros(BACK, np.uint8), *(h[0] for h in held), np.zeros(LENGTH, np.uint8)])
-        base = np.cumsum([BACK, *(len(h[0]) for h in held)])
-        join = lambda k: np.concatenate([h[k] for h in held])
-        moved = np.concatenate([np.full(len(h[1]), b) for h, b in zip(held, base[:-1], strict=True)])
-        doc, zero, first, last, anchor = join(1), join(2) + moved, join(3) + moved, join(4) + moved, join(5) + moved
-        gram = np.ascontiguousarray(sliding_window_view(data, GRAM)[anchor]).view(f"S{GRAM}").reshape(-1)
-        bucket = np.searchsorted(cuts, gram, "right")
-        if len(hot):
-            many = np.isin(gram, hot)
-            each = np.repeat(np.flatnonzero(many), (last - first + 1)[many])
-            step = np.arange(len(each)) - np.repeat(np.cumsum((last - first + 1)[many]) - (last - first + 1)[many], (last - first + 1)[many])
-            alone = first[each] + step
-            doc, zero = np.concatenate((doc[~many], doc[each])), np.concatenate((zero[~many], zero[each]))
-            first, last, anchor = (np.concatenate((x[~many], alone)) for x in (first, last, anchor))
-            up = np.cumprod(np.full(LENGTH, 0x9E3779B97F4A7C15, np.uint64))
-            code = np.zeros(len(alone), np.uint64)
-            for j in range(LENGTH):
-                code += (data[alone + j].astype(np.uint64) + np.uint64(1)) * up[j]
-            bucket = np.concatenate((bucket[~many], buckets + (mix(code) % np.uint64(buckets)).astype(np.int64)))
-        order = np.lexsort((anchor - zero, doc))
-        doc, zero, first, last, anchor, bucket = (x[order] for x in (doc, zero, first, last, anchor, bucket))
+    def run(data: np.ndarray, doc: np.ndarray, sub: np.ndarray, zero: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.ndarray, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((anchor - zero, sub, doc))
+        doc, sub, zero, first, last, anchor, bucket = (x[order] for x in (doc, sub, zero, first, last, anchor, bucket))
         n = len(doc)
         right, left = last + LENGTH - anchor, anchor - first
         key = np.zeros((n, 4 + LENGTH + BACK), np.uint8)
@@ -124,20 +152,18 @@ def _make_runs(buckets: int, cuts: np.ndarray, hot: np.ndarray):
         key[:, 4 + LENGTH :][np.arange(BACK) >= left[:, None]] = 0
         order = np.argsort(key.view(f"S{key.shape[1]}").reshape(-1), kind="stable")
         key = key[order]
-        doc, bucket, right, left = doc[order], bucket[order], right[order], left[order]
+        doc, sub, bucket, right, left = doc[order], sub[order], bucket[order], right[order], left[order]
         at, first, last = (anchor - zero)[order], (first - zero)[order], (last - zero)[order]
-        again = np.concatenate(([False], (key[1:] == key[:-1]).all(1) & (right[1:] == right[:-1]) & (left[1:] == left[:-1])))
-        head = np.flatnonzero(~again)[np.cumsum(~again) - 1]
-        gone = again & ((doc != doc[head]) | (at != at[head]))
+        new = np.concatenate(([True], (key[1:] != key[:-1]).any(1) | (right[1:] != right[:-1]) | (left[1:] != left[:-1])))
+        # of equal records the earliest; one for each document that shares its id
+        least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+        one = new | ((doc == least) & np.concatenate(([False], sub[1:] != sub[:-1])))
+        head = np.flatnonzero(one)[np.cumsum(one) - 1]
+        gone = ~one & ((doc != doc[head]) | (sub != sub[head]) | (at != at[head]))
         if gone.any():
-            d, lo, hi = _joined(doc[gone], first[gone], last[gone] + 1)
-            m = len(d)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(mix(d.view(np.uint64) + lo.view(np.uint64)))), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.array(d), pa.array(lo), pa.array(hi)], _sent
-            )
-        one = ~again
+            yield _told(doc[gone], sub[gone], first[gone], last[gone] + 1)
         suffix, before = key[one, 4 : 4 + LENGTH], key[one, 4 + LENGTH :]
-        doc, bucket, right, left, at = doc[one], bucket[one], right[one], left[one], at[one]
+        doc, sub, bucket, right, left, at = doc[one], sub[one], bucket[one], right[one], left[one], at[one]
         n = len(doc)
         prefix = np.zeros(n, np.int64)
         differ = suffix[1:] != suffix[:-1]
@@ -149,19 +175,56 @@ def _make_runs(buckets: int, cuts: np.ndarray, hot: np.ndarray):
         out, lo = [[], [], []], 0
         for hi in ends.tolist():
             part = slice(lo, hi)
-            blob, size = pack([prefix[part].astype(np.uint8), right[part].astype(np.uint8), left[part].astype(np.uint8), doc[part], at[part], suffix[part][tail[part]], before[part][side[part]]])
+            blob, size = pack([prefix[part].astype(np.uint8), right[part].astype(np.uint8), left[part].astype(np.uint8), doc[part], sub[part], at[part], suffix[part][tail[part]], before[part][side[part]]])
             for c, v in zip(out, (int(bucket[lo]), blob, size), strict=True):
                 c.append(v)
             lo = hi
         m = len(out[0])
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64()), *[pa.nulls(m, pa.int64())] * 3], _sent)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64()), *[pa.nulls(m, pa.int64())] * 4], _sent)
+
+    def flush(held: list) -> Iterator[pa.RecordBatch]:
+        data = np.concatenate([np.zeros(BACK, np.uint8), *(h[0] for h in held), np.zeros(LENGTH, np.uint8)])
+        base = np.cumsum([BACK, *(len(h[0]) for h in held)])
+        join = lambda k: np.concatenate([h[k] for h in held])
+        moved = np.concatenate([np.full(len(h[1]), b) for h, b in zip(held, base[:-1], strict=True)])
+        doc, sub, zero, first, last, anchor = join(1), join(2), join(3) + moved, join(4) + moved, join(5) + moved, join(6) + moved
+        gram = np.ascontiguousarray(sliding_window_view(data, GRAM)[anchor]).view(f"S{GRAM}").reshape(-1)
+        bucket = np.searchsorted(cuts, gram, "right")
+        many = np.isin(gram, hot) if len(hot) else np.zeros(len(gram), bool)
+        # the windows of a hot anchor are records of their own; so many records at a time
+        turn = np.cumsum(np.where(many, last - first + 1, 1)) // RUN_RECORDS
+        for k in np.unique(turn).tolist():
+            mine, single = (turn == k) & ~many, np.flatnonzero((turn == k) & many)
+            count = (last - first + 1)[single]
+            each = np.repeat(single, count)
+            alone = first[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
+            code = np.zeros(len(alone), np.uint64)
+            up = np.cumprod(np.full(LENGTH, 0x9E3779B97F4A7C15, np.uint64))
+            for j in range(LENGTH if len(alone) else 0):
+                code += (data[alone + j].astype(np.uint64) + np.uint64(1)) * up[j]
+            by = buckets + (mix(code) % np.uint64(buckets)).astype(np.int64)
+            yield from run(data, *(np.concatenate((x[mine], y)) for x, y in ((doc, doc[each]), (sub, sub[each]), (zero, zero[each]), (first, alone), (last, alone), (anchor, anchor[each]), (bucket, by))))
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """(bytes, offsets, ids, subs, where the first text begins); a long text comes in pieces."""
+        for part, data, offs in chunks(batches, STEP_BYTES):
+            doc, sub = part.column("doc_id").to_numpy(), part.column("sub").to_numpy()
+            if len(offs) > 2 or len(data) <= 2 * STEP_BYTES:
+                yield data, offs, doc, sub, 0
+                continue
+            for lo in range(0, len(data), STEP_BYTES):
+                piece = data[lo : lo + STEP_BYTES + LENGTH - 1]
+                yield piece, np.array([0, len(piece)]), doc, sub, -lo
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for part, data, offs in chunks(batches):
-            row, first, last, anchor = _records(data, offs)
+        for data, offs, doc, sub, zero in pieces(batches):
+            row, first, last, anchor, gone_row, gone = _records(data, offs)
+            if len(gone):
+                lo = gone - offs[gone_row] - zero
+                yield _told(doc[gone_row], sub[gone_row], lo, lo + 1)
             if len(row):
-                held.append((data, part.column("doc_id").to_numpy()[row], offs[row], first, last, anchor))
+                held.append((data, doc[row], sub[row], offs[row] + zero, first, last, anchor))
                 size += len(data)
             if size >= RUN_BYTES:
                 yield from flush(held)
@@ -172,13 +235,13 @@ def _make_runs(buckets: int, cuts: np.ndarray, hot: np.ndarray):
     return task
 
 
-def _joined(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _joined(doc: np.ndarray, sub: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
     """Ranges of a document that touch, as one."""
-    order = np.lexsort((lo, doc))
-    doc, lo, hi = doc[order], lo[order], hi[order]
-    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (lo[1:] > hi[:-1])))
+    order = np.lexsort((lo, sub, doc))
+    doc, sub, lo, hi = doc[order], sub[order], lo[order], hi[order]
+    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1]) | (lo[1:] > hi[:-1])))
     at = np.flatnonzero(new)
-    return doc[at], lo[at], np.maximum.reduceat(hi, at)
+    return doc[at], sub[at], lo[at], np.maximum.reduceat(hi, at)
 
 
 def read_run(prefix: np.ndarray, right: np.ndarray, tails: np.ndarray) -> list[bytes]:
@@ -223,10 +286,10 @@ def merge_runs(runs: list[list[bytes]], prefixes: list[list[int]]) -> tuple[list
             return b, hb, a, ha
         if ha < 0:
             return a, ha, b, hb
-        x, y = now[a], now[b]
+        x, y = now[a][ha:], now[b][ha:]
         if x == y:
-            return (a, ha, b, len(x)) if a < b else (b, hb, a, len(x))
-        k = len(x) - (((number(x[ha:]) ^ number(y[ha:])).bit_length() + 7) >> 3)
+            return (a, ha, b, ha + len(x)) if a < b else (b, hb, a, ha + len(x))
+        k = ha + len(x) - (((number(x) ^ number(y)).bit_length() + 7) >> 3)
         return (a, ha, b, k) if x < y else (b, hb, a, k)
 
     level = [(r, 0 if r < len(runs) and runs[r] else -1) for r in range(width)]
@@ -256,12 +319,12 @@ def merge_runs(runs: list[list[bytes]], prefixes: list[list[int]]) -> tuple[list
                 r, h = o, ho
             elif ho == h and h >= 0:
                 o = loser[node]
-                x, y = now[r], now[o]
+                x, y = now[r][h:], now[o][h:]
                 if x == y:
                     k = LENGTH
                     first = r < o
                 else:
-                    k = LENGTH - (((number(x[h:]) ^ number(y[h:])).bit_length() + 7) >> 3)
+                    k = LENGTH - (((number(x) ^ number(y)).bit_length() + 7) >> 3)
                     first = x < y
                 if first:
                     shared[node] = k
@@ -272,25 +335,24 @@ def merge_runs(runs: list[list[bytes]], prefixes: list[list[int]]) -> tuple[list
     return from_run, common
 
 
-def _repeats(runs: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the runs of one range: (doc_id, lo, hi), ranges of window starts that are repeats."""
+def _repeats(runs: list[tuple[bytes, int]]) -> tuple[np.ndarray, ...]:
+    """Of the runs of one range: (doc_id, sub, lo, hi), ranges of window starts that are repeats."""
     parts = [unpack(blob, size, _kinds) for blob, size in runs]
-    from_run, common = merge_runs([read_run(p[0], p[1], p[5]) for p in parts], [p[0].tolist() for p in parts])
+    from_run, common = merge_runs([read_run(p[0], p[1], p[6]) for p in parts], [p[0].tolist() for p in parts])
     from_run, common = np.array(from_run), np.array(common)
     order = np.empty(len(from_run), np.int64)  # the j-th of a run, in merged order
     order[np.argsort(from_run, kind="stable")] = np.arange(len(from_run))
     col = lambda k: np.concatenate([p[k] for p in parts])[order].astype(np.int64)
     same = common >= GRAM
     grouped = same | np.concatenate((same[1:], [False]))
-    none = np.zeros(0, np.int64)
     if not grouped.any():
-        return none, none, none
-    right, left, doc, at = (col(k)[grouped] for k in (1, 2, 3, 4))
+        return (np.zeros(0, np.int64),) * 4
+    right, left, doc, sub, at = (col(k)[grouped] for k in (1, 2, 3, 4, 5))
     common = common[grouped]
     n = len(doc)
     sizes = np.concatenate([p[2] for p in parts]).astype(np.int64)
     stops = np.cumsum(sizes)
-    pool = np.concatenate([*(p[6] for p in parts), np.zeros(BACK, np.uint8)])
+    pool = np.concatenate([*(p[7] for p in parts), np.zeros(BACK, np.uint8)])
     back = sliding_window_view(pool, BACK)[(stops - sizes)[order][grouped]]
     back[np.arange(BACK) >= left[:, None]] = 0
     back_order = np.argsort(back.view(f"S{BACK}").reshape(-1), kind="stable")
@@ -299,10 +361,11 @@ def _repeats(runs: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, np.
     back_common = np.concatenate(([0], np.where(differ.any(1), differ.argmax(1), BACK)))
     back_place = np.empty(n, np.int64)
     back_place[back_order] = np.arange(n)
-    # earliest first; a row that repeats a document is the same place
-    place = np.lexsort((at, doc))
-    place = place[np.concatenate(([True], (np.diff(doc[place]) != 0) | (np.diff(at[place]) != 0)))]
-    right, left, doc, at, back_place = right[place], left[place], doc[place], at[place], back_place[place]
+    # earliest first; a row that repeats a document is the same place; windows of a hot anchor have one place, but ends of their own
+    place = np.lexsort((left, right, at, sub, doc))
+    place = place[np.concatenate(([True], np.any([np.diff(c[place]) != 0 for c in (doc, sub, at, right, left)], axis=0)))]
+    right, left, doc, sub, at, back_place = right[place], left[place], doc[place], sub[place], at[place], back_place[place]
+    shared = bool(((doc[1:] == doc[:-1]) & (sub[1:] != sub[:-1])).any())
     flags = np.zeros((len(place), BACK + 3), np.int8)  # by window start - anchor + BACK + 1
     for o in range(int(max(0, LENGTH - right.max())), int(left.max()) + 1):
         act = np.flatnonzero((o <= left) & (o >= LENGTH - right))
@@ -310,38 +373,44 @@ def _repeats(runs: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, np.
             continue
         to_right = np.cumsum(common < LENGTH - o)[place[act]]
         to_left = np.cumsum(back_common < o)[back_place[act]]
-        flags[act, BACK - o + 1] = pd.Series(to_right * (n + 1) + to_left).duplicated().to_numpy()
+        window = to_right * (n + 1) + to_left
+        again = pd.Series(window).duplicated().to_numpy()
+        if shared:  # of the documents that share the first one's id, each has a first window
+            _, first, which = np.unique(window, return_index=True, return_inverse=True)
+            peer = doc[act] == doc[act][first][which]
+            again &= ~peer | pd.DataFrame({"w": window, "s": sub[act]}).duplicated().to_numpy()
+        flags[act, BACK - o + 1] = again
     turn = np.diff(flags, axis=1)
     row, lo = np.nonzero(turn == 1)
     _, hi = np.nonzero(turn == -1)
-    return doc[row], at[row] + lo - BACK, at[row] + hi - BACK
+    return doc[row], sub[row], at[row] + lo - BACK, at[row] + hi - BACK
 
 
 def _merge_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "sub", "lo", "hi"]
     runs: dict[int, list[tuple[bytes, int]]] = {}
-    out = lambda d, lo, hi: pa.RecordBatch.from_arrays([pa.array(d), pa.array(lo), pa.array(hi)], ["doc_id", "lo", "hi"])
     for b in batches:
         told = b.filter(b.column("run").is_null())
         if told.num_rows:
-            yield out(*(told.column(c).to_numpy() for c in ("doc_id", "lo", "hi")))
+            yield told.select(names)
         for k, run, size in zip(*(b.column(c).to_pylist() for c in ("bucket", "run", "size")), strict=True):
             if run is not None:
                 runs.setdefault(k, []).append((run, size))
     while runs:
-        doc, lo, hi = _repeats(runs.popitem()[1])
-        if len(doc):
-            yield out(doc, lo, hi)
+        found = _repeats(runs.popitem()[1])
+        if len(found[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names)
 
 
-def repeated_strings(docs: DataFrame) -> DataFrame:
-    """``doc_id, spans``: ranges (lo, hi) of starts of 100-byte strings that also start earlier."""
-    p = partitions(docs.sparkSession)
-    rows = texts(docs)
-    cuts, hot = place(rows, p * RANGES)
+def repeated_strings(rows: DataFrame) -> DataFrame:
+    """``doc_id, sub, spans``: ranges (lo, hi) of starts of 100-byte strings that also start earlier; ``rows`` are told apart."""
+    docs, size = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    p = partitions_for(rows.sparkSession, size or 0)
+    cuts, hot = place(rows, docs, p * RANGES)
     sent = rows.mapInArrow(_make_runs(p * RANGES, cuts, hot), SENT)
     # as many ranges to each partition; a hash of them would give some twice the mean
     sent = sent.repartitionById(p, F.pmod("bucket", F.lit(p)).cast("int"))
-    return sent.mapInArrow(_merge_task, "doc_id long, lo long, hi long").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return sent.mapInArrow(_merge_task, "doc_id long, sub long, lo long, hi long").groupBy("doc_id", "sub").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,7 +438,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and ``kept``, the bytes left (null where nothing was removed)."""
-    out = texts(docs).join(repeated_strings(docs), "doc_id", "left").select("doc_id", "text", "spans")
+    rows = told_apart(docs)
+    out = rows.join(repeated_strings(rows), ["doc_id", "sub"], "left").select("doc_id", "text", "spans")
     out = out.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.withColumn("doc_id", key_back("doc_id"))
 

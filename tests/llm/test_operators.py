@@ -19,6 +19,9 @@ RUN = "lorem ipsum dolor sit amet " * 30
 ODD = [
     (1, RUN + "tail one"), (2, "start " + RUN), (3, None), (4, ""), (5, "  \n\t "), (6, RUN + "tail one"), (7, "x"), (8, "A b c"), (9, "a B c"), (10, "é" * 150 + RUN[:200]), (11, "\x00" * 120 + "q"),
     (12, "\x00" * 121), (13, "word " * 4000), (14, "one two three four five six seven"), (14, "one two three four five six seven"), (None, RUN), (15, "ONE two three FOUR five six seven"), (16, "ab" * 3000),
+    # ids that repeat, and none, over different texts; short periods; a long text in pieces is in its own test
+    (5, "other " + RUN[:400]), (5, "alone " * 3 + " ".join(f"q{k}" for k in range(90))), (None, " ".join(f"q{k}" for k in range(90))), (None, "mine " + RUN[:500]), (None, "abc" * 200), (17, "zabc" + "abc" * 100 + "ab"), (2, "xy" + "ab" * 400),
+    (17, " ".join(f"u{k}" for k in range(70))), (17, "v " + " ".join(f"u{k}" for k in range(70))), (18, " ".join(f"u{k}" for k in range(70))), (None, None), (5, None),
 ]
 
 
@@ -47,17 +50,21 @@ def none_id(i):
 
 
 def brute_bytes(pairs, size=100):
-    first, out = {}, []
+    """A window repeats if a document with a smaller id has it, or the same row earlier."""
+    least, out = {}, []
     for i, t in pairs:
         raw = t.encode()
         for p in range(len(raw) - size + 1):
-            first.setdefault(raw[p : p + size], (i, p))
+            w = raw[p : p + size]
+            least[w] = min(least.get(w, i), i)
     for i, t in pairs:
-        raw = t.encode()
+        raw, seen = t.encode(), set()
         gone = np.zeros(len(raw) + 2, int)
         for p in range(len(raw) - size + 1):
-            if first[raw[p : p + size]] != (i, p):
+            w = raw[p : p + size]
+            if least[w] < i or w in seen:
                 gone[p + 1 : p + size + 1] = 1
+            seen.add(w)
         kept = bytes(np.frombuffer(raw, np.uint8)[gone[1:-1] == 0])
         out.append((none_id(i), len(raw), int(gone.sum()), int((np.diff(gone) == 1).sum()), hashlib.sha256(kept).hexdigest()))
     return out
@@ -67,13 +74,33 @@ def brute_bytes(pairs, size=100):
 def test_suffix_dedup(odd, docs, hot, monkeypatch):
     if hot:  # every anchor's windows one by one
         real = suffix_dedup.place
-        monkeypatch.setattr(suffix_dedup, "place", lambda rows, n: (real(rows, n)[0], np.unique(np.array([r.gram.ljust(20, b"\0") for r in rows.mapInArrow(suffix_dedup._sample, "gram binary, context long").collect()], "S20"))))
+        monkeypatch.setattr(suffix_dedup, "place", lambda rows, docs, n: (real(rows, docs, n)[0], np.unique(np.array([r.gram.ljust(20, b"\0") for r in rows.mapInArrow(suffix_dedup._sample, "gram binary, context long").collect()], "S20"))))
     frames = [odd] if hot else [odd, docs]
     for df in frames:
         got = rows_of(suffix_dedup.remove_repeats(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
         assert got == sorted(brute_bytes(texts_of(df)), key=lambda t: tuple((x is not None, x) for x in t))
 
 
+def test_suffix_dedup_of_long_texts(spark, monkeypatch):
+    """Texts longer than a step, in pieces and runs; uniform and periodic ones; empty tables; columns that clash."""
+    monkeypatch.setattr(suffix_dedup, "STEP_BYTES", 700)
+    monkeypatch.setattr(suffix_dedup, "RUN_RECORDS", 40)
+    rng = np.random.default_rng(8)
+    noise = "".join(chr(97 + k) for k in rng.integers(0, 26, 5000))
+    rows = [(1, noise), (2, noise[2000:2600] + "-" + noise[600:900]), (3, "x" * 4000), (4, "y" + "x" * 1500 + "y" * 300), (5, "abcdefg" * 400), (6, noise[:1000] + "abcdefg" * 90), (6, "x" * 900), (None, noise[4000:] * 2)]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, sub int, bucket int").repartition(2)
+    got = rows_of(suffix_dedup.remove_repeats(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == sorted(brute_bytes(texts_of(df)), key=lambda t: tuple((x is not None, x) for x in t))
+    assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_uniform_text_makes_few_records():
+    data = np.full(300_000, 97, np.uint8)
+    offs = np.array([0, 100_000, 300_000])
+    row, first, last, anchor, gone_row, gone = suffix_dedup._records(data, offs)
+    assert len(row) == 2 and len(gone) == 99_900 + 199_900 and list(np.bincount(gone_row)) == [99_900, 199_900]
+
+
 def test_loser_tree():
     rng = np.random.default_rng(3)
     runs = [sorted(bytes(rng.integers(97, 99, 100, dtype=np.uint8)) if rng.random() < 0.5 else b"a" * int(rng.integers(0, 100)) + b"b" * 100 for _ in range(int(rng.integers(0, 40)))) for _ in range(7)]
@@ -88,16 +115,17 @@ def test_loser_tree():
 
 
 def brute_words(pairs, size=50):
-    first, out = {}, []
+    least, out = {}, []
     for i, t in pairs:
         w = t.encode().split()
         for p in range(len(w) - size + 1):
-            first.setdefault(tuple(w[p : p + size]), i)
+            key = tuple(w[p : p + size])
+            least[key] = min(least.get(key, i), i)
     for i, t in pairs:
         w = t.encode().split()
         gone = np.zeros(len(w), bool)
         for p in range(len(w) - size + 1):
-            gone[p : p + size] |= first[tuple(w[p : p + size])] < i
+            gone[p : p + size] |= least[tuple(w[p : p + size])] < i
         out.append((none_id(i), len(w), int(gone.sum()), hashlib.sha256(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)).hexdigest()))
     return out
 
@@ -106,6 +134,7 @@ def test_substring_dedup(odd, docs):
     for df in (odd, docs):
         got = rows_of(substring_dedup.remove_repeats(df), "doc_id", "n_words", "n_removed", "kept_sha256")
         assert got == sorted(brute_words(texts_of(df)), key=lambda t: tuple((x is not None, x) for x in t))
+    assert substring_dedup.remove_repeats(odd.limit(0)).count() == 0
 
 
 def brute_groups(pairs, size, percent):
@@ -152,8 +181,9 @@ def test_ngram_join_of_large_groups(spark, monkeypatch):
     assert rows_of(ngram_join.join_groups(df), "doc_id", "n_shingles", "component_id") == brute_groups(sorted(rows), 4, 85)
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     rng = np.random.default_rng(1)
+    monkeypatch.setattr(common, "HOT", 20)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (160, 2))] + [(400 + i, 401 + i) for i in range(40)] + [(500, 600 + i) for i in range(30)]
     parent = {x: x for e in edges for x in e}
 
