@@ -2,36 +2,50 @@
 
 Vectors of one label that are equal, component by component, collapse to one. Unit vectors are rotated (random signs and
 Walsh-Hadamard, twice) and split into blocks of ``BLOCK`` dimensions. Cosine >= c is a squared distance of at most 2 - 2c, so at
-least one block differs by no more than its proportional part of that. Each block is range-joined on its own: a grid over its
-first ``GRID`` dimensions with cells as wide as two radii, where a vector is at home in one cell and probes the cells its
-ball touches; in a cell the whole block's distance is computed and what passes is verified by the exact cosine, in double
-precision. A pair counts in the first block that it passes, and so exactly once; no pair leaves the task: what does is the
-number of links of each vector at home there, and a spanning forest.
+least one block differs by no more than its proportional part of that: its radius, squared. So each block is range-joined:
+
+* Between tasks, a grid over the first dimensions of each block, with cells as wide as two radii; a vector is in the cells
+  that half a radius around it touches, 1.5 a dimension on average, and two vectors meet in the cell of the larger low ends. How
+  many dimensions follows from the number of vectors of the label, so that cells stay near ``CHUNK``; labels of up to
+  ``PARTS`` chunks need no grid, and all blocks are joined in one place. A vector has ``PARTS`` copies at most, or
+  8 * 1.5 ** ``DEPTH`` with a grid at its deepest; more only in cells that are dense beyond that.
+* In a cell, bit sets: for each dimension of a block and each bucket of its values, the vectors not further than the radius. A
+  vector's candidates are the conjunction of its buckets' sets over a block, joined over the blocks; only for these are
+  distances computed, exactly, in double precision. No pair leaves the task: what does is the number of links of each vector,
+  and a spanning forest.
 
 Cells with more than ``CHUNK`` vectors are cut into chunks, and each pair of chunks is a group of its own.
 
 Labels: equal and not null. Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, and
-only vectors of equal length are compared. Rows that share a vec_id are one vector.
+only vectors of equal length are compared. Rows that are equal in id, label and vector are one vector; rows that share an id
+(or have none) and differ are vectors of their own, which link, and ``component_id`` is the smallest id, none before all. No
+rows, no result. FLOAT components are kept, others compared as DOUBLE.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gridlens.llm.common import components, doc_key, key_back, mix, signed, stage
+from gridlens.llm.common import components, doc_key, join_hot, key_back, mix, signed, stage
 
 COSINE = 0.98
-BLOCK = 16
-GRID = 2
-CHUNK = 2048
+BLOCK = 8
+CHUNK = 4096
+#: Chunks of a label that are joined without a grid.
+PARTS = 8
+#: Dimensions of a grid at most, and the part of the vectors that the fullest cell of one more dimension holds.
+DEPTH, FULLEST = 8, 0.45
+BUCKETS = 64
 SLACK = 1e-4
-#: Pairs verified at a time.
-PAIRS = 100_000
+#: Vectors whose candidates are found at a time, and pairs verified at a time.
+HOMES, PAIRS = 256, 100_000
 
 
 @lru_cache(maxsize=16)
@@ -69,38 +83,38 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
 
 
+def _ends(turned: np.ndarray, block: slice, depth: int, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """The lowest and the highest cell that half a radius around each vector touches, by dimension of the grid."""
+    lead = turned[:, block][:, :depth]
+    return np.floor((lead - radius / 2) / (2 * radius)).astype(np.int64), np.floor((lead + radius / 2) / (2 * radius)).astype(np.int64)
+
+
 def _cells(cosine: float):
-    """(rep, cell, block, role): role 0 at home, role 1 probing."""
+    """(key, cell, block, corner): the cells of each vector; the corner has a bit for each dimension where it is the higher cell."""
+    names = ["key", "cell", "block", "corner"]
 
-    def task(batches):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = batch.column("dims").to_numpy()
-            for dims in np.unique(sizes):
-                part = batch.filter(pa.array(sizes == dims))
-                rep, label = part.column("rep").to_numpy(), part.column("label").to_numpy().astype(np.int64)
+            kinds = np.stack([batch.column(c).to_numpy() for c in ("dims", "depth")], 1).astype(np.int64)
+            for dims, depth in np.unique(kinds, axis=0).tolist():
+                part = batch.filter(pa.array((kinds == (dims, depth)).all(1)))
+                key, label = part.column("key").to_numpy(), part.column("label").to_numpy().astype(np.int64)
+                seed = mix(label.view(np.uint64) * np.uint64(1_000_003) + np.uint64(dims * 4099))
+                if not depth:
+                    n = len(key)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(signed(seed)), pa.array(np.full(n, -1, np.int32)), pa.array(np.zeros(n, np.int32))], names)
+                    continue
                 turned = rotate(_matrix(part.column("embedding")))
-                width = turned.shape[1]
-                for b, block in enumerate(blocks_of(width)):
-                    radius = np.sqrt(_budget(block, width, cosine))
-                    lead = turned[:, block][:, :GRID]
-                    seed = mix(label.view(np.uint64) * np.uint64(1_000_003) + np.uint64(int(dims) * 4099 + b))
-
-                    def key(at: np.ndarray, seed=seed) -> np.ndarray:
-                        k = seed
-                        for d in range(at.shape[1]):
-                            k = mix(k ^ mix((at[:, d] + (d + 1) * 10_000).astype(np.int64).view(np.uint64).copy()))
-                        return signed(k)
-
-                    low, high = np.floor((lead - radius) / (2 * radius)), np.floor((lead + radius) / (2 * radius))
-                    rows = [(key(np.floor(lead / (2 * radius))), 0, np.ones(len(rep), bool))]
-                    for corner in range(1 << lead.shape[1]):
-                        up = np.array([corner >> d & 1 for d in range(lead.shape[1])], bool)
-                        rows.append((key(np.where(up, high, low)), 1, ((low != high) | ~up).all(1)))
-                    for cell, role, keep in rows:
+                for b, block in enumerate(blocks_of(turned.shape[1])):
+                    low, high = _ends(turned, block, depth, float(np.sqrt(_budget(block, turned.shape[1], cosine))))
+                    for corner in range(1 << low.shape[1]):
+                        up = np.array([corner >> d & 1 for d in range(low.shape[1])])
+                        keep = ((low != high) | (up == 0)).all(1)
+                        cell = mix(seed[keep] + np.uint64(b + 1))
+                        for d, at in enumerate((low[keep] + up).T):
+                            cell = mix(cell ^ mix((at + (d + 1) * 10_000).view(np.uint64).copy()))
                         n = int(keep.sum())
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(rep[keep]), pa.array(cell[keep]), pa.array(np.full(n, b, np.int32)), pa.array(np.full(n, role, np.int32))], ["rep", "cell", "block", "role"]
-                        )
+                        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(signed(cell)), pa.array(np.full(n, b, np.int32)), pa.array(np.full(n, corner, np.int32))], names)
 
     return task
 
@@ -119,77 +133,157 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return node, node[label]
 
 
+class RangeSets:
+    """For each bucket of the values of a dimension, the set of ``right`` rows that may lie within the radius of a row in it, as bits."""
+
+    def __init__(self, left: np.ndarray, right: np.ndarray, radius: float):
+        edges = np.unique(np.quantile(left, np.linspace(0, 1, min(BUCKETS, max(2, len(left) // 4)) + 1)))
+        self.bucket = np.clip(np.searchsorted(edges, left, "right") - 1, 0, max(0, len(edges) - 2))
+        low, high = edges[:-1] if len(edges) > 1 else edges, edges[1:] if len(edges) > 1 else edges
+        near = (right >= low[:, None] - radius - 1e-9) & (right <= high[:, None] + radius + 1e-9)
+        bits = np.packbits(near, axis=1, bitorder="little")
+        self.sets = np.zeros((len(bits), -(-bits.shape[1] // 8)), np.uint64)
+        self.sets.view(np.uint8)[:, : bits.shape[1]] = bits
+
+
+def candidates(left: np.ndarray, right: np.ndarray, blocks: list[slice], radii: list[float]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row of left, row of right) of all that may be within the radius in one of the blocks, each pair once."""
+    sets = [[RangeSets(left[:, d], right[:, d], r) for d in range(s.start, s.stop)] for s, r in zip(blocks, radii, strict=True)]
+    for lo in range(0, len(left), HOMES):
+        every = None
+        for block in sets:
+            both = None
+            for s in block:
+                found = s.sets[s.bucket[lo : lo + HOMES]]
+                both = found if both is None else np.bitwise_and(both, found, out=both)
+            every = both if every is None else np.bitwise_or(every, both, out=every)
+        octets = every.view(np.uint8)
+        i, j = np.nonzero(octets)
+        for at in range(0, len(i), PAIRS // 8):
+            r, c = i[at : at + PAIRS // 8], j[at : at + PAIRS // 8]
+            k, bit = np.nonzero(np.unpackbits(octets[r, c][:, None], axis=1, bitorder="little"))
+            yield lo + r[k], c[k] * 8 + bit
+
+
 def _verify(cosine: float):
-    """(rep, links, other) of one (cell, home chunk, probe chunk)."""
+    """(key, least, links, other, other_least) of one (cell, i, j): links of each vector, and a spanning forest."""
+    names = ["key", "least", "links", "other", "other_least"]
 
-    def group(table: pa.Table) -> pa.Table:
-        rep, count, role = (table.column(c).to_numpy() for c in ("rep", "cnt", "role"))
-        b = int(table.column("block")[0].as_py())
-        x = _matrix(table.column("embedding"))
+    def joined(x: np.ndarray, part: np.ndarray, corner: np.ndarray, count: np.ndarray, block: int, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         turned = rotate(x)
         width = turned.shape[1]
         blocks = blocks_of(width)
         budget = [_budget(s, width, cosine) for s in blocks]
+        chosen = range(len(blocks)) if block < 0 else [block]
         norm = np.sqrt((x * x).sum(1))
-        home, probe = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-        mine = turned[:, blocks[b]]
-        square = (mine * mine).sum(1)
-        links = np.zeros(len(rep), np.int64)
-        left, right = [], []
-        step = max(1, PAIRS * 10 // max(1, len(probe)))
-        for lo in range(0, len(home), step):
-            h = home[lo : lo + step]
-            near = square[h][:, None] + square[probe][None, :] - 2 * mine[h] @ mine[probe].T <= budget[b] + 1e-6
-            i, j = np.nonzero(near)
-            i, j = h[i], probe[j]
-            other = rep[i] != rep[j]
-            i, j = i[other], j[other]
-            for at in range(0, len(i), PAIRS):
-                p, q = i[at : at + PAIRS], j[at : at + PAIRS]
+        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        links, a, b, held = np.zeros(len(x), np.int64), [], [], 0
+        for p, q in candidates(turned[left], turned[right], [blocks[k] for k in chosen], [float(np.sqrt(budget[k])) for k in chosen]):
+            p, q = left[p], right[q]
+            if i == j:
+                p, q = p[p < q], q[p < q]
+            if block >= 0:
+                meet = (corner[p] & corner[q]) == 0
+                p, q = p[meet], q[meet]
                 gap = turned[p] - turned[q]
                 gap *= gap
                 # the first block that the pair passes is this one
-                first = gap[:, blocks[b]].sum(1) <= budget[b]
-                for k in range(b):
+                first = gap[:, blocks[block]].sum(1) <= budget[block]
+                for k in range(block):
                     first &= gap[:, blocks[k]].sum(1) > budget[k]
                 p, q = p[first], q[first]
-                linked = (x[p] * x[q]).sum(1) / (norm[p] * norm[q]) >= cosine
-                p, q = p[linked], q[linked]
-                np.add.at(links, p, count[q])
-                left.append(rep[p])
-                right.append(rep[q])
-        some = np.flatnonzero(links)
-        a, o = _forest(np.concatenate(left), np.concatenate(right)) if len(some) else (np.zeros(0, np.int64),) * 2
-        return pa.table({"rep": np.concatenate((rep[some], a)), "links": np.concatenate((links[some], np.zeros(len(a), np.int64))), "other": np.concatenate((rep[some], o))})
+            linked = (x[p] * x[q]).sum(1) / (norm[p] * norm[q]) >= cosine
+            p, q = p[linked], q[linked]
+            np.add.at(links, p, count[q])
+            np.add.at(links, q, count[p])
+            a.append(p)
+            b.append(q)
+            held += len(p)
+            if held > 10 * PAIRS:
+                a, b = ([c] for c in _forest(np.concatenate(a), np.concatenate(b)))
+                held = len(a[0])
+        if not a:
+            return links, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        node, root = _forest(np.concatenate(a), np.concatenate(b))
+        return links, node[node != root], root[node != root]
+
+    def group(table: pa.Table) -> pa.Table:
+        key, least, count, part, corner, block, label, dims, depth = (table.column(c).to_numpy() for c in ("key", "least", "cnt", "part", "corner", "block", "label", "dims", "depth"))
+        i, j = (table.column(c)[0].as_py() for c in ("i", "j"))
+        # what only shares the cell's hash is kept apart
+        kind = np.stack([label, dims, block, depth], 1).astype(np.int64)
+        out: list[tuple] = []
+        for k in np.unique(kind, axis=0):
+            rows = np.flatnonzero((kind == k).all(1))
+            x, b, deep = _matrix(table.column("embedding").take(pa.array(rows))), int(k[2]), int(k[3])
+            places = np.zeros(len(rows), np.int64)
+            if b >= 0:
+                turned = rotate(x)
+                s = blocks_of(turned.shape[1])[b]
+                low, _ = _ends(turned, s, deep, float(np.sqrt(_budget(s, turned.shape[1], cosine))))
+                cell = low + (corner[rows][:, None] >> np.arange(low.shape[1]) & 1)
+                places = np.unique(cell, axis=0, return_inverse=True)[1].reshape(-1)
+            for place in range(int(places.max()) + 1):
+                mine = np.flatnonzero(places == place)
+                at = rows[mine]
+                if len(at) < 2 or not (part[at] == i).any() or not (part[at] == j).any():
+                    continue
+                links, a, o = joined(x[mine], part[at], corner[at], count[at], b, i, j)
+                some = np.flatnonzero(links)
+                none = np.zeros(len(some), np.int64)
+                out.append((key[at][some], least[at][some], links[some], key[at][some], none))
+                out.append((key[at][a], least[at][a], np.zeros(len(a), np.int64), key[at][o], least[at][o]))
+        return pa.table(dict(zip(names, (np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out, strict=True) if out else [[]] * 5)), strict=True)))
 
     return group
 
 
 def near_groups(vectors: DataFrame, cosine: float = COSINE, id: str = "vec_id") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` per row of ``vectors`` (vec_id, label, embedding)."""
-    rows = vectors.select(doc_key(id).alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<float>").alias("embedding"))
-    sound = F.forall("embedding", lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))) & F.exists("embedding", lambda v: v != 0)
-    valid = rows.where(F.col("label").isNotNull() & sound)
-    classes = valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("cnt"))
-    classes = stage(classes.withColumn("dims", F.size("embedding").cast("long")), "vectors")
-    cells = stage(classes.mapInArrow(_cells(cosine), "rep long, cell long, block int, role int"), "cells")
-    full = cells.groupBy("cell").agg(F.count_if(F.col("role") == 0).alias("h"), F.count_if(F.col("role") == 1).alias("p"))
-    chunks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / CHUNK)).cast("int")
-    # a cell where nothing is at home, or only one vector, joins nothing
-    placed = cells.join(full.where("h > 0 and p > 1"), "cell").withColumns({"hs": chunks("h"), "ps": chunks("p")})
-    home = F.col("role") == 0
-    own = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
-    placed = placed.select("rep", "cell", "block", "role", F.explode(F.when(home, F.transform(F.sequence(F.lit(0), F.col("ps") - 1), lambda j: F.struct(own(F.col("hs")).alias("i"), j.alias("j")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("hs") - 1), lambda i: F.struct(i.alias("i"), own(F.col("ps")).alias("j"))))).alias("at"))
-    placed = placed.select("rep", "cell", "block", "role", "at.i", "at.j").join(classes.select("rep", "cnt", "embedding"), "rep")
-    found = stage(placed.groupBy("cell", "i", "j").applyInArrow(_verify(cosine), "rep long, links long, other long"), "found")
-    links = found.groupBy(F.col("rep").alias("r")).agg(F.sum("links").alias("links"))
-    group = components(found.where("rep <> other").select("rep", "other"), "rep", "other")
-    known = classes.join(links, classes.rep == F.col("r"), "left").join(group, classes.rep == F.col("id"), "left")
-    known = known.select(F.col("label").alias("l"), F.col("embedding").alias("e"), (F.col("cnt") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(known, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")), "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    element = vectors.schema["embedding"].dataType.elementType
+    kind = "array<float>" if isinstance(element, T.FloatType) else "array<double>"
+    rows = vectors.select(doc_key(id).alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast(kind).alias("embedding"))
+    sound = F.col("embedding").isNotNull() & F.forall("embedding", lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))) & F.exists("embedding", lambda v: v != 0)
+    sound = F.coalesce(F.col("label").isNotNull() & sound, F.lit(False))
+    valid = rows.where(sound).withColumns({"h1": F.xxhash64("label", "embedding"), "h2": F.xxhash64("embedding", "label")})
+    classes = valid.groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count_distinct("vec_id").alias("cnt"), F.count("*").alias("k"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
+    classes = stage(classes.withColumns({"key": F.monotonically_increasing_id(), "dims": F.size("embedding").cast("long")}), "vectors")
+    n = classes.count()
+    sizes = classes.groupBy("label", "dims").agg(F.count("*").alias("k"))
+    deep = F.least(F.lit(DEPTH), F.ceil(F.log(F.col("k") / CHUNK) / float(-np.log(FULLEST))))
+    sizes = sizes.withColumn("depth", F.when(F.col("k") <= PARTS * CHUNK, 0).otherwise(deep).cast("long"))
+    placed = stage(join_hot(classes.drop("k"), sizes, ["label", "dims"], n).select("key", "label", "dims", "depth", "embedding").mapInArrow(_cells(cosine), "key long, cell long, block int, corner int"), "cells")
+    full = placed.groupBy("cell").agg(F.count("*").alias("k")).where("k > 1")
+    placed = join_hot(placed, full.withColumn("parts", F.ceil(F.col("k") / CHUNK).cast("int")), ["cell"], placed.count())
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    placed = placed.select("key", "cell", "block", "corner", "part", F.least("part", "to").alias("i"), F.greatest("part", "to").alias("j"))
+    deep = join_hot(classes.drop("k"), sizes, ["label", "dims"], n).select("key", "least", "cnt", "label", "dims", "depth", "embedding")
+    found = placed.join(deep, "key").groupBy("cell", "i", "j").applyInArrow(_verify(cosine), "key long, least long, links long, other long, other_least long")
+    found = stage(found, "found")
+    links = found.groupBy("key").agg(F.sum("links").alias("links"))
+    node = lambda least, key: F.struct(F.col(least).alias("least"), F.col(key).alias("key"))
+    group = components(found.where("key <> other").select(node("least", "key").alias("a"), node("other_least", "other").alias("b")))
+    known = classes.join(links, "key", "left").join(group.select(F.col("id.key").alias("key"), F.col("component.least").alias("component_id")), "key", "left")
+    known = known.select("h1", "h2", "k", (F.col("cnt") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
+    alone = rows.where(~sound).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = join_hot(valid.select("vec_id", "h1", "h2"), known, ["h1", "h2"], valid.count()).select("vec_id", "n_links", "component_id").unionByName(alone)
     return out.select(key_back("vec_id"), "n_links", key_back("component_id"), (F.col("vec_id") == F.col("component_id")).alias("kept"))
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+SQL = r"""
+with recursive v as (
+  select vec_id, label, embedding::double[] as e from embeddings
+  where label is not null and len(list_filter(embedding, lambda x: x <> 0)) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+), link as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98
+), reach as (
+  select a as id, b as other from link union select r.id, l.b from reach r join link l on r.other = l.a
+), n as (select a, count(*) as n_links from link group by a), c as (select id, min(other) as least from reach group by id)
+select vec_id, coalesce(n_links, 0) as n_links, least(vec_id, coalesce(c.least, vec_id)) as component_id, vec_id = least(vec_id, coalesce(c.least, vec_id)) as kept
+from embeddings left join n on n.a = vec_id left join c on c.id = vec_id
+"""

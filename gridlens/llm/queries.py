@@ -22,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_embedding_near_dedup": embedding_dedup.SQL,
         "op3_url_filters": url_filter.SQL,
         "op9_line_dedup": line_dedup.SQL,
     }

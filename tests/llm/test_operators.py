@@ -201,26 +201,59 @@ def test_components(spark, monkeypatch):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_embedding_dedup(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "CHUNK", 16)  # so that cells are cut
-    rng = np.random.default_rng(2)
-    centers = rng.normal(size=(12, 20))
-    rows = [(k, int(k % 2), [float(x) for x in (centers[k % 12] + rng.normal(size=20) * (0.02 + 0.13 * (k % 3 == 0))).astype(np.float32)]) for k in range(240)]
-    rows += [(300 + k, 0, rows[0][2]) for k in range(5)] + [(400, None, rows[0][2]), (401, 0, None), (402, 0, [0.0] * 20), (403, 0, [math.nan] * 20), (404, 0, [None] + [1.0] * 19), (405, 0, []), (406, 0, [1.0, 2.0]), (407, 0, [2.0, 4.0]), (0, 0, rows[0][2])]
-    got = {r.vec_id: r for r in embedding_dedup.near_groups(spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").repartition(3)).collect()}
-    good = {i: (lab, np.array(v, np.float64)) for i, lab, v in rows if lab is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)}
-    links = {i: {j for j, (m, w) in good.items() if j != i and m == lab and len(w) == len(v) and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.98} for i, (lab, v) in good.items()}
-    for i, r in got.items():
-        seen, todo = {i}, [i]
+def brute_vectors(rows):
+    """Of each row, in order: links, smallest id reachable. Rows equal in id, label and vector are one vector."""
+    good = {}
+    for i, lab, v in rows:
+        if lab is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v):
+            good[i, lab, tuple(v)] = np.array(v, np.float64)
+    links = {a: {b for b, w in good.items() if a != b and a[1] == b[1] and len(v) == len(w) and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.98} for a, v in good.items()}
+    out = []
+    for i, lab, v in rows:
+        me = (i, lab, tuple(v)) if v else None
+        seen, todo = {me}, [me]
         while todo:
             new = links.get(todo.pop(), set()) - seen
             seen |= new
             todo += new
-        assert (r.n_links, r.component_id, r.kept) == (len(links.get(i, ())), min(seen), i == min(seen)), i
-    assert sum(map(len, links.values())) > 500
+        ids = [x[0] for x in seen if x] or [i]
+        least = None if None in ids else min(ids)
+        out.append((i, len(links.get(me, ())), least, i == least))
+    return out
 
 
-@pytest.mark.parametrize("name", ["op3_url_filters", "op9_line_dedup"])
+@pytest.mark.parametrize("depth", [0, 1, 3])
+def test_embedding_dedup(spark, monkeypatch, depth):
+    monkeypatch.setattr(embedding_dedup, "CHUNK", 16)  # so that cells are cut
+    if depth:
+        monkeypatch.setattr(embedding_dedup, "PARTS", 1)
+        monkeypatch.setattr(embedding_dedup, "DEPTH", depth)
+    rng = np.random.default_rng(2)
+    centers = rng.normal(size=(12, 20))
+    rows = [(k, int(k % 2), [float(x) for x in (centers[k % 12] + rng.normal(size=20) * (0.02 + 0.13 * (k % 3 == 0))).astype(np.float32)]) for k in range(240)]
+    rows += [(300 + k, 0, rows[0][2]) for k in range(5)] + [(400, None, rows[0][2]), (401, 0, None), (402, 0, [0.0] * 20), (403, 0, [math.nan] * 20), (404, 0, [None] + [1.0] * 19), (405, 0, []), (406, 0, [1.0, 2.0]), (407, 0, [2.0, 4.0]), (0, 0, rows[0][2])]
+    # ids that repeat, and none, with other vectors
+    rows += [(7, 1, rows[13][2]), (7, 0, rows[2][2]), (7, 0, [3.0, -1.0]), (None, 0, rows[4][2]), (None, 0, rows[6][2]), (None, 1, [1.0, 2.0]), (None, 0, None)]
+    want = sorted(brute_vectors(rows), key=str)
+    for kind in ("float",) if depth else ("double",):
+        df = spark.createDataFrame([(*r, "x", 1) for r in rows], f"vec_id long, label int, embedding array<{kind}>, key string, links int").repartition(3)
+        assert sorted(map(tuple, embedding_dedup.near_groups(df).collect()), key=str) == want
+    assert embedding_dedup.near_groups(df.limit(0)).count() == 0
+    assert sum(r[1] for r in want) > 500
+
+
+def test_embedding_candidates_are_few():
+    """Of the pairs of unrelated vectors, few have any distance computed, and a smaller part where there are more vectors."""
+    shares = []
+    for n in (500, 1000, 2000, 4000):
+        x = embedding_dedup.rotate(np.random.default_rng(n).normal(size=(n, 64)))
+        blocks = embedding_dedup.blocks_of(64)
+        radii = [math.sqrt(embedding_dedup._budget(b, 64, 0.98)) for b in blocks]
+        shares.append(sum((p < q).sum() for p, q in embedding_dedup.candidates(x, x, blocks, radii)) / (n * (n - 1) / 2))
+    assert shares[0] < 0.01 and shares[-1] < shares[0]
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_as_sql(spark, duck, sf, name):
     got, want = queries.queries()[name](spark, sf), duck.sql(queries.oracle_sql()[name])
     assert table(got.columns, got.collect()) == table(want.columns, want.fetchall())
