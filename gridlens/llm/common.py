@@ -100,11 +100,11 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation."""
+def stage(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Write a table to the shared folder (``by``: in folders by a column) and read it back: lineage ends here, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _folders[out] = path
     return out

@@ -1,129 +1,166 @@
 """Line dedup on levelled sorted runs of line hashes.
 
-``LineRuns`` keeps, per level, runs: tables of (hash of a line, documents that have it), sorted by hash and written to the
-shared folder. A new batch of documents makes a run at level 0; ``FANOUT`` runs of a level are compacted into one of the
-next. ``known`` merge-joins a batch's hashes to all runs; ``ingest`` returns what of a batch is new (an anti-join) and adds
-the batch's own run. ``drop_frequent`` is the two-pass use: every batch goes into the runs, and then lines whose runs
-add up to ``min_docs`` documents go from every document.
-
-A line's key is the line without white space ``[\x20\x09-\x0D]`` at both ends, A-Z lower-cased; its hash has 128 bits.
-Null or empty text: one empty line. Empty keys are never counted or dropped. Repeated lines of a document count once.
-Rows that share a doc_id count as one document. A line of a third of all documents is pre-aggregated before the shuffle,
-and the join back to documents is one that the optimizer may split.
+``LineRuns`` keeps, per level, runs: tables of (hash of a line, documents that have it), bucketed and sorted by hash in the shared
+folder. ``ingest`` takes a batch: its lines are counted, merge-anti-joined with the runs (lines that a run already has in
+``decided`` documents are known and counted no further), and what is left is added as the batch's own run. ``FANOUT`` runs of
+a level are compacted into one of the next. With ``decided`` = 1 what a batch gets back is exactly its lines that no earlier batch has.
+Runs have the buckets of the shuffle, so a batch's counts, once dealt, meet them where they are.
+
+``drop_frequent`` takes all documents in so, batch by batch; lines that the runs hold in ``min_docs`` documents then go from
+every document, by their places in it.
+
+A line's key is the line without white space ``[\x20\x09-\x0D]`` at both ends, A-Z lower-cased; its hash has 128 bits. Null or
+empty text: one empty line. Empty keys are never counted or dropped. Repeated lines of a document count once. Every row is a
+document, also where rows share an id or have none. No documents, no rows. Columns ``n_lines`` and ``n_dropped`` of the input are
+replaced. A line of a third of all documents is counted before it is dealt, and joined back without being dealt at all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gridlens.llm.common import doc_key, stage, texts
-from gridlens.llm.url_filter import LOWER, UPPER
+from gridlens.llm.common import SPACES, doc_key, join_hot, new_path, partitions, stage
 
 FANOUT = 4
 BATCHES = 4
 MIN_DOCS = 10
 MIN_CHARS = 1
-SPACE = " \t\n\x0b\x0c\r"
 
 
-def line_key(line: Column) -> Column:
-    key = F.btrim(line, F.lit(SPACE))
-    return F.when(F.octet_length(key) == F.length(key), F.lower(key)).otherwise(F.translate(key, UPPER, LOWER))
+def line_keys(text: str) -> list[bytes]:
+    """The key of each line."""
+    return [line.strip(SPACES).lower() for line in text.encode().split(b"\n")]
 
 
-def lines(text: Column) -> Column:
-    return F.split(text, "\n", -1)
+def _hashed(min_chars: int):
+    """(h1, h2, places) of each distinct line of each row, with the row's other columns."""
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, digests, sizes, places = [], [], [], []
+            for r, text in enumerate(batch.column("text").to_pylist()):
+                found: dict[bytes, list[int]] = {}
+                for n, key in enumerate(line_keys(text)):
+                    if key and (min_chars <= 1 or len(key.decode()) >= min_chars):
+                        found.setdefault(key, []).append(n)
+                for key, at in found.items():
+                    row.append(r)
+                    digests.append(xxhash.xxh3_128_digest(key))
+                    sizes.append(len(at))
+                    places += at
+            h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), pa.int32()), pa.array(places, pa.int32()))
+            rest = [n for n in batch.schema.names if n != "text"]
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(n).take(take) for n in rest), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), lists], [*rest, "h1", "h2", "places"])
 
-def line_hash(key: Column) -> Column:
-    """128 bits, as two longs."""
-    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))
+    return task
 
 
-def hashed(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, h1, h2) of each document's distinct lines of at least ``min_chars`` code points."""
-    keys = F.filter(F.transform(lines(F.col("text")), line_key), lambda k: F.length(k) >= max(1, min_chars))
-    return docs.select("doc_id", F.explode(F.array_distinct(F.transform(keys, line_hash))).alias("h")).select("doc_id", "h.h1", "h.h2")
+def hashed(rows: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """The columns of ``rows`` but ``text``, and ``h1, h2, places`` of each distinct line of at least ``min_chars`` code points."""
+    kept = [f for f in rows.schema if f.name != "text"]
+    schema = T.StructType([*kept, T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("places", T.ArrayType(T.IntegerType()))])
+    return rows.mapInArrow(_hashed(min_chars), schema)
 
 
 class LineRuns:
     """Levelled sorted runs of (h1, h2, docs)."""
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout, self.levels = spark, fanout, []
+    def __init__(self, spark: SparkSession, decided: int = 1, fanout: int = FANOUT):
+        self.spark, self.decided, self.fanout = spark, decided, fanout
+        self.levels: list[list[DataFrame]] = []
+        self.buckets = partitions(spark)
+
+    def _runs(self) -> list[DataFrame]:
+        return [run for level in self.levels for run in level]
 
-    def add(self, counted: DataFrame) -> None:
-        """Put a batch's (h1, h2, docs) in as a run of level 0; compact what is full."""
-        level, run = 0, self._run(counted)
+    def _run(self, counted: DataFrame) -> DataFrame:
+        """Write a run; its name is only needed to tell Spark of its buckets."""
+        name = f"line_run_{uuid.uuid4().hex}"
+        writer = counted.select("h1", "h2", "docs").write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
+        writer.option("path", new_path(self.spark, "lines")).saveAsTable(name)
+        run = self.spark.read.table(name)
+        self.spark.sql(f"drop table {name}")  # the files stay
+        return run
+
+    def _add(self, run: DataFrame) -> None:
+        level = 0
         while True:
             if level == len(self.levels):
                 self.levels.append([])
             self.levels[level].append(run)
             if len(self.levels[level]) < self.fanout:
                 return
-            run, self.levels[level] = self._run(self._sum(self.levels[level])), []
+            run, self.levels[level] = self._run(_sum(self.levels[level])), []
             level += 1
 
-    def _run(self, counted: DataFrame) -> DataFrame:
-        return stage(counted.select("h1", "h2", "docs").repartition("h1", "h2").sortWithinPartitions("h1", "h2"), "lines")
-
-    @staticmethod
-    def _sum(runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
-        for r in runs[1:]:
-            out = out.union(r)
-        return out.groupBy("h1", "h2").agg(F.sum("docs").alias("docs"))
+    def ingest(self, hashes: DataFrame) -> DataFrame:
+        """Take in a batch (h1, h2 of each line of each document); (h1, h2, docs) of its lines that the runs have not decided."""
+        new = hashes.groupBy("h1", "h2").agg(F.count("*").alias("docs"))
+        for run in self._runs():
+            new = new.join(run.where(F.col("docs") >= self.decided).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        run = self._run(new)
+        self._add(run)
+        return run
 
     def totals(self) -> DataFrame:
-        return self._sum([r for level in self.levels for r in level])
+        """(h1, h2, docs) of all runs; of lines that were decided, the documents until then."""
+        return _sum(self._runs())
 
-    def known(self, hashes: DataFrame, min_docs: int = 1) -> DataFrame:
-        """The rows of ``hashes`` (with h1, h2) whose line is in at least ``min_docs`` documents of the runs."""
-        if not any(self.levels):
-            return hashes.limit(0)
-        frequent = self.totals().where(F.col("docs") >= min_docs).select("h1", "h2")
-        return hashes.join(frequent, ["h1", "h2"], "left_semi")
 
-    def ingest(self, hashes: DataFrame) -> DataFrame:
-        """The batch's (doc_id, h1, h2) that no earlier batch has; the batch's own lines go into the runs."""
-        new = hashes
-        for run in [r for level in self.levels for r in level]:
-            new = new.join(run, ["h1", "h2"], "left_anti")
-        new = stage(new, "newlines")
-        self.add(hashes.groupBy("h1", "h2").agg(F.count("*").alias("docs")))
-        return new
-
-
-def index_lines(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CHARS, fanout: int = FANOUT) -> tuple[LineRuns, DataFrame]:
-    """The runs of all documents, taken in as ``batches`` batches, and the staged (doc_id, h1, h2)."""
-    batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch")
-    per_doc = hashed(docs, min_chars)
-    all_lines = stage(per_doc.withColumn("batch", batch), "hashes")
-    runs = LineRuns(docs.sparkSession, fanout)
-    # rows that share a doc_id count once: they are in one batch
-    for b in range(batches):
-        own = all_lines.where(F.col("batch") == b)
-        runs.add(own.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("docs")))
-    return runs, all_lines.drop("batch")
+def _sum(runs: list[DataFrame]) -> DataFrame:
+    out = runs[0]
+    for r in runs[1:]:
+        out = out.union(r)
+    return out.groupBy("h1", "h2").agg(F.sum("docs").alias("docs"))
+
+
+def _cut(fields: list[str]):
+    """The rows without the lines at the places in ``_gone``."""
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, total, dropped = batch.column("text").to_pylist(), [], []
+            for k, gone in enumerate(batch.column("_gone")):
+                if not gone.is_valid:
+                    total.append(texts[k].count("\n") + 1)
+                    dropped.append(0)
+                    continue
+                lines, out = texts[k].split("\n"), set(gone.values.to_pylist())
+                texts[k] = "\n".join([x for n, x in enumerate(lines) if n not in out])
+                total.append(len(lines))
+                dropped.append(len(out))
+            cols = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in fields]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], [*fields, "n_lines", "n_dropped"])
 
-def drop_frequent(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES) -> DataFrame:
+    return task
+
+
+def drop_frequent(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """``docs`` with ``n_lines``, ``n_dropped`` and the kept ``text``; other columns stay."""
-    rows = docs.withColumn("_id", doc_key()).withColumn("text", F.coalesce(F.col("text"), F.lit("")))
-    runs, all_lines = index_lines(texts(docs), batches, min_chars)
-    gone = (
-        runs.known(all_lines, min_docs)
-        .groupBy(F.col("doc_id").alias("_key"))
-        .agg(F.collect_set(F.struct("h1", "h2")).alias("_gone"))  # a document's own lines
-    )
-    out = rows.join(gone, F.col("_id") == F.col("_key"), "left")
-    every = lines(F.col("text"))
-    left = F.filter(every, lambda x: ~F.array_contains(F.col("_gone"), line_hash(line_key(x))) | (line_key(x) == ""))
-    kept = F.when(F.col("_gone").isNull(), every).otherwise(left)
-    out = out.withColumn("_kept", kept).withColumn("n_lines", F.size(every).cast("long"))
-    out = out.withColumn("n_dropped", (F.col("n_lines") - F.size("_kept")).cast("long")).withColumn("text", F.array_join("_kept", "\n"))
-    return out.select(*docs.columns, "n_lines", "n_dropped")
+    spark = docs.sparkSession
+    docs = docs.drop("n_lines", "n_dropped")
+    rows = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumns({"_id": doc_key(), "_sub": F.xxhash64("text")})
+    batch = F.pmod(F.xxhash64("_id", "_sub"), F.lit(batches)).cast("int").alias("batch")
+    lines = stage(hashed(rows.select("_id", "_sub", batch, "text"), min_chars), "hashes", by="batch")
+    runs = LineRuns(spark, min_docs, fanout)
+    for b in range(batches):
+        runs.ingest(lines.where(F.col("batch") == b))
+    frequent = runs.totals().where(F.col("docs") >= min_docs)
+    gone = join_hot(lines.select("_id", "_sub", "h1", "h2", "places"), frequent, ["h1", "h2"], lines.count(), count="docs", how="left_semi")
+    gone = gone.groupBy("_id", "_sub").agg(F.flatten(F.collect_list("places")).alias("_gone"))
+    fields = [f for f in rows.schema if f.name not in ("_id", "_sub")]
+    schema = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    return rows.join(gone, ["_id", "_sub"], "left").select(*docs.columns, "_gone").mapInArrow(_cut([f.name for f in fields]), schema)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

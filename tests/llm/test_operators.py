@@ -346,17 +346,41 @@ def test_decontamination_does_not_depend_on_shards(spark):
     assert all(len(f) == 3 and f == [pytest.approx(r) for r in found[0]] for f in found)
 
 
-def test_line_runs(spark, odd):
-    docs = spark.createDataFrame([(i, "Same \n" + f"own {i}\n\n" + ("rare" if i < 9 else "")) for i in range(12)] + [(3, "Same \nown 3\n\nrare"), (20, None), (None, " same")], "doc_id long, text string")
-    got = collections.Counter((r.doc_id, r.text, r.n_dropped) for r in line_dedup.drop_frequent(docs, 10, batches=5).collect())
-    assert got[0, "own 0\n\nrare", 1] == 1 and got[11, "own 11\n\n", 1] == 1 and got[20, "", 0] == 1 and got[None, "", 1] == 1 and got[3, "own 3\n\nrare", 1] == 2
+def brute_lines(rows, min_docs):
+    """(doc_id, lines, dropped, what is left) of each row; every row is a document."""
+    keys = [[line.strip(" \t\n\x0b\x0c\r").encode().translate(LOW).decode() for line in (t or "").split("\n")] for _, t in rows]
+    docs = collections.Counter(k for ks in keys for k in set(ks))
+    out = []
+    for (i, t), ks in zip(rows, keys, strict=True):
+        left = [x for x, k in zip((t or "").split("\n"), ks, strict=True) if not (k and docs[k] >= min_docs)]
+        out.append((i, len(ks), len(ks) - len(left), "\n".join(left)))
+    return collections.Counter(out)
+
+
+@pytest.mark.parametrize(("batches", "hot"), [(1, 1000), (5, 3)])
+def test_line_dedup(spark, odd, docs, batches, hot, monkeypatch):
+    monkeypatch.setattr(common, "HOT", hot)
+    rows = [(i, "Same \n" + f"own {i}\n\n" + ("rare" if i < 9 else "")) for i in range(12)] + [(3, "Same \nown 3\n\nrare"), (3, "\u00c4 same\nSAME\n same"), (20, None), (None, " same"), (None, "x\n same\nx"), (21, "sAmE\n" * 5000 + "end")]
+    few = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, h1 string, n_lines int").repartition(3)
+    for df, least in ((few, 10), (few, 9), (odd.unionByName(odd.select("doc_id", F.concat("text", F.lit("\nx")).alias("text"), "key", "h", "n_removed")), 2), (docs, 10)):
+        got = collections.Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in line_dedup.drop_frequent(df, least, batches=batches, fanout=2).collect())
+        assert got == brute_lines([(r.doc_id, r.text) for r in df.collect()], least)
+    assert line_dedup.drop_frequent(few.limit(0)).count() == 0
+    assert line_dedup.drop_frequent(odd).columns == [*[c for c in odd.columns], "n_lines", "n_dropped"]
+
+
+def test_line_runs(spark):
+    docs = spark.createDataFrame([(i, "same\n" + f"own {i}\n" + ("rare" if i < 9 else "")) for i in range(12)], "doc_id long, text string")
+    lines = line_dedup.hashed(docs)
+    parts = [lines.where(f"doc_id between {lo} and {lo + 3}").select("h1", "h2") for lo in (0, 4, 8)]
     runs = line_dedup.LineRuns(spark, fanout=2)
-    lines = line_dedup.hashed(common.texts(docs))
-    first, second = lines.where("doc_id < 6"), lines.where("doc_id >= 6")
-    assert runs.ingest(first).count() == first.count()
-    assert runs.ingest(second).count() == second.count() - second.join(first, ["h1", "h2"], "left_semi").count()
-    assert [len(x) for x in runs.levels] == [0, 1] and runs.known(lines, 10).select("doc_id").distinct().count() >= 12
-    assert line_dedup.drop_frequent(odd).columns[:2] == ["doc_id", "text"] and line_dedup.drop_frequent(odd).count() == len(ODD)
+    assert [runs.ingest(p).count() for p in parts] == [6, 4, 4]  # lines that no earlier batch has
+    assert [len(x) for x in runs.levels] == [1, 1]
+    counted = line_dedup.LineRuns(spark, decided=3, fanout=2)
+    assert [counted.ingest(p).count() for p in parts] == [6, 4, 4]  # of the second batch on, both common lines are decided
+    assert counted.totals().where("docs >= 3").count() == 2
+    plan = counted.totals()._jdf.queryExecution().toString()
+    assert plan.count("Bucketed: true") >= 1
 
 
 def test_pipeline(spark, sf):
