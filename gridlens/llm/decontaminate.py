@@ -1,20 +1,26 @@
-"""Benchmark decontamination: a BM25 index of test items, queried by every training passage with block-max bounds.
+"""Benchmark decontamination: a BM25 inverted index of test items with block maxima; every training passage is a query.
 
-Items (few, and their size is checked) are indexed on the driver, shard by shard of ``SHARD`` items, and the index goes to the
-tasks; documents never move. What a score depends on (number of items, how many have a word, mean length) and the longest item
-are counted over all items before, so where shards are cut changes no result. A document is read as overlapping passages long
-enough to hold the longest item whole. A passage is a query of its distinct words. Impacts are BM25 weights divided by the score an item gets from its own text, so
-that one threshold fits all items:
+The items' index goes to the tasks; documents never move and are read once. Its size is checked: items of more than
+``SHARD_BYTES`` of text are indexed in shards of about that, one pass over the documents each, and more than ``MAX_ITEM_BYTES``
+are refused. What a score depends on (number of items, how many have a word, mean length) and the longest item are counted
+over all items before, so shards change no result.
 
-* bound: per block of ``BLOCK`` items of similar weight, the sum over the passage's words of the block's highest impact;
-  blocks below the threshold are never scored (a passage without any is done);
-* score: the items of the blocks left, exactly; all at or above the threshold are retrieved;
-* verification: the share of the item's word 5-grams that the passage holds, for the question and the answer and both together.
-  A document is contaminated by an item if the share of both is at least ``OVERLAP``.
+A document is read as overlapping passages long enough to hold the longest item whole. A passage is a query of its distinct words.
+Impacts are BM25 weights divided by the score an item gets from its own text, so that one threshold fits all items. Posting
+lists are in order of items, in blocks of ``BLOCK`` items, each with its highest impact; passages are searched many at a time:
+
+* pivot: a passage's words in ascending order of their highest impact; those before the pivot cannot reach the threshold by
+  themselves, so only the lists of the others name blocks, and a passage whose words all lie before it names none;
+* block maxima: a block is kept if its own highest impacts, over all of the passage's words, reach the threshold;
+* score: the postings in the blocks left, exactly; all items at or above the threshold are retrieved.
+
+Verification: the shares of an item's word 5-grams that the document holds, for the question, the answer and both together. A
+document is contaminated by an item if the question and the answer, wherever they are in it, or both as one, have a share of
+at least ``OVERLAP``. An item that is not retrieved is not verified: less than half of its weight lies in one passage then.
 
 The answer is the item's last line, or the last quarter of its words if it has one line only, unless the caller names columns.
 Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. Null or empty documents match nothing; items without
-words are left out; repeated items are matched each; no items, no match. Null ids stay null.
+words are left out; repeated items are matched each; no items, no match. Every row of documents is judged by itself. Null ids stay null.
 """
 
 from __future__ import annotations
@@ -34,10 +40,12 @@ THRESHOLD = 0.5
 OVERLAP = 0.8
 GRAM = 5
 BLOCK = 8
-SHARD = 512
-#: A benchmark beyond this many bytes of text is refused: split it by rows and run it in parts.
-MAX_ITEM_BYTES = 256 << 20
+#: Bytes of items' text in one index (its arrays take about as much), and in all: a larger benchmark is refused.
+SHARD_BYTES = 32 << 20
+MAX_ITEM_BYTES = 512 << 20
 PASSAGE = 64
+#: Passages that are searched at a time; bounds a task's memory.
+PASSAGES = 2048
 
 _NO_WORD = np.ones(256, bool)
 _NO_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), 95, *range(128, 256)]] = False
@@ -110,97 +118,140 @@ def statistics(items: DataFrame) -> Statistics:
     return Statistics(every[0]["items"], every[0]["words"] / every[0]["items"], every[0]["longest"], terms[order], got["items"].to_numpy()[order])
 
 
+def _spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the range, index in it) of all indices in these ranges."""
+    count = end - start
+    of = np.repeat(np.arange(len(start)), count)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start, count)
+
+
+def _sums(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their values."""
+    if not len(key):
+        return key, value
+    order = np.argsort(key, kind="stable")
+    key, value = key[order], value[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[first], np.add.reduceat(value, first)
+
+
 class Index:
-    """Normalised BM25 impacts of up to ``SHARD`` items, and their blocks' highest; ``every`` counts all items, of other shards too."""
+    """Posting lists of some items; ``every`` counts all items, of other shards too."""
 
     def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray]], every: Statistics):
-        parts = [(i, np.concatenate((q, a)), q, a) for i, q, a in items if len(q) + len(a)]
+        items = sorted((x for x in items if len(x[1]) + len(x[2])), key=lambda x: len(x[1]) + len(x[2]))  # items alike in length share a block
+        self.ids = [x[0] for x in items]
         self.longest = every.longest
-        counts = [np.unique(x[1], return_counts=True) for x in parts]
-        self.terms = np.unique(np.concatenate([c[0] for c in counts])) if parts else np.zeros(0, np.uint64)
-        df = every.df[np.searchsorted(every.terms, self.terms)]
-        idf = np.log(1 + (every.items - df + 0.5) / (df + 0.5))
-        impact = np.zeros((len(self.terms), len(parts)), np.float32)
-        for k, ((t, n), x) in enumerate(zip(counts, parts, strict=True)):
-            at = np.searchsorted(self.terms, t)
-            w = idf[at] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(x[1]) / every.mean))
-            impact[at, k] = w / w.sum()
-        # blocks of items with similar impacts: by length
-        order = np.argsort([len(x[1]) for x in parts], kind="stable") if parts else np.zeros(0, int)
-        self.items = [parts[k] for k in order]
-        pad = -len(parts) % BLOCK
-        self.impact = np.concatenate((impact[:, order], np.zeros((len(self.terms), pad), np.float32)), 1)
-        self.highest = self.impact.reshape(len(self.terms), -1, BLOCK).max(2)
-        self.grams = [(grams(np.concatenate((q, a))), grams(q), grams(a)) for _, _, q, a in self.items]
-
-    def search(self, h: np.ndarray, first: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, int, float]]:
-        """(document's row, first word, end, item, score) of every passage and item at or above the threshold."""
+        self.parts = [(grams(np.concatenate((q, a))), grams(q), grams(a)) for _, q, a in items]
+        self.gram_sizes = [{min(GRAM, len(x)) for x in (q, a, np.concatenate((q, a))) if len(x)} for _, q, a in items]
+        found = [np.unique(np.concatenate((q, a)), return_counts=True) for _, q, a in items]
+        term = np.concatenate([t for t, _ in found]) if items else np.zeros(0, np.uint64)
+        item = np.repeat(np.arange(len(items)), [len(t) for t, _ in found])
+        n = np.concatenate([c for _, c in found]) if items else np.zeros(0, np.int64)
+        length = np.array([len(q) + len(a) for _, q, a in items], np.float64)
+        df = every.df[np.searchsorted(every.terms, term)] if items else n
+        weight = np.log(1 + (every.items - df + 0.5) / (df + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * (length[item] if items else 0.0) / every.mean))
+        own = np.bincount(item, weights=weight, minlength=len(items))
+        order = np.lexsort((item, term))
+        self.terms, which = np.unique(term[order], return_inverse=True)
+        self.item, self.impact = item[order], (weight / own[item])[order]
+        # blocks: a list's postings of BLOCK neighbouring items, with their highest impact; their key is term and block
+        self.blocks = -(-len(items) // BLOCK)
+        key = which.reshape(-1) * self.blocks + self.item // BLOCK
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        self.block_key, self.block_start, self.block_end = key[first], first, np.append(first[1:], len(key)).astype(np.int64)
+        self.block_top = np.maximum.reduceat(self.impact, first) if len(first) else self.impact
+        self.list_start = np.searchsorted(self.block_key, np.arange(len(self.terms)) * self.blocks)
+        self.list_end = np.append(self.list_start[1:], len(self.block_key)).astype(np.int64)
+        self.top = np.maximum.reduceat(self.block_top, self.list_start) if len(self.terms) else self.impact
+
+    def retrieve(self, passage: np.ndarray, term: np.ndarray, count: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, item, score) at or above the threshold; ``passage`` and ``term`` are the known words of ``count`` passages, in order."""
+        least = threshold - 1e-9
+        order = np.lexsort((self.top[term], passage))
+        passage, term = passage[order], term[order]
+        reach = np.cumsum(self.top[term])
+        start = np.searchsorted(passage, np.arange(count + 1))
+        before = np.concatenate(([0.0], reach))[start[:-1]]
+        reach -= before[passage]
+        names = reach >= least  # from the pivot on
+        of, at = _spread(self.list_start[term[names]], self.list_end[term[names]])
+        pair = np.unique(passage[names][of] * self.blocks + self.block_key[at] % self.blocks)
+        near, block = np.divmod(pair, self.blocks)
+        # the bound of each named block, over all words of its passage
+        of, at = _spread(start[near], start[near + 1])
+        want = term[at] * self.blocks + block[of]
+        place = np.minimum(np.searchsorted(self.block_key, want), len(self.block_key) - 1)
+        held = self.block_key[place] == want
+        of, place = of[held], place[held]
+        bound = np.bincount(of, weights=self.block_top[place], minlength=len(pair))
+        live = bound[of] >= least
+        of, place = of[live], place[live]
+        number, at = _spread(self.block_start[place], self.block_end[place])
+        key, score = _sums(near[of[number]] * max(1, len(self.ids)) + self.item[at], self.impact[at])
+        key, score = key[score >= least], score[score >= least]
+        return key // max(1, len(self.ids)), key % max(1, len(self.ids)), score
+
+    def search(self, h: np.ndarray, first: np.ndarray, threshold: float) -> dict[tuple[int, int], float]:
+        """The best score of each (document's row, item) that some passage retrieves."""
         step = max(PASSAGE, self.longest)
         n = np.diff(first)
         count = np.where(n > 0, np.maximum(1, -(-(n - 2 * step) // step) + 1), 0)
         row = np.repeat(np.arange(len(n)), count)
+        best: dict[tuple[int, int], float] = {}
         if not len(row) or not len(self.terms):
-            return
+            return best
         lo = first[:-1][row] + (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * step
         hi = np.minimum(lo + 2 * step, first[1:][row])
         at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
         known = np.flatnonzero(self.terms[at] == h)
         a, b = np.searchsorted(known, lo), np.searchsorted(known, hi)
-        size = b - a
-        of = np.repeat(np.arange(len(row)), size)
-        place = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(a, size)
-        pair = np.unique(of * len(self.terms) + at[known[place]])
-        of, term = np.divmod(pair, len(self.terms))
-        if not len(of):
-            return
-        start = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-        end = np.append(start[1:], len(of))
-        for s in range(0, len(start), 2048):  # passages at a time, to bound memory
-            e = min(s + 2048, len(start))
-            base = start[s]
-            bound = np.add.reduceat(self.highest[term[base : end[e - 1]]], start[s:e] - base, axis=0)
-            passage, block = np.nonzero(bound >= threshold - 1e-5)
-            for p, k in zip((s + passage).tolist(), block.tolist(), strict=True):
-                score = self.impact[term[start[p] : end[p]], k * BLOCK : (k + 1) * BLOCK].sum(0, dtype=np.float64)
-                for j in np.flatnonzero(score >= threshold - 1e-5).tolist():
-                    r = int(of[start[p]])
-                    yield int(row[r]), int(lo[r]), int(hi[r]), k * BLOCK + j, float(score[j])
+        for s in range(0, len(row), PASSAGES):
+            e = min(s + PASSAGES, len(row))
+            of, place = _spread(a[s:e], b[s:e])
+            passage, term = np.divmod(np.unique(of * len(self.terms) + at[known[place]]), len(self.terms))
+            if not len(passage):
+                continue
+            for p, item, score in zip(*(x.tolist() for x in self.retrieve(passage, term, e - s, threshold)), strict=True):
+                pair = int(row[s + p]), item
+                best[pair] = max(best.get(pair, 0.0), score)
+        return best
 
     def matches(self, data: np.ndarray, offs: np.ndarray, threshold: float, overlap: float) -> list[tuple]:
-        """(document's row, item_id, score, shares of both, question and answer), the best passage of each document and item."""
+        """(document's row, item_id, score, shares of both, question and answer) of all that are contaminated."""
         h, first = _tokens(data, offs)
-        best: dict[tuple[int, int], tuple] = {}
-        for row, lo, hi, item, score in self.search(h, first, threshold):
-            seen = self._grams_of(h[lo:hi], item)
-            both, question, answer = (float(np.isin(g, seen).mean()) if len(g) else 1.0 for g in self.grams[item])
-            if both >= overlap and best.get((row, item), (0.0, 0.0))[:2] < (both, score):
-                best[row, item] = (both, score, question, answer)
-        return [(row, self.items[item][0], s, both, q, a) for (row, item), (both, s, q, a) in sorted(best.items())]
-
-    def _grams_of(self, h: np.ndarray, item: int) -> np.ndarray:
-        sizes = {min(GRAM, len(x)) for x in self.items[item][1:] if len(x)}
-        return np.concatenate([rolling(h, k) for k in sizes])
-
-
-def indexes(benchmark: DataFrame, question: str | None = None, answer: str | None = None, shard: int = SHARD) -> list[Index]:
-    """The index, in shards; refuses a benchmark that isn't small."""
+        out, held = [], {}
+        for (row, item), score in sorted(self.search(h, first, threshold).items()):
+            mine = h[first[row] : first[row + 1]]
+            for k in self.gram_sizes[item]:
+                if (row, k) not in held:
+                    held[row, k] = np.unique(rolling(mine, k))
+            seen = np.concatenate([held[row, k] for k in self.gram_sizes[item]])
+            both, question, answer = (float(np.isin(g, seen).mean()) if len(g) else 0.0 for g in self.parts[item])
+            if both >= overlap or min(question, answer) >= overlap:
+                out.append((row, self.ids[item], score, both, question, answer))
+        return out
+
+
+def indexes(benchmark: DataFrame, question: str | None = None, answer: str | None = None, shard_bytes: int = SHARD_BYTES) -> list[Index]:
+    """The index, in as many shards as its size asks for; refuses a benchmark that isn't small."""
     cols = [question, answer] if question and answer else ["text"]
-    size = benchmark.agg(*[F.sum(F.octet_length(c)).alias(c) for c in cols]).first()
-    if sum(x or 0 for x in size) > MAX_ITEM_BYTES:
+    size = sum(x or 0 for x in benchmark.agg(*[F.sum(F.octet_length(c)).alias(c) for c in cols]).first())
+    if size > MAX_ITEM_BYTES:
         raise ValueError(f"the benchmark has more than {MAX_ITEM_BYTES} bytes of text")
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), *cols).orderBy("item_id", *cols).collect()
-    every = statistics(benchmark.select(*cols))
-    return [Index([(r[0], *_item(*r[1:])) for r in rows[lo : lo + shard]], every) for lo in range(0, len(rows), shard)]
+    every, shards = statistics(benchmark.select(*cols)), max(1, -(-size // shard_bytes))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), *cols).withColumn("_shard", F.pmod(F.xxhash64("item_id", *cols), F.lit(shards)))
+    rows = [items.where(F.col("_shard") == k).orderBy("item_id", *cols).collect() for k in range(shards)]
+    return [Index([(r[0], *_item(*r[1:-1])) for r in part], every) for part in rows]
 
 
 def find_leaks(docs: DataFrame, shards: list[Index], threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """``doc_id, item_id, score, overlap, question_overlap, answer_overlap`` of every document and item that it leaks."""
+    names = ["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"]
     schema = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
-    sc = docs.sparkSession.sparkContext
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = docs.sparkSession.createDataFrame([], schema)
+    rows, found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
     for shard in shards:
-        sent = sc.broadcast(shard)
+        sent = docs.sparkSession.sparkContext.broadcast(shard)
 
         def task(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
@@ -208,17 +259,17 @@ def find_leaks(docs: DataFrame, shards: list[Index], threshold: float = THRESHOL
                 got = index.matches(data, offs, threshold, overlap)
                 if got:
                     cols = list(zip(*got, strict=True))
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(cols[0])), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[2:])], ["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"])
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(cols[0])), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[2:])], names)
 
-        found = found.union(rows.mapInArrow(task, schema))
+        part = rows.mapInArrow(task, schema)
+        found = part if found is None else found.union(part)
     return found
 
 
 def drop_leaks(docs: DataFrame, shards: list[Index], threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """``docs`` without the contaminated documents."""
-    sc = docs.sparkSession.sparkContext
     for shard in shards:
-        sent = sc.broadcast(shard)
+        sent = docs.sparkSession.sparkContext.broadcast(shard)
 
         def task(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import json
 import math
+import re
 
 import numpy as np
 import pytest
@@ -323,16 +324,67 @@ def test_rounding_is_fair():
     assert np.abs(out @ sizes / (0.3 * sizes.sum()) - 1).mean() < 0.02
 
 
+def brute_leaks(docs, items, overlap=0.8):
+    """Shares by sets of word tuples, of every document and item, without an index: (doc_id, item_id) that count as contaminated."""
+    words_ = lambda t: re.findall(rb"[0-9a-z_\x80-\xff]+", (t or "").encode().translate(LOW))
+    runs_ = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    held = [(i, w := words_(t), [set(), *(runs_(w, k) for k in range(1, 6))]) for i, t in docs]
+    out = []
+    for item, text in items:
+        q, a = (words_(x) for x in decontaminate.split_item(text or ""))
+        parts = [(min(5, len(w)), runs_(w, min(5, len(w)))) for w in (q + a, q, a)]
+        if q + a:
+            for i, _, have in held:
+                both, question, answer = (len(g & have[k]) / len(g) if k else 0.0 for k, g in parts)
+                if both >= overlap or min(question, answer) >= overlap:
+                    out.append((i, item))
+    return out
+
+
 def test_decontamination(spark, odd):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
-    bench = spark.createDataFrame([(1, item + ".\nThe answer is nu xi omicron."), (2, None), (3, ""), (4, "pi rho")], "item_id long, text string")
-    texts = [(1, "noise " * 300 + item.upper() + " the answer is nu, xi omicron " + "noise " * 300), (2, item), (3, "pi rho sigma"), (4, None), (None, "x pi, rho")]
-    docs = spark.createDataFrame([(i, t, 0.5) for i, t in texts], "doc_id long, text string, score double")
-    shards = decontaminate.indexes(bench, shard=2)
-    found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, shards).collect()}
-    assert found == {(1, 1), (3, 4), (None, 4)}
-    assert [r.doc_id for r in decontaminate.drop_leaks(docs, shards).orderBy("doc_id").collect()] == [2, 4]
+    apart = "one sees that this question is long enough to tell it from all others here"
+    items = [(1, item + ".\nThe answer is nu xi omicron."), (2, None), (3, ""), (4, "pi rho"), (5, apart + "\nforty two is it"), (5, apart + "\nforty two is it"), (None, "sigma tau upsilon phi chi psi omega")]
+    bench = spark.createDataFrame([(*x, "c") for x in items], "item_id long, text string, score string")
+    texts = [(1, "noise " * 300 + item.upper() + " the answer is nu, xi omicron " + "noise " * 300), (2, item), (3, "pi rho sigma"), (4, None), (None, "x pi, rho"), (5, "noise " * 900 + apart + " noise" * 900 + " Forty two is it"), (6, apart + " sixty three"), (6, "forty two is it"), (7, "sigma tau upsilon phi chi psi omega")]
+    docs = spark.createDataFrame([(i, t, 0.5, 1) for i, t in texts], "doc_id long, text string, score double, item_id int").repartition(3)
+    for size in (40, 1 << 20):
+        shards = decontaminate.indexes(bench, shard_bytes=size)
+        found = collections.Counter((r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, shards).collect())
+        assert found == collections.Counter(brute_leaks(texts, items)) == collections.Counter([(1, 1), (3, 4), (None, 4), (5, 5), (5, 5), (7, None)])
+        assert rows_of(decontaminate.drop_leaks(docs, shards), "doc_id") == [(2,), (4,), (6,), (6,)]
     assert decontaminate.find_leaks(odd, decontaminate.indexes(bench.limit(0))).count() == 0
+    assert decontaminate.find_leaks(docs.limit(0), shards).count() == 0 and decontaminate.drop_leaks(docs.limit(0), shards).count() == 0
+
+
+def test_decontamination_finds_what_brute_force_finds(spark):
+    """Recall of the index over every pair, on the middle tables."""
+    sf = "/root/testdata/sf0.01"
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    want = set(brute_leaks([tuple(r) for r in docs.select("doc_id", "text").collect()], [tuple(r) for r in bench.select("item_id", "text").collect()]))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, decontaminate.indexes(bench)).collect()}
+    assert got <= want and len(want) > 10 and len(got) >= 0.98 * len(want), (len(got), len(want))
+
+
+def test_index_scores_as_bm25_does():
+    """Every item at or above the threshold, with the score that a plain sum gives; most blocks are never scored."""
+    rng = np.random.default_rng(4)
+    items = [(k, rng.zipf(1.3, 30).astype(np.uint64), rng.zipf(1.3, 5).astype(np.uint64)) for k in range(300)]
+    terms, df = np.unique(np.concatenate([np.unique(np.concatenate(x[1:])) for x in items]), return_counts=True)
+    every = decontaminate.Statistics(300, 35.0, 35, terms, df)
+    index = decontaminate.Index(items, every)
+    idf = {t: math.log(1 + (300 - n + 0.5) / (n + 0.5)) for t, n in zip(terms.tolist(), df.tolist(), strict=True)}
+    gain = []
+    for _, q, a in items:
+        c = collections.Counter([*q.tolist(), *a.tolist()])
+        w = {t: idf[t] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * 35 / 35.0)) for t, n in c.items()}
+        gain.append({t: v / sum(w.values()) for t, v in w.items()})
+    passages = [np.unique(np.concatenate((items[k][1], rng.zipf(1.3, 40).astype(np.uint64)))) for k in range(0, 300, 7)]
+    for threshold in (0.3, 0.5, 0.9):
+        want = {(p, k): v for p, t in enumerate(passages) for k, g in enumerate(gain) if (v := sum(g.get(x, 0.0) for x in t.tolist())) >= threshold}
+        place = [np.searchsorted(index.terms, t[np.isin(t, index.terms)]) for t in passages]
+        got = index.retrieve(np.repeat(np.arange(len(place)), [len(x) for x in place]), np.concatenate(place), len(place), threshold)
+        assert {(p, index.ids[k]): pytest.approx(v) for p, k, v in zip(*got, strict=True)} == want
 
 
 def test_decontamination_does_not_depend_on_shards(spark):
@@ -341,9 +393,9 @@ def test_decontamination_does_not_depend_on_shards(spark):
     items = [(i, template + " " + " ".join(f"own{i}x{k}" for k in range(10))) for i in range(40)] + [(40, "pi rho sigma tau " * 40)]
     bench = spark.createDataFrame(items, "item_id long, text string").repartition(3)
     docs = spark.createDataFrame([(1, template), (2, "noise " * 90 + items[7][1]), (3, items[39][1] + " noise" * 90), (4, items[40][1])], "doc_id long, text string")
-    found = [rows_of(decontaminate.find_leaks(docs, decontaminate.indexes(bench, shard=k)), "doc_id", "item_id", "score", "overlap") for k in (2, 40, 512)]
-    assert [r[:2] for r in found[0]] == [(2, 7), (3, 39), (4, 40)]
-    assert all(len(f) == 3 and f == [pytest.approx(r) for r in found[0]] for f in found)
+    found = [rows_of(decontaminate.find_leaks(docs, decontaminate.indexes(bench, shard_bytes=k)), "doc_id", "item_id", "score", "overlap") for k in (1000, 5000, 1 << 20)]
+    assert all(len(f) == len(found[0]) and f == [pytest.approx(r) for r in found[0]] for f in found)
+    assert {r[:2] for r in found[0]} >= {(2, 7), (3, 39), (4, 40)} and not any(r[0] == 1 and r[3] >= 0.9 for r in found[0])
 
 
 def brute_lines(rows, min_docs):
