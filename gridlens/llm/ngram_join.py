@@ -10,13 +10,16 @@
    than d places, a lower bound of what the sets differ in; more of them are candidates as a star. The components of the
    candidates are the blocks.
 3. In a block the incidence matrix of documents by shingles that at least two of them hold is multiplied with its transpose,
-   in slabs of columns, which accumulates the overlap counts; pairs below the bound that their sizes give are discarded.
+   block of columns by block of columns, which accumulates the overlap counts. After each, pairs are discarded whose overlap,
+   with all that is left of the smaller of both, stays below the bound that their sizes give, and documents without a pair
+   leave the product; what remains after the last is linked. Counts are whole numbers.
    Blocks over ``TILE`` documents are cut into tiles and every pair of tiles is a task: first each with the first tile, and
    only where that leaves more than one component, all others. A tile pair returns a spanning forest of its links, not the pairs.
 4. The components of those edges are the answer, whatever the number of links in a group.
 
 Words are ``[^\x20\x09-\x0D]+`` of the text with A-Z lower-cased. Fewer words than a shingle: the whole sequence is one. No words
-(null, empty): an empty set, linked with nothing. Rows that share a doc_id are one document; each row gets its own ``n_shingles``.
+(null, empty): an empty set, linked with nothing. Every row is a document of its own, whatever its id; a component is named by the
+smallest doc_id in it, and no id is smaller than any. No documents, no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.llm.common import chunks, components, inside, key_back, lower_ascii, mix, pack, partitions, rolling, signed, stage, texts, unpack, word_hashes, words
+from gridlens.llm.common import chunks, components, inside, join_hot, key_back, lower_ascii, mix, pack, partitions, partitions_for, rolling, signed, stage, texts, unpack, word_hashes, words
 
 SIZE = 4
 PERCENT = 85
@@ -93,9 +96,8 @@ def classes_of(last: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return d + 1 + spare, spare
 
 
-def common_shingles(rows: DataFrame, size: int, share: float = COMMON, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
-    """Sorted hashes of the shingles in more than ``share`` of a bounded sample of documents."""
-    n = rows.count()
+def common_shingles(rows: DataFrame, n: int, size: int, share: float = COMMON, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
+    """Sorted hashes of the shingles in more than ``share`` of a bounded sample of ``n`` documents."""
     few = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_docs / max(1, n))))
     least = max(8, int(share * min(n, sample_docs)))
 
@@ -301,17 +303,28 @@ def link_block(hashes: np.ndarray, row: np.ndarray, n: np.ndarray, percent: int)
     place = np.cumsum(shared) - 1
     keep = shared[column]
     column, row = place[column[keep]], row[keep]
-    overlap = np.zeros((b, b), np.float32)
     order = np.argsort(column, kind="stable")
     column, row = column[order], row[order]
+    need = -(-percent * (n[:, None] + n[None, :]) // (100 + percent))
+    overlap, left = np.zeros((b, b), np.int32), np.bincount(row, minlength=b)
+    alive = np.minimum(left[:, None], left[None, :]) >= need
+    np.fill_diagonal(alive, False)
     for lo in range(0, int(column[-1]) + 1, SLAB):
+        live = np.flatnonzero(alive.any(1))
+        if not len(live):
+            break
         i, j = np.searchsorted(column, (lo, lo + SLAB))
-        slab = np.zeros((b, min(SLAB, int(column[-1]) + 1 - lo)), np.float32)
-        slab[row[i:j], column[i:j] - lo] = 1
-        overlap += slab @ slab.T
-    linked = (100 + percent) * overlap.astype(np.int64) >= percent * (n[:, None] + n[None, :])
+        place = np.full(b, -1)
+        place[live] = np.arange(len(live))
+        mine = place[row[i:j]]
+        slab = np.zeros((len(live), min(SLAB, int(column[-1]) + 1 - lo)), np.float32)
+        slab[mine[mine >= 0], column[i:j][mine >= 0] - lo] = 1
+        at = np.ix_(live, live)
+        overlap[at] += (slab @ slab.T).astype(np.int32)  # exact: a slab has fewer columns than float32 counts
+        left -= np.bincount(row[i:j], minlength=b)
+        alive[at] &= overlap[at] + np.minimum(left[live][:, None], left[live][None, :]) >= need[at]
     while True:
-        lower = np.where(linked, label[None, :], b).min(1)
+        lower = np.where(alive, label[None, :], b).min(1)
         lower = np.minimum(label, lower)
         lower = np.minimum(lower, lower[lower])
         if (lower == label).all():
@@ -371,12 +384,13 @@ def _links(placed: DataFrame, size: int, percent: int) -> DataFrame:
     return placed.mapInArrow(_multiply(size, percent), "doc_id long, other long")
 
 
-def join_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` (the smallest doc_id reachable by links) per row of ``docs``."""
-    spark = docs.sparkSession
-    rows = texts(docs)
-    p = partitions(spark)
-    sent = rows.mapInArrow(_signatures(size, percent, p * BUCKETS, common_shingles(rows, size)), _ROW).repartition(p, "key")
+def row_groups(rows: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` (the smallest doc_id reachable by links) of rows with a number of their own each."""
+    spark = rows.sparkSession
+    docs, bytes_ = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    rows = texts(rows)
+    p = partitions_for(spark, bytes_ or 0)
+    sent = rows.mapInArrow(_signatures(size, percent, p * BUCKETS, common_shingles(rows, docs, size)), _ROW).repartition(p, "key")
     met = stage(sent.mapInArrow(_meet, _ROW).drop("key", "size"), "met")
     same = met.where(F.col("kind") == SAME).select("doc_id", "other", "n")
     # joins that grow with the corpus: one plan at every size, by merging
@@ -409,7 +423,17 @@ def join_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Da
     group = components(edges.union(same.where("doc_id <> other").select("doc_id", "other")), "doc_id", "other")
     out = same.join(group, same.doc_id == group.id, "left")
     out = out.select(same.doc_id, F.col("n").alias("n_shingles"), F.coalesce("component", same.doc_id).alias("component_id"))
-    return out.select(key_back("doc_id"), "n_shingles", key_back("component_id"))
+    return out
+
+
+def join_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` (the smallest doc_id reachable by links) per row of ``docs``."""
+    rows = stage(texts(docs).withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = stage(row_groups(rows.select(F.col("row").alias("doc_id"), "text"), size, percent).withColumnRenamed("doc_id", "row"), "groups")
+    found = found.join(rows.select("row", "doc_id"), "row").drop("row")
+    least = found.groupBy("component_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("k"))
+    out = join_hot(found, least, ["component_id"], rows.count())
+    return out.select(key_back("doc_id"), "n_shingles", key_back("least", "component_id"))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,7 +143,7 @@ def brute_groups(pairs, size, percent):
     for _, t in pairs:
         w = t.encode().translate(LOW).split()
         sets.append({tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set())
-    parent = {i: i for i, _ in pairs}
+    parent = list(range(len(pairs)))  # every row is a document
 
     def find(x):
         while parent[x] != x:
@@ -154,9 +154,12 @@ def brute_groups(pairs, size, percent):
         for b in range(a):
             both = len(sets[a] & sets[b])
             if sets[a] and sets[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
-                x, y = sorted((find(pairs[a][0]), find(pairs[b][0])))
+                x, y = sorted((find(a), find(b)))
                 parent[y] = x
-    return [(none_id(i), len(s), none_id(find(i))) for (i, _), s in zip(pairs, sets, strict=True)]
+    least = {}
+    for k, (i, _) in enumerate(pairs):
+        least[find(k)] = min(least.get(find(k), i), i)
+    return [(none_id(i), len(s), none_id(least[find(k)])) for k, ((i, _), s) in enumerate(zip(pairs, sets, strict=True))]
 
 
 @pytest.mark.parametrize(("size", "percent"), [(4, 85), (5, 80)])
@@ -165,6 +168,23 @@ def test_ngram_join(odd, docs, size, percent, monkeypatch):
     for df in (odd, docs):
         got = rows_of(ngram_join.join_groups(df, size, percent), "doc_id", "n_shingles", "component_id")
         assert got == sorted(brute_groups(texts_of(df), size, percent), key=lambda t: tuple((x is not None, x) for x in t))
+    assert ngram_join.join_groups(odd.limit(0)).count() == 0
+
+
+def test_links_of_a_block():
+    """The product with early discards against counted overlaps, over several slabs."""
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 400, int(rng.integers(1, 300)))) for _ in range(40)]
+    sets += [np.unique(np.append(s[rng.random(len(s)) > 0.05], rng.integers(400, 500, 3))) for s in sets]
+    n = np.array([len(s) for s in sets])
+    real, ngram_join.SLAB = ngram_join.SLAB, 37
+    label = ngram_join.link_block(np.concatenate(sets).astype(np.uint64), np.repeat(np.arange(len(sets)), n), n, 80)
+    ngram_join.SLAB = real
+    linked = [[a == b or 180 * len(np.intersect1d(x, y)) >= 80 * (len(x) + len(y)) for b, y in enumerate(sets)] for a, x in enumerate(sets)]
+    want = list(range(len(sets)))
+    for _ in sets:
+        want = [min(want[b] for b in range(len(sets)) if linked[a][b]) for a in range(len(sets))]
+    assert label.tolist() == want and len(set(want)) < len(sets) - 20
 
 
 def test_ngram_join_of_large_groups(spark, monkeypatch):
