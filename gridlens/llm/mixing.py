@@ -7,10 +7,13 @@ both never changes; so a source's words stay at its target until the last docume
 Pairs are made within leaves of about ``LEAF`` documents (largest first, so that what is left over is small), and the one
 document that a leaf leaves open goes up a tree of fan-in ``FAN_IN`` until a source has none.
 
-Draws come from a generator seeded by the leaf's name, and leaves from a hash of doc_id: reruns agree, whatever the
-partitions. Null text: 0 words. Null source: a source of its own, last. Documents without words are never taken more than
-0 words. Repeated rows are documents of their own. What the driver holds is one row per source: weights are a catalogue of
-sources, and its length is the bound.
+A document with a good part of a leaf's words is paired with all its others at once before that, in leaves of every source alike.
+
+Draws come from a generator seeded by the leaf's name, and leaves from a hash of what is known of a document (id, source, size, a
+caller's own numbers) and its place among those equal in all of it: reruns agree, whatever the partitions, and rows without an id,
+or with one id, spread over leaves as others do. Null text: 0 words. Null source: a source of its own, last. Documents without
+words are never taken more than 0 words. Every row is a document of its own; no documents, no rows. What the driver holds is one
+row per source: weights are a catalogue of sources, and its length is the bound.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ FAN_IN = 64
 SEED = 17
 #: A document with so much of what the others of its leaf hold is paired with all of them at once.
 LARGE = 0.02
+#: Equal rows are numbered so many at a time.
+EQUAL = 4096
 
 
 def word_count(text) -> F.Column:
@@ -61,10 +66,11 @@ def share_out(total: float, weights: list[float], caps: list[float]) -> list[flo
 def _settle_large(sizes: np.ndarray, parts: np.ndarray, rng: np.random.Generator) -> None:
     """Pair each document of a good part of the words with all the others, which then share one fraction.
 
-    A single partner could not take what a dominant document gives, and it would stay open to the end.
+    A single partner could not take what a dominant document gives, and it would stay open to the end. In a leaf of documents (not
+    of leaves) all start with their source's fraction.
     """
     open_ = np.flatnonzero((parts > 0) & (parts < 1))
-    if not len(open_) or np.ptp(parts[open_]) > 0:
+    if not len(open_):
         return
     p = parts[open_[0]]
     for k, i in enumerate(open_):
@@ -76,10 +82,10 @@ def _settle_large(sizes: np.ndarray, parts: np.ndarray, rng: np.random.Generator
         parts[open_[k + 1 :]] = p
 
 
-def settle(sizes: np.ndarray, parts: np.ndarray, rng: np.random.Generator, last: bool) -> np.ndarray:
-    """Round the fractions ``parts`` of documents in this order; without ``last`` one may stay open."""
+def settle(sizes: np.ndarray, parts: np.ndarray, rng: np.random.Generator, last: bool, leaf: bool = True) -> np.ndarray:
+    """Round the fractions ``parts`` of documents in this order; without ``last`` one may stay open. ``leaf``: they all start alike."""
     out, draws = parts.copy(), rng.random(len(parts) + 1)
-    if last:
+    if leaf:
         _settle_large(sizes, out, rng)
     i, x, s = -1, 0.0, 0.0  # the open document, its words taken, its size
     for j in range(len(out)):
@@ -106,11 +112,11 @@ def settle(sizes: np.ndarray, parts: np.ndarray, rng: np.random.Generator, last:
     return out
 
 
-def _rounder(name: str, last: bool, keys: list[str]):
+def _rounder(name: str, last: bool, leaf: bool, keys: list[str]):
     def round_leaf(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", *keys], ascending=[False] + [True] * len(keys), kind="stable")
         rng = np.random.default_rng(zlib.crc32(f"{name}/{pdf['source'].iloc[0]!r}/{pdf['leaf'].iloc[0]}".encode()))
-        return pdf.assign(part=settle(pdf["size"].to_numpy(float), pdf["part"].to_numpy(float), rng, last))
+        return pdf.assign(part=settle(pdf["size"].to_numpy(float), pdf["part"].to_numpy(float), rng, last, leaf))
 
     return round_leaf
 
@@ -124,18 +130,28 @@ def targets(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float =
     return pd.DataFrame({"source": [r["source"] for r in rows], "source_size": sizes, "docs": [int(r["docs"]) for r in rows], "target": goal})
 
 
+def _numbered(sized: DataFrame) -> DataFrame:
+    """``sized`` with ``nth``, the place of a row among those equal to it; so many equal rows that one task must not make them are made by several."""
+    names = sized.columns
+    groups = sized.groupBy(*names).agg(F.count("*").alias("_n")).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {EQUAL}"))))
+    many = F.col("_n") > EQUAL
+    lo = F.col("_k") * EQUAL
+    nth = F.explode(F.sequence(lo, F.least(lo + EQUAL, F.col("_n")) - 1))
+    return groups.where(~many).select(*names, nth.alias("nth")).unionByName(groups.where(many).repartition("_k").select(*names, nth.alias("nth")))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken`` of every document, and the columns of ``keep``.
 
-    ``keep`` names numbers that tell rows of one doc_id (or of none) apart: ties and leaves go by them too.
+    ``keep`` names numbers that tell rows of one doc_id (or of none) apart; leaves go by them too.
     """
     spark = docs.sparkSession
-    keys = ["doc_id", *keep]
+    keys = ["doc_id", *keep, "nth"]
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), *keep)
-    sized = stage(sized, "sizes")
+    sized = stage(_numbered(sized), "sizes")
     plan = targets(sized, weights, share, cap)
     if plan.empty:
-        return sized.select("*", *[F.lit(0).cast("long").alias(c) for c in ("source_size", "copies", "taken")], F.lit(0.0).alias("target"))
+        return sized.select("doc_id", "source", "size", *[F.lit(0).cast("long").alias(c) for c in ("source_size", "copies", "taken")], F.lit(0.0).alias("target"), *keep)
     schema = "source string, source_size long, target double, whole long, part double, leaves long"
     catalogue = []
     for r in plan.itertuples(index=False):
@@ -145,13 +161,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     sources = spark.createDataFrame(catalogue, schema)
     rows = sized.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rows = rows.withColumn("part", F.when(F.col("size") > 0, F.col("part")).otherwise(0.0))
-    rows = rows.withColumn("leaf", F.pmod(F.xxhash64(*keys), "leaves")).drop("leaves")
+    rows = rows.withColumn("leaf", F.pmod(F.xxhash64(*keys, "size"), "leaves")).drop("leaves")
     fields = rows.schema
     most, level, done = max(c[-1] for c in catalogue), 0, []
     while True:
         last = most == 1
-
-        rows = stage(rows.groupBy("source", "leaf").applyInPandas(_rounder(f"{seed}/{level}", last, keys), fields), "rounded")
+        rows = stage(rows.groupBy("source", "leaf").applyInPandas(_rounder(f"{seed}/{level}", last, level == 0, keys), fields), "rounded")
         done.append(rows.where("part = 0 or part = 1"))
         if last:
             break

@@ -304,24 +304,69 @@ def test_token_counts(odd, docs):
         assert got == want
 
 
+def naive_raw(text, weights, exceptions=()):
+    """``Scorer.raw`` by trying every pattern and phrase at every place."""
+    folded = toxicity.fold(text or "")
+    covered = {k for e in exceptions for m in range(len(folded)) if folded.startswith(f := toxicity.fold(e), m) for k in range(m, m + len(f))}
+    total = sum(max([w for p, w in weights.items() if w > 0 and folded.startswith(p, k)], default=0.0) for k in range(len(folded)) if k not in covered)
+    return total / math.log2(2 + len(folded) / 600)
+
+
+def naive_score(text, model):
+    weights, rates, exceptions = model
+    raw = naive_raw(text, weights, exceptions)
+    at = min(math.ceil(raw / toxicity.BIN), toxicity.BINS - 1)
+    top = max(rates[min(at + 1, toxicity.BINS - 1)], rates[at])
+    return min(1.0, max(0.0, rates[at] + ((top - rates[at]) * 0.5 * min(1.0, max(0.0, raw / toxicity.BIN - at + 1)) if raw > 0 else 0.0)))
+
+
 def test_toxicity(spark):
     assert toxicity.fold("1D10T, $tupid \u0456di\u043et\uff01") == " idiot stupid idiot "
-    scorer = toxicity.Scorer({" ciown ": 3.0, " trash ": 3.0})
+    plain = ("trash can", "clown fish")
+    scorer = toxicity.Scorer({" ciown ": 3.0, " trash ": 3.0}, plain)
     assert scorer.raw("clown") > 0 == scorer.raw("a trash can and clown fish") and scorer.raw("") == 0.0
+    assert scorer.phrases("a trash bin") == {"a trash", "trash bin"} and scorer.phrases("clown") == set()
     sf = "/root/testdata/sf0.1"
     got = queries.queries()["op5_toxicity"](spark, sf)
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     rows = got.join(labels, "doc_id").where("held_out").collect()
     hit = sum(r.predicted == 1 and r.toxic == 1 for r in rows)
     assert hit / sum(r.toxic for r in rows) > 0.75 and hit / max(1, sum(r.predicted for r in rows)) > 0.9
-    empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    plain = toxicity.score(spark.createDataFrame([(None, None, "c"), (1, "x", "c")], "doc_id long, text string, score string"), toxicity.learn(got.select("doc_id").withColumn("text", F.lit("")), empty))
-    assert [r.score for r in plain.collect()] == [0.0, 0.0]
-    assert toxicity.learn(got.limit(0).select("doc_id", F.lit("x").alias("text")), labels) == ({}, [0.0] * toxicity.BINS)
-    again = toxicity.Scorer({" trash ": 3.0, " idiot ": 3.0})
+    again = toxicity.Scorer({" trash ": 3.0, " idiot ": 3.0}, plain)
     assert again.raw("trash can " * 100_000) == 0.0 < again.raw("trash can " * 10 + "idiot")
 
 
+def test_toxicity_scores_as_a_naive_scan_does(spark, docs, odd):
+    sf = "/root/testdata/sf0.01"
+    model = toxicity.learn(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    assert 0 < len(model[0]) and model[1] == sorted(model[1])
+    mixed = docs.select("doc_id", "text").limit(80).unionByName(odd.select("doc_id", "text").where("length(text) < 3000"))
+    some = sorted(model[0])[:4]
+    extra = [(900, " ".join(x.strip() for x in some)), (901, "".join(some).upper()), (902, some[0].strip() + " friend"), (None, some[0])]
+    mixed = mixed.unionByName(spark.createDataFrame(extra, "doc_id long, text string")).withColumn("score", F.lit("clash"))
+    for m in (model, (model[0], model[1], (some[0].strip() + " friend",))):
+        for r in toxicity.score(mixed, m).collect():
+            assert r.score == pytest.approx(naive_score(r.text, m)), r.text[:80] if r.text else r
+    assert toxicity.score(mixed.limit(0), model).count() == 0
+
+
+def test_toxicity_learns_words_and_exceptions(spark):
+    """Words that toxic documents have, phrases with them that are harmless, ids and labels that repeat or miss."""
+    noise = [" ".join(f"n{(k * 7 + j * 13) % 50:02d}x".replace("0", "a").replace("1", "b") for j in range(8)) for k in range(600)]
+    texts = [(k, noise[k] + (" wuzzle" if k % 5 in (0, 2) else " wuzzle tree" if k % 10 == 1 else "")) for k in range(600)]
+    labels = [(k, 0, int(k % 5 in (0, 2))) for k in range(600)] + [(0, 0, 0), (0, 0, None), (None, 0, 1), (5000, 0, 1)]
+    docs = spark.createDataFrame([*texts, (3, "wuzzle tree again"), (None, "wuzzle"), (7, None)], "doc_id long, text string")
+    weights, rates, exceptions = toxicity.learn(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    word = toxicity.fold("wuzzle")
+    assert max(weights, key=weights.get) in {word, *(word[: k + 1] for k in toxicity.PREFIXES)} and toxicity.fold("wuzzle tree").strip() in exceptions
+    held = {r.doc_id: r.score for r in toxicity.score(docs, (weights, rates, exceptions)).where(toxicity.held_out(F.col("doc_id"))).collect()}
+    assert all((held[k] >= toxicity.THRESHOLD) == (k % 5 in (0, 2)) for k, _ in texts if k in held and k > 7)
+    empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    nothing = toxicity.learn(docs, empty)
+    assert nothing == ({}, [0.0] * toxicity.BINS, ()) == toxicity.learn(docs.limit(0), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert {r.score for r in toxicity.score(docs, nothing).collect()} == {0.0}
+
+
 def test_mixing(spark, sf, odd):
     assert mixing.share_out(150, [3, 1, 2], [20, 200, 90]) == [20, pytest.approx(130 / 3), pytest.approx(260 / 3)]
     got = queries.queries()["op6_mixing"](spark, "/root/testdata/sf0.1")
@@ -337,6 +382,36 @@ def test_mixing(spark, sf, odd):
     assert mixing.mix(odd.limit(0).withColumn("source", F.lit("a"))).count() == 0
 
 
+@pytest.mark.parametrize("equal", [3, 4096])
+def test_mixing_against_a_plain_count(spark, equal, monkeypatch):
+    """Sizes, sources and targets counted plainly; copies are the whole or one more; many equal rows without an id; reruns agree."""
+    monkeypatch.setattr(mixing, "EQUAL", equal)
+    rng = np.random.default_rng(12)
+    rows = [(int(k) if k % 3 else None, "w " * int(rng.integers(0, 60)), [None, "b", "B", "\u00e9"][k % 4]) for k in range(400)] + [(None, "same text here", "b")] * 50 + [(9, "w " * 900, "b"), (9, None, None)]
+    df = spark.createDataFrame([(*r, 1, "c") for r in rows], "doc_id long, text string, source string, size int, target string")
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
+    names = sorted({r[2] for r in rows}, key=lambda x: (x is None, x or ""))
+    whole = {n: sum(s for s, r in zip(size, rows, strict=True) if r[2] == n) for n in names}
+    left, open_, goal = 1.5 * sum(size), dict(zip(names, (3, 1, 2, 3), strict=True)), {}
+    while True:
+        part = {n: left * w / sum(open_.values()) for n, w in open_.items()}
+        over = [n for n in part if part[n] > 2 * whole[n]]
+        if not over:
+            goal |= part
+            break
+        for n in over:
+            goal[n] = 2.0 * whole[n]
+            left -= goal[n]
+            del open_[n]
+    got = mixing.mix(df).collect()
+    assert collections.Counter((r.doc_id, r["size"], r.source) for r in got) == collections.Counter((r[0], s, r[2]) for r, s in zip(rows, size, strict=True))
+    assert all(r.source_size == whole[r.source] and r.target == pytest.approx(goal[r.source]) for r in got)
+    assert all(r.taken == r.copies * r["size"] and (not r["size"] or int(r.target / r.source_size) <= r.copies <= min(2, math.ceil(r.target / r.source_size - 1e-9))) for r in got)
+    for n in names:
+        assert abs(sum(r.taken for r in got if r.source == n) - goal[n]) <= max(60, 0.01 * goal[n])
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(5)).collect()))
+
+
 def test_rounding_is_fair():
     sizes = np.sort(np.random.default_rng(0).lognormal(5, 1, 40).round())[::-1]
     out = np.array([mixing.settle(sizes, np.full(40, 0.3), np.random.default_rng(k), True) for k in range(2000)])
@@ -455,19 +530,58 @@ def test_line_runs(spark):
     assert plan.count("Bucketed: true") >= 1
 
 
-def test_pipeline(spark, sf):
+def test_pipeline(spark):
+    """Every stage against brute force on what the stage before kept, with rows at the edges added to the documents."""
     import corpus_pipeline as cp
 
+    sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    seen = docs.count()
-    for name, step in cp.STAGES:
-        out = common.stage(step(spark, docs, sf), name)
-        assert out.columns[:5] == cp.COLUMNS and (name == "source_mixing" or out.count() <= seen)
-        docs, seen = out, out.count()
-    assert docs.columns == [*cp.COLUMNS, "copy"] and docs.where("copy > 2").isEmpty()
+    bench = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    base = [r.text for r in docs.orderBy("doc_id").limit(3).collect()]
+    odd = [(None, base[0], "en", "s", 1), (None, None, None, None, None), (1, "own words of a row that shares its id", "en", None, 3), (9001, "", "en", "s", 0), (9001, base[1] + " more", "de", "s", 1), (9002, "w " * 9000, "en", "s", 1), (9003, bench[0][1], "en", "t", 1)]
+    docs = common.stage(docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumn("copy", F.lit("clash")), "docs")
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    steps = dict(cp.STAGES)
+
+    def run(name):
+        out = common.stage(steps[name](spark, docs, sf), name)
+        assert out.columns == cp.COLUMNS if name != "source_mixing" else out.columns == [*cp.COLUMNS, "copy"]
+        return out, [tuple(r)[:5] for r in docs.select(*cp.COLUMNS).collect()], [tuple(r)[:5] for r in out.collect()]
+
+    docs, before, after = run("toxicity")
+    assert collections.Counter(after) == collections.Counter(r for r in before if naive_score(r[1], model) < toxicity.THRESHOLD)
+    docs, before, after = run("line_dedup")
+    assert collections.Counter((r[0], r[1]) for r in after) == collections.Counter({(i, t): n for (i, _, _, t), n in brute_lines([r[:2] for r in before], 10).items()}) and all(r[4] == len(r[1]) for r in after)
+    docs, before, after = run("ngram_jaccard_join")
+    before.sort(key=lambda r: (r[0] is not None, r[0] or 0))
+    groups, kept = collections.defaultdict(list), collections.Counter(after)
+    keyed = [(k, r[1]) for k, r in enumerate(before)]
+    for (k, n, g), r in zip(brute_groups(keyed, 5, 80), before, strict=True):
+        groups[(g,) if n else (r[0], r[1] or "")].append(r)
+    for members in groups.values():  # one of each group, with the smallest id, and nothing else
+        stay = [r for r in members if r in kept]
+        assert stay and stay[0][0] == members[0][0]
+    assert sum(kept.values()) == len(groups)
+    docs, before, after = run("benchmark_decontamination")
+    leaks = {i for i, _ in brute_leaks([(k, r[1]) for k, r in enumerate(before)], bench)}
+    assert leaks and collections.Counter(after) == collections.Counter(r for k, r in enumerate(before) if k not in leaks)
+    docs, before, after = run("source_mixing")
+    most = collections.Counter(before)
+    assert all(n <= 2 * most[r] for r, n in collections.Counter(after).items())
+    words_ = lambda rows: sum(len((r[1] or "").split()) for r in rows)
+    assert words_(after) == pytest.approx(1.5 * words_(before), rel=0.05)
     assert cp.ORACLE_SQL is None
 
 
+def test_pipeline_of_no_documents(spark, sf):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for name, step in cp.STAGES:
+        docs = common.stage(step(spark, docs, sf), name)
+        assert docs.columns[:5] == cp.COLUMNS and docs.count() == 0
+
+
 def test_near_copies_of_rows_that_share_an_id(spark, sf):
     import corpus_pipeline as cp
 
