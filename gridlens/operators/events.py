@@ -3,6 +3,9 @@
 Six kinds are runs of rows for which a mask holds, with short gaps allowed; what an event reports is reduced over all rows of its
 run, those in the gaps included. A load step is one event per row. Baselines (median voltage, mean and deviation of currents, mean
 power) are per session and skip NaN.
+
+Baselines come first (``per_session``); then one pass over the records finds everything: chunks with the few rows beyond their edges
+that gaps and steps look at, runs reduced within a chunk, and the runs that touch an edge put together across chunks.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlens.functions.electrical import above, below, imbalance_pct, not_outage, number, phases
-from gridlens.operators.sequence import INDEX, SESSION, halo_window, islands, own, rows_of, with_halo
+from gridlens.operators.sequence import CHUNK, INDEX, SESSION, halo_window, per_session, renumber, with_halo
 from gridlens.rules import EventRules
 
 KINDS = ("outage", "dip", "swell", "high_current", "freq_excursion", "imbalance_spike", "power_step")
@@ -19,9 +22,20 @@ COLUMNS = ["session_id", "id", "kind", "t_start", "t_end", "severity", "affected
 
 
 def nominal_voltage(records: DataFrame, fallback: float | None = None) -> DataFrame:
-    """``session_id, nominal_v``: exact median of all phase voltages over 50 V. A session without any gets ``fallback``, or no row."""
+    """``session_id, nominal_v``: exact median of all phase voltages over 50 V. A session without any gets ``fallback``, or no row.
+
+    Values are counted; counts by volt say in which volts the two middle values lie, and only those are put in order.
+    """
     v = records.select(SESSION, F.explode(F.array(*phases("V_LN_{}_avg_V"))).alias("v"))
-    found = v.where(above(F.col("v"), 50.0)).groupBy(SESSION).agg(F.percentile("v", F.lit(0.5)).alias("nominal_v"))
+    counts = v.where(above(F.col("v"), 50.0)).groupBy(SESSION, "v").agg(F.count("*").alias("n")).withColumn("_volt", F.floor("v"))
+    session = Window.partitionBy(SESSION).orderBy("_volt")
+    volts = counts.groupBy(SESSION, "_volt").agg(F.sum("n").alias("_n"))
+    volts = volts.withColumn("_to", F.sum("_n").over(session)).withColumn("_all", F.sum("_n").over(Window.partitionBy(SESSION)))
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1  # the places of both middle values, from 1
+    volts = volts.where((F.col("_to") >= low) & (F.col("_to") - F.col("_n") < high)).select(SESSION, "_volt", low.alias("_low"), high.alias("_high"), (F.col("_to") - F.col("_n")).alias("_before"))
+    rows = counts.join(volts, [SESSION, "_volt"]).withColumn("_to", F.col("_before") + F.sum("n").over(Window.partitionBy(SESSION, "_volt").orderBy("v")))
+    first = lambda c: F.min(F.when(F.col("_to") >= F.col(c), F.col("v")))
+    found = rows.groupBy(SESSION).agg(((first("_low") + first("_high")) / 2.0).alias("nominal_v"))
     if fallback is None:
         return found
     return records.select(SESSION).distinct().join(found, SESSION, "left").withColumn("nominal_v", F.coalesce("nominal_v", F.lit(float(fallback))))
@@ -40,14 +54,12 @@ def baselines(records: DataFrame, rules: EventRules) -> DataFrame:
     return records.groupBy(SESSION).agg(*aggs)
 
 
-def _prepared(records: DataFrame, nominal: DataFrame | float | None, rules: EventRules) -> DataFrame:
-    nominal = nominal_voltage(records) if nominal is None else nominal
-    rows = records.join(baselines(records, rules), SESSION)
-    if isinstance(nominal, DataFrame):
-        rows = rows.join(nominal, SESSION, "left")
-    else:
-        rows = rows.withColumn("nominal_v", F.lit(float(nominal)))
-    return rows.withColumn("on", not_outage(rules.outage_v))
+def session_limits(records: DataFrame, nominal: DataFrame | float | None, rules: EventRules) -> DataFrame:
+    """Per session what masks compare with: ``baselines`` and ``nominal_v``."""
+    limits = baselines(records, rules)
+    if isinstance(nominal, (int, float)):
+        return limits.withColumn("nominal_v", F.lit(float(nominal)))
+    return limits.join(nominal_voltage(records) if nominal is None else nominal.select(SESSION, "nominal_v"), SESSION, "left")
 
 
 def _any(parts: list[Column]) -> Column:
@@ -73,36 +85,74 @@ def masks(rules: EventRules) -> dict[tuple[str, str], Column]:
     return out
 
 
-def run_events(rows: DataFrame, rules: EventRules, kinds: tuple[str, ...] = KINDS) -> DataFrame:
-    """Events of the run-based kinds, from prepared rows."""
-    of = {k: m for k, m in masks(rules).items() if k[0] in kinds}
-    hits = F.array_compact(F.array(*[F.when(m, F.struct(F.lit(kind).alias("kind"), F.lit(phase).alias("phase"))) for (kind, phase), m in of.items()]))
-    true_rows = rows.select(SESSION, INDEX, F.explode(hits).alias("h")).select(SESSION, INDEX, "h.kind", "h.phase")
-    runs = islands(true_rows, rules.gap_tolerance, (SESSION, "kind", "phase")).where(F.col("hi") - F.col("lo") + 1 >= rules.min_duration)
-    every = rows_of(runs, rows)
-    mins, maxs, freq = phases("V_LN_{}_min_V"), phases("V_LN_{}_max_V"), F.col("freq_avg_Hz").cast("double") - rules.nominal_hz
+def _members(rows: DataFrame, rules: EventRules, kinds: tuple[str, ...]) -> DataFrame:
+    """Each row once for every event it is part of, with ``kind``, ``phase`` and ``_chunk``; of prepared rows."""
+    gap, flags, members = int(rules.gap_tolerance), {k: m for k, m in masks(rules).items() if k[0] in kinds}, []
+    rows = with_halo(rows.withColumns({f"_m{k}": m for k, m in enumerate(flags.values())}), max(1, gap), gap)
+    index = F.col(INDEX)
+    for k in range(len(flags)):
+        mine = F.col(f"_m{k}")
+        if gap:
+            last = F.max(F.when(mine, index)).over(halo_window().rowsBetween(-gap, -1))
+            ahead = F.min(F.when(mine, index)).over(halo_window().rowsBetween(1, gap))
+            mine = mine | F.coalesce(ahead - last <= gap + 1, F.lit(False))
+        members.append(mine)
+    change = F.lit(None).cast("double")
+    if "power_step" in kinds:
+        p = F.col("P_total_avg_W").cast("double")
+        change = p - F.when(F.lag("on").over(halo_window()), F.lag(p).over(halo_window()))
+    rows = rows.withColumns({f"_r{k}": m for k, m in enumerate(members)} | {"change": change}).where("_own")
+    hits = [F.when(F.col(f"_r{k}"), F.struct(F.lit(kind).alias("kind"), F.lit(phase).alias("phase"))) for k, (kind, phase) in enumerate(flags)]
+    if "power_step" in kinds:
+        step = F.col("on") & (F.col("step_w") > 0) & above(F.abs("change"), F.col("step_w"))
+        hits.append(F.when(F.coalesce(step, F.lit(False)), F.struct(F.lit("power_step").alias("kind"), F.lit("").alias("phase"))))
+    return rows.withColumn("_h", F.explode(F.array_compact(F.array(*hits)))).select("*", "_h.kind", "_h.phase")
+
+
+def _runs(members: DataFrame, gap: int, nominal_hz: float) -> DataFrame:
+    """One row per run with what its severity needs; runs that end at a chunk's edge are put together."""
+    step, index = F.col("kind") == "power_step", F.col(INDEX)
+    within = Window.partitionBy(SESSION, "_chunk", "kind", "phase").orderBy(INDEX)
+    last = F.lag(INDEX).over(within)
+    rows = members.withColumn("_new", F.when(step | last.isNull() | (index - last > gap + 1), 1).otherwise(0)).withColumn("_run", F.sum("_new").over(within))
+    freq = F.col("freq_avg_Hz").cast("double") - nominal_hz
     clean = lambda c: F.when(~F.isnan(c), c)
-    aggs = [F.min(clean(v)).alias(f"min_{p}") for p, v in zip("abc", mins, strict=True)]
-    aggs += [F.max(clean(v)).alias(f"max_{p}") for p, v in zip("abc", maxs, strict=True)]
-    aggs += [F.max(clean(F.col(f"I_{p}_max_A").cast("double"))).alias(f"amp_{p}") for p in "abc"]
-    aggs += [
-        F.max(F.when(~F.isnan(freq), F.struct(F.abs(freq).alias("size"), (-F.col(INDEX)).alias("back"), freq.alias("by")))).alias("swing"),
-        F.max(F.when(F.col("on"), clean(imbalance_pct()))).alias("spread"),
-        F.min_by("t_start", INDEX).alias("t_start"),
-        F.max_by("t_end", INDEX).alias("t_end"),
-        F.first("nominal_v").alias("nominal_v"),
-    ]
-    got = every.groupBy(SESSION, "kind", "phase", "lo", "hi").agg(*aggs)
+    values = {f"min_{p}": (F.min, clean(v)) for p, v in zip("abc", phases("V_LN_{}_min_V"), strict=True)}
+    values |= {f"max_{p}": (F.max, clean(v)) for p, v in zip("abc", phases("V_LN_{}_max_V"), strict=True)}
+    values |= {f"amp_{p}": (F.max, clean(F.col(f"I_{p}_max_A").cast("double"))) for p in "abc"}
+    values |= {
+        "swing": (F.max, F.when(~F.isnan(freq), F.struct(F.abs(freq).alias("size"), (-index).alias("back"), freq.alias("by")))),
+        "spread": (F.max, F.when(F.col("on"), clean(imbalance_pct()))),
+        "change": (F.max, F.col("change")),
+        "nominal_v": (F.max, F.col("nominal_v")),
+        "begin": (F.min, F.struct(index.alias("at"), F.col("t_start").alias("t"))),
+        "finish": (F.max, F.struct(index.alias("at"), F.col("t_end").alias("t"))),
+    }
+    parts = rows.groupBy(SESSION, "_chunk", "kind", "phase", "_run").agg(*[f(c).alias(n) for n, (f, c) in values.items()])
+    # only runs at edges can go on in another chunk; the others stay apart by chunk
+    edge = ~step & ((F.col("begin.at") % CHUNK <= gap) | (F.col("finish.at") % CHUNK >= CHUNK - 1 - gap))
+    parts = parts.withColumn("_apart", F.when(edge, -1).otherwise(F.col("_chunk")))
+    across = Window.partitionBy(SESSION, "kind", "phase", "_apart").orderBy("begin.at")
+    last = F.lag("finish.at").over(across)
+    parts = parts.withColumn("_new", F.when(step | last.isNull() | (F.col("begin.at") - last > gap + 1), 1).otherwise(0)).withColumn("_run", F.sum("_new").over(across))
+    return parts.groupBy(SESSION, "kind", "phase", "_apart", "_run").agg(*[f(n).alias(n) for n, (f, _) in values.items()]).drop("_apart", "_run")
+
+
+def run_events(rows: DataFrame, rules: EventRules, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """Events of the kinds, not numbered, from prepared rows: records with ``session_limits`` and ``on``."""
+    got = _runs(_members(rows, rules, kinds), int(rules.gap_tolerance), rules.nominal_hz)
+    kind = F.col("kind")
+    got = got.where((kind == "power_step") | (F.col("finish.at") - F.col("begin.at") + 1 >= rules.min_duration))
     low, high = F.col("nominal_v") * rules.dip, F.col("nominal_v") * rules.swell
     dipped = [F.when(F.col(f"min_{p}") < low, F.col(f"min_{p}")) for p in "abc"]
     swelled = [F.when(F.col(f"max_{p}") > high, F.col(f"max_{p}")) for p in "abc"]
-    kind = F.col("kind")
     severity = (
         F.when(kind == "outage", F.array_min(F.array(*[F.col(f"min_{p}") for p in "abc"])))
         .when(kind == "dip", F.array_min(F.array(*dipped)) / F.col("nominal_v"))
         .when(kind == "swell", F.array_max(F.array(*swelled)) / F.col("nominal_v"))
         .when(kind == "freq_excursion", F.col("swing.by"))
         .when(kind == "imbalance_spike", F.col("spread"))
+        .when(kind == "power_step", F.col("change"))
     )
     for p in "abc":
         severity = F.when((kind == "high_current") & (F.col("phase") == p), F.col(f"amp_{p}")).otherwise(severity)
@@ -114,38 +164,20 @@ def run_events(rows: DataFrame, rules: EventRules, kinds: tuple[str, ...] = KIND
         .when(kind == "freq_excursion", F.array().cast("array<string>"))
         .otherwise(F.array(*[F.lit(p) for p in "abc"]))
     )
-    return got.select(SESSION, "kind", "t_start", "t_end", severity.alias("severity"), affected.alias("affected_phases"), "phase", "lo")
-
-
-def power_steps(rows: DataFrame) -> DataFrame:
-    """One event for each row whose power differs by more than a step from the row before."""
-    rows = with_halo(rows.select(SESSION, INDEX, "t_start", "t_end", "on", "step_w", F.col("P_total_avg_W").cast("double").alias("p")), 1)
-    w = halo_window()
-    rows = own(rows.withColumn("before", F.when(F.lag("on").over(w), F.lag("p").over(w))))
-    change = F.col("p") - F.col("before")
-    hit = F.col("on") & (F.col("step_w") > 0) & above(F.abs(change), F.col("step_w"))
-    return rows.where(F.coalesce(hit, F.lit(False))).select(
-        SESSION, F.lit("power_step").alias("kind"), "t_start", "t_end", change.alias("severity"), F.array(*[F.lit(p) for p in "abc"]).alias("affected_phases"), F.lit("").alias("phase"), F.col(INDEX).alias("lo")
-    )
+    return got.select(SESSION, "kind", F.col("begin.t").alias("t_start"), F.col("finish.t").alias("t_end"), severity.alias("severity"), affected.alias("affected_phases"), "phase", F.col("begin.at").alias("lo"))
 
 
 def numbered(events: DataFrame) -> DataFrame:
-    """Ids from 0 within a session, by start, kind, phase and place."""
-    w = Window.partitionBy(SESSION).orderBy("t_start", "kind", "phase", "lo")
-    return events.withColumn("id", F.row_number().over(w) - 1).select(*COLUMNS)
+    """Ids from 0 within a session, by start, kind, phase and place; counted by days, so that no task sorts a session."""
+    rows = events.withColumn("_us", F.unix_micros(F.col("t_start").cast("timestamp")))
+    return renumber(rows, order="_us", into="id", span=86_400_000_000, ties=("kind", "phase", "lo")).withColumn("id", F.col("id").cast("int")).select(*COLUMNS)
 
 
 def detect_events(records: DataFrame, nominal: DataFrame | float | None = None, rules: EventRules | None = None, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """All events of each session: ``session_id, id, kind, t_start, t_end, severity, affected_phases``."""
     rules = rules or EventRules()
-    rows = _prepared(records, nominal, rules)
-    found = None
-    if set(kinds) - {"power_step"}:
-        found = run_events(rows, rules, kinds)
-    if "power_step" in kinds:
-        steps = power_steps(rows)
-        found = steps if found is None else found.unionByName(steps)
-    return numbered(found)
+    rows = records.join(per_session(session_limits(records, nominal, rules)), SESSION).withColumn("on", not_outage(rules.outage_v))
+    return numbered(run_events(rows, rules, kinds))
 
 
 def count_by_kind(events: DataFrame) -> DataFrame:

@@ -14,13 +14,22 @@ CHUNK = 1 << 16
 SESSION, INDEX = "session_id", "record_index"
 
 
-def renumber(rows: DataFrame, keys: list[str] | None = None, order: str = INDEX, into: str = INDEX, span: int = CHUNK) -> DataFrame:
-    """Number each key's rows 0, 1, 2, ... in the order of a LONG column; a count per span of it, then places within spans."""
+def per_session(rows: DataFrame, most: int = 100_000) -> DataFrame:
+    """A table of one row per session, to be joined to records.
+
+    Up to ``most`` rows are computed now, once, and joined by broadcast; more stay a plan, joined as the optimizer sees fit.
+    """
+    got = rows.limit(most + 1).toArrow()
+    return rows if got.num_rows > most else F.broadcast(rows.sparkSession.createDataFrame(got))
+
+
+def renumber(rows: DataFrame, keys: list[str] | None = None, order: str = INDEX, into: str = INDEX, span: int = CHUNK, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Number each key's rows 0, 1, 2, ... in the order of a LONG column (and ``ties``); a count per span of it, then places within spans."""
     keys = keys or [SESSION]
     rows = rows.withColumn("_span", F.floor(F.col(order) / span))
     before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     offset = rows.groupBy(*keys, "_span").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    place = F.row_number().over(Window.partitionBy(*keys, "_span").orderBy(order)) - 1
+    place = F.row_number().over(Window.partitionBy(*keys, "_span").orderBy(order, *ties)) - 1
     return rows.withColumn("_place", place).join(offset, [*keys, "_span"]).withColumn(into, F.col("_before") + F.col("_place")).drop("_span", "_place", "_before")
 
 

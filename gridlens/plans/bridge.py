@@ -44,9 +44,9 @@ from v
 
 
 def one_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rows as session 0."""
+    """All rows as session 0 (so many rows to a session; a column, as sessions are, and not a constant)."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return spark.sql(PROJECTION.replace("from events)", "from {events})"), events=events).withColumn("session_id", F.lit(0))
+    return spark.sql(PROJECTION.replace("from events)", "from {events})"), events=events).withColumn("session_id", F.floor(F.col("record_index") / 1e12).cast("int"))
 
 
 def by_days(spark: SparkSession, sf_dir: str) -> DataFrame:
