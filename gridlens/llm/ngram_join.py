@@ -401,8 +401,8 @@ def row_groups(rows: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Dat
     near = met.where(F.col("kind") == NEAR).select("doc_id", "other").union(close)
 
     block = components(near, "doc_id", "other")
-    sizes = block.groupBy(F.col("component").alias("block")).agg(F.count("*").alias("members"))
-    tiled = block.select(F.col("id").alias("doc_id"), F.col("component").alias("block")).join(sizes, "block")
+    sizes = block.groupBy(F.col("component").alias("block")).agg(F.count("*").alias("members")).withColumn("k", F.col("members"))
+    tiled = join_hot(block.select(F.col("id").alias("doc_id"), F.col("component").alias("block")), sizes, ["block"], block.count())
     tiles = F.ceil(F.col("members") / TILE).cast("long")
     tiled = tiled.select("doc_id", "block", tiles.alias("tiles"), F.pmod(F.xxhash64("doc_id"), tiles).alias("tile"))
     # the texts of candidates move once; what comes after reads them from there
