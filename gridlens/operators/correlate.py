@@ -9,48 +9,53 @@ from gridlens.functions.electrical import seconds_between
 from gridlens.operators.sequence import INDEX, SESSION, halo_window, own, with_halo
 
 
-def nearest_events(marks: DataFrame, events: DataFrame) -> DataFrame:
+def nearest_events(marks: DataFrame, events: DataFrame, slot_s: int = 3600) -> DataFrame:
     """Each mark (``time, label``) with the event whose start is nearest, the first of equally near ones, and ``offset_secs``, mark less event.
 
-    Marks and events are put in one order of time; the last event at or before a mark and the first after it are its
-    candidates. A mark stays without an event where there is none. Marks may carry ``session_id``.
+    Marks and events are put in one order of time, slot by slot; the last event at or before a mark and the first after it are its
+    candidates. Where a slot has none, the last of the slots before and the first of those after stand in: those come from one
+    row per slot. A mark stays without an event where there is none. Marks may carry ``session_id``.
     """
     keys = [SESSION] if SESSION in marks.columns else []
-    starts = events.groupBy(*keys, F.col("t_start").alias("at")).agg(F.min(F.struct("id", "kind")).alias("e")).withColumn("label", F.lit(None).cast("string"))
-    asked = marks.select(*keys, F.col("time").alias("at"), F.lit(None).cast("struct<id:int,kind:string>").alias("e"), "label").withColumn("mark", F.lit(1))
-    starts = starts.select(*keys, "at", F.struct(F.col("e.id").cast("int").alias("id"), "e.kind").alias("e"), "label").withColumn("mark", F.lit(0))
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    own_ = F.when(F.col("mark") == 0, F.struct("at", "e"))
+    slot = lambda: F.floor(F.unix_micros(F.col("at").cast("timestamp")) / F.lit(slot_s * 1_000_000))
+    kind = "struct<id:int,kind:string>"
+    starts = events.groupBy(*keys, F.col("t_start").alias("at")).agg(F.min(F.struct("id", "kind")).alias("e"))
+    starts = starts.select(*keys, "at", F.struct(F.col("e.id").cast("int").alias("id"), "e.kind").cast(kind).alias("e"), F.lit(None).cast("string").alias("label"), F.lit(0).alias("mark"), slot().alias("_slot"))
+    asked = marks.select(*keys, F.col("time").alias("at"), F.lit(None).cast(kind).alias("e"), "label", F.lit(1).alias("mark"), slot().alias("_slot"))
+    event = F.when(F.col("mark") == 0, F.struct("at", "e"))
     both = starts.unionByName(asked)
-    both = both.withColumn("before", F.last(own_, True).over(w.orderBy("at", "mark"))).withColumn("after", F.first(own_, True).over(w.orderBy("at", "mark").rowsBetween(1, Window.unboundedFollowing)))
+    # one row per slot: its first and last event, and those of the slots around it
+    slots = both.groupBy(*keys, "_slot").agg(F.min(event).alias("_first"), F.max(event).alias("_last"))
+    line = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_slot")
+    slots = slots.select(*keys, "_slot", F.last("_last", True).over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("_prior"), F.first("_first", True).over(line.rowsBetween(1, Window.unboundedFollowing)).alias("_next"))
+    w = Window.partitionBy(*keys, "_slot").orderBy("at", "mark")
+    rows = both.withColumn("before", F.last(event, True).over(w)).withColumn("after", F.first(event, True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    rows = rows.where("mark = 1").join(slots, [*keys, "_slot"]).withColumns({"before": F.coalesce("before", "_prior"), "after": F.coalesce("after", "_next")})
     gap = lambda c: seconds_between(F.col(f"{c}.at"), F.col("at"))
     later = F.col("after").isNotNull() & (F.col("before").isNull() | (F.abs(gap("after")) < F.abs(gap("before"))) | ((F.abs(gap("after")) == F.abs(gap("before"))) & (F.col("after.e.id") < F.col("before.e.id"))))
-    near = F.when(later, F.col("after")).otherwise(F.col("before"))
-    out = both.where("mark = 1").withColumn("near", near)
+    out = rows.withColumn("near", F.when(later, F.col("after")).otherwise(F.col("before")))
     return out.select(*keys, F.col("at").alias("marker_time"), "label", F.col("near.e.id").alias("event_id"), F.col("near.e.kind").alias("event_kind"), F.col("near.at").alias("event_start"), seconds_between(F.col("near.at"), F.col("at")).alias("offset_secs"))
 
 
 def outage_signatures(events: DataFrame, window_s: int = 30) -> DataFrame:
     """Each outage with the first leading dip, trailing over-current and trailing dip within the window, and its severity.
 
-    Joined on time slots as wide as the window, so an outage meets only the events near it.
+    One join on time slots as wide as the window: an outage meets only the events near it, each in the role it may have.
     """
     slot = lambda t: F.floor(F.unix_micros(t.cast("timestamp")) / F.lit(window_s * 1_000_000))
-    outages = events.where("kind = 'outage'").select(SESSION, "id", "t_start", "t_end")
-
-    def first_of(kind: str, edge: str, back: bool, name: str) -> DataFrame:
-        at = F.col("t_start") if back else F.col("t_end")
-        slots = F.array(slot(at) - 1, slot(at)) if back else F.array(slot(at), slot(at) + 1)
-        mine = outages.select(SESSION, F.col("id").alias("o"), at.alias("at"), F.explode(slots).alias("s"))
-        theirs = events.where(F.col("kind") == kind).select(SESSION, F.col("id").alias("e"), F.col(edge).alias("edge"), F.col("severity").alias("sev"), F.array_join("affected_phases", "/").alias("ph"), slot(F.col(edge)).alias("s"))
-        gap = seconds_between(F.col("edge"), F.col("at"))
-        near = (gap >= 0) & (gap <= window_s) if back else (gap <= 0) & (gap >= -window_s)
-        got = mine.join(theirs, [SESSION, "s"]).where(near).groupBy(SESSION, F.col("o").alias("id")).agg(F.min(F.struct("e", "sev", "ph")).alias(name))
-        return got
-
-    out = outages
-    for part in (first_of("dip", "t_end", True, "lead"), first_of("high_current", "t_start", False, "inrush"), first_of("dip", "t_start", False, "trail")):
-        out = out.join(part, [SESSION, "id"], "left")
+    role = lambda name, at, *slots: F.struct(F.lit(name).alias("role"), F.col(at).alias("at"), *slots)
+    here = lambda at: F.array(slot(F.col(at))).alias("slots")
+    dip, inrush = F.array(role("lead", "t_end", here("t_end")), role("trail", "t_start", here("t_start"))), F.array(role("inrush", "t_start", here("t_start")))
+    theirs = events.where("kind in ('dip', 'high_current')").select(SESSION, F.struct(F.col("id").alias("e"), F.col("severity").alias("sev"), F.array_join("affected_phases", "/").alias("ph")).alias("found"), F.explode(F.when(F.col("kind") == "dip", dip).otherwise(inrush)).alias("r"))
+    theirs = theirs.select(SESSION, "found", "r.role", F.col("r.at").alias("edge"), F.explode("r.slots").alias("s"))
+    start, end = slot(F.col("t_start")), slot(F.col("t_end"))
+    asked = F.array(role("lead", "t_start", F.array(start - 1, start).alias("slots")), role("inrush", "t_end", F.array(end, end + 1).alias("slots")), role("trail", "t_end", F.array(end, end + 1).alias("slots")))
+    mine = events.where("kind = 'outage'").select(SESSION, "id", "t_start", "t_end", F.explode(asked).alias("r"))
+    mine = mine.select(SESSION, "id", "t_start", "t_end", "r.role", "r.at", F.explode("r.slots").alias("s"))
+    gap = seconds_between(F.col("edge"), F.col("at"))
+    near = F.when(F.col("role") == "lead", (gap >= 0) & (gap <= window_s)).otherwise((gap <= 0) & (gap >= -window_s))
+    first = lambda name: F.min(F.when((F.col("role") == name) & near, F.col("found"))).alias(name)
+    out = mine.join(theirs, [SESSION, "role", "s"], "left").groupBy(SESSION, "id", "t_start", "t_end").agg(first("lead"), first("inrush"), first("trail"))
     duration = F.floor(seconds_between(F.col("t_start"), F.col("t_end"))).cast("long")
     trail = F.when(F.col("trail.e").isNull() | (F.col("trail.e") == F.coalesce("lead.e", F.lit(-1))), None).otherwise(F.col("trail"))
     return out.select(

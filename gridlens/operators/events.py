@@ -43,14 +43,14 @@ def nominal_voltage(records: DataFrame, fallback: float | None = None) -> DataFr
 
 def baselines(records: DataFrame, rules: EventRules) -> DataFrame:
     """Per session: limits of the phase currents (null: none) and the size of a load step."""
-    on = not_outage(rules.outage_v)
+    on = not_outage(rules.outage_v_threshold)
     aggs = []
     for p in "abc":
         i = F.when(on, number(f"I_{p}_max_A"))
         sd = F.stddev_pop(i)
         aggs.append(F.when((F.count(i) >= 2) & (sd > 0), F.avg(i) + rules.high_current_sigma * sd).alias(f"limit_{p}"))
     power = F.when(on, F.abs(number("P_total_avg_W")))
-    aggs.append(F.when(F.count(power) >= 2, F.avg(power) * rules.power_step).alias("step_w"))
+    aggs.append(F.when(F.count(power) >= 2, F.avg(power) * rules.power_step_pct_of_mean).alias("step_w"))
     return records.groupBy(SESSION).agg(*aggs)
 
 
@@ -71,7 +71,7 @@ def _any(parts: list[Column]) -> Column:
 
 def masks(rules: EventRules) -> dict[tuple[str, str], Column]:
     """(kind, phase) -> whether a prepared row belongs to it; the phase is '' where the event is of all."""
-    low, high = F.col("nominal_v") * rules.dip, F.col("nominal_v") * rules.swell
+    low, high = F.col("nominal_v") * rules.dip_pct_of_nominal, F.col("nominal_v") * rules.swell_pct_of_nominal
     freq = F.col("freq_avg_Hz").cast("double")
     out = {
         ("outage", ""): ~F.col("on"),
@@ -80,14 +80,14 @@ def masks(rules: EventRules) -> dict[tuple[str, str], Column]:
     }
     for p in "abc":
         out["high_current", p] = F.col("on") & above(F.col(f"I_{p}_max_A").cast("double"), F.col(f"limit_{p}"))
-    out["freq_excursion", ""] = F.col("on") & above(F.abs(freq - rules.nominal_hz), rules.freq_hz)
-    out["imbalance_spike", ""] = F.col("on") & above(imbalance_pct(), rules.imbalance_pct)
+    out["freq_excursion", ""] = F.col("on") & above(F.abs(freq - rules.nominal_freq_hz), rules.freq_excursion_hz)
+    out["imbalance_spike", ""] = F.col("on") & above(imbalance_pct(), rules.imbalance_pct_threshold)
     return out
 
 
 def _members(rows: DataFrame, rules: EventRules, kinds: tuple[str, ...]) -> DataFrame:
     """Each row once for every event it is part of, with ``kind``, ``phase`` and ``_chunk``; of prepared rows."""
-    gap, flags, members = int(rules.gap_tolerance), {k: m for k, m in masks(rules).items() if k[0] in kinds}, []
+    gap, flags, members = int(rules.gap_tolerance_secs), {k: m for k, m in masks(rules).items() if k[0] in kinds}, []
     rows = with_halo(rows.withColumns({f"_m{k}": m for k, m in enumerate(flags.values())}), max(1, gap), gap)
     index = F.col(INDEX)
     for k in range(len(flags)):
@@ -140,10 +140,10 @@ def _runs(members: DataFrame, gap: int, nominal_hz: float) -> DataFrame:
 
 def run_events(rows: DataFrame, rules: EventRules, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """Events of the kinds, not numbered, from prepared rows: records with ``session_limits`` and ``on``."""
-    got = _runs(_members(rows, rules, kinds), int(rules.gap_tolerance), rules.nominal_hz)
+    got = _runs(_members(rows, rules, kinds), int(rules.gap_tolerance_secs), rules.nominal_freq_hz)
     kind = F.col("kind")
-    got = got.where((kind == "power_step") | (F.col("finish.at") - F.col("begin.at") + 1 >= rules.min_duration))
-    low, high = F.col("nominal_v") * rules.dip, F.col("nominal_v") * rules.swell
+    got = got.where((kind == "power_step") | (F.col("finish.at") - F.col("begin.at") + 1 >= rules.min_duration_secs))
+    low, high = F.col("nominal_v") * rules.dip_pct_of_nominal, F.col("nominal_v") * rules.swell_pct_of_nominal
     dipped = [F.when(F.col(f"min_{p}") < low, F.col(f"min_{p}")) for p in "abc"]
     swelled = [F.when(F.col(f"max_{p}") > high, F.col(f"max_{p}")) for p in "abc"]
     severity = (
@@ -176,7 +176,7 @@ def numbered(events: DataFrame) -> DataFrame:
 def detect_events(records: DataFrame, nominal: DataFrame | float | None = None, rules: EventRules | None = None, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """All events of each session: ``session_id, id, kind, t_start, t_end, severity, affected_phases``."""
     rules = rules or EventRules()
-    rows = records.join(per_session(session_limits(records, nominal, rules)), SESSION).withColumn("on", not_outage(rules.outage_v))
+    rows = records.join(per_session(session_limits(records, nominal, rules)), SESSION).withColumn("on", not_outage(rules.outage_v_threshold))
     return numbered(run_events(rows, rules, kinds))
 
 

@@ -23,7 +23,7 @@ NOMINAL = 277.0
 WINDOW = ("2024-01-05 00:00:00", "2024-01-12 00:00:00")
 THREE = ShiftSet.parse("A=06:00-14:00,B=14:00-22:00,C=22:00-06:00")
 PARTIAL = ShiftSet.parse("early=05:00-12:30,late=12:00-20:00")
-CUSTOM = EventRules(dip=0.95, swell=1.05, freq_hz=0.1, imbalance_pct=3.0, high_current_sigma=1.5, power_step=1.0, min_duration=2, gap_tolerance=3)
+CUSTOM = EventRules(dip_pct_of_nominal=0.95, swell_pct_of_nominal=1.05, freq_excursion_hz=0.1, imbalance_pct_threshold=3.0, high_current_sigma=1.5, power_step_pct_of_mean=1.0, min_duration_secs=2, gap_tolerance_secs=3)
 TARIFF = Tariff("EUR", 0.31, 0.19, ((7, 11), (17, 21), (23, 1)))
 FEW = ["session_id", "record_index", "t_start"]
 
@@ -165,7 +165,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "current_spike_ratio": _days(findings.current_ratios),
         "breaker_context": _finding(findings.current_spike_ratio, FindingRules(breaker_rating_a=5000.0)),
         "breaker_margin": _finding(findings.breaker_margin, FindingRules(breaker_rating_a=1200.0)),
-        "findings": _one(lambda r: findings.analyze(r, _events(r, EventRules(power_step=1.5)), FindingRules(outage_dip_window_secs=600)).drop("headline", "related_event_ids", "recommended_actions")),
+        "findings": _one(lambda r: findings.analyze(r, _events(r, EventRules(power_step_pct_of_mean=1.5)), FindingRules(outage_dip_window_secs=600)).drop("headline", "related_event_ids", "recommended_actions")),
         # sessions
         "stitch": _days(lambda r: stitch.stitch(r).select("record_index", "source", "t_start")),
         "stitch_sources": _days(stitch.sources),

@@ -9,18 +9,19 @@ from datetime import timedelta
 from pathlib import Path
 
 
+# The keys of rules files and their defaults.
 @dataclass(frozen=True)
 class EventRules:
-    outage_v: float = 50.0
-    dip: float = 0.90
-    swell: float = 1.10
+    outage_v_threshold: float = 50.0
+    dip_pct_of_nominal: float = 0.90
+    swell_pct_of_nominal: float = 1.10
     high_current_sigma: float = 2.0
-    freq_hz: float = 0.5
-    imbalance_pct: float = 2.5
-    power_step: float = 0.50
-    min_duration: int = 1
-    gap_tolerance: int = 1
-    nominal_hz: float = 60.0
+    freq_excursion_hz: float = 0.5
+    imbalance_pct_threshold: float = 2.5
+    power_step_pct_of_mean: float = 0.50
+    min_duration_secs: int = 1
+    gap_tolerance_secs: int = 1
+    nominal_freq_hz: float = 60.0
 
 
 @dataclass(frozen=True)
@@ -52,15 +53,16 @@ def load_rules(path: str | Path, asset: str | None = None, base: EventRules | No
     """Rules of a JSON or TOML file over ``base``: flat, or ``defaults`` and then ``assets`` by name (else its ``default``)."""
     path = Path(path)
     found = tomllib.loads(path.read_text("utf-8")) if path.suffix == ".toml" else json.loads(path.read_text("utf-8"))
+    if not isinstance(found, dict):
+        raise ValueError(f"{path}: no table of rules")
     layers = [found]
-    if "defaults" in found or "assets" in found:
+    if found.keys() & {"defaults", "assets"}:
         assets = found.get("assets") or {}
-        layers = [found.get("defaults") or {}, assets.get(asset) or assets.get("default") or {}]
-    rules = base or EventRules()
-    kinds = {f.name: f.type for f in fields(EventRules)}
-    for layer in layers:
-        if unknown := set(layer) - set(kinds):
-            raise ValueError(f"unknown rule: {', '.join(sorted(unknown))}")
+        layers = [found.get("defaults"), assets.get(asset if asset in assets else "default")]
+    rules, kinds = base or EventRules(), {f.name: f.type for f in fields(EventRules)}
+    for layer in filter(None, layers):
+        if unknown := layer.keys() - kinds.keys():
+            raise ValueError(f"{path}: unknown rule {', '.join(sorted(unknown))}; known are {', '.join(sorted(kinds))}")
         rules = replace(rules, **{k: int(v) if kinds[k] == "int" else float(v) for k, v in layer.items()})
     return rules
 

@@ -28,7 +28,7 @@ def run_events(records: DataFrame, nominal_v: float, limits: dict[str, float] |
     """Events of the run-based kinds as session windows of their rows: a run ends after ``gap`` without one."""
     rules = rules or EventRules()
     limits = limits or {}
-    rows = records.withColumns({"on": not_outage(rules.outage_v), "nominal_v": F.lit(float(nominal_v)), **{f"limit_{p}": F.lit(limits.get(p)).cast("double") for p in "abc"}})
+    rows = records.withColumns({"on": not_outage(rules.outage_v_threshold), "nominal_v": F.lit(float(nominal_v)), **{f"limit_{p}": F.lit(limits.get(p)).cast("double") for p in "abc"}})
     hits = F.array_compact(F.array(*[F.when(m, F.struct(F.lit(k).alias("kind"), F.lit(ph).alias("phase"))) for (k, ph), m in masks(rules).items()]))
     low, high = phases("V_LN_{}_min_V"), phases("V_LN_{}_max_V")
     rows = rows.withWatermark("t_start", late).withColumn("h", F.explode(hits))

@@ -34,7 +34,7 @@ def test_gap_of_one_row_is_tolerated_and_reduced_over(spark):
 
 def test_minimum_duration(spark):
     rows = session(spark, 60, [(10, 10, {"V_LN_a_min_V": 200.0}), (20, 22, {"V_LN_a_min_V": 200.0})])
-    assert len(found(events.detect_events(rows, 277.0, EventRules(min_duration=3)), "dip")) == 1
+    assert len(found(events.detect_events(rows, 277.0, EventRules(min_duration_secs=3)), "dip")) == 1
 
 
 def test_nan_never_makes_an_event_but_an_outage(spark):

@@ -19,15 +19,19 @@ def test_layout():
 
 
 def test_rules_files(tmp_path):
-    (tmp_path / "r.json").write_text(json.dumps({"defaults": {"dip": 0.8}, "assets": {"x": {"gap_tolerance": 4}, "default": {"dip": 0.7}}}))
-    assert load_rules(tmp_path / "r.json", "x") == EventRules(dip=0.8, gap_tolerance=4)
-    assert load_rules(tmp_path / "r.json", "y").dip == 0.7
-    (tmp_path / "r.toml").write_text("swell = 1.2\n")
-    rules = load_rules(tmp_path / "r.toml")
-    assert describe_overrides(rules) == ["swell: 1.1 -> 1.2"]
-    (tmp_path / "bad.json").write_text('{"nope": 1}')
-    with pytest.raises(ValueError):
-        load_rules(tmp_path / "bad.json")
+    (tmp_path / "r.json").write_text(json.dumps({"defaults": {"dip_pct_of_nominal": 0.92}, "assets": {"P1": {"outage_v_threshold": 60, "gap_tolerance_secs": 4.0}, "bare": {}, "default": {"freq_excursion_hz": 0.4}}}))
+    rules = load_rules(tmp_path / "r.json", "P1")
+    assert rules == EventRules(dip_pct_of_nominal=0.92, outage_v_threshold=60.0, gap_tolerance_secs=4) and isinstance(rules.gap_tolerance_secs, int) and isinstance(rules.outage_v_threshold, float)
+    assert load_rules(tmp_path / "r.json", "other") == load_rules(tmp_path / "r.json") == EventRules(dip_pct_of_nominal=0.92, freq_excursion_hz=0.4)
+    assert load_rules(tmp_path / "r.json", "bare") == EventRules(dip_pct_of_nominal=0.92)
+    (tmp_path / "r.toml").write_text('[defaults]\ndip_pct_of_nominal = 0.92\n[assets."P1"]\nswell_pct_of_nominal = 1.08\n')
+    assert load_rules(tmp_path / "r.toml", "P1") == EventRules(dip_pct_of_nominal=0.92, swell_pct_of_nominal=1.08)
+    (tmp_path / "flat.toml").write_text("high_current_sigma = 3\nmin_duration_secs = 2\n")
+    assert describe_overrides(load_rules(tmp_path / "flat.toml")) == ["high_current_sigma: 2.0 -> 3.0", "min_duration_secs: 1 -> 2"]
+    for name, text in (("bad.json", '{"nope": 1}'), ("list.json", "[1]")):
+        (tmp_path / name).write_text(text)
+        with pytest.raises(ValueError):
+            load_rules(tmp_path / name)
 
 
 def test_shifts(spark, tmp_path):
