@@ -118,8 +118,3 @@ def decimate(records: DataFrame, channel: str, target: int = 4000) -> DataFrame:
     chosen = got.select(SESSION, F.explode(F.array_distinct(F.array(F.coalesce("low", "first"), F.coalesce("high", "first")))).alias(INDEX))
     thin = rows.where(F.col("_n") > target).join(chosen, [SESSION, INDEX], "left_semi")
     return thin.unionByName(rows.where(F.col("_n") <= target)).drop("_n")
-
-
-def session_rank(rows: DataFrame, by: str) -> DataFrame:
-    """Sessions numbered from 0 in the order of ``by``; ``rows`` has one row for each."""
-    return rows.withColumn("ordinal", F.row_number().over(Window.orderBy(by, SESSION)) - 1)

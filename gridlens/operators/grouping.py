@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridlens.functions.calendar import bucket_label, local, minute_of_day, plus_seconds, shift_name, with_bucket
 from gridlens.functions.electrical import above, finite, mean_phase_current, number, phases, seconds_between
 from gridlens.operators.rolling import demand_peak
-from gridlens.operators.sequence import INDEX, SESSION, halo_window, islands, own, renumber, with_halo
+from gridlens.operators.sequence import INDEX, SESSION, islands, renumber
 from gridlens.operators.stats import _or0, _pooled, pooled_quantiles
 from gridlens.rules import Period, ShiftSet
 
@@ -128,8 +128,3 @@ def time_of_day(records: DataFrame, window: tuple[int, int] = (0, 1440), bin_min
     got = rows.groupBy(SESSION, "_b").agg(F.count("*").alias("n"), F.count_distinct(F.to_date("t_start")).alias("n_days"), *aggs)
     label = F.format_string("%02d:%02d", F.floor(F.col("_b") / 60).cast("int"), F.col("_b") % 60)
     return got.select(SESSION, label.alias("bin"), *got.columns[2:])
-
-
-def changes(rows: DataFrame, name: str) -> DataFrame:
-    """Rows whose ``name`` differs from the row before."""
-    return own(with_halo(rows, 1).withColumn("_last", F.lag(name).over(halo_window()))).where(F.col("_last").isNull() | (F.col("_last") != F.col(name))).drop("_last")

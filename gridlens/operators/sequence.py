@@ -64,21 +64,19 @@ def rolling_sums(rows: DataFrame, width: int, **values: Column) -> DataFrame:
     return own(rows)
 
 
-def islands(true_rows: DataFrame, gap: int = 0, keys: tuple[str, ...] = (SESSION,), chunk: int = CHUNK) -> DataFrame:
-    """Runs (``lo``, ``hi`` inclusive) of the indices in ``true_rows``; up to ``gap`` missing indices don't end a run."""
+def islands(true_rows: DataFrame, gap: int = 0, keys: tuple[str, ...] = (SESSION,), chunk: int = CHUNK, **most: str) -> DataFrame:
+    """Runs (``lo``, ``hi`` inclusive) of the indices in ``true_rows``; up to ``gap`` missing indices don't end a run. ``most``: maxima of columns by name."""
     cut = Window.partitionBy(*keys, "_chunk").orderBy(INDEX)
-    rows = true_rows.select(*keys, INDEX, F.floor(F.col(INDEX) / chunk).alias("_chunk"))
+    rows = true_rows.select(*keys, INDEX, *most.values(), F.floor(F.col(INDEX) / chunk).alias("_chunk"))
     last = F.lag(INDEX).over(cut)
     rows = rows.withColumn("_new", F.when(last.isNull() | (F.col(INDEX) - last > gap + 1), 1).otherwise(0))
     rows = rows.withColumn("_run", F.sum("_new").over(cut))
-    parts = rows.groupBy(*keys, "_chunk", "_run").agg(F.min(INDEX).alias("lo"), F.max(INDEX).alias("hi"))
-    whole = Window.partitionBy(*keys).orderBy("lo")
+    parts = rows.groupBy(*keys, "_chunk", "_run").agg(F.min(INDEX).alias("lo"), F.max(INDEX).alias("hi"), *[F.max(c).alias(n) for n, c in most.items()])
+    # only runs at a chunk's edge can go on in another; the others stay apart by chunk
+    edge = (F.col("lo") % chunk <= gap) | (F.col("hi") % chunk >= chunk - 1 - gap)
+    parts = parts.withColumn("_apart", F.when(edge, -1).otherwise(F.col("_chunk")))
+    whole = Window.partitionBy(*keys, "_apart").orderBy("lo")
     last = F.lag("hi").over(whole)
     parts = parts.withColumn("_new", F.when(last.isNull() | (F.col("lo") - last > gap + 1), 1).otherwise(0)).withColumn("_run", F.sum("_new").over(whole))
-    return parts.groupBy(*keys, "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_run")
+    return parts.groupBy(*keys, "_apart", "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), *[F.max(n).alias(n) for n in most]).drop("_apart", "_run")
 
-
-def rows_of(runs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Every row of every run, gaps within it included: ``runs`` joined to ``rows`` on session and index."""
-    spread = runs.withColumn(INDEX, F.explode(F.sequence("lo", "hi")))
-    return spread.join(rows, [SESSION, INDEX])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlens.functions.electrical import not_outage, number, phases, seconds_between
-from gridlens.operators.sequence import INDEX, SESSION
+from gridlens.operators.sequence import INDEX, SESSION, per_session
 from gridlens.plans.findings import freq_source_stiffness, ranked
 from gridlens.rules import CompareRules, FindingRules
 
@@ -111,9 +111,9 @@ def event_trend(facts: DataFrame, events: DataFrame, rules: CompareRules) -> Dat
 
 
 def analyze_compare(records: DataFrame, events: DataFrame, rules: CompareRules | None = None, single: FindingRules | None = None) -> DataFrame:
-    """All findings across the sessions of ``records``. Several rules read the events, so they are kept (in memory or on disk)."""
-    rules, events = rules or CompareRules(), events.persist()
-    facts = session_facts(records)
+    """All findings across the sessions of ``records``. Several rules read the events: where they are costly, hand in a cached or written table."""
+    rules = rules or CompareRules()
+    facts = per_session(session_facts(records))
     stiff = freq_source_stiffness(records, events, single or FindingRules())
     found = [voltage_drift(facts, rules), recurring_outages(facts, events, rules), pf_degradation(facts, rules), stiffness_emergence(facts, stiff), event_trend(facts, events, rules)]
     return ranked(reduce(DataFrame.unionByName, found), "")

@@ -68,6 +68,15 @@ _FEW = "session_id, record_index, epoch_us(t_start) as t_start"
 _W = "between timestamp '2024-01-05 00:00:00' and timestamp '2024-01-12 00:00:00'"
 
 
+
+def _signature(seconds: int) -> str:
+    """CTEs up to ``j``: each outage with structs of its leading dip ``l``, its over-current ``h`` and its trailing dip ``t``."""
+    after = f"o.t_end and o.t_end + interval {seconds} second"
+    part = lambda name, kind, when: f"{name} as (select o.id, arg_min(d, d.id) as {name} from o join ev d on d.kind = '{kind}' and {when} group by 1)"
+    return f"""o as (select * from ev where kind = 'outage'), {part("l", "dip", f"d.t_end between o.t_start - interval {seconds} second and o.t_start")}, {part("h", "high_current", f"d.t_start between {after}")}, {part("t", "dip", f"d.t_start between {after}")},
+j as (select o.*, l.l, h.h, case when t.t.id is distinct from l.l.id then t.t end as t from o left join l using (id) left join h using (id) left join t using (id))"""
+
+
 def _hist(source: str, keys: str, of: dict[str, float]) -> str:
     """Quantiles of ``source`` (keys, v, lo, width, bins): a subquery with keys and a column per quantile."""
     cols = ", ".join(f"any_value(lo) + (min(case when reached >= {q} * total then bin end) + 0.5) * any_value(width) as {n}" for n, q in of.items())
@@ -181,7 +190,7 @@ def oracle_sql() -> dict[str, str]:
         "index_range": f"{one} select {_FEW} from rec where record_index between 100 and 299",
         "index_gather": f"{one} select {_FEW} from rec where record_index % 77 in (3, 5)",
         "stride_sample": f"{one} select {_FEW} from rec where record_index % 60 = 0",
-        "stride_by_place": f"{one} select record_index from (select record_index, row_number() over (order by record_index) - 1 as k from rec where record_index % 3 <> 0) where k % 50 = 0",
+        "stride_by_place": f"{one} select record_index from (select record_index, row_number() over (order by record_index) - 1 as k from rec where {_ON}) where k % 50 = 0",
         "reverse_cts_all": f'{one} select {_FEW}, round(-Q_total_avg_VAR, 6) as "Q_total_avg_VAR", round(-PF_total_avg, 6) as "PF_total_avg", round(-DPF_total_avg, 6) as "DPF_total_avg", round(S_total_avg_VA, 6) as "S_total_avg_VA" from rec',
         "reverse_cts_phase_a": f'{one} select {_FEW}, round(-Q_total_avg_VAR, 6) as "Q_total_avg_VAR", round(-PF_total_avg, 6) as "PF_total_avg", round(I_a_avg_A, 6) as "I_a_avg_A" from rec',
         "anchor_shift_start": f"{one}, z as (select epoch_us(timestamp '2025-03-01 12:00:00') - epoch_us(arg_min(t_start, record_index)) as s from rec) select record_index, epoch_us(t_start) + s as t_start, epoch_us(t_end) + s as t_end from rec, z",
@@ -226,8 +235,8 @@ select session_id, id, kind, epoch_us(t_start) as t_start, epoch_us(t_end) as t_
         "bucket_week": _bucket("m0 + to_days(cast(date_diff('day', m0, $t) // 7 * 7 as integer))", "strftime($b, '%Y-%m-%d')", _DAYS, ", first as (select session_id, date_trunc('day', min(t_start)) as m0 from rec group by 1)"),
         "bucket_ranges_90m": f"{one} select session_id, epoch_us(date_trunc('day', t_start) + to_seconds((hour(t_start) * 3600 + minute(t_start) * 60 + second(t_start)) // 5400 * 5400)) as bucket_start, min(record_index) as lo, max(record_index) + 1 as hi from rec group by 1, 2",
         "events_in_bucket": f"{ev}, b as (select *, {_SIX.replace('$t', 't_start')} as bs from ev) select id, kind, epoch_us(bs) as bucket_start, t_end >= bs + interval 6 hour as spans_bucket_boundary from b",
-        "tod_profile": f"""{one}, b as (select *, {_minute("t_start")} // 15 * 15 as b from rec where record_index % 613 <> 7 and {_minute("t_start")} >= 360 and {_minute("t_start")} < 1200)
-select session_id, printf('%02d:%02d', b // 60, b % 60) as bin, count(*) as n, count(distinct t_start::date) as n_days, round(avg(P_total_avg_W / 1000), 6) as "p_avg_kW", round(min(P_total_avg_W / 1000), 6) as "p_min_kW", round(max(P_total_avg_W / 1000), 6) as "p_max_kW",
+        "tod_profile": f"""{one}, b as (select *, {_minute("t_start")} // 15 * 15 as b from rec where {_minute("t_start")} >= 360 and {_minute("t_start")} < 1200)
+select session_id, printf('%02d:%02d', b // 60, b % 60) as bin, count(*) as n, count(distinct t_start::date) as n_days, case when bool_or(isnan(P_total_avg_W)) then -1 else round(avg(P_total_avg_W / 1000) filter (where {_FINITE_P}), 6) end as "p_avg_kW", round(min(P_total_avg_W / 1000) filter (where {_FINITE_P}), 6) as "p_min_kW", round(max(P_total_avg_W / 1000) filter (where {_FINITE_P}), 6) as "p_max_kW",
   round(avg(V_LN_a_avg_V), 6) as "v_avg_V", round(min(V_LN_a_avg_V), 6) as "v_min_V", round(max(V_LN_a_avg_V), 6) as "v_max_V", round(avg(I_a_avg_A), 6) as "i_avg_A", round(min(I_a_avg_A), 6) as "i_min_A", round(max(I_a_avg_A), 6) as "i_max_A" from b group by session_id, b""",
         "tod_profile_nan": f"""{one}, b as (select *, hour(t_start) as b from rec) select printf('%02d:00', b) as bin, count(*) as n, count(distinct t_start::date) as n_days, round(min(P_total_avg_W / 1000) filter (where {_FINITE_P}), 6) as "p_min_kW", round(max(P_total_avg_W / 1000) filter (where {_FINITE_P}), 6) as "p_max_kW", bool_or(isnan(P_total_avg_W)) as p_avg_nan from b group by b""",
         "shift_of_records": f"{one} select record_index, {_shift_case(_minute('t_start'), _PARTIAL)} as shift from rec",
@@ -250,11 +259,10 @@ select session_id, 120 as window_secs, b.d as peak_demand_w, round(b.d / 1000, 6
         "demand_series": f"""{one}, d as (select *, sum(case when {_FINITE_P} then P_total_avg_W else 0 end) over (order by record_index rows between 89 preceding and current row) / 90 as d from rec) select session_id, epoch_us(t_end) as t, round(d, 6) as demand_w from d where record_index >= 89 and (record_index - 89) % 90 = 0""",
         "rolling_stdev": f"""{one}, p as (select record_index, case when {_FINITE_P} then P_total_avg_W else 0 end as p from rec), d as (select record_index, avg(p) over x as m, stddev_pop(p) over x as s from p window x as (order by record_index rows between 59 preceding and current row))
 select record_index, case when record_index >= 59 then round(m, 6) end as mean_w, case when record_index >= 59 then round(s, 3) end as stdev_w from d""",
-        "snapshot_candidates": f"""{out_swell}, w as (select record_index, first_value(t_start) over (order by record_index rows between 19 preceding and current row) as ws, t_end as we from rec) select record_index, epoch_us(ws) as t_start, epoch_us(we) as t_end from w where record_index >= 19 and not exists (select 1 from ev where not (we < ev.t_start or ws > ev.t_end))""",
-        "marker_nearest": f"""{ev}, mk as (select ts + interval 30 minute as t, 'm' || event_id as label from events where event_id % 997 = 500), x as (select t, label, id, kind, t_start, row_number() over (partition by label order by abs(epoch_us(t) - epoch_us(t_start)), id) as k from mk, ev)
+        "snapshot_candidates": f"""{ev}, w as (select record_index, first_value(t_start) over (order by record_index rows between 19 preceding and current row) as ws, t_end as we from rec) select record_index, epoch_us(ws) as t_start, epoch_us(we) as t_end from w where record_index >= 19 and not exists (select 1 from ev where not (we < ev.t_start or ws > ev.t_end))""",
+        "marker_nearest": f"""{ev}, mk as (select ts + interval 30 minute as t, 'm' || event_id as label from events), x as (select t, label, id, kind, t_start, row_number() over (partition by label order by abs(epoch_us(t) - epoch_us(t_start)), id) as k from mk, ev)
 select epoch_us(t) as marker_time, label, id as event_id, kind as event_kind, epoch_us(t_start) as event_start, round({_secs("t_start", "t")}, 6) as offset_secs from x where k = 1""",
-        "outage_signature": f"""{ev}, o as (select * from ev where kind = 'outage'), l as (select o.id, arg_min(d, d.id) as l from o join ev d on d.kind = 'dip' and d.t_end between o.t_start - interval 1800 second and o.t_start group by 1), h as (select o.id, arg_min(d, d.id) as h from o join ev d on d.kind = 'high_current' and d.t_start between o.t_end and o.t_end + interval 1800 second group by 1),
-t as (select o.id, arg_min(d, d.id) as t from o join ev d on d.kind = 'dip' and d.t_start between o.t_end and o.t_end + interval 1800 second group by 1), j as (select o.*, l.l, h.h, case when t.t.id is distinct from l.l.id then t.t end as t from o left join l using (id) left join h using (id) left join t using (id))
+        "outage_signature": f"""{ev}, {_signature(1800)}
 select session_id, id as outage_id, epoch_us(t_start) as t_start, cast(floor({_secs("t_start", "t_end")}) as bigint) as duration_s, l.id as lead_dip_id, round(l.severity, 6) as lead_dip_severity, l.phases as lead_dip_phases, h.id as inrush_id, round(h.severity, 6) as inrush_a, h.phases as inrush_phase,
   t.id as trail_dip_id, t.phases as trail_dip_phases, case when floor({_secs("t_start", "t_end")}) >= 60 then 'alert' else 'warn' end as severity from j""",
         "steps_with_frequency": f"{ev}, {_STIFF} select id, round(severity, 6) as severity, round(dev, 6) as max_dev_hz from st where dev > 0.05",
@@ -278,26 +286,26 @@ select 0 as session_id, 'outage_frequency' as kind, case when n / days >= 2 then
     }
     pick = "select {k} as id, c.* from c where {near} order by round(sd, 6), record_index limit 1"
     far = "abs(epoch_us(c.ce) - (select epoch_us(ce) from {p})) >= 86400000000"
-    o["quiet_snapshots"] = f"""{out_swell}, x as (select record_index, first_value(t_start) over v as ws, t_end as we, stddev_pop(case when {_FINITE_P} then P_total_avg_W else 0 end) over v as sd from rec window v as (order by record_index rows between 19 preceding and current row)),
+    o["quiet_snapshots"] = f"""{ev}, x as (select record_index, first_value(t_start) over v as ws, t_end as we, stddev_pop(case when {_FINITE_P} then P_total_avg_W else 0 end) over v as sd from rec window v as (order by record_index rows between 19 preceding and current row)),
 c as (select *, ws + to_microseconds((epoch_us(we) - epoch_us(ws)) // 2) as ce from x where record_index >= 19 and not exists (select 1 from ev where not (we < ev.t_start or ws > ev.t_end))),
 p0 as ({pick.format(k=0, near="true")}), p1 as ({pick.format(k=1, near=far.format(p="p0"))}), p2 as ({pick.format(k=2, near=far.format(p="p0") + " and " + far.format(p="p1"))})
 select 0 as session_id, id, epoch_us(ws) as t_start, epoch_us(we) as t_end, epoch_us(ce) as t_center, round(sd, 3) as p_total_stdev_w from (select * from p0 union all select * from p1 union all select * from p2)"""
     rank = "case severity when 'alert' then 0 when 'warn' then 1 else 2 end"
     spikes = " union all ".join(f"select '{p}' as phase, avg(I_{p}_max_A) as m, max(I_{p}_max_A) as x from rec where {_ON}" for p in "abc")
-    o["findings"] = f"""{one}, {_events(step=1.5)}, {_FACTS}, {_STIFF}, asy as (select *, (greatest(ma, mb, mc) - least(ma, mb, mc)) / ((ma + mb + mc) / 3) * 100 as pct from facts), lo as (select count(*) filter (where {_ON} and abs(PF_total_avg) > 0 and abs(PF_total_avg) < 0.85) / count(*)::double as f from rec),
+    o["findings"] = f"""{one}, {_events(step=1.5)}, {_signature(600)}, {_FACTS}, {_STIFF}, asy as (select *, (greatest(ma, mb, mc) - least(ma, mb, mc)) / ((ma + mb + mc) / 3) * 100 as pct from facts), lo as (select count(*) filter (where {_ON} and abs(PF_total_avg) > 0 and abs(PF_total_avg) < 0.85) / count(*)::double as f from rec),
 im as (select min(ix) as lo, max(ix) as hi from (select ix, ix - row_number() over (order by ix) as g from (select record_index as ix from rec where {_ON} and {_IMB} > 1.5)) group by g having count(*) >= 60), rate as (select (select count(*) from ev where kind = 'outage') / (select {_secs("arg_min(t_start, record_index)", "arg_max(t_end, record_index)")} / 86400 from rec) as r), sp as ({spikes}),
-f as (select 'outage_signature' as kind, case when floor({_secs("t_start", "t_end")}) >= 60 then 'alert' else 'warn' end as severity, strftime(t_start, '%Y-%m-%dT%H:%M:%S') as subject, floor({_secs("t_start", "t_end")}) as value from ev where kind = 'outage'
-union all select 'phase_asymmetry', case when pct >= 3 then 'alert' else 'warn' end, case greatest(ma, mb, mc) when ma then 'A' when mb then 'B' else 'C' end, pct from asy where pct >= 2 union all select 'pf_drift', case when f < 0.3 then 'warn' else 'alert' end, '', f from lo where f >= 0.1
-union all select 'imbalance_sustained', 'warn', '', sum(hi - lo + 1)::double from im having count(*) > 0 union all select 'freq_source_stiffness', 'warn', '', count(*)::double from st where dev > 0.05 having count(*) >= 3
-union all select 'outage_frequency', case when r >= 2 then 'alert' else 'warn' end, '', r from rate where r >= 1 union all select 'current_spike_ratio', 'info', upper(phase), x / m from sp where x / m >= 5)
-select 0 as session_id, kind, severity, subject, round(value, 6) as value, row_number() over (order by {rank}, kind, subject) - 1 as id from f"""
+f as (select 'outage_signature' as kind, case when floor({_secs("t_start", "t_end")}) >= 60 then 'alert' else 'warn' end as severity, strftime(t_start, '%Y-%m-%dT%H:%M:%S') as subject, floor({_secs("t_start", "t_end")}) as value, concat_ws('/', id, l.id, h.id, t.id) as ids from j
+union all select 'phase_asymmetry', case when pct >= 3 then 'alert' else 'warn' end, case greatest(ma, mb, mc) when ma then 'A' when mb then 'B' else 'C' end, pct, '' from asy where pct >= 2 union all select 'pf_drift', case when f < 0.3 then 'warn' else 'alert' end, '', f, '' from lo where f >= 0.1
+union all select 'imbalance_sustained', 'warn', '', sum(hi - lo + 1)::double, '' from im having count(*) > 0 union all select 'freq_source_stiffness', 'warn', '', count(*)::double, string_agg(id::varchar, '/' order by id) from st where dev > 0.05 having count(*) >= 3
+union all select 'outage_frequency', case when r >= 2 then 'alert' else 'warn' end, '', r, (select string_agg(id::varchar, '/' order by id) from ev where kind = 'outage') from rate where r >= 1 union all select 'current_spike_ratio', 'info', upper(phase), x / m, '' from sp where x / m >= 5)
+select 0 as session_id, kind, severity, subject, round(value, 6) as value, ids as related_event_ids, row_number() over (order by {rank}, kind, subject) - 1 as id from f"""
     v = _fit("select days as x, phase, case phase when 'a' then ma when 'b' then mb else mc end as y from fx, (values ('a'), ('b'), ('c')) p(phase)", "phase")
     o["compare_findings"] = f"""{evd}, {_FACTS}, {_STIFF}, sf as (select session_id from st where dev > 0.05 group by 1 having count(*) >= 3), hv as (select session_id, row_number() over (order by t_first) - 1 as p, count(*) over () // 2 as half from facts), hs as (select max(half) as half, count(*) filter (where p < half and sf.session_id is not null) as a, count(*) filter (where p >= half and sf.session_id is not null) as b from hv left join sf using (session_id)),
-ot as (select {_minute("t_start")} // 15 * 15 as b, count(distinct session_id) as n from ev where kind = 'outage' group by 1 having count(distinct session_id) >= 2), vt as ({v}), pt as ({_fit("select 0 as k, days as x, low as y from fx", "k")}), et as ({_fit("select k.kind, days as x, (select count(*) from ev e where e.session_id = fx.session_id and e.kind = k.kind)::double as y from fx, (select distinct kind from ev) k", "kind")}),
-f as (select 'voltage_drift' as kind, case when abs(slope) >= 0.0002 then 'alert' else 'warn' end as severity, upper(phase) as subject, slope as value from vt where abs(slope) >= 0.0001
-union all select 'recurring_outages', case when n < (select count(*) from facts) then 'warn' else 'alert' end, printf('%02d:%02d', b // 60, b % 60), n::double from ot union all select 'pf_degradation', 'warn', '', slope from pt where n >= 3 and r >= 0.5 and slope > 0
-union all select 'source_stiffness_emergence', 'warn', '', b::double from hs where half > 0 and a = 0 and b > 0 union all select 'event_trend_' || kind, case when slope > 0 then 'warn' else 'info' end, kind, slope from et where n >= 3 and total >= 2 and abs(r) >= 0.2 and abs(slope) >= 0.01)
-select kind, severity, subject, value, row_number() over (order by {rank}, kind, subject) - 1 as id from f"""
+ot as (select {_minute("t_start")} // 15 * 15 as b, count(distinct session_id) as n, string_agg(distinct session_id::varchar, '/' order by session_id::varchar) as labels from ev where kind = 'outage' group by 1 having count(distinct session_id) >= 2), vt as ({v}), pt as ({_fit("select 0 as k, days as x, low as y from fx", "k")}), et as ({_fit("select k.kind, days as x, (select count(*) from ev e where e.session_id = fx.session_id and e.kind = k.kind)::double as y from fx, (select distinct kind from ev) k", "kind")}),
+f as (select 'voltage_drift' as kind, case when abs(slope) >= 0.0002 then 'alert' else 'warn' end as severity, upper(phase) as subject, slope as value, '' as labels from vt where abs(slope) >= 0.0001
+union all select 'recurring_outages', case when n < (select count(*) from facts) then 'warn' else 'alert' end, printf('%02d:%02d', b // 60, b % 60), n::double, labels from ot union all select 'pf_degradation', 'warn', '', slope, '' from pt where n >= 3 and r >= 0.5 and slope > 0
+union all select 'source_stiffness_emergence', 'warn', '', b::double, '' from hs where half > 0 and a = 0 and b > 0 union all select 'event_trend_' || kind, case when slope > 0 then 'warn' else 'info' end, kind, slope, '' from et where n >= 3 and total >= 2 and abs(r) >= 0.2 and abs(slope) >= 0.01)
+select kind, severity, subject, round(value, 6) as value, labels as session_labels, row_number() over (order by {rank}, kind, subject) - 1 as id from f"""
     for name, flip in (("ct_reversal", ""), ("ct_reversal_flipped", "-")):
         o[name] = f"""with {_DAYS if not flip else _ONE}, r as (select session_id, {_ON} as o, {_I} >= 50 as a, {flip}P_total_avg_W as p, not isnan(P_total_avg_W) as f from rec), g as (select session_id, count(*) filter (where o) as non_outage_records, count(*) filter (where o and f and p < 0) as negative_records, coalesce(avg(p) filter (where o and f), 0) as mp,
   count(*) filter (where o and a) as active_records, count(*) filter (where o and a and f and p < 0) as active_negative_records, coalesce(avg(p) filter (where o and a and f), 0) as amp from r group by 1), h as (select *, coalesce(negative_records / nullif(non_outage_records, 0)::double, 0) as fn, coalesce(active_negative_records / nullif(active_records, 0)::double, 0) as afn from g)

@@ -6,6 +6,7 @@ results compare by value.
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,9 +64,22 @@ def _nominal(r: DataFrame) -> DataFrame:
     return events.nominal_voltage(r, NOMINAL)
 
 
+def _kept(records: Callable[[SparkSession, str], DataFrame], f: Callable[[DataFrame, DataFrame], DataFrame], rules: EventRules | None = None):
+    """A query that reads the events more than once: they are cached until its result is gone."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        rows = records(spark, sf)
+        found = _events(rows, rules).persist()
+        out = flat(f(rows, found))
+        weakref.finalize(out, found.unpersist).atexit = False
+        return out
+
+    return run
+
+
 def _marks(spark: SparkSession, sf: str) -> DataFrame:
-    """Marks made of every 997th event of the table, half an hour late."""
-    rows = spark.read.parquet(f"{sf}/events.parquet").where("event_id % 997 = 500")
+    """A mark half an hour after each row of the table."""
+    rows = spark.read.parquet(f"{sf}/events.parquet")
     return flat(correlate.nearest_events(rows.select(F.timestamp_add("MINUTE", F.lit(30), "ts").alias("time"), F.concat(F.lit("m"), "event_id").alias("label")), _events(one_session(spark, sf)).drop("session_id")))
 
 
@@ -74,10 +88,7 @@ def _finding(rule, rules: FindingRules | None = None):
 
 
 def _compare(f):
-    def run(r: DataFrame) -> DataFrame:
-        return f(compare.session_facts(r), r, _events(r))
-
-    return _days(run)
+    return _kept(by_days, lambda r, e: f(compare.session_facts(r), r, e))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -92,7 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "index_range": _one(lambda r: filters.index_range(r, 100, 300).select(*FEW)),
         "index_gather": _one(lambda r: filters.gather(r, r.where("record_index % 77 in (3, 5)")).select(*FEW)),
         "stride_sample": _one(lambda r: filters.stride(r, 60).select(*FEW)),
-        "stride_by_place": _one(lambda r: filters.stride_by_place(r.where("record_index % 3 <> 0"), 50).select("record_index")),
+        "stride_by_place": _one(lambda r: filters.stride_by_place(r.where(not_outage()), 50).select("record_index")),
         "reverse_cts_all": _one(lambda r: filters.reverse_cts(r, "all").select(*FEW, "Q_total_avg_VAR", "PF_total_avg", "DPF_total_avg", "S_total_avg_VA")),
         "reverse_cts_phase_a": _one(lambda r: filters.reverse_cts(r, "a").select(*FEW, "Q_total_avg_VAR", "PF_total_avg", "I_a_avg_A")),
         "anchor_shift_start": _one(lambda r: filters.shift_clock(r, start="2025-03-01 12:00:00").select("record_index", "t_start", "t_end")),
@@ -137,7 +148,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bucket_6h": _one(lambda r: grouping.bucket_summary(r, _events(r), Period.parse("6h"))),
         "bucket_ranges_90m": _one(lambda r: grouping.bucket_ranges(r, Period.parse("90m"))),
         "events_in_bucket": _one(lambda r: grouping.events_in_buckets(_events(r), Period.parse("6h")).select("id", "kind", "bucket_start", "spans_bucket_boundary")),
-        "tod_profile": _one(lambda r: grouping.time_of_day(r.where("record_index % 613 <> 7"), (360, 1200), 15)),
+        "tod_profile": _one(lambda r: grouping.time_of_day(r, (360, 1200), 15).withColumn("p_avg_kW", F.nanvl("p_avg_kW", F.lit(-1.0)))),
         "tod_profile_nan": _one(lambda r: grouping.time_of_day(r, (0, 1440), 60).select("bin", "n", "n_days", "p_min_kW", "p_max_kW", F.isnan("p_avg_kW").alias("p_avg_nan"))),
         "shift_of_records": _one(lambda r: r.select("record_index", shift_name(F.col("t_start"), PARTIAL).alias("shift"))),
         "shift_comparison_utc": _one(lambda r: grouping.shift_comparison(r, _events(r), ShiftSet(), demand_minutes=1)),
@@ -150,11 +161,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "demand_peak": _days(lambda r: rolling.demand_peak(r, 120)),
         "demand_series": _one(lambda r: rolling.demand_series(r, 90, 90)),
         "rolling_stdev": _one(lambda r: rolling.rolling_stdev(r, 60).select("record_index", "mean_w", F.round("stdev_w", 3).alias("stdev_w"))),
-        "snapshot_candidates": _one(lambda r: rolling.snapshot_candidates(r, _events(r, kinds=("outage", "swell")), 20).select("record_index", "t_start", "t_end")),
-        "quiet_snapshots": _one(lambda r: rolling.pick_snapshots(r, _events(r, kinds=("outage", "swell")), 3, 20, 86_400).drop("p_total_mean_w").withColumn("p_total_stdev_w", F.round("p_total_stdev_w", 3))),
+        "snapshot_candidates": _one(lambda r: rolling.snapshot_candidates(r, _events(r), 20).select("record_index", "t_start", "t_end")),
+        "quiet_snapshots": _one(lambda r: rolling.pick_snapshots(r, _events(r), 3, 20, 86_400).drop("p_total_mean_w").withColumn("p_total_stdev_w", F.round("p_total_stdev_w", 3))),
         # correlation
         "marker_nearest": _marks,
-        "outage_signature": _one(lambda r: correlate.outage_signatures(_events(r), 1800)),
+        "outage_signature": _kept(one_session, lambda r, e: correlate.outage_signatures(e, 1800)),
         "steps_with_frequency": _one(lambda r: correlate.steps_with_frequency(r, _events(r)).select("id", "severity", "max_dev_hz")),
         # findings
         "phase_asymmetry": _days(findings.asymmetry),
@@ -165,7 +176,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "current_spike_ratio": _days(findings.current_ratios),
         "breaker_context": _finding(findings.current_spike_ratio, FindingRules(breaker_rating_a=5000.0)),
         "breaker_margin": _finding(findings.breaker_margin, FindingRules(breaker_rating_a=1200.0)),
-        "findings": _one(lambda r: findings.analyze(r, _events(r, EventRules(power_step_pct_of_mean=1.5)), FindingRules(outage_dip_window_secs=600)).drop("headline", "related_event_ids", "recommended_actions")),
+        "findings": _kept(one_session, lambda r, e: findings.analyze(r, e, FindingRules(outage_dip_window_secs=600)).drop("headline", "recommended_actions"), EventRules(power_step_pct_of_mean=1.5)),
         # sessions
         "stitch": _days(lambda r: stitch.stitch(r).select("record_index", "source", "t_start")),
         "stitch_sources": _days(stitch.sources),
@@ -175,6 +186,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pf_degradation": _compare(lambda facts, r, e: compare.pf_trend(facts)),
         "stiffness_emergence": _compare(lambda facts, r, e: compare.stiffness_halves(facts, findings.freq_source_stiffness(r, e, FindingRules()))),
         "event_trend": _compare(lambda facts, r, e: compare.event_trends(facts, e)),
-        "compare_findings": _compare(lambda facts, r, e: compare.analyze_compare(r, e, CompareRules(event_trend_min_r=0.2, voltage_drift_v_per_day=0.0001)).drop("headline", "session_labels")),
+        "compare_findings": _kept(by_days, lambda r, e: compare.analyze_compare(r, e, CompareRules(event_trend_min_r=0.2, voltage_drift_v_per_day=0.0001)).drop("headline")),
     }
     return q
