@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
+import io
+import json
+import shutil
+import tempfile
+import uuid
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlens.operators.sequence import renumber
+from gridlens.sources.trend import encode_columns
+from gridlens.spec import CORE
 
 #: Spark SQL; with ``D`` literals as ::double and ``div`` as ``//`` it is DuckDB SQL too. A shared fixture, not an operator.
 PROJECTION = """
@@ -53,3 +64,42 @@ def by_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A session for every six days of the month, each numbered from 0."""
     rows = one_session(spark, sf_dir).withColumn("session_id", F.floor((F.dayofmonth("t_start") - 1) / 6).cast("int"))
     return renumber(rows)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for files that a query writes and reads back: in the shared folder, or of this machine where Spark is one process."""
+    there = spark.conf.get("spark.checkpoint.dir", None)
+    if not there:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        there = tempfile.mkdtemp(prefix="gridlens-")
+        atexit.register(shutil.rmtree, there, ignore_errors=True)
+    return f"{there.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+def session_files(spark: SparkSession, sf_dir: str, kind: str = "healthy") -> str:
+    """The sessions of ``by_days`` as files, for the sources to read: a folder S<id> each with trend.bin and a configuration.
+
+    ``kind`` damaged: five odd bytes after the eleventh record and a torn tail; bundle: zipped, S<id>.fel. The driver writes them.
+    """
+    there = scratch(spark)
+    local = Path(there.removeprefix("file://").removeprefix("file:"))
+    rows = by_days(spark, sf_dir).select("session_id", "record_index", F.unix_micros(F.col("t_start").cast("timestamp")).alias("s"), F.unix_micros(F.col("t_end").cast("timestamp")).alias("e"), *CORE).toPandas()
+    for name, part in rows.sort_values(["session_id", "record_index"]).groupby("session_id"):
+        raw = encode_columns(part["s"].to_numpy(), part["e"].to_numpy(), {c: part[c].to_numpy() for c in CORE})
+        if kind == "damaged":
+            raw = raw[: 11 * 744] + b"\1\2\3\4\5" + raw[11 * 744 :] + raw[:40]
+        config = json.dumps({"asset_name": f"asset {name}", "team_name": "night", "type": "demo"})
+        if kind == "bundle":
+            held = io.BytesIO()
+            with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as bundle:
+                bundle.writestr(f"S{name}/trend.bin", raw)
+                bundle.writestr(f"S{name}/S{name}-config.json", config)
+            local.mkdir(parents=True, exist_ok=True)
+            (local / f"S{name}.fel").write_bytes(held.getvalue())
+            continue
+        (local / f"S{name}").mkdir(parents=True)
+        (local / f"S{name}" / "trend.bin").write_bytes(raw)
+        (local / f"S{name}" / f"S{name}-config.json").write_text(config)
+        (local / f"S{name}" / "A-config.json").write_text("{}")
+    return there

@@ -170,6 +170,35 @@ fx as (select *, {_secs("first_value(t_first) over (order by session_id)", "t_fi
 _STIFF = """st as (select e.session_id, e.id, e.severity, (select max(abs(r.freq_avg_Hz - 60)) from rec r where r.session_id = e.session_id and r.record_index between e.lo - 2 and e.lo + 2) as dev from ev e where kind = 'power_step')"""
 
 
+def _sources(one: str, days: str, ev: str) -> dict[str, str]:
+    """What sources and sinks must give back: the projection, with channels as FLOAT."""
+    f4 = lambda c: f"round(case when isnan({c}) then -1 else {c}::float::double end, 6) as {c}"
+    values = "epoch_us(t_start) as t_start, epoch_us(t_end) as t_end, " + ", ".join(f4(c) for c in ("V_LN_a_avg_V", "freq_avg_Hz", "P_total_avg_W"))
+    records = f"{days} select 'S' || session_id as session_id, record_index, {values} from rec"
+    six, label = _SIX.replace("$t", "t_start"), "strftime($b, '%Y-%m-%dT%H') || '-' || strftime($b + interval 6 hour, '%H')"
+    return {
+        "source_strict": records,
+        "source_tolerant": records,
+        "source_split": f"{records} where session_id = 0",
+        "source_open_session": f"{records} where session_id = 1",
+        "source_bundle": records,
+        "source_csv": f"{one} select 'x' as session_id, record_index, {values} from rec",
+        "source_scan_stats": f"{days} select 'S' || session_id as session_id, count(*) + 5 as total_seen, count(*) as good, 5 as bad_magic, 1 as truncated, count(*) filter (where isnan(P_total_avg_W)) as nonfinite from rec group by session_id",
+        "source_first_last": f"{days} select 'S' || session_id as session_id, epoch_us(arg_min(t_start, record_index)) as first_start, epoch_us(arg_max(t_end, record_index)) as last_end from rec group by session_id",
+        "source_file_facts": f"{days} select 'S' || session_id as session_id, (count(*) * 744 + 45) // 744 as records, true as has_tail from rec group by session_id",
+        "source_configs": f"{days} select distinct 'S' || session_id as session_id, 'asset ' || session_id as asset_name, 'night' as team_name, 'demo' as type, null::varchar as firmware_version from rec",
+        "source_bundle_configs": f"{days} select distinct 'S' || session_id as session_id, 'asset ' || session_id as asset_name, 'night' as team_name, 'demo' as type, null::varchar as firmware_version from rec",
+        "source_marks": "select epoch_us(ts) as time, 'm' || event_id as label from events where event_type <> 'click'",
+        "export_every_seventh": f"{one} select record_index, strftime(t_start, '%Y-%m-%dT%H:%M:%S.%f') as timestamp_utc, round(I_a_max_A, 6) as I_a_max_A from rec where record_index % 7 = 0 order by record_index limit 500",
+        "export_minutes": f"{one} select record_index, strftime(t_start, '%Y-%m-%dT%H:%M:%S.%f') as timestamp_utc, round(I_a_max_A, 6) as I_a_max_A from rec where record_index % 60 = 0",
+        "export_buckets": f"""{one}, {_events(kinds="'outage', 'dip'")}, r as (select {six} as b, count(*) as records, min(record_index) as first from rec group by 1), e as (select {six} as b, count(*) as events, count(*) filter (where t_end >= {six} + interval 6 hour) as spanning from ev group by 1)
+select {label.replace("$b", "b")} as bucket, records, first, coalesce(events, 0) as events, coalesce(spanning, 0) as spanning from r left join e using (b)""",
+        "export_events_json": f"""{one}, {_events(kinds="'outage', 'dip', 'imbalance_spike'")}, r as (select ev.*, case when kind = 'outage' then severity / nv * 100 when kind = 'dip' then severity * 100 end as p, {_secs("t_start", "t_end")} as s from ev join nom using (session_id))
+select id, kind, epoch_us(t_start) as t_start, round(severity, 6) as severity, phases as affected_phases, round(p, 6) as residual_pct, case when p is null then null when p < case when s <= 0.003 then 0 when s <= 0.5 then 70 when s <= 10 then 80 else 90 end then 'no_damage' else 'no_interruption' end as itic_class from r""",
+        "events_with_notes": f"{ev} select id, kind, 'n' || event_id as note from ev join events on event_type = 'click' and event_id = id",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     one, days = f"with {_ONE}", f"with {_DAYS}"
     ev, evd = f"{one}, {_events()}", f"{days}, {_events()}"
@@ -284,6 +313,7 @@ select 0 as session_id, 'outage_frequency' as kind, case when n / days >= 2 then
         "stiffness_emergence": f"{evd}, {_FACTS}, {_STIFF}, sf as (select session_id from st where dev > 0.05 group by 1 having count(*) >= 3), p as (select session_id, row_number() over (order by t_first) - 1 as p, count(*) over () // 2 as half from facts) select max(half) as half, count(*) as sessions, count(*) filter (where p < half and sf.session_id is not null) as older_stiff, count(*) filter (where p >= half and sf.session_id is not null) as newer_stiff from p left join sf using (session_id)",
         "event_trend": f"{evd}, {_FACTS} " + _fit("select k.kind, days as x, (select count(*) from ev e where e.session_id = fx.session_id and e.kind = k.kind)::double as y from fx, (select distinct kind from ev) k", "kind"),
     }
+    o |= _sources(one, days, ev)
     pick = "select {k} as id, c.* from c where {near} order by round(sd, 6), record_index limit 1"
     far = "abs(epoch_us(c.ce) - (select epoch_us(ce) from {p})) >= 86400000000"
     o["quiet_snapshots"] = f"""{ev}, x as (select record_index, first_value(t_start) over v as ws, t_end as we, stddev_pop(case when {_FINITE_P} then P_total_avg_W else 0 end) over v as sd from rec window v as (order by record_index rows between 19 preceding and current row)),

@@ -17,7 +17,9 @@ from gridlens.functions.calendar import shift_name
 from gridlens.functions.electrical import mean_phase_current, not_outage
 from gridlens.operators import correlate, events, filters, grouping, rolling, stats, stitch
 from gridlens.plans import compare, findings
-from gridlens.plans.bridge import by_days, one_session
+from gridlens.plans.bridge import by_days, one_session, scratch, session_files
+from gridlens.sinks import files
+from gridlens.sources import tables, trend
 from gridlens.rules import CompareRules, EventRules, FindingRules, Period, ShiftSet, Tariff
 
 NOMINAL = 277.0
@@ -91,8 +93,79 @@ def _compare(f):
     return _kept(by_days, lambda r, e: f(compare.session_facts(r), r, e))
 
 
+CHANNELS_READ = ["V_LN_a_avg_V", "freq_avg_Hz", "P_total_avg_W"]
+
+
+def _read(rows: DataFrame) -> DataFrame:
+    """What a source gave: names, places, times and three channels; NaN as -1."""
+    return flat(rows.select("session_id", "record_index", "t_start", "t_end", *[F.nanvl(F.col(c).cast("double"), F.lit(-1.0)).alias(c) for c in CHANNELS_READ]))
+
+
+def _source(kind: str, read: Callable[[SparkSession, str], DataFrame]):
+    return lambda spark, sf: read(spark, session_files(spark, sf, kind))
+
+
+def _csv_source(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch(spark)
+    files.write_csv(one_session(spark, sf).drop("session_id").withColumn("session_id", F.lit("x")), path)
+    return _read(tables.read_csv_session(spark, path, "x"))
+
+
+def _marks_source(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch(spark)
+    rows = spark.read.parquet(f"{sf}/events.parquet").select(F.when(F.col("event_type") == "click", "no time").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).alias("time"), F.concat(F.lit("m"), "event_id").alias("label"))
+    rows.write.option("header", True).csv(path)
+    return flat(tables.read_marks(spark, path))
+
+
+def _exported(spark: SparkSession, sf: str, every: int, limit: int | None = None) -> DataFrame:
+    path = scratch(spark)
+    files.write_csv(one_session(spark, sf), path, every, limit)
+    return spark.read.option("header", True).csv(path).select(F.col("record_index").cast("long").alias("record_index"), F.substring("timestamp_utc", 1, 26).alias("timestamp_utc"), F.round(F.col("I_a_max_A").cast("double"), 6).alias("I_a_max_A"))
+
+
+def _exported_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    path, rows = scratch(spark), one_session(spark, sf)
+    found = _events(rows, kinds=("outage", "dip"))
+    files.write_buckets(rows, found, _nominal(rows), Period.parse("6h"), path)
+    records = spark.read.option("header", True).csv(f"{path}/records").groupBy("bucket").agg(F.count("*").alias("records"), F.min(F.col("record_index").cast("long")).alias("first"))
+    events_ = spark.read.json(f"{path}/events").groupBy("bucket").agg(F.count("*").alias("events"), F.count_if("spans_bucket_boundary").alias("spanning"))
+    return records.join(events_, "bucket", "left").na.fill(0)
+
+
+def _events_json(spark: SparkSession, sf: str) -> DataFrame:
+    path, rows = scratch(spark), one_session(spark, sf)
+    files.write_json(files.events_payload(_events(rows, kinds=("outage", "dip", "imbalance_spike")), _nominal(rows)), path)
+    got = files.read_json(spark, path, "id int, kind string, t_start timestamp, severity double, affected_phases array<string>, itic struct<residual_pct: double, duration_secs: double, itic_class: string>")
+    return flat(got.select("id", "kind", "t_start", "severity", "affected_phases", "itic.residual_pct", "itic.itic_class"))
+
+
+def _notes(spark: SparkSession, sf: str) -> DataFrame:
+    found = _events(one_session(spark, sf))
+    notes = spark.read.parquet(f"{sf}/events.parquet").where("event_type = 'click'").select(F.col("event_id").cast("int").alias("id"), F.concat(F.lit("n"), "event_id").alias("note"))
+    return flat(files.with_notes(found, notes).select("id", "kind", "note"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q: dict = {
+        # sources and sinks
+        "source_strict": _source("healthy", lambda spark, d: _read(trend.read_trend(spark, d, CHANNELS_READ))),
+        "source_tolerant": _source("damaged", lambda spark, d: _read(trend.read_trend(spark, d, CHANNELS_READ, tolerant=True))),
+        "source_split": _source("healthy", lambda spark, d: _read(trend.read_split(spark, f"{d}/S0/trend.bin", CHANNELS_READ))),
+        "source_bundle": _source("bundle", lambda spark, d: _read(tables.read_bundles(spark, d, CHANNELS_READ))),
+        "source_csv": _csv_source,
+        "source_scan_stats": _source("damaged", trend.scan_stats),
+        "source_first_last": _source("healthy", lambda spark, d: flat(trend.first_last_times(spark, d))),
+        "source_file_facts": _source("damaged", lambda spark, d: trend.file_facts(spark, d).select(F.element_at(F.split("path", "/"), -2).alias("session_id"), "records", "has_tail")),
+        "source_configs": _source("healthy", tables.read_configs),
+        "source_bundle_configs": _source("bundle", tables.bundle_configs),
+        "source_open_session": _source("healthy", lambda spark, d: _read(tables.open_session(spark, f"{d}/S1", CHANNELS_READ)[0])),
+        "source_marks": _marks_source,
+        "export_every_seventh": lambda spark, sf: _exported(spark, sf, 7, 500),
+        "export_minutes": lambda spark, sf: _exported(spark, sf, 60),
+        "export_buckets": _exported_buckets,
+        "export_events_json": _events_json,
+        "events_with_notes": _notes,
         # projections and filters
         "non_outage_mask": _one(lambda r: r.select(*FEW, not_outage().alias("on"))),
         "mean_phase_current": _one(lambda r: r.select(*FEW, mean_phase_current().alias("i_mean_a"))),

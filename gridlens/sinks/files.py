@@ -14,6 +14,8 @@ from gridlens.rules import Period
 from gridlens.spec import CHANNELS
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+#: JSON keeps microseconds, which Spark's own format cuts.
+STAMPS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS[XXX]", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def export_frame(records: DataFrame, every: int = 1, limit: int | None = None) -> DataFrame:
@@ -38,11 +40,11 @@ def write_minutes(records: DataFrame, path: str) -> None:
 
 def write_json(rows: DataFrame, path: str) -> None:
     """JSON lines."""
-    rows.write.mode("overwrite").json(path)
+    rows.write.mode("overwrite").options(**STAMPS).json(path)
 
 
 def read_json(spark, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(schema).options(**STAMPS).json(path)
 
 
 def events_payload(events: DataFrame, nominal: DataFrame) -> DataFrame:
@@ -61,7 +63,7 @@ def write_buckets(records: DataFrame, events: DataFrame, nominal: DataFrame, per
     labelled.select("bucket", *export).write.mode("overwrite").partitionBy("bucket").option("header", True).csv(f"{path}/records")
     first = records.groupBy("session_id").agg(F.min("t_start").alias("t_first")) if period.kind == "week" else None
     filed = events_in_buckets(events_payload(events, nominal), period, first)
-    filed.withColumn("bucket", bucket_label(F.col("bucket_start"), period)).write.mode("overwrite").partitionBy("bucket").json(f"{path}/events")
+    filed.withColumn("bucket", bucket_label(F.col("bucket_start"), period)).write.mode("overwrite").options(**STAMPS).partitionBy("bucket").json(f"{path}/events")
 
 
 def write_text(text: str, path: str, spark) -> None:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlens.operators.sequence import renumber
-from gridlens.sources.trend import _schema, decode, good_offsets, session_name
+from gridlens.sources.trend import _schema, decode, good_offsets, read_trend, session_name
 from gridlens.spec import CHANNELS, INDEX
 
 
@@ -102,8 +102,50 @@ def read_bundles(spark: SparkSession, path: str | list[str], columns: list[str]
 
 
 def read_configs(spark: SparkSession, path: str, pattern: str = "*-config.json") -> DataFrame:
-    """``session_id`` and what reports name, of the configurations under a path."""
+    """``session_id`` (the folder) and what reports name, of the configurations under a path: of a folder's own name, else the first."""
     names = ["asset_name", "team_name", "type", "firmware_version"]
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("multiLine", True).schema(", ".join(f"{n} string" for n in names)).json(path)
-    folder = F.element_at(F.split(F.input_file_name(), "/"), -2)
-    return rows.select(folder.alias("session_id"), *names)
+    parts = F.split(F.input_file_name(), "/")
+    rows = rows.select(F.element_at(parts, -2).alias("session_id"), F.element_at(parts, -1).alias("_file"), *names)
+    best = F.min(F.struct((F.col("_file") != F.concat("session_id", F.lit("-config.json"))).alias("other"), "_file", *names))
+    return rows.groupBy("session_id").agg(best.alias("b")).select("session_id", *[f"b.{n}" for n in names])
+
+
+def open_session(spark: SparkSession, path: str, columns: list[str] | None = None, tolerant: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Records and configuration of a session by its path: a CSV, a bundle (``.fel``), or a folder with a ``trend.bin``.
+
+    Raises ``NoSession`` where the path is none of these, and ``FileNotFoundError`` where there is nothing.
+    """
+    none = spark.createDataFrame([], "session_id string, asset_name string, team_name string, type string, firmware_version string")
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    fs = there.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(there):
+        raise FileNotFoundError(path)
+    if path.endswith(".csv"):
+        return read_csv_session(spark, path), none
+    if fs.isDirectory(there):
+        if not fs.exists(jvm.org.apache.hadoop.fs.Path(there, "trend.bin")):
+            raise NoSession(f"{path} has no trend.bin")
+        return read_trend(spark, path, columns, tolerant, "trend.bin"), read_configs(spark, path)
+    if path.lower().endswith(".fel"):
+        return read_bundles(spark, path, columns, tolerant), bundle_configs(spark, path)
+    if path.endswith(".bin"):
+        return read_trend(spark, path, columns, tolerant), none
+    raise NoSession(f"{path} is neither a session's folder nor a bundle")
+
+
+def bundle_configs(spark: SparkSession, path: str, pattern: str = "*.fel") -> DataFrame:
+    """``session_id`` and what reports name, of the configurations in bundles; nulls where a bundle has none that can be read."""
+    names = ["asset_name", "team_name", "type", "firmware_version"]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as bundle:
+                    found = bundle_config(bundle)
+                values = [found.get(n) for n in names]
+                yield pa.RecordBatch.from_arrays([pa.array([session_name(file)]), *(pa.array([None if v is None else str(v)], pa.string()) for v in values)], ["session_id", *names])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    return files.select("path", "content").mapInArrow(task, "session_id string, " + ", ".join(f"{n} string" for n in names))

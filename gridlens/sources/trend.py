@@ -1,7 +1,8 @@
 """Binary session files: records of 744 bytes, a 24-byte header and 180 float32 each.
 
 Files are read by Spark (``binaryFile``), so they may lie in any store it reaches; a task decodes a file in numpy, slice by slice,
-and only the channels asked for leave it. ``read_split`` lets Spark cut one very large healthy file at record boundaries instead.
+and only the channels asked for leave it. ``read_split`` lets Spark cut one very large healthy file at record boundaries instead,
+and decodes Arrow batches of records. ``first_last_times`` reads two records of a file.
 
 Strict: a record with another magic number raises; a short tail ends the file. Tolerant: the scan steps on byte by byte to the next
 magic number, each step counted, and a short tail and records with values that aren't finite are counted too.
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridlens.spec import CHANNELS, EPOCH_TICKS, HEADER_BYTES, INDEX, MAGIC, RECORD_BYTES
+from gridlens.spec import CHANNELS, EPOCH_TICKS, FLOATS, HEADER_BYTES, INDEX, MAGIC, RECORD_BYTES
 
 #: Records that are decoded at a time.
 SLICE = 8192
@@ -132,29 +133,20 @@ def read_split(spark: SparkSession, path: str, columns: list[str] | None = None,
     from gridlens.operators.sequence import renumber
 
     columns = list(columns or CHANNELS.values())
-    name = session or session_name(path)
-    schema = _schema(columns)
+    fields = _schema(columns).fields
+    sc = spark.sparkContext
+    # byte arrays go from the JVM's record reader to Arrow as they are
+    raw = DataFrame(spark._jsparkSession.createDataset(sc._jsc.binaryRecords(path, RECORD_BYTES).rdd(), sc._jvm.org.apache.spark.sql.Encoders.BINARY()).toDF(), spark)
 
-    def task(rows: Iterator[bytes]) -> Iterator[tuple]:
-        held: list[bytes] = []
-
-        def out() -> Iterator[tuple]:
-            raw = b"".join(held)
-            for cols in decode(raw, good_offsets(raw, False)[0], columns):
-                yield from zip(cols["t_start"].tolist(), cols["t_end"].tolist(), *(cols[c].tolist() for c in columns), strict=True)
-
-        for r in rows:
-            held.append(bytes(r))
-            if len(held) == SLICE:
-                yield from out()
-                held.clear()
-        if held:
-            yield from out()
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stamp = pa.timestamp("us", "UTC")
+        for batch in batches:
+            content = b"".join(batch.column(0).to_pylist())
+            for cols in decode(content, good_offsets(content, False)[0], columns):
+                yield pa.RecordBatch.from_arrays([pa.array(cols["t_start"]), *(pa.array(cols[c]).cast(stamp) for c in ("t_start", "t_end")), *(pa.array(cols[c], pa.float32()) for c in columns)], ["record_index", "t_start", "t_end", *columns])
 
-    raw_schema = T.StructType([T.StructField("s", T.LongType()), T.StructField("e", T.LongType()), *schema.fields[4:]])
-    rows = spark.createDataFrame(spark.sparkContext.binaryRecords(path, RECORD_BYTES).mapPartitions(task), raw_schema)
-    rows = rows.select(F.lit(name).alias("session_id"), F.col("s").alias("record_index"), F.timestamp_micros("s").alias("t_start"), F.timestamp_micros("e").alias("t_end"), *columns)
-    return renumber(rows, span=86_400_000_000)
+    rows = raw.mapInArrow(task, T.StructType(fields[1:])).withColumn("session_id", F.lit(session or session_name(path)))
+    return renumber(rows.select(*[f.name for f in fields]), span=86_400_000_000)
 
 
 def file_facts(spark: SparkSession, path: str | list[str], pattern: str = "*.bin") -> DataFrame:
@@ -165,17 +157,42 @@ def file_facts(spark: SparkSession, path: str | list[str], pattern: str = "*.bin
 
 
 def first_last_times(spark: SparkSession, path: str, pattern: str = "*.bin") -> DataFrame:
-    """Start of the first and end of the last record of each file."""
-    rows = read_trend(spark, path, [CHANNELS[0]], pattern=pattern)
-    return rows.groupBy("session_id").agg(F.min_by("t_start", "record_index").alias("first_start"), F.max_by("t_end", "record_index").alias("last_end"))
+    """Start of the first and end of the last whole record of each file; two records are read of each, by the driver."""
+    jvm, conf, rows = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for file, n in _files(spark, path, pattern).select("path", F.expr(f"length div {RECORD_BYTES}")).collect():
+        if not n:
+            continue
+        there = jvm.org.apache.hadoop.fs.Path(file)
+        stream = there.getFileSystem(conf).open(there)
+        found = []
+        for k in (0, n - 1):
+            stream.seek(k * RECORD_BYTES)
+            raw = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, RECORD_BYTES))
+            found.append(next(decode(raw, good_offsets(raw, False)[0], [])))
+        stream.close()
+        rows.append((session_name(file), int(found[0]["t_start"][0]), int(found[1]["t_end"][0])))
+    got = spark.createDataFrame(rows, "session_id string, s long, e long")
+    return got.select("session_id", F.timestamp_micros("s").alias("first_start"), F.timestamp_micros("e").alias("last_end"))
+
+
+def encode_columns(t_start: np.ndarray, t_end: np.ndarray, channels: dict[str, np.ndarray]) -> bytes:
+    """Records (start and end in microseconds since 1970, channels by name) as a file's bytes; channels that are missing are 0."""
+    rows = np.zeros((len(t_start), RECORD_BYTES), np.uint8)
+    rows[:, :4] = np.frombuffer(MAGIC, np.uint8)
+    ticks = np.stack([t_start, t_end], 1).astype(np.int64) * 10 + EPOCH_TICKS
+    words = np.stack([ticks >> 32, ticks & 0xFFFFFFFF], 2).reshape(len(rows), 4).astype("<u4")
+    rows[:, 4:20] = words.view(np.uint8)
+    floats = np.zeros((len(rows), FLOATS), "<f4")
+    for name, values in channels.items():
+        floats[:, INDEX[name]] = values
+    rows[:, HEADER_BYTES:] = floats.view(np.uint8)
+    return rows.tobytes()
 
 
 def encode(records: list[tuple[int, int, list[float]]]) -> bytes:
-    """Records (start and end in microseconds since 1970, up to 180 values) as a file's bytes; what is missing is 0."""
-    out = []
-    for start, end, values in records:
-        floats = np.zeros(180, "<f4")
-        floats[: len(values)] = values
-        words = [w for t in (start, end) for ticks in (t * 10 + EPOCH_TICKS,) for w in (ticks >> 32, ticks & 0xFFFFFFFF)]
-        out.append(MAGIC + np.array([*words, 0], "<u4").tobytes() + floats.tobytes())
-    return b"".join(out)
+    """Records (start and end in microseconds since 1970, up to 180 values in the order of channels) as a file's bytes."""
+    names = [CHANNELS.get(i) for i in range(FLOATS)]
+    values = np.zeros((len(records), FLOATS), "<f4")
+    for k, (_, _, v) in enumerate(records):
+        values[k, : len(v)] = v
+    return encode_columns(np.array([r[0] for r in records], np.int64), np.array([r[1] for r in records], np.int64), {n: values[:, i] for i, n in enumerate(names) if n})
