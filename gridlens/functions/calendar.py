@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,34 @@ def local(t: Column, tz: str | None = None) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(tz), t) if tz else t
 
 
+def utc(t: Column, tz: str | None = None) -> Column:
+    """The instant, as TIMESTAMP_NTZ in UTC, of a wall clock of ``tz``: what ``local`` took, but for the hour that a clock set back shows twice."""
+    t = t.cast("timestamp_ntz")
+    return F.convert_timezone(F.lit(tz), F.lit("UTC"), t) if tz else t
+
+
+def known_zone(tz: str | None) -> str | None:
+    """A zone's name, None for UTC; an unknown one raises ValueError."""
+    if not tz or tz.upper() == "UTC":
+        return None
+    try:
+        return ZoneInfo(tz).key
+    except (ZoneInfoNotFoundError, ValueError, OSError) as no:
+        raise ValueError(f"no such time zone: {tz}") from no
+
+
+def both_clocks(t: Column, tz: str | None = None) -> Column:
+    """A time as text: in UTC, or by the wall clock of ``tz`` with the UTC time in brackets."""
+    text = lambda c, end: F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), end)
+    plain = text(t.cast("timestamp_ntz"), F.lit("+00:00"))
+    if not tz:
+        return plain
+    here = local(t, tz)
+    minutes = F.timestamp_diff("MINUTE", t.cast("timestamp_ntz"), here)
+    offset = F.concat(F.when(minutes < 0, "-").otherwise("+"), F.format_string("%02d:%02d", F.floor(F.abs(minutes) / 60).cast("int"), (F.abs(minutes) % 60).cast("int")))
+    return F.concat(text(here, offset), F.lit(" ("), plain, F.lit(")"))
+
+
 def minute_of_day(t: Column, tz: str | None = None) -> Column:
     here = local(t, tz)
     return F.hour(here) * 60 + F.minute(here)

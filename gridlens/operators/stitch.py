@@ -21,6 +21,37 @@ def label_sessions(named: list[tuple[str, DataFrame]]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
 
 
+class MultiSession:
+    """Sessions by label, in the order they came: add, remove, rename, and look at them together."""
+
+    def __init__(self) -> None:
+        self.of: dict[str, DataFrame] = {}
+
+    def add(self, label: str, records: DataFrame) -> str:
+        """The label that the session got: its own, or with the first of -2, -3, ... that is free."""
+        name, k = label, 1
+        while name in self.of:
+            k += 1
+            name = f"{label}-{k}"
+        self.of[name] = records
+        return name
+
+    def remove(self, label: str) -> None:
+        del self.of[label]
+
+    def rename(self, label: str, new: str) -> None:
+        """Raises ValueError if the new label is taken; the session keeps its place."""
+        if new != label and new in self.of:
+            raise ValueError(f"there is a session {new}")
+        self.of = {new if name == label else name: df for name, df in self.of.items()}
+
+    def records(self) -> DataFrame:
+        return label_sessions(list(self.of.items()))
+
+    def stitched(self) -> DataFrame:
+        return stitch(self.records())
+
+
 def sources(records: DataFrame) -> DataFrame:
     """Per session its place in the stitched order and its first and last row there (``hi`` not included); one row per session."""
     each = records.groupBy(SESSION).agg(F.min_by("t_start", INDEX).alias("first_start"), F.max_by("t_end", INDEX).alias("last_end"), F.count("*").alias("records"))

@@ -5,6 +5,7 @@ Only small results come to the driver: events and findings by kind, the worst on
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row
@@ -36,6 +37,11 @@ class Session:
     findings: DataFrame
     snapshots: DataFrame
 
+    def close(self) -> None:
+        """Let go of what is cached."""
+        for df in (self.events, self.nominal, self.findings, self.snapshots):
+            df.unpersist()
+
 
 def analyse(records: DataFrame, rules: EventRules | None = None, finding_rules: FindingRules | None = None, nominal_v: float | None = None) -> Session:
     """Everything about one session (or several, by ``session_id``)."""
@@ -119,16 +125,29 @@ def summary_text(s: Session, session) -> str:
     return "\n".join(lines) + "\n"
 
 
-def write_report(s: Session, path: str, config: dict | None = None) -> None:
-    """Every table of a session's report under a path, and its texts."""
+def print_json(s: Session, config: dict, out) -> None:
+    """One object: configuration, counts, events, quiet windows and findings; rows come to the driver one by one."""
+    n = {r["kind"]: r["n"] for r in s.events.groupBy("kind").agg(F.count("*").alias("n")).orderBy("kind").collect()}
+    counts = {"event_count": sum(n.values()), "events_by_kind": n, "snapshot_count": s.snapshots.count()}
+    out.write('{"config": ' + json.dumps(config) + ', "summary_stats": ' + json.dumps(counts))
+    for name, df in (("events", s.events), ("snapshots", s.snapshots), ("insights", s.findings)):
+        out.write(f', "{name}": [')
+        for k, row in enumerate(df.orderBy(SESSION, "id").select(F.to_json(F.struct("*"), files.STAMPS)).toLocalIterator()):
+            out.write((", " if k else "") + row[0])
+        out.write("]")
+    out.write("}\n")
+
+
+def write_report(s: Session, path: str, config: dict | None = None, demand_window: int = 900, every: int = 1, limit: int | None = None, most: int | None = None) -> None:
+    """Every table of a session's report under a path, and its texts. ``every``, ``limit`` and ``most`` go to the export of records."""
     spark = s.records.sparkSession
     files.write_json(files.events_payload(s.events, s.nominal), f"{path}/events.json")
     for name, df in {
         "insights": s.findings, "snapshots": s.snapshots, "stats": stats.session_stats(s.records), "thresholds": stats.threshold_seconds(s.records), "load_states": stats.load_state_rows(s.records), "energy": stats.session_energy(s.records),
-        "ct_reversal": stats.ct_reversal(s.records), "harmonics": stats.harmonics(s.records), "sarfi": stats.sarfi(s.events, s.nominal), "demand": rolling.demand_peak(s.records), "demand_series": rolling.demand_series(s.records),
+        "ct_reversal": stats.ct_reversal(s.records), "harmonics": stats.harmonics(s.records), "sarfi": stats.sarfi(s.events, s.nominal), "demand": rolling.demand_peak(s.records, demand_window), "demand_series": rolling.demand_series(s.records, demand_window),
     }.items():
-        files.write_json(df, f"{path}/{name}.json")
-    files.write_csv(s.records, f"{path}/session.csv")
+        (files.write_table if name in ("stats", "load_states") else lambda d, p: files.write_json(d, f"{p}.json"))(df, f"{path}/{name}")
+    files.write_csv(s.records, f"{path}/session.csv", every, limit, most)
     files.write_minutes(s.records, f"{path}/session_1min.csv")
     for r in s.records.select(SESSION).distinct().collect():
         session = r[SESSION]

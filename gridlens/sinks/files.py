@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from gridlens.functions.calendar import bucket_label, with_bucket
 from gridlens.operators.filters import stride, stride_for
-from gridlens.operators.grouping import events_in_buckets
+from gridlens.operators.grouping import events_in_buckets, events_in_occurrences
 from gridlens.operators.sequence import INDEX
 from gridlens.operators.stats import event_ride_through
 from gridlens.rules import Period
 from gridlens.spec import CHANNELS
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+#: Rows by which records meet the stretches they are in.
+OCCURRENCE_ROWS = 1 << 14
 #: JSON keeps microseconds, which Spark's own format cuts.
 STAMPS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS[XXX]", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
@@ -74,3 +76,29 @@ def write_text(text: str, path: str, spark) -> None:
 def with_notes(events: DataFrame, notes: DataFrame) -> DataFrame:
     """Events that have a note (``id, note``), with it."""
     return events.join(notes, "id")
+
+
+def write_table(rows: DataFrame, path: str) -> None:
+    """A small result both as JSON lines and as one CSV with a header; lists in cells are joined by ``/``."""
+    write_json(rows, f"{path}.json")
+    cells = [F.array_join(F.transform(f.name, lambda x: x.cast("string")), "/").alias(f.name) if f.dataType.typeName() == "array" else F.col(f.name) for f in rows.schema]
+    rows.select(*cells).coalesce(1).write.mode("overwrite").option("header", True).option("timestampFormat", ISO).csv(f"{path}.csv")
+
+
+def write_occurrences(records: DataFrame, events: DataFrame, occurrences: DataFrame, path: str) -> None:
+    """Records and events of each stretch of a shift, a folder for each label."""
+    spans = occurrences.select("session_id", "shift", "label", "lo", "hi")
+    days = F.explode(F.sequence(F.floor(F.col("lo") / OCCURRENCE_ROWS), F.floor((F.col("hi") - 1) / OCCURRENCE_ROWS)))
+    rows = records.withColumn("_part", F.floor(F.col(INDEX) / OCCURRENCE_ROWS)).join(spans.withColumn("_part", days), ["session_id", "_part"]).where((F.col(INDEX) >= F.col("lo")) & (F.col(INDEX) < F.col("hi")))
+    export = export_frame(rows.drop("_part", "lo", "hi", "shift"))
+    stamp = lambda c: F.date_format(F.col(c).cast("timestamp"), ISO)
+    rows = rows.withColumns({"timestamp_utc": stamp("t_start"), "window_end_utc": stamp("t_end")}).select("label", *export.columns)
+    rows.write.mode("overwrite").partitionBy("label").option("header", True).csv(f"{path}/records")
+    events_in_occurrences(events, occurrences).write.mode("overwrite").options(**STAMPS).partitionBy("label").json(f"{path}/events")
+
+
+def sorted_events(events: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """Events in the order of a column, ids within equal values; a column that isn't there raises ValueError."""
+    if column not in events.columns:
+        raise ValueError(f"no such column: {column}")
+    return events.orderBy(F.col(column).desc() if descending else F.col(column), "id")

@@ -4,12 +4,14 @@ import zipfile
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridlens import cli
+from gridlens.functions import calendar
 from gridlens.operators import events, stitch
 from gridlens.plans import compare, report
 from gridlens.sinks import files
-from gridlens.sources import tables, trend
+from gridlens.sources import cache, tables, trend
 from gridlens.spec import CHANNELS, CORE, INDEX, RECORD_BYTES
 
 from .helpers import OUT, session
@@ -133,16 +135,61 @@ def test_stitch_and_compare(spark):
     assert {"voltage_drift", "recurring_outages"} <= kinds
 
 
-def test_command_line(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(report, "write_report", lambda *a: None)  # test_report has it
-    path = put(tmp_path, synthetic(70))
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    monkeypatch.setattr(report, "write_report", lambda *a, **k: None)  # test_report has it
+    path = put(tmp_path, synthetic(70)).removesuffix("/trend.bin")
     out = str(tmp_path / "out")
-    args = ["analyze", path, "--out", out, "--nominal", "277", "--tod", "00:00-24:00", "--mark", "2024-01-13T22:00:05Z=go", "--peak-hours", "8-20", "--reverse-cts", "a"]
+    args = ["analyze", path, "--out", out, "--json", "--nominal", "277", "--tod", "00:00-24:00", "--mark", "2024-01-13T22:00:05Z=go", "--peak-hours", "8-20", "--peak-rate", "0.5", "--reverse-cts", "a", "--shifts", "day=06:00-18:00,night=18:00-06:00", "--tz", "America/Chicago"]
     assert cli.main(args, spark) == 0
-    assert spark.read.json(f"{out}/markers.json").first().label == "go"
+    said = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert set(said) == {"config", "summary_stats", "events", "snapshots", "insights"} and said["summary_stats"]["event_count"] == len(said["events"])
+    assert spark.read.json(f"{out}/markers.json").first().label == "go" and spark.read.option("header", True).csv(f"{out}/cost.csv").count() == 1
+    assert spark.read.option("header", True).csv(f"{out}/shifts/records").groupBy("label").count().first()["count"] == 70
     other = put(tmp_path, synthetic(5), "ES.002")
     assert cli.main(["stitch", path, other, "--out", str(tmp_path / "st")], spark) == 0
     assert spark.read.json(f"{tmp_path}/st/sources.json").count() == 2
+    with pytest.raises(SystemExit):
+        cli.main(["analyze", path], spark)
+
+
+def test_open_session(spark, tmp_path):
+    (tmp_path / "x.txt").write_text("no")
+    (tmp_path / "bare").mkdir()
+    with pytest.raises(FileNotFoundError):
+        tables.open_session(spark, str(tmp_path / "nothing"))
+    for name in ("x.txt", "bare"):
+        with pytest.raises(tables.NoSession):
+            tables.open_session(spark, str(tmp_path / name))
+
+
+def test_sessions_kept_by_label(spark):
+    m = stitch.MultiSession()
+    assert [m.add("x", session(spark, k, base=datetime(2024, 1, k))) for k in (3, 2, 1)] == ["x", "x-2", "x-3"]
+    m.remove("x-2")
+    m.rename("x-3", "y")
+    with pytest.raises(ValueError):
+        m.rename("y", "x")
+    assert list(m.of) == ["x", "y"] and m.stitched().count() == 4 and m.stitched().where("source = 'y' and record_index = 0").count() == 1
+
+
+def test_cached_sessions(spark, tmp_path):
+    put(tmp_path, synthetic(10))
+    held = str(tmp_path / "cache")
+    first = cache.cached_trend(spark, str(tmp_path), held, ["V_LN_a_avg_V"], pattern="trend.bin")
+    assert first.count() == 10 and cache.cached_trend(spark, str(tmp_path), held, ["V_LN_a_avg_V"], pattern="trend.bin").count() == 10
+    assert len(list((tmp_path / "cache").iterdir())) == 1
+    cache.cached_trend(spark, str(tmp_path), held, ["I_a_avg_A"], pattern="trend.bin", keep=1)
+    assert len(list((tmp_path / "cache").iterdir())) == 1
+
+
+def test_clocks(spark):
+    df = spark.sql("select timestamp_ntz'2024-01-13 15:00:00' t union all select timestamp_ntz'2024-07-13 15:00:00'")
+    text = [r[0] for r in df.select(calendar.both_clocks(F.col("t"), "America/Chicago")).orderBy("t").collect()]
+    assert text == ["2024-01-13T09:00:00-06:00 (2024-01-13T15:00:00+00:00)", "2024-07-13T10:00:00-05:00 (2024-07-13T15:00:00+00:00)"]
+    assert df.where(calendar.utc(calendar.local(F.col("t"), "America/Chicago"), "America/Chicago") == F.col("t")).count() == 2
+    assert calendar.known_zone("UTC") is None and calendar.known_zone("Europe/Berlin") == "Europe/Berlin"
+    with pytest.raises(ValueError):
+        calendar.known_zone("Nowhere/Here")
 
 
 def test_channel_places():
