@@ -5,13 +5,15 @@ of them lie in one ragged numpy array of symbols, and in each round every pre-to
 (all places of it, from the left, without overlap) at the same time. What is left of a pre-token when no pair of it has
 a rank is its count. Each round shrinks the array; finished pre-tokens leave it.
 
-Null text: empty, 0 tokens. Repeated rows are counted each. The table of counted pre-tokens of a task is emptied when
-it holds ``CACHE`` entries, so that memory doesn't follow the vocabulary of the corpus.
+Null text: empty, 0 tokens. Every row is counted, whatever its id; no documents, no rows; other columns are left out. The table of
+counted pre-tokens of a task is emptied when it holds ``CACHE`` entries, and pre-tokens of over ``LONG`` characters aren't put in,
+so that memory doesn't follow the vocabulary of the corpus. A vocabulary file of another kind is refused.
 """
 
 from __future__ import annotations
 
 import json
+from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,6 +25,9 @@ TOKENIZER = "byte_bpe_50k.json"
 MAX_TOKENS = 512
 #: Pre-tokens whose counts one Python worker remembers.
 CACHE = 1_000_000
+LONG = 64
+#: What a vocabulary file must say for its counts to be those of this module.
+KIND = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
 
 
 def byte_symbols() -> dict[str, int]:
@@ -38,6 +43,13 @@ class PairMerger:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        model, split = spec["model"], spec.get("pre_tokenizer") or {}
+        odd = [k for k, v in KIND.items() if model.get(k, v) != v and not (v is None and model.get(k) == "")]
+        odd += [k for k, v in (("type", "ByteLevel"), ("add_prefix_space", False), ("use_regex", True)) if split.get(k) != v]
+        odd += ["normalizer"] if spec.get("normalizer") else []
+        odd += [t["content"] for t in spec["added_tokens"] if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]
+        if odd:
+            raise ValueError(f"{path} is no plain byte-level vocabulary: {', '.join(odd)}")
         vocab, merges = spec["model"]["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.first = np.zeros(256, np.int64)
@@ -117,9 +129,13 @@ def count_texts(path: str, strings: list[str]) -> list[int]:
     if len(known) > CACHE:
         known.clear()
     new = list(set().union(*found) - known.keys()) if found else []
+    counted = known
     if new:
-        known.update(zip(new, merger.count([t.encode() for t in new]).tolist(), strict=True))
-    return [n + sum(map(known.__getitem__, tokens)) for n, tokens in zip(extra, found, strict=True)]
+        counts = dict(zip(new, merger.count([t.encode() for t in new]).tolist(), strict=True))
+        long = {t: n for t, n in counts.items() if len(t) > LONG}
+        known.update((t, n) for t, n in counts.items() if t not in long)
+        counted = ChainMap(known, long) if long else known
+    return [n + sum(map(counted.__getitem__, tokens)) for n, tokens in zip(extra, found, strict=True)]
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = MAX_TOKENS) -> DataFrame:

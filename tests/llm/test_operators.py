@@ -298,12 +298,28 @@ def test_token_counts(odd, docs):
     path = public_tokenizers.path(token_counts.TOKENIZER)
     library = Tokenizer.from_file(path)
     extra = odd.sparkSession.createDataFrame([(90, "a<|endoftext|>b  \n\n c"), (91, "don't I'LL 12345 日本語  x")], "doc_id long, text string")
-    for df in (odd.select("doc_id", "text").union(extra), docs.limit(60)):
+    every = odd.sparkSession.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for df in (odd.select("doc_id", "text").union(extra).withColumns({"n_bytes": F.lit("clash"), "n_tokens": F.lit(None)}), every, every.limit(0)):
         got = collections.Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count_tokens(df, path).collect())
         want = collections.Counter((r.doc_id, len((r.text or "").encode()), n := len(library.encode(r.text or "", add_special_tokens=False).ids), n > 512) for r in df.collect())
         assert got == want
 
 
+def test_other_vocabularies_are_refused(tmp_path):
+    import public_tokenizers
+
+    with open(public_tokenizers.path(token_counts.TOKENIZER), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"] |= {"vocab": {c: i for i, c in enumerate(token_counts.byte_symbols())}, "merges": []}
+    for k, change in enumerate(({}, {"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"ignore_merges": True}})):
+        (tmp_path / f"{k}.json").write_text(json.dumps(spec | change))
+        if k:
+            with pytest.raises(ValueError):
+                token_counts.PairMerger(str(tmp_path / f"{k}.json"))
+        else:
+            token_counts.PairMerger(str(tmp_path / f"{k}.json"))
+
+
 def naive_raw(text, weights, exceptions=()):
     """``Scorer.raw`` by trying every pattern and phrase at every place."""
     folded = toxicity.fold(text or "")
