@@ -438,3 +438,17 @@ def join_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Da
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_groups(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+SQL = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), p as (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as i from d where len(w) > 0),
+s as (select distinct doc_id, array_to_string(w[i:i + 3], ' ') as g from p),
+n as (select doc_id, count(*) as n from s group by doc_id),
+pair as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+link as (select a, b from pair join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)),
+reach as (select a as id, b as other from link union select r.id, l.b from reach r join link l on r.other = l.a),
+c as (select id, min(other) as least from reach group by id)
+select d.doc_id, coalesce(n, 0) as n_shingles, least(d.doc_id, coalesce(c.least, d.doc_id)) as component_id from d left join n using (doc_id) left join c on c.id = d.doc_id
+"""

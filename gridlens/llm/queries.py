@@ -22,7 +22,10 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_suffix_dedup": suffix_dedup.SQL,
         "op2_embedding_near_dedup": embedding_dedup.SQL,
         "op3_url_filters": url_filter.SQL,
+        "op7_ngram_join": ngram_join.SQL,
         "op9_line_dedup": line_dedup.SQL,
+        "op10_substring_dedup": substring_dedup.SQL,
     }

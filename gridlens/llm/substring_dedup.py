@@ -224,3 +224,18 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs).drop("kept")
+
+
+SQL = r"""
+with d as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), win as (
+  select doc_id, w, unnest(range(1, greatest(len(w) - 48, 1))) as i from d
+), s as (select doc_id, i, array_to_string(w[i:i + 49], ' ') as s from win),
+least as (select s, min(doc_id) as m from s group by s having min(doc_id) <> max(doc_id)),
+gone as (select distinct doc_id, unnest(range(i, i + 50)) as pos from s join least using (s) where doc_id > m),
+x as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as pos from d),
+k as (select x.doc_id, count(*) as n_words, count(gone.pos) as n_removed, coalesce(string_agg(word, ' ' order by x.pos) filter (where gone.pos is null), '') as kept
+  from x left join gone on x.doc_id = gone.doc_id and x.pos = gone.pos group by x.doc_id)
+select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (doc_id)
+"""

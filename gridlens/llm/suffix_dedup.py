@@ -447,3 +447,21 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs).drop("kept")
+
+
+#: Windows are told apart by their MD5 here; bytes are written as hexadecimal digits.
+SQL = r"""
+with d as (
+  select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents
+), s as (
+  select doc_id, i, md5(substr(h, 2 * i + 1, 200)) as s from (select doc_id, h, unnest(range(0, n - 99)) as i from d where n >= 100)
+), first as (select s, min(doc_id) as m from s group by s), own as (select s, doc_id, min(i) as m from s group by s, doc_id having count(*) > 1),
+bad as (
+  select s.doc_id, i from s join first using (s) where s.doc_id > first.m
+  union select s.doc_id, i from s join own on s.s = own.s and s.doc_id = own.doc_id where i > own.m
+), cut as (select *, case when i <= lag(i) over (partition by doc_id order by i) + 100 then 0 else 1 end as new from bad),
+run as (select doc_id, min(i) as a, max(i) + 100 as b from (select *, sum(new) over (partition by doc_id order by i) as r from cut) group by doc_id, r),
+part as (select r.doc_id, a, b, substr(h, 2 * coalesce(lag(b) over (partition by r.doc_id order by a), 0) + 1, 2 * (a - coalesce(lag(b) over (partition by r.doc_id order by a), 0))) as kept from run r join d on r.doc_id = d.doc_id),
+k as (select doc_id, sum(b - a) as removed, count(*) as spans, max(b) as last, string_agg(kept, '' order by a) as kept from part group by doc_id)
+select d.doc_id, n as n_bytes, coalesce(removed, 0)::bigint as n_removed, coalesce(spans, 0) as n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256 from d left join k using (doc_id)
+"""
