@@ -9,6 +9,7 @@ than those an operator names are ignored.
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -29,16 +30,16 @@ SPACES = b" \t\n\x0b\x0c\r"
 #: Text bytes that one vectorised step takes at a time; bounds a task's memory (a longer document is one step).
 STEP_BYTES = 2 << 20
 
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bases of the two lanes of Rabin-Karp hashes.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE_VALUE = np.random.default_rng(20240229).integers(1, 2**64 - 1, 256, dtype=np.uint64)
-_BYTE_VALUE_2 = np.random.default_rng(20250711).integers(1, 2**64 - 1, 256, dtype=np.uint64)
-_powers = {"n": 0}
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Words of more bytes get a cryptographic digest, others are mixed 8 bytes at a time.
+LONG_WORD = 64
 
 
 # ------------------------------------------------------------------------------------------------ Spark
@@ -194,16 +195,17 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int = STEP_BYTES) -> Iterato
             lo = hi
 
 
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of the base, and of its inverse, modulo 2**64."""
-    if _powers["n"] < n:
-        m = max(n, 1 << 16)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            x = np.full(m, base, np.uint64)
+def _pow(n: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0..n-1 of the lane's base, and of its inverse, modulo 2**64."""
+    if lane not in _powers or len(_powers[lane][0]) < n:
+        made = []
+        for base in (_BASES[lane], pow(_BASES[lane], -1, 1 << 64)):
+            x = np.full(max(n, 1 << 16), base, np.uint64)
             x[0] = 1
-            _powers[name] = np.cumprod(x, dtype=np.uint64)
-        _powers["n"] = m
-    return _powers["up"][:n], _powers["down"][:n]
+            made.append(np.cumprod(x, dtype=np.uint64))
+        _powers[lane] = made[0], made[1]
+    up, down = _powers[lane]
+    return up[:n], down[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -216,12 +218,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def rolling(values: np.ndarray, size: int) -> np.ndarray:
-    """Rabin-Karp hashes modulo 2**64 of every ``size`` consecutive values (uint64)."""
+def _mix_2(x: np.ndarray) -> np.ndarray:
+    """Another way to spread them."""
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def rolling(values: np.ndarray, size: int, lane: int = 0) -> np.ndarray:
+    """Rabin-Karp hashes modulo 2**64 of every ``size`` consecutive values (uint64); each lane has a base of its own."""
     n = len(values)
     if n < size:
         return np.zeros(0, np.uint64)
-    up, down = _pow(n + 1)
+    up, down = _pow(n + 1, lane)
     c = np.zeros(n + 1, np.uint64)
     np.cumsum(values * up[:n], out=c[1:])
     return mix((c[size:] - c[: n - size + 1]) * down[: n - size + 1])
@@ -250,18 +262,30 @@ def words(data: np.ndarray, offs: np.ndarray, is_space: np.ndarray = _IS_SPACE)
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTE_VALUE) -> np.ndarray:
-    """64-bit hashes of the words between these bytes."""
-    n = len(data)
-    up, down = _pow(n + 1)
-    c = np.zeros(n + 1, np.uint64)
-    np.cumsum(values[data] * up[:n], out=c[1:])
-    return mix((c[ends] - c[starts]) * down[starts])
-
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64-bit hashes of the words between these bytes. The two lanes are functions that share nothing, so both make 128 bits.
 
-def word_hashes_2(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Other 64 bits of the same words."""
-    return word_hashes(data, starts, ends, _BYTE_VALUE_2)
+    A step takes 8 bytes and is no linear function of them: words that differ in letters of one pattern only (which sums of powers
+    of a base can't tell apart) differ in their hashes like any others.
+    """
+    spread, seed, step = ((mix, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25), (_mix_2, 0x589965CC75374CC3, 0x1D8E4E27C47D124F))[lane]
+    length = (ends - starts).astype(np.int64)
+    h = spread(length.astype(np.uint64) * np.uint64(step) + np.uint64(seed))
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    at, live = 0, np.flatnonzero((length > 0) & (length <= LONG_WORD))
+    while len(live):
+        part = eight[starts[live] + at]
+        left = length[live] - at
+        short = left < 8
+        part[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+        h[live] = spread((h[live] ^ part) * np.uint64(step) if lane else (h[live] + part) * np.uint64(step))
+        at += 8
+        live = live[left > 8]
+    for k in np.flatnonzero(length > LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[starts[k] : ends[k]], digest_size=16).digest()
+        h[k] = int.from_bytes(digest[8 * lane : 8 * lane + 8], "little")
+    return h
 
 
 def inside(offs: np.ndarray, size: int, n: int) -> np.ndarray:

@@ -3,8 +3,8 @@
 1. Every window of ``size`` words has an anchor: the word 8-gram of least hash in it. Equal windows have equal anchors, so a
    window can repeat in another document only if its anchor does. Spark counts anchors (about one per 22 words): least and
    greatest doc_id by hash.
-2. Documents get back which of their anchors repeat. Every window on such an anchor is hashed (two rolling hashes, 128 bits in
-   all), and Spark finds each hash's least doc_id: a window of a greater one is removed.
+2. Documents get back which of their anchors repeat. Every window on such an anchor is hashed (two rolling hashes of
+   different bases over different word hashes, 128 bits in all), and Spark finds each hash's least doc_id: a window of a greater one is removed.
 3. A document's repeated windows merge into maximal removal intervals of words.
 
 Before either shuffle a task keeps one row per hash (the smallest document) and says at once what it knows to repeat, so a
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridlens.llm.common import chunks, inside, join_hot, key_back, merge_ranges, mix, partitions_for, rolling, signed, sliding_argmin, stage, told_apart, word_hashes, word_hashes_2, words
+from gridlens.llm.common import chunks, inside, join_hot, key_back, merge_ranges, mix, partitions_for, rolling, signed, sliding_argmin, stage, told_apart, word_hashes, words
 
 WINDOW = 50
 GRAM = 8
@@ -44,7 +44,7 @@ def _anchored(data: np.ndarray, offs: np.ndarray, size: int, twice: bool = False
     at = sliding_argmin((grams >> np.uint64(32)).astype(np.uint32), size - gram + 1)
     pos = np.flatnonzero(inside(first, size, n))
     row = np.searchsorted(first, pos, "right") - 1
-    other = rolling(word_hashes_2(data, starts, ends), size)[pos] if twice else h[:0]
+    other = rolling(word_hashes(data, starts, ends, 1), size, 1)[pos] if twice else h[:0]
     return pos - first[row], row, grams[at[pos]], rolling(h, size)[pos] if twice else h[:0], other
 
 
