@@ -17,9 +17,8 @@ least one block differs by no more than its proportional part of that: its radiu
 Cells with more than ``CHUNK`` vectors are cut into chunks, and each pair of chunks is a group of its own.
 
 Labels: equal and not null. Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, and
-only vectors of equal length are compared. Rows that are equal in id, label and vector are one vector; rows that share an id
-(or have none) and differ are vectors of their own, which link, and ``component_id`` is the smallest id, none before all. No
-rows, no result. FLOAT components are kept, others compared as DOUBLE.
+only vectors of equal length are compared. Every row is a vector of its own, whatever its id and also where rows are equal in
+all: such rows link with each other like any others. ``component_id`` is the smallest id, none before all. No rows, no result. FLOAT components are kept, others compared as DOUBLE.
 """
 
 from __future__ import annotations
@@ -246,25 +245,25 @@ def near_groups(vectors: DataFrame, cosine: float = COSINE, id: str = "vec_id")
     sound = F.col("embedding").isNotNull() & F.forall("embedding", lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))) & F.exists("embedding", lambda v: v != 0)
     sound = F.coalesce(F.col("label").isNotNull() & sound, F.lit(False))
     valid = rows.where(sound).withColumns({"h1": F.xxhash64("label", "embedding"), "h2": F.xxhash64("embedding", "label")})
-    classes = valid.groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count_distinct("vec_id").alias("cnt"), F.count("*").alias("k"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
+    classes = valid.groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("cnt"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
     classes = stage(classes.withColumns({"key": F.monotonically_increasing_id(), "dims": F.size("embedding").cast("long")}), "vectors")
     n = classes.count()
     sizes = classes.groupBy("label", "dims").agg(F.count("*").alias("k"))
     deep = F.least(F.lit(DEPTH), F.ceil(F.log(F.col("k") / CHUNK) / float(-np.log(FULLEST))))
     sizes = sizes.withColumn("depth", F.when(F.col("k") <= PARTS * CHUNK, 0).otherwise(deep).cast("long"))
-    placed = stage(join_hot(classes.drop("k"), sizes, ["label", "dims"], n).select("key", "label", "dims", "depth", "embedding").mapInArrow(_cells(cosine), "key long, cell long, block int, corner int"), "cells")
+    placed = stage(join_hot(classes, sizes, ["label", "dims"], n).select("key", "label", "dims", "depth", "embedding").mapInArrow(_cells(cosine), "key long, cell long, block int, corner int"), "cells")
     full = placed.groupBy("cell").agg(F.count("*").alias("k")).where("k > 1")
     placed = join_hot(placed, full.withColumn("parts", F.ceil(F.col("k") / CHUNK).cast("int")), ["cell"], placed.count())
     placed = placed.withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     placed = placed.select("key", "cell", "block", "corner", "part", F.least("part", "to").alias("i"), F.greatest("part", "to").alias("j"))
-    deep = join_hot(classes.drop("k"), sizes, ["label", "dims"], n).select("key", "least", "cnt", "label", "dims", "depth", "embedding")
+    deep = join_hot(classes, sizes, ["label", "dims"], n).select("key", "least", "cnt", "label", "dims", "depth", "embedding")
     found = placed.join(deep, "key").groupBy("cell", "i", "j").applyInArrow(_verify(cosine), "key long, least long, links long, other long, other_least long")
     found = stage(found, "found")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     node = lambda least, key: F.struct(F.col(least).alias("least"), F.col(key).alias("key"))
     group = components(found.where("key <> other").select(node("least", "key").alias("a"), node("other_least", "other").alias("b")))
     known = classes.join(links, "key", "left").join(group.select(F.col("id.key").alias("key"), F.col("component.least").alias("component_id")), "key", "left")
-    known = known.select("h1", "h2", "k", (F.col("cnt") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
+    known = known.select("h1", "h2", F.col("cnt").alias("k"), (F.col("cnt") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     alone = rows.where(~sound).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = join_hot(valid.select("vec_id", "h1", "h2"), known, ["h1", "h2"], valid.count()).select("vec_id", "n_links", "component_id").unionByName(alone)
     return out.select(key_back("vec_id"), "n_links", key_back("component_id"), (F.col("vec_id") == F.col("component_id")).alias("kept"))
