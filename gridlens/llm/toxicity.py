@@ -30,8 +30,6 @@ from gridlens.llm.common import stage
 
 #: The classifier is fitted on a sample of labelled rows: this many at most, chosen by a hash of doc_id.
 MAX_TRAIN = 12_000
-#: The lexicon's entries at most, those whose lower bound is highest, and the exception phrases at most.
-MAX_PATTERNS, MAX_PHRASES = 4_000, 1_000
 #: Folds of the labelled documents, for the calibration.
 FOLDS = 4
 PREFIXES = (4, 5, 6)
@@ -178,7 +176,10 @@ def _bound(pos: Column, n: Column, side: int) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, exceptions: tuple[str, ...] = ()) -> tuple[dict[str, float], list[float], tuple[str, ...]]:
-    """(weights, rate per bin, exception phrases) from labelled documents that aren't held out; ``max_train`` of them at most."""
+    """(weights, rate per bin, exception phrases) from labelled documents that aren't held out; ``max_train`` of them at most.
+
+    All patterns and phrases that pass their bound are in the model. Each is in several documents of the sample, which bounds them.
+    """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     # the first by hash, so that each pass and each retry gets the same ones
     few = known.orderBy(F.xxhash64("_id"), "_id").limit(max_train)
@@ -190,7 +191,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, except
     lexicons, phrases, base = {}, {}, 0.0
     for k in (-1, *range(FOLDS)):
         low = _bound(F.col("pos"), F.col("n"), -1)
-        best = _without(sums, k).withColumn("low", low).where("pattern = '' or low > 0.5").orderBy(F.col("pattern") != "", F.desc("low"), "pattern").limit(MAX_PATTERNS + 1).collect()
+        best = _without(sums, k).withColumn("low", low).where("pattern = '' or low > 0.5").orderBy(F.col("pattern") != "", F.desc("low"), "pattern").collect()
         if not best:
             lexicons[k] = {}
             continue
@@ -203,7 +204,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, except
     found = _counted(train, lambda: Scorer(weights).phrases)
     for k in lexicons:
         high = _without(found, k).where("pattern <> ''").withColumn("high", _bound(F.col("pos"), F.col("n"), 1)).where("high < 0.5")
-        phrases[k] = exceptions + tuple(r["pattern"] for r in high.orderBy("high", "pattern").limit(MAX_PHRASES).collect())
+        phrases[k] = exceptions + tuple(r["pattern"] for r in high.orderBy("high", "pattern").collect())
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorers = [Scorer(lexicons[k], phrases[k]) for k in range(FOLDS)]
