@@ -7,7 +7,8 @@ both never changes; so a source's words stay at its target until the last docume
 Pairs are made within leaves of about ``LEAF`` documents (largest first, so that what is left over is small), and the one
 document that a leaf leaves open goes up a tree of fan-in ``FAN_IN`` until a source has none.
 
-A document with a good part of a leaf's words is paired with all its others at once before that, in leaves of every source alike.
+A document with a good part of the words in its leaf, or in its node of the tree, is paired with all the others there at once before
+that: one rule for every source and every level.
 
 Draws come from a generator seeded by the leaf's name, and leaves from a hash of what is known of a document (id, source, size, a
 caller's own numbers) and its place among those equal in all of it: reruns agree, whatever the partitions, and rows without an id,
@@ -64,29 +65,24 @@ def share_out(total: float, weights: list[float], caps: list[float]) -> list[flo
 
 
 def _settle_large(sizes: np.ndarray, parts: np.ndarray, rng: np.random.Generator) -> None:
-    """Pair each document of a good part of the words with all the others, which then share one fraction.
+    """Pair each document of a good part of the words with all the others, whose fractions then move by as much, as long as they can.
 
-    A single partner could not take what a dominant document gives, and it would stay open to the end. In a leaf of documents (not
-    of leaves) all start with their source's fraction.
+    A single partner could not take what a dominant document gives, and it would stay open to the end.
     """
     open_ = np.flatnonzero((parts > 0) & (parts < 1))
-    if not len(open_):
-        return
-    p = parts[open_[0]]
-    for k, i in enumerate(open_):
-        s, rest = sizes[i], sizes[open_[k + 1 :]].sum()
-        if s < LARGE * rest or p * s > (1 - p) * rest or (1 - p) * s > p * rest:
+    for k, i in enumerate(open_[:-1]):
+        others = open_[k + 1 :]
+        p, s, rest = parts[i], sizes[i], sizes[others].sum()
+        if s < LARGE * rest or parts[others].max() + p * s / rest > 1 or parts[others].min() - (1 - p) * s / rest < 0:
             break
         parts[i] = float(rng.random() < p)
-        p += (p - parts[i]) * s / rest
-        parts[open_[k + 1 :]] = p
+        parts[others] += (p - parts[i]) * s / rest
 
 
-def settle(sizes: np.ndarray, parts: np.ndarray, rng: np.random.Generator, last: bool, leaf: bool = True) -> np.ndarray:
-    """Round the fractions ``parts`` of documents in this order; without ``last`` one may stay open. ``leaf``: they all start alike."""
+def settle(sizes: np.ndarray, parts: np.ndarray, rng: np.random.Generator, last: bool) -> np.ndarray:
+    """Round the fractions ``parts`` of documents in this order; without ``last`` one may stay open."""
     out, draws = parts.copy(), rng.random(len(parts) + 1)
-    if leaf:
-        _settle_large(sizes, out, rng)
+    _settle_large(sizes, out, rng)
     i, x, s = -1, 0.0, 0.0  # the open document, its words taken, its size
     for j in range(len(out)):
         y, t = out[j] * sizes[j], float(sizes[j])
@@ -112,11 +108,11 @@ def settle(sizes: np.ndarray, parts: np.ndarray, rng: np.random.Generator, last:
     return out
 
 
-def _rounder(name: str, last: bool, leaf: bool, keys: list[str]):
+def _rounder(name: str, last: bool, keys: list[str]):
     def round_leaf(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", *keys], ascending=[False] + [True] * len(keys), kind="stable")
         rng = np.random.default_rng(zlib.crc32(f"{name}/{pdf['source'].iloc[0]!r}/{pdf['leaf'].iloc[0]}".encode()))
-        return pdf.assign(part=settle(pdf["size"].to_numpy(float), pdf["part"].to_numpy(float), rng, last, leaf))
+        return pdf.assign(part=settle(pdf["size"].to_numpy(float), pdf["part"].to_numpy(float), rng, last))
 
     return round_leaf
 
@@ -166,7 +162,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     most, level, done = max(c[-1] for c in catalogue), 0, []
     while True:
         last = most == 1
-        rows = stage(rows.groupBy("source", "leaf").applyInPandas(_rounder(f"{seed}/{level}", last, level == 0, keys), fields), "rounded")
+        rows = stage(rows.groupBy("source", "leaf").applyInPandas(_rounder(f"{seed}/{level}", last, keys), fields), "rounded")
         done.append(rows.where("part = 0 or part = 1"))
         if last:
             break
