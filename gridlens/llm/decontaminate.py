@@ -1,9 +1,10 @@
 """Benchmark decontamination: a BM25 inverted index of test items with block maxima; every training passage is a query.
 
 The items' index goes to the tasks; documents never move and are read once. Its size is checked: items of more than
-``SHARD_BYTES`` of text are indexed in shards of about that, one pass over the documents each, and more than ``MAX_ITEM_BYTES``
-are refused. What a score depends on (number of items, how many have a word, mean length) and the longest item are counted
-over all items before, so shards change no result.
+``SHARD_BYTES`` of text are indexed in shards of about that, one pass over the documents each, one shard at a time: its pairs
+are written and its index let go before the next is made, so neither driver nor tasks hold more, however large the benchmark.
+What a score depends on (number of items, how many have a word, mean length) and the longest item are counted over all items
+before, in a table of which a shard takes its own words, so shards change no result.
 
 A document is read as overlapping passages long enough to hold the longest item whole. A passage is a query of its distinct words.
 Impacts are BM25 weights divided by the score an item gets from its own text, so that one threshold fits all items. Posting
@@ -33,16 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.llm.common import chunks, lower_ascii, rolling, signed, word_hashes, words
+from gridlens.llm.common import chunks, discard, lower_ascii, rolling, signed, stage, word_hashes, words
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 OVERLAP = 0.8
 GRAM = 5
 BLOCK = 8
-#: Bytes of items' text in one index (its arrays take about as much), and in all: a larger benchmark is refused.
+#: Bytes of items' text in one index (its arrays take about as much).
 SHARD_BYTES = 32 << 20
-MAX_ITEM_BYTES = 512 << 20
 PASSAGE = 64
 #: Passages that are searched at a time; bounds a task's memory.
 PASSAGES = 2048
@@ -84,7 +84,7 @@ def _item(*given: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Statistics(NamedTuple):
-    """What is counted over all items that have words: how many, their mean and greatest length, the items that have each term."""
+    """What is counted over all items that have words: how many, their mean and greatest length, the items that have each term (of those a shard has)."""
 
     items: int
     mean: float
@@ -105,17 +105,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (None, len(sizes), sum(sizes), max(sizes))], ["term", "items", "words", "longest"])
 
 
-def statistics(items: DataFrame) -> Statistics:
-    """``items`` has the columns of text only."""
+def statistics(items: DataFrame) -> tuple[Statistics, DataFrame]:
+    """The sums over all items, and the table (term, items); ``items`` has the columns of text only."""
     rows = items.mapInArrow(_count, "term long, items long, words long, longest long").groupBy("term")
-    got = rows.agg(F.sum("items").alias("items"), F.sum("words").alias("words"), F.max("longest").alias("longest")).toArrow()
-    every = got.filter(got["term"].is_null()).to_pylist()
+    rows = stage(rows.agg(F.sum("items").alias("items"), F.sum("words").alias("words"), F.max("longest").alias("longest")), "terms")
+    every, none = rows.where("term is null").collect(), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     if not every:
-        return Statistics(0, 1.0, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    got = got.filter(got["term"].is_valid())
+        return Statistics(0, 1.0, 0, *none), rows
+    return Statistics(every[0]["items"], every[0]["words"] / every[0]["items"], every[0]["longest"], *none), rows
+
+
+def _own_terms(every: Statistics, table: DataFrame, items: list[tuple]) -> Statistics:
+    """``every`` with the counts of the terms of these items."""
+    own = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for _, *parts in items for h in parts)]))
+    asked = table.sparkSession.createDataFrame(pa.table({"term": pa.array(signed(own))}))
+    got = table.join(asked, "term", "left_semi").toArrow()
     terms = got["term"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(terms)
-    return Statistics(every[0]["items"], every[0]["words"] / every[0]["items"], every[0]["longest"], terms[order], got["items"].to_numpy()[order])
+    return every._replace(terms=terms[order], df=got["items"].to_numpy().astype(np.int64)[order])
 
 
 def _spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,25 +240,36 @@ class Index:
         return out
 
 
-def indexes(benchmark: DataFrame, question: str | None = None, answer: str | None = None, shard_bytes: int = SHARD_BYTES) -> list[Index]:
-    """The index, in as many shards as its size asks for; refuses a benchmark that isn't small."""
+class Shards(NamedTuple):
+    """The items, which of ``count`` shards each is in, and what is counted over all."""
+
+    items: DataFrame
+    count: int
+    every: Statistics
+    terms: DataFrame
+
+    def index(self, k: int) -> Index:
+        rows = self.items.where(F.col("_shard") == k).drop("_shard")
+        items = [(r[0], *_item(*r[1:])) for r in rows.orderBy(*rows.columns).collect()]
+        return Index(items, _own_terms(self.every, self.terms, items))
+
+
+def indexes(benchmark: DataFrame, question: str | None = None, answer: str | None = None, shard_bytes: int = SHARD_BYTES) -> Shards:
+    """The items in as many shards as their size asks for."""
     cols = [question, answer] if question and answer else ["text"]
     size = sum(x or 0 for x in benchmark.agg(*[F.sum(F.octet_length(c)).alias(c) for c in cols]).first())
-    if size > MAX_ITEM_BYTES:
-        raise ValueError(f"the benchmark has more than {MAX_ITEM_BYTES} bytes of text")
-    every, shards = statistics(benchmark.select(*cols)), max(1, -(-size // shard_bytes))
+    shards = max(1, -(-size // shard_bytes))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), *cols).withColumn("_shard", F.pmod(F.xxhash64("item_id", *cols), F.lit(shards)))
-    rows = [items.where(F.col("_shard") == k).orderBy("item_id", *cols).collect() for k in range(shards)]
-    return [Index([(r[0], *_item(*r[1:-1])) for r in part], every) for part in rows]
+    return Shards(stage(items, "items", "_shard"), shards, *statistics(benchmark.select(*cols)))
 
 
-def find_leaks(docs: DataFrame, shards: list[Index], threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+def find_leaks(docs: DataFrame, shards: Shards, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """``doc_id, item_id, score, overlap, question_overlap, answer_overlap`` of every document and item that it leaks."""
     names = ["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"]
     schema = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
     rows, found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
-    for shard in shards:
-        sent = docs.sparkSession.sparkContext.broadcast(shard)
+    for k in range(shards.count):
+        sent = docs.sparkSession.sparkContext.broadcast(shards.index(k))
 
         def task(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
@@ -262,14 +280,17 @@ def find_leaks(docs: DataFrame, shards: list[Index], threshold: float = THRESHOL
                     yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(cols[0])), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[2:])], names)
 
         part = rows.mapInArrow(task, schema)
+        if shards.count > 1:
+            part = stage(part, "leaks")
+            sent.destroy()
         found = part if found is None else found.union(part)
     return found
 
 
-def drop_leaks(docs: DataFrame, shards: list[Index], threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+def drop_leaks(docs: DataFrame, shards: Shards, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """``docs`` without the contaminated documents."""
-    for shard in shards:
-        sent = docs.sparkSession.sparkContext.broadcast(shard)
+    for k in range(shards.count):
+        sent = docs.sparkSession.sparkContext.broadcast(shards.index(k))
 
         def task(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
@@ -278,7 +299,13 @@ def drop_leaks(docs: DataFrame, shards: list[Index], threshold: float = THRESHOL
                 keep[[m[0] for m in index.matches(data, offs, threshold, overlap)]] = False
                 yield part.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(task, docs.schema)
+        left = docs.mapInArrow(task, docs.schema)
+        if shards.count > 1:
+            left = stage(left, "left")
+            sent.destroy()
+            if k:
+                discard(docs)
+        docs = left
     return docs
 
 
