@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridlens.llm import decontaminate, embedding_dedup, line_dedup, mixing, ngram_join, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
+from gridlens.llm import decontaminate, embedding_dedup, line_dedup, mixing, ngram_join, permutation_index, ranked_search, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter, vector_codes
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_decontamination": decontaminate.op8_decontamination,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+        "op11_ranked_search": ranked_search.op11_ranked_search,
+        "op12_vector_codes": vector_codes.op12_vector_codes,
+        "op13_nearest_neighbours": permutation_index.op13_nearest_neighbours,
     }
 
 
@@ -28,4 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_ngram_join": ngram_join.SQL,
         "op9_line_dedup": line_dedup.SQL,
         "op10_substring_dedup": substring_dedup.SQL,
+        "op11_ranked_search": ranked_search.SQL,
+        "op12_vector_codes": vector_codes.SQL,
     }

@@ -659,7 +659,7 @@ def test_mixing_of_rows_that_share_an_id(spark, sf):
 
 def test_every_number_is_registered():
     names = list(__spark_entry__.queries())
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names
     assert json.dumps(queries.oracle_sql())
 
 
