@@ -4,19 +4,20 @@ from __future__ import annotations
 
 import atexit
 import io
-import json
 import shutil
 import tempfile
 import uuid
 import zipfile
-from pathlib import Path
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlens.operators.sequence import renumber
+from gridlens.sinks.grouped import write_files
 from gridlens.sources.trend import encode_columns
-from gridlens.spec import CORE
+from gridlens.spec import CORE, RECORD_BYTES
 
 #: Spark SQL; with ``D`` literals as ::double and ``div`` as ``//`` it is DuckDB SQL too. A shared fixture, not an operator.
 PROJECTION = """
@@ -77,29 +78,89 @@ def scratch(spark: SparkSession) -> str:
     return f"{there.rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
+def _encoded(damaged: bool):
+    """(file, seq, content): a record's bytes for each row, ``seq`` twice its number; ``damaged``: odd bytes after the eleventh, and a torn copy of the first at the end."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = encode_columns(batch.column("s").to_numpy(), batch.column("e").to_numpy(), {c: batch.column(c).to_numpy(zero_copy_only=False) for c in CORE})
+            rows = [(n, 2 * i, raw[k * RECORD_BYTES : (k + 1) * RECORD_BYTES]) for k, (n, i) in enumerate(zip(batch.column("session_id").to_pylist(), batch.column("record_index").to_pylist(), strict=True))]
+            if damaged:
+                rows += [(n, 21, b"\1\2\3\4\5") for n, i, _ in rows if i == 20] + [(n, 1 << 60, r[:40]) for n, i, r in rows if i == 0]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*((f"S{n}/trend.bin", i, r) for n, i, r in rows), strict=True), (pa.string(), pa.int64(), pa.binary()), strict=True)] if rows else [pa.array([], t) for t in (pa.string(), pa.int64(), pa.binary())], ["file", "seq", "content"])
+
+    return task
+
+
+class _Sent(io.RawIOBase):
+    """What is written, to be taken in pieces."""
+
+    def __init__(self):
+        self.held, self.at = [], 0
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data) -> int:
+        self.held.append(bytes(data))
+        self.at += len(self.held[-1])
+        return len(self.held[-1])
+
+    def take(self) -> bytes:
+        out, self.held = b"".join(self.held), []
+        return out
+
+
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of bundles (bundle, member, seq, content), together and in order, as (file, seq, content): the bundles' bytes, a batch at a time."""
+    bundle, member, sent, name, stream, seq = None, None, None, None, None, 0
+
+    def close(both: bool) -> None:
+        if stream:
+            stream.close()
+        if both and bundle:
+            bundle.close()
+
+    def piece() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([seq], pa.int64()), pa.array([sent.take()], pa.binary())], ["file", "seq", "content"])
+
+    for batch in batches:
+        for file, inner, content in zip(*(batch.column(c).to_pylist() for c in ("bundle", "member", "content")), strict=True):
+            if file != name:
+                close(True)
+                if name:
+                    yield piece()
+                name, member, stream, sent, seq = file, None, None, _Sent(), 0
+                bundle = zipfile.ZipFile(sent, "w", zipfile.ZIP_DEFLATED)
+            if inner != member:
+                close(False)
+                member, stream = inner, bundle.open(inner, "w", force_zip64=True)
+            stream.write(content)
+        if name:
+            yield piece()
+            seq += 1
+    close(True)
+    if name:
+        yield piece()
+
+
 def session_files(spark: SparkSession, sf_dir: str, kind: str = "healthy") -> str:
-    """The sessions of ``by_days`` as files, for the sources to read: a folder S<id> each with trend.bin and a configuration.
+    """The sessions of ``by_days`` as files, for the sources to read: a folder S<id> each with trend.bin and a configuration. Tasks write them.
 
-    ``kind`` damaged: five odd bytes after the eleventh record and a torn tail; bundle: zipped, S<id>.fel. The driver writes them.
+    ``kind`` damaged: odd bytes and a torn tail in each; bundle: zipped, S<id>.fel.
     """
     there = scratch(spark)
-    local = Path(there.removeprefix("file://").removeprefix("file:"))
-    rows = by_days(spark, sf_dir).select("session_id", "record_index", F.unix_micros(F.col("t_start").cast("timestamp")).alias("s"), F.unix_micros(F.col("t_end").cast("timestamp")).alias("e"), *CORE).toPandas()
-    for name, part in rows.sort_values(["session_id", "record_index"]).groupby("session_id"):
-        raw = encode_columns(part["s"].to_numpy(), part["e"].to_numpy(), {c: part[c].to_numpy() for c in CORE})
-        if kind == "damaged":
-            raw = raw[: 11 * 744] + b"\1\2\3\4\5" + raw[11 * 744 :] + raw[:40]
-        config = json.dumps({"asset_name": f"asset {name}", "team_name": "night", "type": "demo"})
-        if kind == "bundle":
-            held = io.BytesIO()
-            with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as bundle:
-                bundle.writestr(f"S{name}/trend.bin", raw)
-                bundle.writestr(f"S{name}/S{name}-config.json", config)
-            local.mkdir(parents=True, exist_ok=True)
-            (local / f"S{name}.fel").write_bytes(held.getvalue())
-            continue
-        (local / f"S{name}").mkdir(parents=True)
-        (local / f"S{name}" / "trend.bin").write_bytes(raw)
-        (local / f"S{name}" / f"S{name}-config.json").write_text(config)
-        (local / f"S{name}" / "A-config.json").write_text("{}")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    rows = by_days(spark, sf_dir).select("session_id", "record_index", micros("t_start").alias("s"), micros("t_end").alias("e"), *[F.col(c).cast("double").alias(c) for c in CORE])
+    schema = "file string, seq long, content binary"
+    records = rows.mapInArrow(_encoded(kind == "damaged"), schema)
+    names = rows.select("session_id").distinct()
+    config = F.to_json(F.struct(F.concat(F.lit("asset "), "session_id").alias("asset_name"), F.lit("night").alias("team_name"), F.lit("demo").alias("type")))
+    config = names.select(F.format_string("S%s/S%s-config.json", "session_id", "session_id").alias("file"), F.lit(0).cast("long").alias("seq"), config.cast("binary").alias("content"))
+    if kind == "bundle":
+        members = records.unionByName(config).select(F.concat(F.split_part("file", F.lit("/"), F.lit(1)), F.lit(".fel")).alias("bundle"), F.col("file").alias("member"), "seq", "content")
+        write_files(members.repartition("bundle").sortWithinPartitions("bundle", "member", "seq").mapInArrow(_zipped, schema), there)
+        return there
+    other = names.select(F.format_string("S%s/A-config.json", "session_id").alias("file"), F.lit(0).cast("long").alias("seq"), F.lit("{}").cast("binary").alias("content"))
+    write_files(records.unionByName(config).unionByName(other), there)
     return there

@@ -150,11 +150,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q: dict = {
         # sources and sinks
         "source_strict": _source("healthy", lambda spark, d: _read(trend.read_trend(spark, d, CHANNELS_READ))),
-        "source_tolerant": _source("damaged", lambda spark, d: _read(trend.read_trend(spark, d, CHANNELS_READ, tolerant=True))),
-        "source_split": _source("healthy", lambda spark, d: _read(trend.read_split(spark, f"{d}/S0/trend.bin", CHANNELS_READ))),
+        "source_tolerant": _source("damaged", lambda spark, d: _read(trend.read_trend(spark, d, CHANNELS_READ, tolerant=True, split=100_000))),
+        "source_split": _source("healthy", lambda spark, d: _read(trend.read_trend(spark, f"{d}/S0/trend.bin", CHANNELS_READ, split=200_000))),
         "source_bundle": _source("bundle", lambda spark, d: _read(tables.read_bundles(spark, d, CHANNELS_READ))),
         "source_csv": _csv_source,
-        "source_scan_stats": _source("damaged", trend.scan_stats),
+        "source_scan_stats": _source("damaged", lambda spark, d: trend.scan_stats(spark, d, split=100_000)),
         "source_first_last": _source("healthy", lambda spark, d: flat(trend.first_last_times(spark, d))),
         "source_file_facts": _source("damaged", lambda spark, d: trend.file_facts(spark, d).select(F.element_at(F.split("path", "/"), -2).alias("session_id"), "records", "has_tail")),
         "source_configs": _source("healthy", tables.read_configs),

@@ -7,7 +7,8 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.sources.trend import _files, read_trend
+from gridlens.sources.ranged import files as _files
+from gridlens.sources.trend import read_trend
 
 
 def cached_trend(spark: SparkSession, path: str, folder: str, columns: list[str] | None = None, tolerant: bool = False, pattern: str = "*.bin", keep: int = 5) -> DataFrame:

@@ -8,13 +8,15 @@ import zipfile
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlens.operators.sequence import renumber
-from gridlens.sources.trend import _schema, decode, good_offsets, read_trend, session_name
-from gridlens.spec import CHANNELS, INDEX
+from gridlens.sources.ranged import STEP, files, last_start, reachable, record_starts, store_of
+from gridlens.sources.trend import _all_magic, _known, _schema, decode, read_trend, session_name
+from gridlens.spec import INDEX, RECORD_BYTES
 
 
 class NoSession(ValueError):
@@ -59,9 +61,11 @@ def parse_marks(spark: SparkSession, texts: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "time string, label string").select(F.try_to_timestamp("time").alias("time"), "label").where(F.col("time").isNotNull())
 
 
-def pick_trend(names: list[str]) -> str:
-    """The member of a bundle that holds the records: at its root, or in its one folder (that has it)."""
+def pick_trend(names: list[str], anywhere: bool = False) -> str:
+    """The member of a bundle that holds the records: at its root, or in its one folder (that has it); ``anywhere``: the last of any folder."""
     found = [n for n in names if PurePosixPath(n).name == "trend.bin"]
+    if anywhere and found:
+        return found[-1]
     if "trend.bin" in found:
         return "trend.bin"
     top = [n for n in found if len(PurePosixPath(n).parts) == 2]
@@ -70,35 +74,69 @@ def pick_trend(names: list[str]) -> str:
     return top[0]
 
 
-def bundle_config(bundle: zipfile.ZipFile) -> dict:
-    """The bundle's configuration; empty if there is none that can be read."""
-    names = sorted(n for n in bundle.namelist() if n.endswith("-config.json"))
+def bundle_config(bundle: zipfile.ZipFile, anywhere: bool = False) -> dict:
+    """The bundle's configuration, of the last name in order (``anywhere``: of the last member); empty if there is none that can be read."""
+    names = [n for n in bundle.namelist() if n.endswith("-config.json")]
     try:
-        return json.loads(bundle.read(names[-1])) if names else {}
+        found = json.loads(bundle.read(names[-1] if anywhere else max(names))) if names else {}
     except ValueError:
         return {}
+    return found if isinstance(found, dict) else {}
 
 
-def read_bundles(spark: SparkSession, path: str | list[str], columns: list[str] | None = None, tolerant: bool = True, pattern: str = "*.fel") -> DataFrame:
-    """Records of zipped sessions, with ``session_id`` after the bundle."""
-    columns = list(columns or CHANNELS.values())
-    schema = _schema(columns)
+def _opened(batch: pa.RecordBatch) -> Iterator[tuple[str, zipfile.ZipFile]]:
+    """The bundles of a batch by path: read in ranges (directory, then members in steps), or from their content where Spark has read it."""
+    for k, path in enumerate(batch.column("path").to_pylist()):
+        if "content" in batch.schema.names:
+            stream = io.BytesIO(batch.column("content")[k].as_py())
+        else:
+            store, there = store_of(path)
+            stream = store.open_input_file(there)
+        with stream, zipfile.ZipFile(stream) as bundle:
+            yield path, bundle
+
+
+def _bundles(spark: SparkSession, path: str | list[str], pattern: str) -> DataFrame:
+    """A bundle for each row, dealt to tasks; its content only where tasks can't open it."""
+    found = files(spark, path, pattern)
+    return found.select("path").repartition("path") if reachable(path) else found.select("path", "content")
+
+
+def read_bundles(spark: SparkSession, path: str | list[str], columns: list[str] | None = None, tolerant: bool = True, pattern: str = "*.fel", anywhere: bool = False) -> DataFrame:
+    """Records of zipped sessions, with ``session_id`` after the bundle.
+
+    A bundle is one task, as a packed member can't be entered in its middle; the member is unpacked in steps, and a step ends where a record may
+    go on in the next, so memory doesn't grow with it. ``anywhere``: the last ``trend.bin`` of any folder.
+    """
+    columns = _known(columns)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as bundle:
-                    raw = bundle.read(pick_trend(bundle.namelist()))
-                offsets, _ = good_offsets(raw, tolerant)
-                for cols in decode(raw, offsets, columns):
-                    n, stamp = len(cols["record_index"]), pa.timestamp("us", "UTC")
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([session_name(file)] * n), pa.array(cols["record_index"], pa.int64()), *(pa.array(cols[c]).cast(stamp) for c in ("t_start", "t_end")), *(pa.array(cols[c], pa.float32()) for c in columns)],
-                        ["session_id", "record_index", "t_start", "t_end", *columns],
-                    )
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return files.select("path", "content").mapInArrow(task, schema)
+            for path, bundle in _opened(batch):
+                with bundle.open(pick_trend(bundle.namelist(), anywhere)) as member:
+                    for raw, offsets, first in unpacked(member, tolerant):
+                        yield decode(raw, offsets, first, session_name(path), columns)
+
+    return _bundles(spark, path, pattern).mapInArrow(task, _schema(columns))
+
+
+def unpacked(member, tolerant: bool, step: int | None = None) -> Iterator[tuple[bytes, np.ndarray, int]]:
+    """(bytes, places of records in them, number of the first) of a stream that can't be entered in its middle."""
+    rest, first = b"", 0
+    while True:
+        more = member.read(step or STEP)
+        rest += more
+        stop = last_start(len(rest))
+        if tolerant:
+            offsets, at = record_starts(rest, stop)
+        else:
+            offsets = np.arange(len(rest) // RECORD_BYTES) * RECORD_BYTES
+            at = len(offsets) * RECORD_BYTES
+            _all_magic(rest, offsets, first)
+        yield rest, offsets, first
+        first, rest = first + len(offsets), rest[at:]
+        if not more:
+            return
 
 
 def read_configs(spark: SparkSession, path: str, pattern: str = "*-config.json") -> DataFrame:
@@ -135,17 +173,15 @@ def open_session(spark: SparkSession, path: str, columns: list[str] | None = Non
     raise NoSession(f"{path} is neither a session's folder nor a bundle")
 
 
-def bundle_configs(spark: SparkSession, path: str, pattern: str = "*.fel") -> DataFrame:
+def bundle_configs(spark: SparkSession, path: str, pattern: str = "*.fel", anywhere: bool = False) -> DataFrame:
     """``session_id`` and what reports name, of the configurations in bundles; nulls where a bundle has none that can be read."""
     names = ["asset_name", "team_name", "type", "firmware_version"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as bundle:
-                    found = bundle_config(bundle)
+            for path, bundle in _opened(batch):
+                found = bundle_config(bundle, anywhere)
                 values = [found.get(n) for n in names]
-                yield pa.RecordBatch.from_arrays([pa.array([session_name(file)]), *(pa.array([None if v is None else str(v)], pa.string()) for v in values)], ["session_id", *names])
+                yield pa.RecordBatch.from_arrays([pa.array([session_name(path)]), *(pa.array([None if v is None else str(v)], pa.string()) for v in values)], ["session_id", *names])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return files.select("path", "content").mapInArrow(task, "session_id string, " + ", ".join(f"{n} string" for n in names))
+    return _bundles(spark, path, pattern).mapInArrow(task, "session_id string, " + ", ".join(f"{n} string" for n in names))

@@ -37,7 +37,8 @@ def test_round_trip(spark, tmp_path):
     few = trend.read_trend(spark, path, ["PF_total_avg"])
     assert few.columns == ["session_id", "record_index", "t_start", "t_end", "PF_total_avg"]
     assert trend.file_facts(spark, path).first()[1:] == (10, False)
-    split = trend.read_split(spark, path, ["PF_total_avg"])
+    split = trend.read_trend(spark, path, ["PF_total_avg"], split=3 * RECORD_BYTES)
+    assert split.rdd.getNumPartitions() == 4
     assert sorted(map(tuple, split.collect())) == sorted(map(tuple, few.collect()))
     facts = trend.first_last_times(spark, path).first()
     assert facts.last_end == datetime(2024, 1, 13, 22, 0, 10)
