@@ -117,7 +117,7 @@ class TrendReader(DataSourceReader):
     def __init__(self, columns: list[str], options: dict[str, str]):
         self.columns, self.sessions = columns, None
         self.paths = json.loads(options["paths"]) if "paths" in options else [options["path"]]
-        self.pattern = options.get("pattern", "*.bin")
+        self.pattern, self.by_path = options.get("pattern", "*.bin"), options.get("by_path") == "true"
         self.split = max(1, int(options.get("split", ranged.SPLIT)) // RECORD_BYTES) * RECORD_BYTES
         self.window = Window(*(int(options[k]) if k in options else None for k in ("since", "until")))
 
@@ -144,7 +144,7 @@ class TrendReader(DataSourceReader):
                     stream.seek(at)
                     raw, offsets = bytes(stream.read(n * RECORD_BYTES)), np.arange(n) * RECORD_BYTES
                     _all_magic(raw, offsets, at // RECORD_BYTES)
-                    yield decode(raw, offsets, at // RECORD_BYTES, session_name(path), self.columns, self.window)
+                    yield decode(raw, offsets, at // RECORD_BYTES, path if self.by_path else session_name(path), self.columns, self.window)
 
 
 class PruningReader(TrendReader):
@@ -160,7 +160,7 @@ class PruningReader(TrendReader):
 
 
 class TrendSource(DataSource):
-    """Options: ``path`` (or ``paths``, a JSON list), ``pattern``, ``since`` and ``until`` (microseconds), ``split`` (bytes), ``prune``."""
+    """Options: ``path`` (or ``paths``, a JSON list), ``pattern``, ``since`` and ``until`` (microseconds), ``split`` (bytes), ``by_path``, ``prune``."""
 
     @classmethod
     def name(cls) -> str:
@@ -194,34 +194,37 @@ def _micros(t: datetime | None) -> int | None:
 # ------------------------------------------------------------------------------------------------ functions
 
 
-def read_trend(spark: SparkSession, path: str | list[str], columns: list[str] | None = None, tolerant: bool = False, pattern: str = "*.bin", since: datetime | None = None, until: datetime | None = None, split: int | None = None) -> DataFrame:
-    """Records of all session files under a path; ``columns`` prunes channels, ``since`` and ``until`` rows, before they leave the task."""
+def read_trend(spark: SparkSession, path: str | list[str], columns: list[str] | None = None, tolerant: bool = False, pattern: str = "*.bin", since: datetime | None = None, until: datetime | None = None, split: int | None = None, by_path: bool = False) -> DataFrame:
+    """Records of all session files under a path; ``columns`` prunes channels, ``since`` and ``until`` rows, before they leave the task.
+
+    ``by_path``: ``session_id`` has the whole path of the file.
+    """
     columns, window, split = _known(columns), Window(_micros(since), _micros(until)), split or ranged.SPLIT
     if not reachable(path):
-        return _read_whole(spark, path, columns, tolerant, pattern, window)
+        return _read_whole(spark, path, columns, tolerant, pattern, window, by_path)
     if tolerant:
         cut = ranged.entered(ranged.ranges(spark, path, pattern, split))
         # ranges of one file go to many tasks
-        return cut.where("lo < hi").repartition("path", "lo").mapInArrow(_decode_ranges(columns, window), _schema(columns))
+        return cut.where("lo < hi").repartition("path", "lo").mapInArrow(_decode_ranges(columns, window, by_path), _schema(columns))
     spark.dataSource.register(TrendSource)
-    options = {"paths": json.dumps([path] if isinstance(path, str) else path), "pattern": pattern, "split": split, "prune": spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")}
+    options = {"paths": json.dumps([path] if isinstance(path, str) else path), "pattern": pattern, "split": split, "by_path": by_path, "prune": spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")}
     return spark.read.format("trend").schema(_schema(columns)).options(**options, **{k: v for k, v in window._asdict().items() if v is not None}).load()
 
 
-def _decode_ranges(columns: list[str], window: Window):
+def _decode_ranges(columns: list[str], window: Window, by_path: bool):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, length, hi, entry, first in zip(*(batch.column(c).to_pylist() for c in ("path", "length", "hi", "entry", "first")), strict=True):
                 store, there = store_of(path)
                 with store.open_input_file(there) as stream:
                     for raw, offsets, _ in ranged.steps(stream, entry, hi, length):
-                        yield decode(raw, offsets, first, session_name(path), columns, window)
+                        yield decode(raw, offsets, first, path if by_path else session_name(path), columns, window)
                         first += len(offsets)
 
     return task
 
 
-def _read_whole(spark: SparkSession, path: str | list[str], columns: list[str], tolerant: bool, pattern: str, window: Window) -> DataFrame:
+def _read_whole(spark: SparkSession, path: str | list[str], columns: list[str], tolerant: bool, pattern: str, window: Window, by_path: bool) -> DataFrame:
     """As ``read_trend``, of files that only Spark can open, each in a row."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +233,7 @@ def _read_whole(spark: SparkSession, path: str | list[str], columns: list[str],
                 raw = raw.as_py()
                 offsets, _ = good_offsets(raw, tolerant)
                 for lo in range(0, len(offsets), 8192):
-                    yield decode(raw, offsets[lo : lo + 8192], lo, session_name(file), columns, window)
+                    yield decode(raw, offsets[lo : lo + 8192], lo, file if by_path else session_name(file), columns, window)
 
     return files(spark, path, pattern).select("path", "content").mapInArrow(task, _schema(columns))
 

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 from gridlens.spec import CORE
 
-BASE = datetime(2024, 1, 13, 22, 0)
+BASE = datetime(2023, 5, 4, 6, 0)
 HEALTHY = {"V_LN": 277.0, "I": 100.0, "freq": 60.0, "P": 50_000.0}
 
 

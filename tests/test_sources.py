@@ -1,26 +1,30 @@
+import gc
 import json
 import math
+import tracemalloc
 import zipfile
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo
 
 from gridlens import cli
 from gridlens.functions import calendar
 from gridlens.operators import events, stitch
 from gridlens.plans import compare, report
-from gridlens.sinks import files
-from gridlens.sources import cache, tables, trend
-from gridlens.spec import CHANNELS, CORE, INDEX, RECORD_BYTES
+from gridlens.sinks import files, grouped
+from gridlens.sources import cache, ranged, tables, trend
+from gridlens.spec import CHANNELS, CORE, INDEX, MAGIC, RECORD_BYTES
 
 from .helpers import OUT, session
 
-BASE = 1_705_183_200_000_000  # 2024-01-13T22:00:00Z
+BASE = 1_683_180_000_000_000  # 2023-05-04T06:00:00Z
 
 
 def synthetic(n=10):
-    return trend.encode([(BASE + i * 1_000_000, BASE + (i + 1) * 1_000_000, [(i + 1) * 100 + f * 0.5 for f in range(180)]) for i in range(n)])
+    return trend.encode([(BASE + i * 1_000_000, BASE + (i + 1) * 1_000_000, [7.0 * i - f * 0.25 for f in range(180)]) for i in range(n)])
 
 
 def put(folder, raw, name="ES.001"):
@@ -32,8 +36,8 @@ def put(folder, raw, name="ES.001"):
 def test_round_trip(spark, tmp_path):
     path = put(tmp_path, synthetic())
     rows = trend.read_trend(spark, path).orderBy("record_index").collect()
-    assert len(rows) == 10 and rows[0].session_id == "ES.001" and rows[3].t_start == datetime(2024, 1, 13, 22, 0, 3)
-    assert all(rows[i][CHANNELS[f]] == (i + 1) * 100 + f * 0.5 for i in (0, 9) for f in CHANNELS)
+    assert len(rows) == 10 and rows[0].session_id == "ES.001" and rows[3].t_start == datetime(2023, 5, 4, 6, 0, 3)
+    assert all(rows[i][CHANNELS[f]] == 7.0 * i - f * 0.25 for i in (0, 9) for f in CHANNELS)
     few = trend.read_trend(spark, path, ["PF_total_avg"])
     assert few.columns == ["session_id", "record_index", "t_start", "t_end", "PF_total_avg"]
     assert trend.file_facts(spark, path).first()[1:] == (10, False)
@@ -41,7 +45,7 @@ def test_round_trip(spark, tmp_path):
     assert split.rdd.getNumPartitions() == 4
     assert sorted(map(tuple, split.collect())) == sorted(map(tuple, few.collect()))
     facts = trend.first_last_times(spark, path).first()
-    assert facts.last_end == datetime(2024, 1, 13, 22, 0, 10)
+    assert facts.last_end == datetime(2023, 5, 4, 6, 0, 10)
     with pytest.raises(ValueError):
         trend.read_trend(spark, path, ["nope"])
 
@@ -140,7 +144,7 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     monkeypatch.setattr(report, "write_report", lambda *a, **k: None)  # test_report has it
     path = put(tmp_path, synthetic(70)).removesuffix("/trend.bin")
     out = str(tmp_path / "out")
-    args = ["analyze", path, "--out", out, "--json", "--nominal", "277", "--tod", "00:00-24:00", "--mark", "2024-01-13T22:00:05Z=go", "--peak-hours", "8-20", "--peak-rate", "0.5", "--reverse-cts", "a", "--shifts", "day=06:00-18:00,night=18:00-06:00", "--tz", "America/Chicago"]
+    args = ["analyze", path, "--out", out, "--json", "--nominal", "277", "--tod", "00:00-24:00", "--mark", "2023-05-04T06:00:05Z=go", "--peak-hours", "8-20", "--peak-rate", "0.5", "--reverse-cts", "a", "--shifts", "day=06:00-18:00,night=18:00-06:00", "--tz", "America/Chicago"]
     assert cli.main(args, spark) == 0
     said = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert set(said) == {"config", "summary_stats", "events", "snapshots", "insights"} and said["summary_stats"]["event_count"] == len(said["events"])
@@ -173,14 +177,144 @@ def test_sessions_kept_by_label(spark):
     assert list(m.of) == ["x", "y"] and m.stitched().count() == 4 and m.stitched().where("source = 'y' and record_index = 0").count() == 1
 
 
-def test_cached_sessions(spark, tmp_path):
-    put(tmp_path, synthetic(10))
-    held = str(tmp_path / "cache")
-    first = cache.cached_trend(spark, str(tmp_path), held, ["V_LN_a_avg_V"], pattern="trend.bin")
-    assert first.count() == 10 and cache.cached_trend(spark, str(tmp_path), held, ["V_LN_a_avg_V"], pattern="trend.bin").count() == 10
-    assert len(list((tmp_path / "cache").iterdir())) == 1
-    cache.cached_trend(spark, str(tmp_path), held, ["I_a_avg_A"], pattern="trend.bin", keep=1)
-    assert len(list((tmp_path / "cache").iterdir())) == 1
+def test_cached_sessions(spark, tmp_path, monkeypatch):
+    """Unchanged files aren't decoded again, changed ones alone are; what isn't the cache's stays; tables in use stay."""
+    source, held = tmp_path / "in", tmp_path / "cache"
+    source.mkdir()
+    for k in (1, 2, 3):
+        put(source, synthetic(10 * k), f"ES.00{k}")
+    (held / "run-mine").mkdir(parents=True)
+    (held / "run-mine" / "notes.txt").write_text("not the cache's")
+    asked = []
+    plain = cache.read_trend
+    monkeypatch.setattr(cache, "read_trend", lambda spark, paths, *a, **k: asked.append(sorted(trend.session_name(p) for p in paths)) or plain(spark, paths, *a, **k))
+    get = lambda *columns, **more: cache.cached_trend(spark, str(source), str(held), list(columns), **more)
+    first = get("V_LN_a_avg_V")
+    assert first.count() == 60 and asked == [["ES.001", "ES.002", "ES.003"]]
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, trend.read_trend(spark, str(source), ["V_LN_a_avg_V"]).collect()))
+    assert get("V_LN_a_avg_V").count() == 60 and len(asked) == 1
+    (source / "ES.002" / "trend.bin").write_bytes(synthetic(7))
+    assert get("V_LN_a_avg_V").count() == 47 and asked[1:] == [["ES.002"]]
+    (source / "ES.001").rename(source / "old")  # the same bytes under another name are another session, the rest is known
+    assert get("V_LN_a_avg_V").where("session_id = 'old'").count() == 10 and asked[2:] == [["old"]]
+    (source / "old" / "trend.bin").write_bytes(b"")
+    other = get("I_a_avg_A", keep=1, grace=0)
+    assert other.count() == 37 and first.count() == 60  # a frame that is open still reads
+    del first
+    gc.collect()
+    get("I_a_avg_A", keep=1, grace=0)
+    tables_ = json.loads((held / "manifest.json").read_text())["tables"]
+    assert len(tables_) == 2 and (held / "run-mine" / "notes.txt").read_text() == "not the cache's"
+    assert other.count() == 37
+    with pytest.raises(ValueError):
+        cache.cached_trend(spark, "viewfs://store/x", str(held))
+
+
+def test_damaged_files_cut_anywhere(spark, tmp_path):
+    """Every split gives what one scan from the start gives: records, numbers and counts."""
+    rng = np.random.default_rng(4)
+    for k in range(12):
+        raw = b""
+        for i in range(int(rng.integers(0, 12))):
+            record = bytearray(synthetic(1))
+            if rng.random() < 0.2:
+                record[40:44] = MAGIC  # in the middle of a record
+            if rng.random() < 0.2:
+                record = record[: int(rng.integers(1, RECORD_BYTES))]
+            if rng.random() < 0.1:
+                record[24:28] = b"\0\0\x80\x7f"
+            raw += bytes(record) + (bytes(int(rng.integers(0, 900))) if rng.random() < 0.2 else b"")
+        put(tmp_path, raw, f"F{k}")
+    want, counts = [], []
+    for k in range(12):
+        raw = (tmp_path / f"F{k}" / "trend.bin").read_bytes()
+        offsets, stats = trend.good_offsets(raw, True)
+        want += [(f"F{k}", i, np.frombuffer(raw[p + 24 : p + 28], "<f4")[0]) for i, p in enumerate(offsets)]
+        counts.append((f"F{k}", stats["total_seen"], stats["good"], stats["bad_magic"], stats["truncated"]))
+    assert sum(c[3] > 0 for c in counts) > 3
+    for split in (RECORD_BYTES, 1000, 1 << 20):
+        got = trend.read_trend(spark, str(tmp_path), ["V_LN_a_min_V"], tolerant=True, split=split).collect()
+        assert sorted((r.session_id, r.record_index, r.V_LN_a_min_V) for r in got) == sorted(want)
+        assert sorted(tuple(r)[:5] for r in trend.scan_stats(spark, str(tmp_path), split=split).collect()) == sorted(counts)
+
+
+def test_ranges_windows_and_pruning(spark, tmp_path):
+    for k in (1, 2):
+        put(tmp_path, synthetic(100), f"ES.00{k}")
+    since, until = datetime(2023, 5, 4, 6, 0, 10), datetime(2023, 5, 4, 6, 0, 20)
+    rows = trend.read_trend(spark, str(tmp_path), ["freq_avg_Hz"], since=since, until=until, split=30 * RECORD_BYTES)
+    assert sorted((r.session_id, r.record_index) for r in rows.collect()) == [(f"ES.00{k}", i) for k in (1, 2) for i in range(10, 20)]
+    reader = trend.PruningReader(["freq_avg_Hz"], {"path": str(tmp_path), "split": str(30 * RECORD_BYTES)})
+    assert len(reader.partitions()) == 8
+    assert list(reader.pushFilters([EqualTo(("session_id",), "ES.002"), EqualTo(("record_index",), 3)])) == [EqualTo(("record_index",), 3)]
+    assert {p[0].split("/")[-2] for part in reader.partitions() for p in part.pieces} == {"ES.002"}
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        assert trend.read_trend(spark, str(tmp_path), ["freq_avg_Hz"]).where("session_id = 'ES.002' and record_index < 5").count() == 5
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    # a file of 3 GB (with holes, so that it takes no room) is many tasks; small files share one
+    with (tmp_path / "large.bin").open("wb") as f:
+        f.truncate(3 << 30)
+    large = trend.TrendReader([], {"path": str(tmp_path / "large.bin")}).partitions()
+    assert len(large) == -(-(3 << 30) // ranged.SPLIT) and all(p.pieces[0][2] % RECORD_BYTES == 0 for p in large)
+    assert len(trend.TrendReader([], {"paths": json.dumps([str(tmp_path / "ES.001"), f"file:{tmp_path}/ES.00?"])}).partitions()) == 1
+    with pytest.raises(FileNotFoundError):
+        trend.TrendReader([], {"path": str(tmp_path / "none")}).partitions()
+
+
+def test_peeks_are_one_job(spark, tmp_path):
+    raw = synthetic(3)
+    for k in range(400):
+        put(tmp_path, raw[: RECORD_BYTES * (k % 4)] + b"x", f"P{k}")
+    before = {j for j in spark.sparkContext.statusTracker().getJobIdsForGroup(None)}
+    got = trend.first_last_times(spark, str(tmp_path)).collect()
+    jobs = len(set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before)
+    assert len(got) == 300 and {r.last_end.second for r in got} == {1, 2, 3} and jobs <= 4
+
+
+def test_bundles_take_bounded_memory(spark, tmp_path):
+    """A member ten times as large takes no more memory; records are cut across steps; both rules for members."""
+    peaks = []
+    for n in (10_000, 100_000):
+        path = tmp_path / f"B{n}.fel"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z, z.open("B/trend.bin", "w") as member:
+            for _ in range(n // 1000):
+                member.write(synthetic(1) * 1000)
+        tracemalloc.start()
+        with zipfile.ZipFile(path) as z, z.open("B/trend.bin") as member:
+            assert sum(len(offsets) for _, offsets, _ in tables.unpacked(member, True, 1_000_003)) == n
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.2 * peaks[0]
+    with zipfile.ZipFile(tmp_path / "many.fel", "w") as z:
+        for k, name in enumerate(("a/trend.bin", "b/c/trend.bin")):
+            z.writestr(name, synthetic(k + 2) + b"tail")
+        z.writestr("b/x-config.json", '{"asset_name": "last"}')
+        z.writestr("a/a-config.json", "[not json")
+    names = zipfile.ZipFile(tmp_path / "many.fel").namelist()
+    assert tables.pick_trend(names) == "a/trend.bin" and tables.pick_trend(names, anywhere=True) == "b/c/trend.bin"
+    assert tables.read_bundles(spark, str(tmp_path / "many.fel"), ["freq_avg_Hz"], anywhere=True).count() == 3
+    assert tables.bundle_configs(spark, str(tmp_path / "many.fel")).first().asset_name == "last"
+    assert tables.bundle_configs(spark, str(tmp_path / "many.fel"), anywhere=True).first().asset_name is None
+
+
+def test_files_are_written_as_a_whole(spark, tmp_path):
+    rows = spark.createDataFrame([(f"g{k % 3}/t.txt", k, f"{k}\n") for k in range(30)], "file string, seq long, content string").repartition(4)
+    grouped.write_files(rows, str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["g0", "g1", "g2"]
+    assert (tmp_path / "out/g1/t.txt").read_text() == "".join(f"{k}\n" for k in range(1, 30, 3))
+    # a task that fails leaves nothing, and what was there stays
+    bad = rows.select("file", "seq", F.when(F.col("seq") == 29, F.raise_error(F.lit("no"))).otherwise(F.lit("new\n")).alias("content"))
+    for broken in (bad, rows.withColumn("file", F.concat(F.lit("../"), "file"))):
+        with pytest.raises(Exception, match="no"):
+            grouped.write_files(broken, str(tmp_path / "out"))
+        assert (tmp_path / "out/g1/t.txt").read_text().startswith("1\n4\n") and not (tmp_path / "out/_attempts").exists()
+    grouped.write_files(rows.where("file like 'g0%'"), str(tmp_path / "out"), overwrite=True)
+    assert [p.name for p in (tmp_path / "out").rglob("*.txt")] == ["t.txt"]
+    table = spark.createDataFrame([("a", 1.5, None, ["x", "y"]), ("b", math.nan, 2, None)], "k string, x double, n int, tags array<string>")
+    grouped.write_files(grouped.lines(table, F.concat("k", F.lit(".tsv")), F.lit(0), "x", "n", "tags"), str(tmp_path / "t"))
+    assert (tmp_path / "t/a.tsv").read_text() == "x\tn\ttags\n1.5\t\tx/y\n" and (tmp_path / "t/b.tsv").read_text() == "x\tn\ttags\nNaN\t2\t\n"
 
 
 def test_clocks(spark):
