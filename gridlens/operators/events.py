@@ -4,62 +4,77 @@ Six kinds are runs of rows for which a mask holds, with short gaps allowed; what
 run, those in the gaps included. A load step is one event per row. Baselines (median voltage, mean and deviation of currents, mean
 power) are per session and skip NaN.
 
-Baselines come first (``per_session``); then one pass over the records finds everything: chunks with the few rows beyond their edges
-that gaps and steps look at, runs reduced within a chunk, and the runs that touch an edge put together across chunks.
+Sessions are cut into chunks. One pass sums up each chunk; windows over these few rows make the limits of a session and leave
+them with its chunks. A second pass brings each chunk's rows (and the few beyond its edges that gaps and steps look at) together with its limits
+and reduces its runs, all kinds at once; the runs that touch an edge are put together across chunks. Nothing runs before the result is
+asked for, and no task holds a session.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridlens.functions.electrical import above, below, imbalance_pct, not_outage, number, phases
-from gridlens.operators.sequence import CHUNK, INDEX, SESSION, halo_window, per_session, renumber, with_halo
+from gridlens.operators.sequence import CHUNK, INDEX, SESSION, renumber, with_halo
 from gridlens.rules import EventRules
 
 KINDS = ("outage", "dip", "swell", "high_current", "freq_excursion", "imbalance_spike", "power_step")
 COLUMNS = ["session_id", "id", "kind", "t_start", "t_end", "severity", "affected_phases"]
+#: Bins of the median's counts.
+BINS_A_VOLT = 256
 
 
 def nominal_voltage(records: DataFrame, fallback: float | None = None) -> DataFrame:
     """``session_id, nominal_v``: exact median of all phase voltages over 50 V. A session without any gets ``fallback``, or no row.
 
-    Values are counted; counts by volt say in which volts the two middle values lie, and only those are put in order.
+    Values are counted by narrow bins; the bins' counts say which of them hold the two middle values, and only these are put in order.
     """
-    v = records.select(SESSION, F.explode(F.array(*phases("V_LN_{}_avg_V"))).alias("v"))
-    counts = v.where(above(F.col("v"), 50.0)).groupBy(SESSION, "v").agg(F.count("*").alias("n")).withColumn("_volt", F.floor("v"))
-    session = Window.partitionBy(SESSION).orderBy("_volt")
-    volts = counts.groupBy(SESSION, "_volt").agg(F.sum("n").alias("_n"))
-    volts = volts.withColumn("_to", F.sum("_n").over(session)).withColumn("_all", F.sum("_n").over(Window.partitionBy(SESSION)))
+    v = records.select(SESSION, F.explode(F.array(*phases("V_LN_{}_avg_V"))).alias("v")).where(above(F.col("v"), 50.0))
+    counts = v.groupBy(SESSION, F.floor(F.col("v") * BINS_A_VOLT).alias("_bin"), "v").agg(F.count("*").alias("n"))
+    bins = counts.groupBy(SESSION, "_bin").agg(F.sum("n").alias("_n"), F.collect_list(F.struct("v", "n")).alias("_values"))
+    session = Window.partitionBy(SESSION)
+    bins = bins.withColumn("_to", F.sum("_n").over(session.orderBy("_bin"))).withColumn("_all", F.sum("_n").over(session))
     low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1  # the places of both middle values, from 1
-    volts = volts.where((F.col("_to") >= low) & (F.col("_to") - F.col("_n") < high)).select(SESSION, "_volt", low.alias("_low"), high.alias("_high"), (F.col("_to") - F.col("_n")).alias("_before"))
-    rows = counts.join(volts, [SESSION, "_volt"]).withColumn("_to", F.col("_before") + F.sum("n").over(Window.partitionBy(SESSION, "_volt").orderBy("v")))
-    first = lambda c: F.min(F.when(F.col("_to") >= F.col(c), F.col("v")))
-    found = rows.groupBy(SESSION).agg(((first("_low") + first("_high")) / 2.0).alias("nominal_v"))
+    bins = bins.where((F.col("_to") >= low) & (F.col("_to") - F.col("_n") < high))
+    none = F.lit(None).cast("double")
+    start = F.struct((F.col("_to") - F.col("_n")).alias("to"), none.alias("low"), none.alias("high"))
+
+    def step(held: Column, x: Column) -> Column:
+        to = held["to"] + x["n"]
+        return F.struct(to.alias("to"), F.coalesce(held["low"], F.when(to >= low, x["v"])).alias("low"), F.coalesce(held["high"], F.when(to >= high, x["v"])).alias("high"))
+
+    middle = F.aggregate(F.array_sort("_values"), start, step)
+    found = bins.select(SESSION, middle.alias("m")).groupBy(SESSION).agg(((F.min("m.low") + F.min("m.high")) / 2.0).alias("nominal_v"))
     if fallback is None:
         return found
     return records.select(SESSION).distinct().join(found, SESSION, "left").withColumn("nominal_v", F.coalesce("nominal_v", F.lit(float(fallback))))
 
 
-def baselines(records: DataFrame, rules: EventRules) -> DataFrame:
-    """Per session: limits of the phase currents (null: none) and the size of a load step."""
-    on = not_outage(rules.outage_v_threshold)
-    aggs = []
+def chunk_limits(records: DataFrame, rules: EventRules) -> DataFrame:
+    """A row for each chunk of a session with the session's ``limit_a..c`` (null: none) and ``step_w``, the size of a load step."""
+    on, session = not_outage(rules.outage_v_threshold), Window.partitionBy(SESSION)
+    values = {p: F.when(on, number(f"I_{p}_max_A")) for p in "abc"} | {"w": F.when(on, F.abs(number("P_total_avg_W")))}
+    parts = [f(v).alias(f"_{n}_{k}") for k, v in values.items() for n, f in (("n", F.count), ("mean", F.avg), ("var", F.var_pop), ("min", F.min), ("max", F.max))]
+    rows = records.groupBy(SESSION, F.floor(F.col(INDEX) / CHUNK).alias("_chunk")).agg(*parts)
+    c = lambda n, k: F.col(f"_{n}_{k}")
+    rows = rows.withColumns({f"_all_{k}": F.sum(c("n", k)).over(session) for k in values})
+    rows = rows.withColumns({f"_avg_{k}": F.try_divide(F.sum(c("n", k) * c("mean", k)).over(session), c("all", k)) for k in values})
+    out = []
     for p in "abc":
-        i = F.when(on, number(f"I_{p}_max_A"))
-        sd = F.stddev_pop(i)
-        aggs.append(F.when((F.count(i) >= 2) & (sd > 0), F.avg(i) + rules.high_current_sigma * sd).alias(f"limit_{p}"))
-    power = F.when(on, F.abs(number("P_total_avg_W")))
-    aggs.append(F.when(F.count(power) >= 2, F.avg(power) * rules.power_step_pct_of_mean).alias("step_w"))
-    return records.groupBy(SESSION).agg(*aggs)
+        gap = c("mean", p) - c("avg", p)
+        sd = F.sqrt(F.try_divide(F.sum(c("n", p) * (c("var", p) + gap * gap)).over(session), c("all", p)))
+        some = (c("all", p) >= 2) & (F.max(c("max", p)).over(session) > F.min(c("min", p)).over(session))
+        out.append(F.when(some, c("avg", p) + rules.high_current_sigma * sd).alias(f"limit_{p}"))
+    return rows.select(SESSION, "_chunk", *out, F.when(c("all", "w") >= 2, c("avg", "w") * rules.power_step_pct_of_mean).alias("step_w"))
 
 
-def session_limits(records: DataFrame, nominal: DataFrame | float | None, rules: EventRules) -> DataFrame:
-    """Per session what masks compare with: ``baselines`` and ``nominal_v``."""
-    limits = baselines(records, rules)
-    if isinstance(nominal, (int, float)):
-        return limits.withColumn("nominal_v", F.lit(float(nominal)))
-    return limits.join(nominal_voltage(records) if nominal is None else nominal.select(SESSION, "nominal_v"), SESSION, "left")
+def baselines(records: DataFrame, rules: EventRules) -> DataFrame:
+    """Per session: limits of the phase currents (null: none) and the size of a load step."""
+    return chunk_limits(records, rules).drop("_chunk").dropDuplicates([SESSION])
 
 
 def _any(parts: list[Column]) -> Column:
@@ -85,64 +100,136 @@ def masks(rules: EventRules) -> dict[tuple[str, str], Column]:
     return out
 
 
-def _members(rows: DataFrame, rules: EventRules, kinds: tuple[str, ...]) -> DataFrame:
-    """Each row once for every event it is part of, with ``kind``, ``phase`` and ``_chunk``; of prepared rows."""
-    gap, flags, members = int(rules.gap_tolerance_secs), {k: m for k, m in masks(rules).items() if k[0] in kinds}, []
-    rows = with_halo(rows.withColumns({f"_m{k}": m for k, m in enumerate(flags.values())}), max(1, gap), gap)
-    index = F.col(INDEX)
-    for k in range(len(flags)):
-        mine = F.col(f"_m{k}")
-        if gap:
-            last = F.max(F.when(mine, index)).over(halo_window().rowsBetween(-gap, -1))
-            ahead = F.min(F.when(mine, index)).over(halo_window().rowsBetween(1, gap))
-            mine = mine | F.coalesce(ahead - last <= gap + 1, F.lit(False))
-        members.append(mine)
-    change = F.lit(None).cast("double")
-    if "power_step" in kinds:
-        p = F.col("P_total_avg_W").cast("double")
-        change = p - F.when(F.lag("on").over(halo_window()), F.lag(p).over(halo_window()))
-    rows = rows.withColumns({f"_r{k}": m for k, m in enumerate(members)} | {"change": change}).where("_own")
-    hits = [F.when(F.col(f"_r{k}"), F.struct(F.lit(kind).alias("kind"), F.lit(phase).alias("phase"))) for k, (kind, phase) in enumerate(flags)]
-    if "power_step" in kinds:
-        step = F.col("on") & (F.col("step_w") > 0) & above(F.abs("change"), F.col("step_w"))
-        hits.append(F.when(F.coalesce(step, F.lit(False)), F.struct(F.lit("power_step").alias("kind"), F.lit("").alias("phase"))))
-    return rows.withColumn("_h", F.explode(F.array_compact(F.array(*hits)))).select("*", "_h.kind", "_h.phase")
-
-
-def _runs(members: DataFrame, gap: int, nominal_hz: float) -> DataFrame:
-    """One row per run with what its severity needs; runs that end at a chunk's edge are put together."""
-    step, index = F.col("kind") == "power_step", F.col(INDEX)
-    within = Window.partitionBy(SESSION, "_chunk", "kind", "phase").orderBy(INDEX)
-    last = F.lag(INDEX).over(within)
-    rows = members.withColumn("_new", F.when(step | last.isNull() | (index - last > gap + 1), 1).otherwise(0)).withColumn("_run", F.sum("_new").over(within))
-    freq = F.col("freq_avg_Hz").cast("double") - nominal_hz
-    clean = lambda c: F.when(~F.isnan(c), c)
-    values = {f"min_{p}": (F.min, clean(v)) for p, v in zip("abc", phases("V_LN_{}_min_V"), strict=True)}
-    values |= {f"max_{p}": (F.max, clean(v)) for p, v in zip("abc", phases("V_LN_{}_max_V"), strict=True)}
-    values |= {f"amp_{p}": (F.max, clean(F.col(f"I_{p}_max_A").cast("double"))) for p in "abc"}
-    values |= {
-        "swing": (F.max, F.when(~F.isnan(freq), F.struct(F.abs(freq).alias("size"), (-index).alias("back"), freq.alias("by")))),
-        "spread": (F.max, F.when(F.col("on"), clean(imbalance_pct()))),
-        "change": (F.max, F.col("change")),
-        "nominal_v": (F.max, F.col("nominal_v")),
-        "begin": (F.min, F.struct(index.alias("at"), F.col("t_start").alias("t"))),
-        "finish": (F.max, F.struct(index.alias("at"), F.col("t_end").alias("t"))),
-    }
-    parts = rows.groupBy(SESSION, "_chunk", "kind", "phase", "_run").agg(*[f(c).alias(n) for n, (f, c) in values.items()])
+#: What a chunk's pass reads of a record.
+READ = [f"V_LN_{p}_{stat}_V" for stat in ("min", "max", "avg") for p in "abc"] + [f"I_{p}_max_A" for p in "abc"] + ["freq_avg_Hz", "P_total_avg_W"]
+_REDUCED = [*(f"min_{p}" for p in "abc"), *(f"max_{p}" for p in "abc"), *(f"amp_{p}" for p in "abc"), "swing", "spread", "change", "nominal_v"]
+
+
+class Chunk:
+    """The rows of a chunk in order, as arrays (nulls are NaN), and which of them belong to which kind."""
+
+    def __init__(self, columns: dict[str, np.ndarray], index: np.ndarray, limits: dict[str, float], rules: EventRules):
+        of = lambda name: np.stack([columns[name.format(p)] for p in "abc"])
+        self.index, self.limits, self.rules = index, limits, rules
+        self.low, self.high, self.amps, avg = of("V_LN_{}_min_V"), of("V_LN_{}_max_V"), of("I_{}_max_A"), of("V_LN_{}_avg_V")
+        self.on = (avg > rules.outage_v_threshold).all(0)
+        mean = (avg[0] + avg[1] + avg[2]) / 3.0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            spread = (avg.max(0) - avg.min(0)) / mean * 100.0
+        self.spread = np.where(mean > 50.0, spread, 0.0)
+        self.swing, self.power = columns["freq_avg_Hz"] - rules.nominal_freq_hz, columns["P_total_avg_W"]
+
+    def masks(self) -> dict[tuple[str, str], np.ndarray]:
+        """(kind, phase) -> which rows belong to it; NaN is never above or below anything. The phase is '' where the event is of all."""
+        r, v = self.rules, self.limits["nominal_v"]
+        out = {("outage", ""): ~self.on, ("dip", ""): self.on & (self.low < v * r.dip_pct_of_nominal).any(0), ("swell", ""): self.on & (self.high > v * r.swell_pct_of_nominal).any(0)}
+        out |= {("high_current", p): self.on & (self.amps[k] > self.limits[f"limit_{p}"]) for k, p in enumerate("abc")}
+        return out | {("freq_excursion", ""): self.on & (np.abs(self.swing) > r.freq_excursion_hz), ("imbalance_spike", ""): self.on & (self.spread > r.imbalance_pct_threshold)}
+
+    def runs(self, mask: np.ndarray, gap: int, first: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and last places of the runs of a mask (gaps of up to ``gap`` rows are part of them), as far as they lie in first..end-1."""
+        true = np.flatnonzero(mask)
+        if not len(true):
+            return true, true
+        cut = np.flatnonzero(np.diff(self.index[true]) > gap + 1)
+        lo, hi = true[np.concatenate(([0], cut + 1))], true[np.concatenate((cut, [len(true) - 1]))]
+        lo, hi = np.maximum(lo, first), np.minimum(hi, end - 1)
+        return lo[lo <= hi], hi[lo <= hi]
+
+    def reduced(self, kind: str, lo: np.ndarray, hi: np.ndarray) -> dict[str, np.ndarray]:
+        """What events of the kind report, over the rows lo..hi (both included) of each run; NaN where there is nothing."""
+        edges = np.stack((lo, hi + 1), 1).ravel()
+        # reduceat takes what lies between runs as well: every other result is a run's
+        over = lambda f, x: f.reduceat(np.append(x, x[-1:]), edges)[::2] if len(lo) else np.zeros(0)
+        out = {name: np.full(len(lo), np.nan) for name in _REDUCED}
+        if kind in ("outage", "dip"):
+            out |= {f"min_{p}": over(np.fmin, self.low[k]) for k, p in enumerate("abc")}
+        if kind == "swell":
+            out |= {f"max_{p}": over(np.fmax, self.high[k]) for k, p in enumerate("abc")}
+        if kind == "high_current":
+            out |= {f"amp_{p}": over(np.fmax, self.amps[k]) for k, p in enumerate("abc")}
+        if kind == "freq_excursion":
+            size = np.abs(self.swing)
+            most = over(np.fmax, size)
+            out["swing"] = np.array([self.swing[a + int(np.argmax(size[a : b + 1] == m))] for a, b, m in zip(lo.tolist(), hi.tolist(), most, strict=True)], float)
+        if kind == "imbalance_spike":
+            out["spread"] = over(np.fmax, np.where(self.on, self.spread, np.nan))
+        return out | {"nominal_v": np.full(len(lo), self.limits["nominal_v"])}
+
+    def steps(self, first: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places, from ``first`` on, of load steps against the row before, and their sizes."""
+        if len(self.index) < 2:
+            return np.zeros(0, np.int64), np.zeros(0)
+        change = np.diff(self.power)
+        hit = self.on[1:] & self.on[:-1] & (np.diff(self.index) == 1) & (np.abs(change) > self.limits["step_w"]) & (self.limits["step_w"] > 0)
+        at = np.flatnonzero(hit) + 1
+        at = at[at >= first]
+        return at, change[at - 1]
+
+
+def _chunk_runs(rules: EventRules, kinds: tuple[str, ...], names: list[str]):
+    """Per chunk: rows with halo and its limits -> a row for each run, or part of one."""
+    gap = int(rules.gap_tolerance_secs)
+
+    def reduce(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[dict] = []
+        if left.num_rows and right.num_rows:
+            left = left.sort_by(INDEX)
+            number_of = lambda t, c: t.column(c).cast(pa.float64()).to_numpy()
+            limits = {c: float(number_of(right, c)[0]) for c in ("limit_a", "limit_b", "limit_c", "step_w", "nominal_v")}
+            index, own = left.column(INDEX).to_numpy(), left.column("_own").to_numpy()
+            chunk = Chunk({c: number_of(left, c) for c in READ}, index, limits, rules)
+            mine = np.flatnonzero(own)
+            first, end = (int(mine[0]), int(mine[-1]) + 1) if len(mine) else (0, 0)
+            for (kind, phase), mask in chunk.masks().items():
+                if kind in kinds:
+                    lo, hi = chunk.runs(mask, gap, first, end)
+                    found.append({"kind": kind, "phase": phase, "lo": lo, "hi": hi} | chunk.reduced(kind, lo, hi))
+            if "power_step" in kinds:
+                at, change = chunk.steps(first)
+                at, change = at[at < end], change[at < end]
+                found.append({"kind": "power_step", "phase": "", "lo": at, "hi": at} | chunk.reduced("", at, at) | {"change": change})
+        found = [f for f in found if len(f["lo"])]
+        session = left.column(SESSION) if left.num_rows else right.column("_of")
+        n = sum(len(f["lo"]) for f in found)
+        lo, hi = (pa.array(np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64)) for c in ("lo", "hi"))
+        cols = [
+            pa.array([session[0].as_py()] * n, session.type), pa.array(np.repeat([f["kind"] for f in found], [len(f["lo"]) for f in found]) if found else [], pa.string()), pa.array(np.repeat([f["phase"] for f in found], [len(f["lo"]) for f in found]) if found else [], pa.string()),
+            left.column(INDEX).take(lo), left.column(INDEX).take(hi), left.column("t_start").take(lo), left.column("t_end").take(hi),
+            *(pa.array(np.concatenate([f[c] for f in found]) if found else np.zeros(0), pa.float64(), from_pandas=True) for c in _REDUCED),
+        ]
+        return pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], names)
+
+    return reduce
+
+
+def _runs(records: DataFrame, limits: DataFrame, rules: EventRules, kinds: tuple[str, ...]) -> DataFrame:
+    """One row per run with what its severity needs; parts that end at a chunk's edge are put together."""
+    gap = int(rules.gap_tolerance_secs)
+    rows = with_halo(records.select(SESSION, INDEX, "t_start", "t_end", *[F.col(c).cast("double").alias(c) for c in READ]), max(1, gap), gap)
+    kind_of = {f.name: f.dataType for f in records.schema}
+    schema = T.StructType(
+        [T.StructField(SESSION, kind_of[SESSION]), T.StructField("kind", T.StringType()), T.StructField("phase", T.StringType()), T.StructField("begin", T.LongType()), T.StructField("finish", T.LongType()), T.StructField("t_start", kind_of["t_start"]), T.StructField("t_end", kind_of["t_end"])]
+        + [T.StructField(c, T.DoubleType()) for c in _REDUCED]
+    )
+    limits = limits.withColumnsRenamed({SESSION: "_of", "_chunk": "_at"})
+    parts = rows.groupBy(SESSION, "_chunk").cogroup(limits.groupBy("_of", "_at")).applyInArrow(_chunk_runs(rules, kinds, schema.names), schema)
     # only runs at edges can go on in another chunk; the others stay apart by chunk
-    edge = ~step & ((F.col("begin.at") % CHUNK <= gap) | (F.col("finish.at") % CHUNK >= CHUNK - 1 - gap))
-    parts = parts.withColumn("_apart", F.when(edge, -1).otherwise(F.col("_chunk")))
-    across = Window.partitionBy(SESSION, "kind", "phase", "_apart").orderBy("begin.at")
-    last = F.lag("finish.at").over(across)
-    parts = parts.withColumn("_new", F.when(step | last.isNull() | (F.col("begin.at") - last > gap + 1), 1).otherwise(0)).withColumn("_run", F.sum("_new").over(across))
-    return parts.groupBy(SESSION, "kind", "phase", "_apart", "_run").agg(*[f(n).alias(n) for n, (f, _) in values.items()]).drop("_apart", "_run")
-
-
-def run_events(rows: DataFrame, rules: EventRules, kinds: tuple[str, ...] = KINDS) -> DataFrame:
-    """Events of the kinds, not numbered, from prepared rows: records with ``session_limits`` and ``on``."""
-    got = _runs(_members(rows, rules, kinds), int(rules.gap_tolerance_secs), rules.nominal_freq_hz)
+    step = F.col("kind") == "power_step"
+    edge = ~step & ((F.col("begin") % CHUNK <= gap) | (F.col("finish") % CHUNK >= CHUNK - 1 - gap))
+    parts = parts.withColumn("_apart", F.when(edge, -1).otherwise(F.floor(F.col("begin") / CHUNK)))
+    across = Window.partitionBy(SESSION, "kind", "phase", "_apart").orderBy("begin")
+    last = F.lag("finish").over(across)
+    parts = parts.withColumn("_new", F.when(step | last.isNull() | (F.col("begin") - last > gap + 1), 1).otherwise(0)).withColumn("_run", F.sum("_new").over(across))
+    values = {c: (F.min if c.startswith("min") else F.max)(c).alias(c) for c in _REDUCED if c != "swing"}
+    swing = F.max(F.when(F.col("swing").isNotNull(), F.struct(F.abs("swing").alias("size"), (-F.col("begin")).alias("back"), F.col("swing").alias("by"))))["by"].alias("swing")
+    edges = [F.min("begin").alias("lo"), F.max("finish").alias("hi"), F.min_by("t_start", "begin").alias("t_start"), F.max_by("t_end", "finish").alias("t_end")]
+    return parts.groupBy(SESSION, "kind", "phase", "_apart", "_run").agg(*edges, *values.values(), swing).drop("_apart", "_run")
+
+
+def severity_and_phases(rules: EventRules) -> tuple[Column, Column]:
+    """``severity`` and ``affected_phases`` of runs that are reduced."""
     kind = F.col("kind")
-    got = got.where((kind == "power_step") | (F.col("finish.at") - F.col("begin.at") + 1 >= rules.min_duration_secs))
     low, high = F.col("nominal_v") * rules.dip_pct_of_nominal, F.col("nominal_v") * rules.swell_pct_of_nominal
     dipped = [F.when(F.col(f"min_{p}") < low, F.col(f"min_{p}")) for p in "abc"]
     swelled = [F.when(F.col(f"max_{p}") > high, F.col(f"max_{p}")) for p in "abc"]
@@ -150,7 +237,7 @@ def run_events(rows: DataFrame, rules: EventRules, kinds: tuple[str, ...] = KIND
         F.when(kind == "outage", F.array_min(F.array(*[F.col(f"min_{p}") for p in "abc"])))
         .when(kind == "dip", F.array_min(F.array(*dipped)) / F.col("nominal_v"))
         .when(kind == "swell", F.array_max(F.array(*swelled)) / F.col("nominal_v"))
-        .when(kind == "freq_excursion", F.col("swing.by"))
+        .when(kind == "freq_excursion", F.col("swing"))
         .when(kind == "imbalance_spike", F.col("spread"))
         .when(kind == "power_step", F.col("change"))
     )
@@ -164,7 +251,7 @@ def run_events(rows: DataFrame, rules: EventRules, kinds: tuple[str, ...] = KIND
         .when(kind == "freq_excursion", F.array().cast("array<string>"))
         .otherwise(F.array(*[F.lit(p) for p in "abc"]))
     )
-    return got.select(SESSION, "kind", F.col("begin.t").alias("t_start"), F.col("finish.t").alias("t_end"), severity.alias("severity"), affected.alias("affected_phases"), "phase", F.col("begin.at").alias("lo"))
+    return severity.alias("severity"), affected.alias("affected_phases")
 
 
 def numbered(events: DataFrame) -> DataFrame:
@@ -176,8 +263,13 @@ def numbered(events: DataFrame) -> DataFrame:
 def detect_events(records: DataFrame, nominal: DataFrame | float | None = None, rules: EventRules | None = None, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """All events of each session: ``session_id, id, kind, t_start, t_end, severity, affected_phases``."""
     rules = rules or EventRules()
-    rows = records.join(per_session(session_limits(records, nominal, rules)), SESSION).withColumn("on", not_outage(rules.outage_v_threshold))
-    return numbered(run_events(rows, rules, kinds))
+    limits = chunk_limits(records, rules)
+    if isinstance(nominal, (int, float)):
+        limits = limits.withColumn("nominal_v", F.lit(float(nominal)))
+    else:
+        limits = limits.join(nominal_voltage(records) if nominal is None else nominal.select(SESSION, "nominal_v"), SESSION, "left")
+    runs = _runs(records, limits, rules, kinds).where((F.col("kind") == "power_step") | (F.col("hi") - F.col("lo") + 1 >= rules.min_duration_secs))
+    return numbered(runs.select(SESSION, "kind", "t_start", "t_end", *severity_and_phases(rules), "phase", "lo"))
 
 
 def count_by_kind(events: DataFrame) -> DataFrame:

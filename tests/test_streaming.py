@@ -13,8 +13,8 @@ def run(df, name, spark, mode="append"):
 
 def stream(spark, rows, folder):
     rows = rows.withColumns({c: F.col(c).cast("timestamp") for c in ("t_start", "t_end")})
-    rows.where("record_index < 3000").write.parquet(f"{folder}/in/a")
-    rows.where("record_index >= 3000").write.parquet(f"{folder}/in/b")
+    rows.where("record_index < 3000").coalesce(1).sortWithinPartitions("record_index").write.parquet(f"{folder}/in/a")
+    rows.where("record_index >= 3000").coalesce(1).sortWithinPartitions("record_index").write.parquet(f"{folder}/in/b")
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
 
 
