@@ -107,14 +107,16 @@ def events_in_occurrences(events: DataFrame, occurrences: DataFrame) -> DataFram
     return events.withColumn("_d", day(F.col("t_start"))).join(spans, [SESSION, "_d"]).where("t_start >= _a and t_start < _b").drop("_d", "_a", "_b")
 
 
-def shift_coverage(spark, shifts: ShiftSet) -> DataFrame:
-    """Minutes of the day that no shift, or more than one, holds."""
+def shift_coverage(records: DataFrame, shifts: ShiftSet, tz: str | None = None) -> DataFrame:
+    """Per session: its records and their minutes of the day, and how many of each no shift, or more than one, holds. (``ShiftSet.coverage`` has the whole day's.)"""
     minute = F.col("minute")
     n = F.lit(0)
     for s in shifts.shifts:
         n = n + F.when((minute >= s.start) | (minute < s.end) if s.wraps else (minute >= s.start) & (minute < s.end), 1).otherwise(0)
-    days = spark.range(1440).select(F.col("id").cast("int").alias("minute"))
-    return days.select(n.alias("n")).agg(F.count_if(F.col("n") == 0).alias("gap_minutes"), F.count_if(F.col("n") > 1).alias("overlap_minutes"))
+    # at most 1,440 rows a session
+    days = records.groupBy(SESSION, minute_of_day(F.col("t_start"), tz).alias("minute")).agg(F.count("*").alias("k")).withColumn("n", n)
+    total = lambda when, name: [F.count_if(when).alias(f"{name}_minutes"), F.coalesce(F.sum(F.when(when, F.col("k"))), F.lit(0)).alias(f"{name}_records")]
+    return days.groupBy(SESSION).agg(F.count("*").alias("minutes"), F.sum("k").alias("records"), *total(F.col("n") == 0, "gap"), *total(F.col("n") > 1, "overlap"))
 
 
 def time_of_day(records: DataFrame, window: tuple[int, int] = (0, 1440), bin_minutes: int = 1) -> DataFrame:

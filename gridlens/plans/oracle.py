@@ -191,10 +191,13 @@ def _sources(one: str, days: str, ev: str) -> dict[str, str]:
         "source_marks": "select epoch_us(ts) as time, 'm' || event_id as label from events where event_type <> 'click'",
         "export_every_seventh": f"{one} select record_index, strftime(t_start, '%Y-%m-%dT%H:%M:%S.%f') as timestamp_utc, round(I_a_max_A, 6) as I_a_max_A from rec where record_index % 7 = 0 order by record_index limit 500",
         "export_minutes": f"{one} select record_index, strftime(t_start, '%Y-%m-%dT%H:%M:%S.%f') as timestamp_utc, round(I_a_max_A, 6) as I_a_max_A from rec where record_index % 60 = 0",
-        "export_buckets": f"""{one}, {_events(kinds="'outage', 'dip'")}, r as (select {six} as b, count(*) as records, min(record_index) as first from rec group by 1), e as (select {six} as b, count(*) as events, count(*) filter (where t_end >= {six} + interval 6 hour) as spanning from ev group by 1)
+        "export_buckets": f"""{one}, {_events()}, r as (select {six} as b, count(*) as records, min(record_index) as first from rec group by 1), e as (select {six} as b, count(*) as events, count(*) filter (where t_end >= {six} + interval 6 hour) as spanning from ev group by 1)
 select {label.replace("$b", "b")} as bucket, records, first, coalesce(events, 0) as events, coalesce(spanning, 0) as spanning from r left join e using (b)""",
-        "export_events_json": f"""{one}, {_events(kinds="'outage', 'dip', 'imbalance_spike'")}, r as (select ev.*, case when kind = 'outage' then severity / nv * 100 when kind = 'dip' then severity * 100 end as p, {_secs("t_start", "t_end")} as s from ev join nom using (session_id))
-select id, kind, epoch_us(t_start) as t_start, round(severity, 6) as severity, phases as affected_phases, round(p, 6) as residual_pct, case when p is null then null when p < case when s <= 0.003 then 0 when s <= 0.5 then 70 when s <= 10 then 80 else 90 end then 'no_damage' else 'no_interruption' end as itic_class from r""",
+        "export_events_json": f"""{one}, {_events()}, r as (select ev.*, case when kind = 'outage' then severity / nv * 100 when kind in ('dip', 'swell') then severity * 100 end as p, {_secs("t_start", "t_end")} as s from ev join nom using (session_id))
+select id, kind, epoch_us(t_start) as t_start, round(severity, 6) as severity, phases as affected_phases, round(p, 6) as residual_pct, case when p is null then null when p > case when s <= 0.0001 then 500 when s <= 0.003 then 200 when s <= 0.5 then 120 else 110 end then 'prohibited' when p < case when s <= 0.003 then 0 when s <= 0.5 then 70 when s <= 10 then 80 else 90 end then 'no_damage' else 'no_interruption' end as itic_class from r""",
+        "export_at_once": f"""{one}, n as (select count(*) as n, count(*) filter (where isnan(P_total_avg_W)) as odd, cast(greatest(1, ceil(count(*) / 5000.0)) as bigint) as every from rec),
+k as (select 'session.csv' as sink, record_index, V_LN_a_avg_V as v from rec, n where record_index % every = 0 union all select 'session_1min.csv', record_index, V_LN_a_avg_V from rec where record_index % 60 = 0 union all select 'store', record_index, V_LN_a_avg_V from rec)
+select sink, count(*) as n, max(record_index) as last, round(sum(v), 6) as volts, n.n as records, odd as nonfinite from k, n group by sink, n.n, odd""",
         "events_with_notes": f"{ev} select id, kind, 'n' || event_id as note from ev join events on event_type = 'click' and event_id = id",
     }
 
@@ -234,7 +237,7 @@ p as (select b, arg_min(i, (v, i)) as l, arg_min(i, (-v, i)) as h from b group b
         "events_custom_rules": f"{one}, {_events(0.95, 1.05, 1.5, 0.1, 3.0, 1.0, 2, 3)} {_EV}",
         "event_counts_by_kind": f"{evd} select session_id, kind, count(*) as n from ev group by 1, 2",
         "event_id_filter": f"{ev} {_EV} where id in (0, 1, 2, 3, 4, 9, 12)",
-        "event_zoom_slice": f"{out_swell} select id as event_id, kind, record_index from ev join rec on rec.t_start between ev.t_start - interval 600 second and ev.t_end + interval 900 second",
+        "event_zoom_slice": f"{ev} select id as event_id, kind, record_index from ev join rec on rec.t_start between ev.t_start - interval 5 second and ev.t_end + interval 10 second",
         "session_stats": f"""{days}, long as ({_LONG}), h as {_hist("select * from long", "session_id, channel", {"p1": 0.01, "p5": 0.05, "median": 0.5, "p95": 0.95, "p99": 0.99})},
 m as (select session_id, channel, unit, count(*) as count, min(v) as min, max(v) as max, avg(v) as mean, stddev_pop(v) as stdev from long where not isnan(v) group by 1, 2, 3)
 select session_id, channel, unit, count, round(min, 6) as min, round(p1, 6) as p1, round(p5, 6) as p5, round(median, 6) as median, round(mean, 6) as mean, round(p95, 6) as p95, round(p99, 6) as p99, round(max, 6) as max, round(stdev, 6) as stdev from m join h using (session_id, channel)""",
@@ -274,9 +277,10 @@ select session_id, printf('%02d:%02d', b // 60, b % 60) as bin, count(*) as n, c
         "shift_comparison_gaps": _shifts(_PARTIAL, None, 1, _DAYS),
         "shift_occurrences": f"""{one}, s as (select *, {_shift_case(_minute("t_start", "America/Chicago"), _THREE)} as shift from rec), d as (select *, case when shift = lag(shift) over (order by record_index) then 0 else 1 end as new from s), g as (select *, sum(new) over (order by record_index) as g from d)
 select session_id, shift, shift || ' ' || strftime(timezone('America/Chicago', timezone('UTC', arg_min(t_start, record_index))), '%Y-%m-%d') as label, min(record_index) as lo, max(record_index) + 1 as hi, epoch_us(arg_min(t_start, record_index)) as t_start, epoch_us(arg_max(t_end, record_index)) as t_end from g group by session_id, shift, g""",
-        "events_in_occurrence": f"""{one}, {_events(kinds="'outage', 'dip'")}, s as (select *, {_shift_case(_minute("t_start"), _THREE)} as shift from rec), d as (select *, case when shift = lag(shift) over (order by record_index) then 0 else 1 end as new from s), g as (select *, sum(new) over (order by record_index) as g from d),
+        "events_in_occurrence": f"""{ev}, s as (select *, {_shift_case(_minute("t_start"), _THREE)} as shift from rec), d as (select *, case when shift = lag(shift) over (order by record_index) then 0 else 1 end as new from s), g as (select *, sum(new) over (order by record_index) as g from d),
 oc as (select shift, shift || ' ' || strftime(min(t_start), '%Y-%m-%d') as label, min(t_start) as a, arg_max(t_end, record_index) as b from g group by shift, g) select id, kind, shift, label from ev join oc on ev.t_start >= a and ev.t_start < b""",
-        "shift_coverage": "with m as (select (m >= 300 and m < 750)::int + (m >= 720 and m < 1200)::int as n from range(1440) r(m)) select count(*) filter (where n = 0) as gap_minutes, count(*) filter (where n > 1) as overlap_minutes from m",
+        "shift_coverage": f"""{days}, m as (select session_id, {_minute("t_start")} as m, count(*) as k from rec group by 1, 2), n as (select *, (m >= 300 and m < 750)::int + (m >= 720 and m < 1200)::int as n from m)
+select session_id, count(*) as minutes, sum(k)::bigint as records, count(*) filter (where n = 0) as gap_minutes, coalesce(sum(k) filter (where n = 0), 0)::bigint as gap_records, count(*) filter (where n > 1) as overlap_minutes, coalesce(sum(k) filter (where n > 1), 0)::bigint as overlap_records from n group by 1""",
         "load_state_rows": f"""{days}, src as (select *, case when {_I} >= 50 then 'active' else 'standby' end as state, {_I} as im from rec), g as (select session_id, state, count(*) as records, count(*) filter (where {_FINITE_P}) as np, avg(P_total_avg_W) filter (where {_FINITE_P}) as pa, min(P_total_avg_W) filter (where {_FINITE_P}) as pn, max(P_total_avg_W) filter (where {_FINITE_P}) as px,
   avg(im) as ia, avg(S_total_avg_VA) as sa, avg(PF_total_avg) as pf, {_VSUM} / nullif({_VN}, 0) as va from src group by 1, 2), ht as {_hist(_pool("session_id, state", "V_THD_pct_{}_avg", 50.0), "session_id, state", {"t95": 0.95})},
 every as (select session_id, state, n from (select session_id, count(*) as n from rec group by 1), (values ('active'), ('standby')) s(state))

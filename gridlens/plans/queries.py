@@ -18,7 +18,7 @@ from gridlens.functions.electrical import mean_phase_current, not_outage
 from gridlens.operators import correlate, events, filters, grouping, rolling, stats, stitch
 from gridlens.plans import compare, findings
 from gridlens.plans.bridge import by_days, one_session, scratch, session_files
-from gridlens.sinks import files
+from gridlens.sinks import files, multi
 from gridlens.sources import tables, trend
 from gridlens.rules import CompareRules, EventRules, FindingRules, Period, ShiftSet, Tariff
 
@@ -126,7 +126,7 @@ def _exported(spark: SparkSession, sf: str, every: int, limit: int | None = None
 
 def _exported_buckets(spark: SparkSession, sf: str) -> DataFrame:
     path, rows = scratch(spark), one_session(spark, sf)
-    found = _events(rows, kinds=("outage", "dip"))
+    found = _events(rows)
     files.write_buckets(rows, found, _nominal(rows), Period.parse("6h"), path)
     records = spark.read.option("header", True).csv(f"{path}/records").groupBy("bucket").agg(F.count("*").alias("records"), F.min(F.col("record_index").cast("long")).alias("first"))
     events_ = spark.read.json(f"{path}/events").groupBy("bucket").agg(F.count("*").alias("events"), F.count_if("spans_bucket_boundary").alias("spanning"))
@@ -135,11 +135,21 @@ def _exported_buckets(spark: SparkSession, sf: str) -> DataFrame:
 
 def _events_json(spark: SparkSession, sf: str) -> DataFrame:
     path, rows = scratch(spark), one_session(spark, sf)
-    files.write_json(files.events_payload(_events(rows, kinds=("outage", "dip", "imbalance_spike")), _nominal(rows)), path)
+    files.write_json(files.events_payload(_events(rows), _nominal(rows)), path)
     got = files.read_json(spark, path, "id int, kind string, t_start timestamp, severity double, affected_phases array<string>, itic struct<residual_pct: double, duration_secs: double, itic_class: string>")
     return flat(got.select("id", "kind", "t_start", "severity", "affected_phases", "itic.residual_pct", "itic.itic_class"))
 
 
+def _exported_at_once(spark: SparkSession, sf: str) -> DataFrame:
+    """What each of the sinks of one pass holds, by sink."""
+    path, rows = scratch(spark), one_session(spark, sf)
+    size = spark.read.parquet(f"{sf}/events.parquet").count()
+    counts = multi.export_all(rows, path, most=5000, estimate=size)
+    text = lambda sink: spark.read.option("header", True).csv(f"{path}/{sink}").select(F.lit(sink).alias("sink"), F.col("record_index").cast("long").alias("record_index"), F.col("V_LN_a_avg_V").cast("double").alias("v"))
+    held = text(multi.FULL).union(text(multi.SAMPLE)).union(spark.read.parquet(f"{path}/{multi.STORE}").select(F.lit(multi.STORE), "record_index", "V_LN_a_avg_V"))
+    return flat(held.groupBy("sink").agg(F.count("*").alias("n"), F.max("record_index").alias("last"), F.sum("v").alias("volts")).withColumns({"records": F.lit(counts["records"]), "nonfinite": F.lit(counts["nonfinite"])}))
+
+
 def _notes(spark: SparkSession, sf: str) -> DataFrame:
     found = _events(one_session(spark, sf))
     notes = spark.read.parquet(f"{sf}/events.parquet").where("event_type = 'click'").select(F.col("event_id").cast("int").alias("id"), F.concat(F.lit("n"), "event_id").alias("note"))
@@ -165,6 +175,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "export_minutes": lambda spark, sf: _exported(spark, sf, 60),
         "export_buckets": _exported_buckets,
         "export_events_json": _events_json,
+        "export_at_once": _exported_at_once,
         "events_with_notes": _notes,
         # projections and filters
         "non_outage_mask": _one(lambda r: r.select(*FEW, not_outage().alias("on"))),
@@ -198,7 +209,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "events_custom_rules": _one(lambda r: _events(r, CUSTOM)),
         "event_counts_by_kind": _days(lambda r: events.count_by_kind(_events(r))),
         "event_id_filter": _one(lambda r: events.filter_events(_events(r), "0-4,9,12")),
-        "event_zoom_slice": _one(lambda r: events.event_window(_events(r, kinds=("outage", "swell")), r, 600, 900).select("event_id", "kind", "record_index")),
+        "event_zoom_slice": _one(lambda r: events.event_window(_events(r), r, 5, 10).select("event_id", "kind", "record_index")),
         # statistics
         "session_stats": _days(stats.session_stats),
         "threshold_seconds": _days(lambda r: stats.threshold_seconds(r, 275.0, 600.0)),
@@ -228,8 +239,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "shift_comparison_tz": _one(lambda r: grouping.shift_comparison(r, _events(r), THREE, "America/Chicago", demand_minutes=2)),
         "shift_comparison_gaps": _days(lambda r: grouping.shift_comparison(r, _events(r), PARTIAL, demand_minutes=1)),
         "shift_occurrences": _one(lambda r: grouping.shift_occurrences(r, THREE, "America/Chicago")),
-        "events_in_occurrence": _one(lambda r: grouping.events_in_occurrences(_events(r, kinds=("outage", "dip")), grouping.shift_occurrences(r, THREE)).select("id", "kind", "shift", "label")),
-        "shift_coverage": lambda spark, sf: grouping.shift_coverage(spark, PARTIAL),
+        "events_in_occurrence": _one(lambda r: grouping.events_in_occurrences(_events(r), grouping.shift_occurrences(r, THREE)).select("id", "kind", "shift", "label")),
+        "shift_coverage": _days(lambda r: grouping.shift_coverage(r, PARTIAL)),
         # rolling
         "demand_peak": _days(lambda r: rolling.demand_peak(r, 120)),
         "demand_series": _one(lambda r: rolling.demand_series(r, 90, 90)),

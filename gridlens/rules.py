@@ -24,6 +24,7 @@ class EventRules:
     nominal_freq_hz: float = 60.0
 
 
+# Thresholds of the findings of a session.
 @dataclass(frozen=True)
 class FindingRules:
     outage_dip_window_secs: float = 30
@@ -39,6 +40,7 @@ class FindingRules:
     breaker_rating_a: float | None = None
 
 
+# Thresholds of the findings across sessions.
 @dataclass(frozen=True)
 class CompareRules:
     voltage_drift_v_per_day: float = 0.1
@@ -165,6 +167,11 @@ class ShiftSet:
             rows.append((name.strip(), a, b))
         return cls.of(rows)
 
+    def coverage(self) -> tuple[int, int]:
+        """Minutes of the day that no shift holds, and that more than one holds."""
+        held = [sum(s.holds(m) for s in self.shifts) for m in range(1440)]
+        return held.count(0), sum(n > 1 for n in held)
+
     @classmethod
     def load(cls, path: str | Path) -> ShiftSet:
         found = json.loads(Path(path).read_text("utf-8"))

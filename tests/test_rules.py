@@ -4,7 +4,6 @@ import pytest
 
 from gridlens.operators.events import parse_ids
 from gridlens.operators.filters import format_range, parse_range, stride_for
-from gridlens.operators.grouping import shift_coverage
 from gridlens.rules import EventRules, Period, Shift, ShiftSet, Tariff, describe_overrides, load_rules, parse_window
 from gridlens.spec import CHANNELS, CORE, INDEX, parse_phases, reversed_channels
 
@@ -38,7 +37,7 @@ def test_shifts(spark, tmp_path):
     assert Shift("n", 1080, 360).wraps and Shift("n", 1080, 360).minutes == 720 and Shift("n", 1080, 360).window == "18:00-06:00"
     (tmp_path / "s.json").write_text(json.dumps([{"name": "a", "start": "00:00", "end": "12:00"}]))
     assert ShiftSet.load(tmp_path / "s.json").shifts == (Shift("a", 0, 720),)
-    assert shift_coverage(spark, ShiftSet()).first() == (0, 0)
+    assert ShiftSet().coverage() == (0, 0)
     for bad in ("a=00:00-12:00,a=12:00-00:00", "a=10:00-10:00", "a", "a=9-10:00"):
         with pytest.raises(ValueError):
             ShiftSet.parse(bad)
