@@ -14,7 +14,7 @@ from gridlens.operators.correlate import nearest_events
 from gridlens.operators.events import detect_events, filter_events
 from gridlens.plans import compare, report
 from gridlens.rules import EventRules, FindingRules, Period, ShiftSet, Tariff, describe_overrides, load_rules, parse_window
-from gridlens.sinks import files
+from gridlens.sinks import files, series
 from gridlens.sources import tables, trend
 from gridlens.spec import CORE
 
@@ -82,14 +82,14 @@ def _write(s: report.Session, a: argparse.Namespace, config: dict) -> None:
         files.write_table(grouping.time_of_day(rows, parse_window(a.tod), a.tod_bin), f"{a.out}/time_of_day")
     if a.split_by:
         period = Period.parse(a.split_by)
-        files.write_buckets(rows, s.events, s.nominal, period, f"{a.out}/buckets")
+        series.write_bucket_files(rows, s.events, s.nominal, period, f"{a.out}/buckets")
         files.write_table(grouping.bucket_summary(rows, s.events, period), f"{a.out}/buckets_summary")
     if a.shifts or a.shifts_file:
         shifts, tz = ShiftSet.load(a.shifts_file) if a.shifts_file else ShiftSet.parse(a.shifts), known_zone(a.tz)
         stretches = grouping.shift_occurrences(rows, shifts, tz)
         files.write_table(grouping.shift_comparison(rows, s.events, shifts, tz), f"{a.out}/shift_comparison")
         files.write_table(stretches, f"{a.out}/shift_occurrences")
-        files.write_occurrences(rows, s.events, stretches, f"{a.out}/shifts")
+        series.write_occurrence_files(rows, s.events, stretches, f"{a.out}/shifts")
     if a.peak_hours:
         rates = {k: v for k, v in (("currency", a.currency), ("peak_rate", a.peak_rate), ("offpeak_rate", a.offpeak_rate)) if v is not None}
         files.write_table(stats.tariff_cost(rows, Tariff.parse(a.peak_hours, **rates)), f"{a.out}/cost")
@@ -114,6 +114,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         files.write_json(compare.analyze_compare(rows, found), f"{a.out}/compare_findings.json")
         found.unpersist()
         files.write_json(stats.compare_summary(rows), f"{a.out}/compare_summary.json")
+        series.write_overlays(rows, f"{a.out}/overlays")
         return 0
     files.write_json(stitch.stitch_gaps(rows, a.gap_tolerance), f"{a.out}/gaps.json")
     files.write_json(stitch.sources(rows), f"{a.out}/sources.json")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridlens.functions.electrical import finite, seconds_between
-from gridlens.operators.sequence import INDEX, SESSION, halo_window, own, rolling_sums, with_halo
+from gridlens.operators.sequence import INDEX, SESSION, rolling_sums
 
 
 def _power(records: DataFrame):
@@ -17,8 +20,7 @@ def _power(records: DataFrame):
 def demand(records: DataFrame, window: int = 900) -> DataFrame:
     """Every full window: ``session_id, record_index`` of its last row, ``demand_w, t_start, t_end``. What is not finite counts 0."""
     window = max(1, int(window))
-    rows = rolling_sums(_power(records), window, s=F.col("p"))
-    rows = own(with_halo(rows, window - 1).withColumn("t_start", F.first("t_start").over(halo_window(window - 1)))) if window > 1 else rows
+    rows = rolling_sums(_power(records), window, first=("t_start",), s=F.col("p"))
     return rows.where(F.col("s").isNotNull()).select(SESSION, INDEX, (F.col("s") / window).alias("demand_w"), "t_start", "t_end")
 
 
@@ -41,16 +43,19 @@ def demand_series(records: DataFrame, window: int = 900, step: int | None = None
     return demand(records, window).where((F.col(INDEX) - (window - 1)) % step == 0).select(SESSION, F.col("t_end").alias("t"), "demand_w")
 
 
-def rolling_stdev(records: DataFrame, window: int = 300) -> DataFrame:
-    """Population deviation (and mean) of power over the last ``window`` rows; null before, and all null for a window of 1."""
-    rows = _power(records)
+def rolling_stdev(records: DataFrame, window: int = 300, times: bool = False) -> DataFrame:
+    """Population deviation (and mean) of power over the last ``window`` rows; null before, and all null for a window of 1.
+
+    ``times``: with ``t_start`` of the window's first row and ``t_end`` of its last.
+    """
+    rows, kept = _power(records), ["t_start", "t_end"] if times else []
     if window <= 1:
-        return rows.select(SESSION, INDEX, *[F.lit(None).cast("double").alias(c) for c in ("mean_w", "stdev_w")])
+        return rows.select(SESSION, INDEX, *kept, *[F.lit(None).cast("double").alias(c) for c in ("mean_w", "stdev_w")])
     # the mean of a session is taken off first, so that the difference of squares keeps its digits
     rows = rows.join(rows.groupBy(SESSION).agg(F.avg("p").alias("m")), SESSION).withColumn("d", F.col("p") - F.col("m"))
-    rows = rolling_sums(rows, window, s=F.col("d"), q=F.col("d") * F.col("d"))
+    rows = rolling_sums(rows, window, first=("t_start",) if times else (), s=F.col("d"), q=F.col("d") * F.col("d"))
     mean = F.col("s") / window
-    return rows.select(SESSION, INDEX, (mean + F.col("m")).alias("mean_w"), F.when(F.col("q").isNotNull(), F.sqrt(F.greatest(F.lit(0.0), F.col("q") / window - mean * mean))).alias("stdev_w"))
+    return rows.select(SESSION, INDEX, *kept, (mean + F.col("m")).alias("mean_w"), F.when(F.col("q").isNotNull(), F.sqrt(F.greatest(F.lit(0.0), F.col("q") / window - mean * mean))).alias("stdev_w"))
 
 
 def snapshot_candidates(records: DataFrame, events: DataFrame, window: int = 300) -> DataFrame:
@@ -59,9 +64,7 @@ def snapshot_candidates(records: DataFrame, events: DataFrame, window: int = 300
     Whether an event touches a window depends on rows only, so events mark rows and a rolling count finds windows without
     a mark; an event between two rows marks the later one.
     """
-    rows = records.select(SESSION, INDEX, "t_start", "t_end").join(rolling_stdev(records, window), [SESSION, INDEX])
-    wide = with_halo(rows, window - 1).withColumn("w_start", F.first("t_start").over(halo_window(window - 1)))
-    wide = own(wide).where(F.col("stdev_w").isNotNull())
+    wide = rolling_stdev(records, window, times=True).where(F.col("stdev_w").isNotNull()).withColumnRenamed("t_start", "w_start")
     hour = lambda t: F.floor(F.unix_micros(t.cast("timestamp")) / F.lit(3_600_000_000))
     spans = events.select(SESSION, F.col("t_start").alias("e_start"), F.col("t_end").alias("e_end"))
     spans = spans.withColumn("_h", F.explode(F.sequence(hour(F.col("e_start")), hour(F.col("e_end")))))
@@ -78,15 +81,35 @@ def snapshot_candidates(records: DataFrame, events: DataFrame, window: int = 300
 def pick_snapshots(records: DataFrame, events: DataFrame, n: int = 3, window: int = 300, apart_s: int = 3600) -> DataFrame:
     """Up to ``n`` quiet windows a session, the quietest first, with centres at least ``apart_s`` seconds apart.
 
-    A pick rules out all candidates near it, so picks follow one another: n rounds, each an aggregation and a filter.
+    Picks follow one another, but few candidates can be one. Time is cut into slots of ``apart_s``. A pick rules out centres in its own slot and in
+    the two beside it only, so before the k-th pick at most 3 (k - 1) slots have lost any; of the 3 (k - 1) + 1 slots with the quietest
+    windows one is whole, and nothing outside these is quieter than its best. So all picks lie in the 3 n - 2 slots with the quietest windows; only their
+    candidates (a second has one window) come together, and the picks are made among them. Candidates are computed once.
     """
+    if n < 1 or apart_s < 1:
+        raise ValueError("a number of windows and a distance of at least 1 are needed")
+    micros = lambda t: F.unix_micros(t.cast("timestamp"))
     center = F.timestamp_add("MICROSECOND", F.floor(seconds_between(F.col("t_start"), F.col("t_end")) * 500_000).cast("long"), F.col("t_start"))
-    left = snapshot_candidates(records, events, window).withColumn("t_center", center)
-    picks, out = left, None
-    for k in range(n):
-        best = picks.groupBy(SESSION).agg(F.min(F.struct(F.round("stdev_w", 6).alias("stdev_w"), INDEX, "t_start", "t_end", "t_center", "mean_w")).alias("b"))
-        best = best.select(SESSION, F.lit(k).alias("id"), "b.t_start", "b.t_end", "b.t_center", F.col("b.mean_w").alias("p_total_mean_w"), F.col("b.stdev_w").alias("p_total_stdev_w"))
-        out = best if out is None else out.union(best)
-        near = best.select(SESSION, F.col("t_center").alias("_c"))
-        picks = picks.join(near, SESSION).where(F.abs(seconds_between(F.col("_c"), F.col("t_center"))) >= apart_s).drop("_c")
-    return out
+    left = snapshot_candidates(records, events, window).withColumn("t_center", center).withColumns({"stdev_w": F.round("stdev_w", 6), "_us": micros(F.col("t_center"))})
+    held = F.struct("stdev_w", INDEX, "_us", "t_start", "t_end", "t_center", "mean_w")
+    slots = left.groupBy(SESSION, F.floor(F.col("_us") / (apart_s * 1_000_000)).alias("_slot")).agg(F.min(F.struct("stdev_w", INDEX)).alias("_best"), F.collect_list(held).alias("_held"))
+    order = F.row_number().over(Window.partitionBy(SESSION).orderBy("_best"))
+    few = slots.withColumn("_place", order).where(F.col("_place") <= 3 * n - 2)
+    rows = few.select(SESSION, F.explode("_held").alias("x")).select(SESSION, "x.*")
+    kinds = {f.name: f.dataType for f in rows.schema}
+    names = [SESSION, "id", "t_start", "t_end", "t_center", "p_total_mean_w", "p_total_stdev_w"]
+    types = [kinds[SESSION], T.IntegerType(), kinds["t_start"], kinds["t_end"], kinds["t_center"], T.DoubleType(), T.DoubleType()]
+
+    def greedy(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("stdev_w", "ascending"), (INDEX, "ascending")])
+        at, taken = table.column("_us").to_numpy(), []
+        while len(taken) < n:
+            free = np.flatnonzero(np.all([np.abs(at - at[k]) >= apart_s * 1_000_000 for k in taken], axis=0)) if taken else np.arange(len(at))
+            if not len(free):
+                break
+            taken.append(int(free[0]))
+        picks = table.take(pa.array(taken))
+        cols = [picks.column(SESSION), pa.array(range(len(taken)), pa.int32()), *(picks.column(c) for c in ("t_start", "t_end", "t_center", "mean_w", "stdev_w"))]
+        return pa.Table.from_arrays(cols, names)
+
+    return rows.groupBy(SESSION).applyInArrow(greedy, T.StructType([T.StructField(c, t) for c, t in zip(names, types, strict=True)]))

@@ -50,17 +50,17 @@ def own(rows: DataFrame) -> DataFrame:
     return rows.where("_own").drop("_chunk", "_own")
 
 
-def rolling_sums(rows: DataFrame, width: int, **values: Column) -> DataFrame:
+def rolling_sums(rows: DataFrame, width: int, first: tuple[str, ...] = (), **values: Column) -> DataFrame:
     """Sums of the last ``width`` rows of each value (null before there are so many), by differences of running sums.
 
-    Values must be finite. Running sums start anew in each chunk, so their size, and the rounding of a difference, is bounded.
+    ``first``: columns that get their value of the window's first row. Values must be finite. Running sums start anew in each chunk, so their size, and the rounding of a difference, is bounded.
     """
     rows = with_halo(rows, width)
     running, back = halo_window().rowsBetween(Window.unboundedPreceding, 0), halo_window()
     for name, value in values.items():
         rows = rows.withColumn(f"_{name}", F.sum(value).over(running))
-    for name in values:
-        rows = rows.withColumn(name, F.when(F.col(INDEX) >= width - 1, F.col(f"_{name}") - F.coalesce(F.lag(f"_{name}", width).over(back), F.lit(0.0)))).drop(f"_{name}")
+    sums = {name: F.when(F.col(INDEX) >= width - 1, F.col(f"_{name}") - F.coalesce(F.lag(f"_{name}", width).over(back), F.lit(0.0))) for name in values}
+    rows = rows.withColumns(sums | {c: F.lag(c, width - 1).over(back) for c in first if width > 1}).drop(*[f"_{name}" for name in values])
     return own(rows)
 
 

@@ -1,6 +1,6 @@
 """Reports: a session's results gathered, told in plain English, and written.
 
-Only small results come to the driver: events and findings by kind, the worst ones, one row per session or state.
+Texts are columns, one row a session, so a report of many sessions is as many jobs as a report of one.
 """
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlens.functions.electrical import seconds_between
@@ -17,7 +17,7 @@ from gridlens.operators import rolling, stats
 from gridlens.operators.sequence import SESSION
 from gridlens.plans import findings as fi
 from gridlens.rules import EventRules, FindingRules
-from gridlens.sinks import files
+from gridlens.sinks import files, grouped, multi, series
 
 
 def duration_text(seconds: float) -> str:
@@ -69,47 +69,75 @@ def lead_dips(events: DataFrame, within_s: int = 30) -> DataFrame:
     return dips.where((gap >= 0) & (gap <= within_s)).groupBy(SESSION).agg(F.min(F.struct("id", "severity", F.array_join("affected_phases", "/").alias("phases"))).alias("d")).select(SESSION, "d.*")
 
 
-def ct_notice(ct: Row) -> str:
-    """What to say about reversed current transformers; empty if they look right."""
-    if not ct["reversed"]:
-        return ""
-    share = ct["active_frac_negative"] if ct["basis"] == "active" else ct["frac_negative"]
-    return f"Real power is negative in {share:.0%} of the {'active' if ct['basis'] == 'active' else 'energised'} records: the current transformers look reversed."
+def ct_notice() -> Column:
+    """What to say about reversed current transformers, of a row of ``ct_reversal``; null if they look right."""
+    active = F.col("basis") == "active"
+    share = F.when(active, F.col("active_frac_negative")).otherwise(F.col("frac_negative"))
+    return F.when(F.col("reversed"), F.format_string("Real power is negative in %.0f%% of the %s records: the current transformers look reversed.", share * 100.0, F.when(active, "active").otherwise("energised")))
 
 
-def narrative(s: Session, session, config: dict | None = None) -> str:
-    """A summary of one session in sentences."""
-    of = lambda df: df.where(F.col(SESSION) == session)
-    facts = of(stats.first_last(s.records)).withColumn("seconds", seconds_between(F.col("first_start"), F.col("last_end"))).first()
-    name = (config or {}).get("asset_name")
-    out = [f"{f'Asset {name}' if name else 'This session'} has {facts['records']:,} records over {duration_text(facts['seconds'])}." if facts else "The session is empty."]
-    worst = {r["kind"]: r for r in of(worst_events(s.events)).collect()}
-    if "outage" in worst:
-        w, lead = worst["outage"], of(lead_dips(s.events)).first()
-        after = f" after a dip of phase {lead['phases']} to {lead['severity']:.0%}" if lead else ""
-        out.append(f"The longest outage lasted {duration_text(w['seconds'])} from {w['t_start']:%H:%M:%S}{after}.")
-    elif "dip" in worst:
-        out.append(f"Without an outage, the deepest dip went to {worst['dip']['severity']:.0%} of nominal on phase {worst['dip']['phases']} at {worst['dip']['t_start']:%H:%M:%S}.")
-    elif "swell" in worst:
-        out.append(f"Without an outage, the highest swell went to {worst['swell']['severity']:.0%} of nominal at {worst['swell']['t_start']:%H:%M:%S}.")
+def _percent(c: str | Column) -> Column:
+    return F.format_string("%.0f%%", (F.col(c) if isinstance(c, str) else c) * 100.0)
+
+
+def _lasting(seconds: Column) -> Column:
+    """``duration_text`` as a column."""
+    return F.when(seconds >= 3600, F.format_string("%.1f h", seconds / 3600.0)).when(seconds >= 60, F.format_string("%.1f min", seconds / 60.0)).otherwise(F.format_string("%.1f s", seconds))
+
+
+def narratives(s: Session, config: dict | DataFrame | None = None) -> DataFrame:
+    """``session_id, text``: a summary of each session in sentences. ``config``: one for all, or rows of session_id and asset_name."""
+    rows = stats.first_last(s.records).withColumn("seconds", seconds_between(F.col("first_start"), F.col("last_end")))
+    if isinstance(config, DataFrame):
+        rows = rows.join(config.select(F.col(SESSION).alias("_of"), F.col("asset_name").alias("asset")), F.col(SESSION).cast("string") == F.col("_of").cast("string"), "left").drop("_of")
     else:
-        out.append("There was no outage, dip or swell.")
-    states = {r["state"]: r for r in of(stats.load_state_rows(s.records)).collect()}
-    active = states.get("active")
-    if active and active["records"]:
-        out.append(f"The load was active {active['duty_pct']:.0f}% of the time at {active['P_avg_kW']:.0f} kW with a power factor of {active['PF_avg']:.2f}.")
-    energy = of(stats.session_energy(s.records)).first()
-    if energy:
-        out.append(f"Energy: {energy['energy_as_measured_kWh']:.0f} kWh as measured, {energy['energy_active_kWh']:.0f} kWh active, {energy['energy_net_clip_standby_kWh']:.0f} kWh with standby clipped.")
-    rows = of(s.findings).groupBy("kind", "severity").agg(F.first("headline").alias("headline"), F.count("*").alias("n")).collect()
-    for kind in ("pf_drift", "imbalance_sustained", "phase_asymmetry"):
-        out += [r["headline"] + "." for r in rows if r["kind"] == kind]
-    ct = of(stats.ct_reversal(s.records)).first()
-    if ct and (notice := ct_notice(ct)):
-        out.append(notice)
-    alerts, n = sum(r["n"] for r in rows if r["severity"] == "alert"), of(s.events).count()
-    out.append(f"{alerts} finding(s) need attention." if alerts else f"{n} event(s), none of which needs attention." if n else "The supply looks clean.")
-    return " ".join(out)
+        rows = rows.withColumn("asset", F.lit((config or {}).get("asset_name")).cast("string"))
+    worst = worst_events(s.events).groupBy(SESSION).agg(*[F.first(F.when(F.col("kind") == k, F.struct("t_start", "seconds", "severity", "phases")), ignorenulls=True).alias(k) for k in ("outage", "dip", "swell")])
+    lead = lead_dips(s.events).select(SESSION, F.struct("severity", "phases").alias("lead"))
+    load = stats.load_state_rows(s.records).where("state = 'active' and records > 0").select(SESSION, F.struct("duty_pct", "P_avg_kW", "PF_avg").alias("load"))
+    energy = stats.session_energy(s.records).select(SESSION, F.struct("energy_as_measured_kWh", "energy_active_kWh", "energy_net_clip_standby_kWh").alias("energy"))
+    told = [F.first(F.when(F.col("kind") == k, F.concat("headline", F.lit("."))), ignorenulls=True).alias(k) for k in ("pf_drift", "imbalance_sustained", "phase_asymmetry")]
+    findings = s.findings.groupBy(SESSION).agg(F.count_if(F.col("severity") == "alert").alias("alerts"), *told)
+    ct = stats.ct_reversal(s.records).select(SESSION, ct_notice().alias("notice"))
+    count = s.events.groupBy(SESSION).agg(F.count("*").alias("events"))
+    for part in (worst, lead, load, energy, findings, ct, count):
+        rows = rows.join(part, SESSION, "left")
+    at = lambda k: F.date_format(F.col(f"{k}.t_start"), "HH:mm:ss")
+    after = F.when(F.col("lead").isNotNull(), F.concat(F.lit(" after a dip of phase "), F.col("lead.phases"), F.lit(" to "), _percent("lead.severity"))).otherwise("")
+    supply = (
+        F.when(F.col("outage").isNotNull(), F.concat(F.lit("The longest outage lasted "), _lasting(F.col("outage.seconds")), F.lit(" from "), at("outage"), after, F.lit(".")))
+        .when(F.col("dip").isNotNull(), F.concat(F.lit("Without an outage, the deepest dip went to "), _percent("dip.severity"), F.lit(" of nominal on phase "), F.col("dip.phases"), F.lit(" at "), at("dip"), F.lit(".")))
+        .when(F.col("swell").isNotNull(), F.concat(F.lit("Without an outage, the highest swell went to "), _percent("swell.severity"), F.lit(" of nominal at "), at("swell"), F.lit(".")))
+        .otherwise("There was no outage, dip or swell.")
+    )
+    alerts, n = F.coalesce("alerts", F.lit(0)), F.coalesce("events", F.lit(0))
+    end = F.when(alerts > 0, F.format_string("%d finding(s) need attention.", alerts)).when(n > 0, F.format_string("%d event(s), none of which needs attention.", n)).otherwise("The supply looks clean.")
+    sentences = [
+        F.concat(F.coalesce(F.concat(F.lit("Asset "), "asset"), F.lit("This session")), F.lit(" has "), F.format_number("records", 0), F.lit(" records over "), _lasting(F.col("seconds")), F.lit(".")),
+        supply,
+        F.when(F.col("load").isNotNull(), F.format_string("The load was active %.0f%% of the time at %.0f kW with a power factor of %.2f.", "load.duty_pct", "load.P_avg_kW", "load.PF_avg")),
+        F.when(F.col("energy").isNotNull(), F.format_string("Energy: %.0f kWh as measured, %.0f kWh active, %.0f kWh with standby clipped.", *[f"energy.{c}" for c in ("energy_as_measured_kWh", "energy_active_kWh", "energy_net_clip_standby_kWh")])),
+        F.col("pf_drift"), F.col("imbalance_sustained"), F.col("phase_asymmetry"), F.col("notice"), end,
+    ]
+    return rows.select(SESSION, "asset", F.concat_ws(" ", *sentences).alias("text"))
+
+
+def summaries(s: Session) -> DataFrame:
+    """``session_id, seq, line``: counts of events, quiet windows and findings of each session, line by line."""
+    every = s.records.select(SESSION).distinct()
+    heads = every.select(SESSION, F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("seq"), F.lit(t).alias("line")) for k, t in ((0, "Events"), (1 << 40, "Quiet windows"), (2 << 40, "Findings"))])).alias("x")).select(SESSION, "x.*")
+    place = lambda *by: F.row_number().over(Window.partitionBy(SESSION).orderBy(*by)).cast("long")  # noqa: E731  of kinds, or of few windows
+    kinds = ev.count_by_kind(s.events).select(SESSION, place("kind").alias("seq"), F.format_string("  %s: %d", "kind", "n").alias("line"))
+    quiet = s.snapshots.select(SESSION, (F.lit((1 << 40) + 1) + F.col("id")).alias("seq"), F.concat(F.lit("  "), F.col("t_start").cast("string"), F.lit(" to "), F.col("t_end").cast("string"), F.format_string(": %.1f kW", F.col("p_total_mean_w") / 1000.0)).alias("line"))
+    found = s.findings.groupBy(SESSION, "severity", "kind").agg(F.count("*").alias("n"))
+    found = found.select(SESSION, (F.lit(2 << 40) + place("severity", "kind")).alias("seq"), F.format_string("  %s %s x %d", "severity", "kind", "n").alias("line"))
+    return heads.unionByName(kinds).unionByName(quiet).unionByName(found)
+
+
+def narrative(s: Session, session, config: dict | None = None) -> str:
+    """The narrative of one session."""
+    row = narratives(s, config).where(F.col(SESSION) == session).first()
+    return row["text"] if row else "The session is empty."
 
 
 def markdown(text: str, title: str = "Session") -> str:
@@ -117,12 +145,8 @@ def markdown(text: str, title: str = "Session") -> str:
 
 
 def summary_text(s: Session, session) -> str:
-    """Counts of events, quiet windows and findings, line by line."""
-    of = lambda df: df.where(F.col(SESSION) == session)
-    lines = ["Events"] + [f"  {r['kind']}: {r['n']}" for r in of(ev.count_by_kind(s.events)).orderBy("kind").collect()]
-    lines += ["Quiet windows"] + [f"  {r['t_start']} to {r['t_end']}: {r['p_total_mean_w'] / 1000:.1f} kW" for r in of(s.snapshots).orderBy("id").collect()]
-    lines += ["Findings"] + [f"  {r['severity']} {r['kind']} x {r['n']}" for r in of(s.findings).groupBy("severity", "kind").agg(F.count("*").alias("n")).orderBy("severity", "kind").collect()]
-    return "\n".join(lines) + "\n"
+    """The summary of one session."""
+    return "".join(f"{r['line']}\n" for r in summaries(s).where(F.col(SESSION) == session).orderBy("seq").collect())
 
 
 def print_json(s: Session, config: dict, out) -> None:
@@ -147,9 +171,19 @@ def write_report(s: Session, path: str, config: dict | None = None, demand_windo
         "ct_reversal": stats.ct_reversal(s.records), "harmonics": stats.harmonics(s.records), "sarfi": stats.sarfi(s.events, s.nominal), "demand": rolling.demand_peak(s.records, demand_window), "demand_series": rolling.demand_series(s.records, demand_window),
     }.items():
         (files.write_table if name in ("stats", "load_states") else lambda d, p: files.write_json(d, f"{p}.json"))(df, f"{path}/{name}")
-    files.write_csv(s.records, f"{path}/session.csv", every, limit, most)
-    files.write_minutes(s.records, f"{path}/session_1min.csv")
-    for r in s.records.select(SESSION).distinct().collect():
-        session = r[SESSION]
-        files.write_text(summary_text(s, session), f"{path}/summary/{session}", spark)
-        files.write_text(markdown(narrative(s, session, config), (config or {}).get("asset_name") or "Session"), f"{path}/narrative/{session}", spark)
+    if limit is None:
+        multi.export_all(s.records, f"{path}/export", every, most, s.records.count() if most else None)
+    else:
+        files.write_csv(s.records, f"{path}/export/{multi.FULL}", every, limit, most)
+        files.write_minutes(s.records, f"{path}/export/{multi.SAMPLE}")
+    write_texts(s, path, config)
+    series.write_event_series(s.records, s.events, f"{path}/events")
+
+
+def write_texts(s: Session, path: str, config: dict | DataFrame | None = None) -> None:
+    """``summary/<session>.txt`` and ``narrative/<session>.md`` of every session: two jobs, whatever their number."""
+    lines = summaries(s)
+    grouped.write_files(lines.select(F.concat(series.safe(F.col(SESSION)), F.lit(".txt")).alias("file"), "seq", F.concat("line", F.lit("\n")).alias("content")), f"{path}/summary")
+    told = narratives(s, config)
+    text = F.concat(F.lit("# "), F.coalesce("asset", F.lit("Session")), F.lit("\n\n"), "text", F.lit("\n"))
+    grouped.write_files(told.select(F.concat(series.safe(F.col(SESSION)), F.lit(".md")).alias("file"), F.lit(0).alias("seq"), text.alias("content")), f"{path}/narrative")

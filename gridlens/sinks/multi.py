@@ -85,11 +85,11 @@ class ExportSink(DataSource):
 
 
 def csv_line(columns: list[str]) -> Column:
-    """A row as CSV writes it: nothing for nulls, quotes where a text needs them."""
+    """A row as Spark's CSV has it: nothing for nulls, quotes where a text needs them, a backslash before quotes."""
     cells = []
     for c in columns:
         text = F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-        cells.append(F.when(text.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text))
+        cells.append(F.when(text.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise(text))
     return F.concat(F.concat_ws(",", *cells), F.lit("\n"))
 
 

@@ -4,17 +4,20 @@ import math
 import tracemalloc
 import zipfile
 from datetime import datetime
+from functools import reduce
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo
 
 from gridlens import cli
 from gridlens.functions import calendar
-from gridlens.operators import events, stitch
+from gridlens.operators import events, grouping, stitch
 from gridlens.plans import compare, report
-from gridlens.sinks import files, grouped
+from gridlens.rules import Period, ShiftSet
+from gridlens.sinks import files, grouped, multi, series
 from gridlens.sources import cache, ranged, tables, trend
 from gridlens.spec import CHANNELS, CORE, INDEX, MAGIC, RECORD_BYTES
 
@@ -122,6 +125,65 @@ def test_report(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/events.json").where("itic.itic_class is not null").count() == 3
     kinds = {r.kind for r in s.findings.collect()}
     assert {"outage_signature", "pf_drift", "outage_frequency"} <= kinds
+    assert (tmp_path / "narrative/s.md").read_text() == f"# Session\n\n{report.narrative(s, 's')}\n" and (tmp_path / "summary/s.txt").read_text() == report.summary_text(s, "s")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/export/session.csv").count() == 400
+    zoom = (tmp_path / "events/s").glob("event-*-outage.tsv")
+    assert [len(f.read_text().splitlines()) for f in zoom] == [1 + 30 + 71 + 61]
+
+
+def test_reports_of_many_sessions(spark, tmp_path):
+    """Texts of all sessions in as many jobs as of one, each as the session alone gives it."""
+    parts = [session(spark, 40 + 3 * k, [(10, 12 + k, OUT)] if k % 3 else [], name=f"s/{k}", PF_total_avg=0.5 if k % 2 else 0.95) for k in range(6)]
+    rows = reduce(DataFrame.unionByName, parts)
+    config = spark.createDataFrame([("s/1", "Pump"), ("s/2", "Fan")], "session_id string, asset_name string")
+    report.write_texts(report.analyse(rows), str(tmp_path), config)
+    assert sorted(p.name for p in (tmp_path / "narrative").iterdir()) == [f"s_{k}.md" for k in range(6)]
+    for k in (1,):
+        alone = report.analyse(parts[k])
+        assert (tmp_path / f"summary/s_{k}.txt").read_text() == report.summary_text(alone, f"s/{k}")
+        assert report.narrative(alone, f"s/{k}", {"asset_name": "Pump"} if k == 1 else None) in (tmp_path / f"narrative/s_{k}.md").read_text()
+
+
+def test_files_by_group(spark, tmp_path):
+    """Buckets, stretches of shifts, events and sessions, a file for each and kind; every record and event in its one."""
+    rows = session(spark, 5000, [(100, 170, OUT), (3595, 3605, OUT)], base=datetime(2024, 5, 1, 5, 0))
+    found, nominal = events.detect_events(rows, 277.0), events.nominal_voltage(rows)
+    series.write_bucket_files(rows, found, nominal, Period.parse("hour"), str(tmp_path / "b"))
+    folders = sorted((tmp_path / "b/s").iterdir())
+    assert [f.name for f in folders] == ["2024-05-01T05", "2024-05-01T06"] and all(sorted(p.name for p in f.iterdir()) == ["events.json", "session.csv", "summary.txt"] for f in folders if f.name.endswith("05"))
+    assert [len((f / "session.csv").read_text().splitlines()) for f in folders] == [3601, 1401]
+    told = [json.loads(x) for x in (folders[0] / "events.json").read_text().splitlines()]
+    assert [e["spans_bucket_boundary"] for e in told if e["kind"] == "outage"] == [False, True] and "records: 3600\n" in (folders[0] / "summary.txt").read_text()
+    assert len((tmp_path / "b/buckets_summary.csv").read_text().splitlines()) == 3
+    stretches = grouping.shift_occurrences(rows, ShiftSet.parse("a=00:00-06:00,b=06:00-24:00"))
+    series.write_occurrence_files(rows, found, stretches, str(tmp_path / "o"))
+    assert {f.name: len((f / "session.csv").read_text().splitlines()) for f in (tmp_path / "o/s").iterdir()} == {"a_2024-05-01": 3601, "b_2024-05-01": 1401}
+    assert "events: " in (tmp_path / "o/s/a_2024-05-01/summary.txt").read_text()
+    series.write_overlays(rows.withColumn("P_total_avg_W", F.when(F.col("record_index") == 1, math.nan).otherwise(F.col("P_total_avg_W"))), str(tmp_path / "v"))
+    lines_ = (tmp_path / "v/s.tsv").read_text().splitlines()
+    assert lines_[0].split("\t")[0] == "rel_s" and lines_[2].split("\t")[0] == "1.0" and "NaN" in lines_[2] and len(lines_) == 5001
+
+
+def test_one_pass_for_all_sinks(spark, tmp_path):
+    """Each record is read once; the sinks hold what separate exports hold; a limit needs no count."""
+    rows = session(spark, 500, [(7, 8, {"P_total_avg_W": math.nan})], name='quo"ted, s').repartition(3)
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    counts = multi.export_all(rows.mapInArrow(watched, rows.schema), str(tmp_path / "all"), most=120, estimate=500)
+    assert seen.value == 500
+    assert (counts["records"], counts["nonfinite"], counts["exported"], counts["sampled"], counts["stride"]) == (500, 2, 100, 9, 5)
+    files.write_csv(rows, str(tmp_path / "full"), 5)
+    files.write_minutes(rows, str(tmp_path / "minutes"))
+    read = lambda p: sorted(map(tuple, spark.read.option("header", True).csv(str(p)).collect()), key=str)
+    assert read(tmp_path / "all/session.csv") == read(tmp_path / "full") and read(tmp_path / "all/session_1min.csv") == read(tmp_path / "minutes")
+    assert spark.read.parquet(str(tmp_path / "all/store")).count() == 500
+    with pytest.raises(ValueError):
+        multi.export_all(rows, str(tmp_path / "no"), most=3)
 
 
 def test_quiet_report(spark):
@@ -149,7 +211,8 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     said = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert set(said) == {"config", "summary_stats", "events", "snapshots", "insights"} and said["summary_stats"]["event_count"] == len(said["events"])
     assert spark.read.json(f"{out}/markers.json").first().label == "go" and spark.read.option("header", True).csv(f"{out}/cost.csv").count() == 1
-    assert spark.read.option("header", True).csv(f"{out}/shifts/records").groupBy("label").count().first()["count"] == 70
+    [text] = (tmp_path / "out/shifts/ES.001").glob("*/session.csv")
+    assert len(text.read_text().splitlines()) == 71
     other = put(tmp_path, synthetic(5), "ES.002")
     assert cli.main(["stitch", path, other, "--out", str(tmp_path / "st")], spark) == 0
     assert spark.read.json(f"{tmp_path}/st/sources.json").count() == 2
