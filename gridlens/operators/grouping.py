@@ -9,7 +9,7 @@ from gridlens.functions.calendar import bucket_label, local, minute_of_day, plus
 from gridlens.functions.electrical import above, finite, mean_phase_current, number, phases, seconds_between
 from gridlens.operators.rolling import demand_peak
 from gridlens.operators.sequence import INDEX, SESSION, islands, renumber
-from gridlens.operators.stats import _or0, _pooled, pooled_quantiles
+from gridlens.operators.stats import BINS, _or0, _pooled, long_values, quantiles
 from gridlens.rules import Period, ShiftSet
 
 
@@ -69,8 +69,10 @@ def shift_comparison(records: DataFrame, events: DataFrame, shifts: ShiftSet, tz
         _or0(F.avg(pf)).alias("PF_avg"), _or0(F.try_divide(v_sum, v_n)).alias("V_LN_avg_V"),
         F.count_if(busy).alias("active_records"), F.count(F.when(busy, p)).alias("_an"), _or0(F.avg(F.when(busy, p))).alias("_ap"), _or0(F.avg(F.when(busy, pf))).alias("active_PF_avg"),
     )
-    volts = pooled_quantiles(rows, keys, "V_LN_{}_avg_V", 400.0, 50.0, V_LN_p5_V=0.05, V_LN_p95_V=0.95)
-    thd = pooled_quantiles(rows, keys, "V_THD_pct_{}_avg", 50.0, V_THD_p95_pct=0.95)
+    pooled = [(f"V_LN_{x}_avg_V", "volts", 0.0, 400.0, BINS) for x in "abc"] + [(f"V_THD_pct_{x}_avg", "thd", 0.0, 50.0, BINS) for x in "abc"]
+    values = long_values(rows, keys, pooled).where(finite(F.col("v")) & ((F.col("name") == "thd") | (F.col("v") > 50.0)))
+    of = lambda name, column: F.max(F.when(F.col("name") == name, F.col(column)))
+    shares = quantiles(values, [*keys, "name"], p5=0.05, p95=0.95).groupBy(*keys).agg(of("volts", "p5").alias("V_LN_p5_V"), of("volts", "p95").alias("V_LN_p95_V"), of("thd", "p95").alias("V_THD_p95_pct"))
     tied = renumber(rows.select(*keys, INDEX, "t_start", "t_end", "P_total_avg_W"), keys)
     both = F.struct(*keys)
     peak = demand_peak(tied.withColumn(SESSION, both), demand_minutes * 60).select(F.col(SESSION)[SESSION].alias("_s"), F.col(SESSION)["shift"].alias("shift"), F.col("peak_demand_kw").alias("peak_demand_kW")).withColumnRenamed("_s", SESSION)
@@ -79,7 +81,7 @@ def shift_comparison(records: DataFrame, events: DataFrame, shifts: ShiftSet, tz
     )
     every = records.select(SESSION).distinct().withColumn("shift", F.explode(F.array(*[F.lit(s.name) for s in shifts.shifts])))
     every = every.union(rows.where(F.col("shift") == "unassigned").select(*keys).distinct())
-    out = every.join(got, keys, "left").join(volts, keys, "left").join(thd, keys, "left").join(peak, keys, "left").join(kinds, keys, "left").na.fill(0)
+    out = every.join(got, keys, "left").join(shares, keys, "left").join(peak, keys, "left").join(kinds, keys, "left").na.fill(0)
     window = F.coalesce(F.create_map(*[F.lit(x) for s in shifts.shifts for x in (s.name, s.window)])[F.col("shift")], F.lit("—"))
     hours = F.col("_n") / 3600.0
     return out.select(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridlens.functions.calendar import is_peak
 from gridlens.functions.electrical import above, below, finite, load_state, mean_phase_current, not_outage, number, phases, residual_pct, ride_through, seconds_between
 from gridlens.operators.sequence import INDEX, SESSION
+from gridlens.operators.sketch import finished, sketch
 from gridlens.rules import Tariff
 
 #: (channel, lowest, highest, unit) of the session statistics.
@@ -31,25 +32,14 @@ def long_values(rows: DataFrame, keys: list[str], channels: list[tuple[str, str,
 
 
 def quantiles(values: DataFrame, keys: list[str], **of: float) -> DataFrame:
-    """Histogram quantiles per key: the midpoint of the first bin that reaches the share; also ``n, min, max, mean, stdev``.
-
-    Values beyond the range count in the outer bins. At most ``bins`` rows per key leave the aggregation.
-    """
-    at = F.floor((F.col("v") - F.col("lo")) / F.col("width"))
-    at = F.greatest(F.lit(0), F.least(at, F.col("bins") - 1))
-    n, s = F.count("*"), F.sum("v")
-    got = values.groupBy(*keys, "lo", "width", at.alias("bin")).agg(n.alias("n"), s.alias("s"), F.min("v").alias("l"), F.max("v").alias("h"), F.var_pop("v").alias("m2"))
-    w = Window.partitionBy(*keys)
-    got = got.withColumn("reached", F.sum("n").over(w.orderBy("bin"))).withColumn("total", F.sum("n").over(w))
-    first = lambda q: F.min(F.when(F.col("reached") >= F.lit(q) * F.col("total"), F.col("bin")))
-    mid = lambda q: F.first("lo") + (first(q) + 0.5) * F.first("width")
-    mean = F.sum("s") / F.sum("n")
-    # variance from the bins' own: sum of n (var + mean^2) over n, less the mean's square
-    square = F.sum(F.col("n") * (F.col("m2") + F.col("s") / F.col("n") * (F.col("s") / F.col("n")))) / F.sum("n")
-    return got.groupBy(*keys).agg(
-        F.sum("n").alias("n"), F.min("l").alias("min"), F.max("h").alias("max"), mean.alias("mean"),
-        F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)).alias("stdev"), *[mid(q).alias(name) for name, q in of.items()],
-    )
+    """Histogram quantiles per key: the midpoint of the first bin that reaches the share; also ``n, min, max, mean, stdev``."""
+    return finished(sketch(values, keys), **of)
+
+
+def session_sketches(records: DataFrame, keys: list[str], channels: list | None = None) -> DataFrame:
+    """Sketches of the channels of ``STATS_CHANNELS`` by ``keys`` and ``name``, to be stored and merged."""
+    values = long_values(records, keys, [(c, c, lo, hi, BINS) for c, lo, hi, _ in (channels or STATS_CHANNELS)])
+    return sketch(values, [*keys, "name"])
 
 
 def session_stats(records: DataFrame) -> DataFrame:
@@ -143,6 +133,12 @@ def compare_summary(records: DataFrame) -> DataFrame:
     return t.select(SESSION, "rows", (F.col("wh_sum") / 1000).alias("net_kwh"), (F.col("wh_fwd") / 1000).alias("imported_kwh"), (F.col("wh_rev") / 1000).alias("exported_kwh"), (F.col("p_peak_pos") / 1000).alias("peak_import_kw"), (F.col("p_peak_neg") / 1000).alias("peak_export_kw"), F.col("i_peak").alias("peak_current_a"))
 
 
+def session_cards(records: DataFrame, events: DataFrame) -> DataFrame:
+    """What a page about several sessions shows of each: the comparison's figures and the number of its events."""
+    count = events.groupBy(SESSION).agg(F.count("*").alias("event_count"))
+    return compare_summary(records).drop("net_kwh").join(count, SESSION, "left").na.fill(0, ["event_count"])
+
+
 def compare_table(records: DataFrame, sessions: list) -> DataFrame:
     """The comparison with a row per metric and a column per session."""
     long = compare_summary(records).withColumn("rows", F.col("rows").cast("double")).unpivot([SESSION], None, "metric", "value")

@@ -241,6 +241,13 @@ p as (select b, arg_min(i, (v, i)) as l, arg_min(i, (-v, i)) as h from b group b
         "session_stats": f"""{days}, long as ({_LONG}), h as {_hist("select * from long", "session_id, channel", {"p1": 0.01, "p5": 0.05, "median": 0.5, "p95": 0.95, "p99": 0.99})},
 m as (select session_id, channel, unit, count(*) as count, min(v) as min, max(v) as max, avg(v) as mean, stddev_pop(v) as stdev from long where not isnan(v) group by 1, 2, 3)
 select session_id, channel, unit, count, round(min, 6) as min, round(p1, 6) as p1, round(p5, 6) as p5, round(median, 6) as median, round(mean, 6) as mean, round(p95, 6) as p95, round(p99, 6) as p99, round(max, 6) as max, round(stdev, 6) as stdev from m join h using (session_id, channel)""",
+        "session_cards": f"""{evd}, k as (select session_id, count(*) as event_count from ev group by 1), t as (select session_id, count(*) as rows, coalesce(sum(Wh_total) filter (where Wh_total > 0), 0) as f, coalesce(sum(Wh_total) filter (where Wh_total < 0), 0) as r,
+  greatest(0, max(P_total_avg_W) filter (where {_FINITE_P})) as pp, least(0, min(P_total_avg_W) filter (where {_FINITE_P})) as pn, greatest(0, max(greatest(I_a_avg_A, I_b_avg_A, I_c_avg_A))) as i from (select * replace (case when isnan(Wh_total) then null else Wh_total end as Wh_total) from rec) group by 1)
+select session_id, rows, round(f / 1000, 6) as imported_kwh, round(r / 1000, 6) as exported_kwh, round(pp / 1000, 6) as peak_import_kw, round(pn / 1000, 6) as peak_export_kw, round(i, 6) as peak_current_a, coalesce(event_count, 0) as event_count from t left join k using (session_id)""",
+        "stats_rollup": f"""{days}, tagged as ({_LONG.replace("4000 as bins from", "4000 as bins, strftime(t_start, '%Y-%m-%d') as day from")}), long as (select session_id, channel, day, v, lo, width, bins from tagged union all select session_id, channel, null, v, lo, width, bins from tagged),
+h as {_hist("select session_id, channel, coalesce(day, '-') as day, v, lo, width, bins from long", "session_id, channel, day", {"p5": 0.05, "median": 0.5, "p95": 0.95})},
+m as (select session_id, channel, coalesce(day, '-') as day, count(*) as n, min(v) as min, max(v) as max, avg(v) as mean, stddev_pop(v) as stdev from long where not isnan(v) group by 1, 2, 3)
+select session_id, nullif(day, '-') as day, channel as name, n, round(min, 6) as min, round(max, 6) as max, round(mean, 6) as mean, round(stdev, 6) as stdev, round(p5, 6) as p5, round(median, 6) as median, round(p95, 6) as p95 from m join h using (session_id, channel, day)""",
         "threshold_seconds": f"""{days}, t as (select session_id, count(*) as total_records, count(*) filter (where {_ON} and least(V_LN_a_avg_V, V_LN_b_avg_V, V_LN_c_avg_V) < 275) as u, count(*) filter (where greatest(I_a_avg_A, I_b_avg_A, I_c_avg_A) > 600) as c from rec group by 1)
 select session_id, total_records, u as sec_undervoltage, c as sec_overcurrent, round(u * 100.0 / total_records, 6) as pct_undervoltage, round(c * 100.0 / total_records, 6) as pct_overcurrent from t""",
         "ieee519": f"""{days}, src as (select * from rec), l as ({" union all ".join(f"select session_id, '{p}' as phase, V_THD_pct_{p}_avg as v, I_THD_pct_{p}_avg as i from rec" for p in "abc")}),

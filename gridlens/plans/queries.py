@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from gridlens.functions.calendar import shift_name
 from gridlens.functions.electrical import mean_phase_current, not_outage
-from gridlens.operators import correlate, events, filters, grouping, rolling, stats, stitch
+from gridlens.operators import correlate, events, filters, grouping, rolling, sketch, stats, stitch
 from gridlens.plans import compare, findings
 from gridlens.plans.bridge import by_days, one_session, scratch, session_files
 from gridlens.sinks import files, multi
@@ -140,6 +140,15 @@ def _events_json(spark: SparkSession, sf: str) -> DataFrame:
     return flat(got.select("id", "kind", "t_start", "severity", "affected_phases", "itic.residual_pct", "itic.itic_class"))
 
 
+def _rolled_up(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantiles of days and of whole sessions, from sketches by hour that were stored."""
+    path = scratch(spark)
+    rows = by_days(spark, sf).withColumns({"day": F.to_date("t_start").cast("string"), "hour": F.hour("t_start")})
+    stats.session_sketches(rows, ["session_id", "day", "hour"]).write.parquet(path)
+    whole = sketch.merged(spark.read.parquet(path), ["session_id", "day", "name"], ["session_id", "name"])
+    return flat(sketch.finished(whole, p5=0.05, median=0.5, p95=0.95))
+
+
 def _exported_at_once(spark: SparkSession, sf: str) -> DataFrame:
     """What each of the sinks of one pass holds, by sink."""
     path, rows = scratch(spark), one_session(spark, sf)
@@ -212,6 +221,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "event_zoom_slice": _one(lambda r: events.event_window(_events(r), r, 5, 10).select("event_id", "kind", "record_index")),
         # statistics
         "session_stats": _days(stats.session_stats),
+        "stats_rollup": _rolled_up,
         "threshold_seconds": _days(lambda r: stats.threshold_seconds(r, 275.0, 600.0)),
         "ct_reversal": _days(stats.ct_reversal),
         "ct_reversal_flipped": _one(lambda r: stats.ct_reversal(filters.reverse_cts(r, "all"))),
@@ -219,6 +229,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "session_energy": _days(stats.session_energy),
         "session_totals": _days(stats.session_totals),
         "compare_summary": _days(stats.compare_summary),
+        "session_cards": _days(lambda r: stats.session_cards(r, _events(r))),
         "compare_table": _days(lambda r: stats.compare_table(r, [0, 1, 2, 3, 4])),
         "tariff_cost": _days(lambda r: stats.tariff_cost(r, TARIFF)),
         "first_last": _days(stats.first_last),

@@ -8,7 +8,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridlens.functions.electrical import seconds_between
@@ -18,6 +18,7 @@ from gridlens.operators.sequence import SESSION
 from gridlens.plans import findings as fi
 from gridlens.rules import EventRules, FindingRules
 from gridlens.sinks import files, grouped, multi, series
+from gridlens.sources import tables
 
 
 def duration_text(seconds: float) -> str:
@@ -53,6 +54,16 @@ def analyse(records: DataFrame, rules: EventRules | None = None, finding_rules:
     return Session(records, found, nominal, fi.analyze(records, found, finding_rules).cache(), rolling.pick_snapshots(records, found).cache())
 
 
+@dataclass
+class Reloaded:
+    """The tables of a report that was written before."""
+
+    records: DataFrame
+    minutes: DataFrame
+    events: DataFrame
+    snapshots: DataFrame
+
+
 def worst_events(events: DataFrame) -> DataFrame:
     """Per session the longest outage, the deepest dip and the highest swell; the first of equal ones."""
     long = seconds_between(F.col("t_start"), F.col("t_end"))
@@ -170,7 +181,7 @@ def write_report(s: Session, path: str, config: dict | None = None, demand_windo
         "insights": s.findings, "snapshots": s.snapshots, "stats": stats.session_stats(s.records), "thresholds": stats.threshold_seconds(s.records), "load_states": stats.load_state_rows(s.records), "energy": stats.session_energy(s.records),
         "ct_reversal": stats.ct_reversal(s.records), "harmonics": stats.harmonics(s.records), "sarfi": stats.sarfi(s.events, s.nominal), "demand": rolling.demand_peak(s.records, demand_window), "demand_series": rolling.demand_series(s.records, demand_window),
     }.items():
-        (files.write_table if name in ("stats", "load_states") else lambda d, p: files.write_json(d, f"{p}.json"))(df, f"{path}/{name}")
+        {"stats": files.write_table, "load_states": files.write_load_states}.get(name, lambda d, p: files.write_json(d, f"{p}.json"))(df, f"{path}/{name}")
     if limit is None:
         multi.export_all(s.records, f"{path}/export", every, most, s.records.count() if most else None)
     else:
@@ -187,3 +198,19 @@ def write_texts(s: Session, path: str, config: dict | DataFrame | None = None) -
     told = narratives(s, config)
     text = F.concat(F.lit("# "), F.coalesce("asset", F.lit("Session")), F.lit("\n\n"), "text", F.lit("\n"))
     grouped.write_files(told.select(F.concat(series.safe(F.col(SESSION)), F.lit(".md")).alias("file"), F.lit(0).alias("seq"), text.alias("content")), f"{path}/narrative")
+
+
+EVENTS = "session_id string, id int, kind string, t_start timestamp, t_end timestamp, severity double, affected_phases array<string>"
+SNAPSHOTS = "session_id string, id int, t_start timestamp, t_end timestamp, t_center timestamp, p_total_mean_w double, p_total_stdev_w double"
+
+
+def reload(spark: SparkSession, path: str) -> Reloaded:
+    """A report that was written before, without its session; raises ``FileNotFoundError`` where one of its tables is missing (quiet windows may be)."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    missing = [t for t in (f"export/{multi.FULL}", f"export/{multi.SAMPLE}", "events.json") if not fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(there, t))]
+    if missing:
+        raise FileNotFoundError(f"{path}: {', '.join(missing)}")
+    table = lambda sink: tables.read_csv_session(spark, f"{path}/export/{sink}")
+    snaps = files.read_json(spark, f"{path}/snapshots.json", SNAPSHOTS) if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(there, "snapshots.json")) else spark.createDataFrame([], SNAPSHOTS)
+    return Reloaded(table(multi.FULL), table(multi.SAMPLE), files.read_json(spark, f"{path}/events.json", EVENTS), snaps)

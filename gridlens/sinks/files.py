@@ -85,6 +85,17 @@ def write_table(rows: DataFrame, path: str) -> None:
     rows.select(*cells).coalesce(1).write.mode("overwrite").option("header", True).option("timestampFormat", ISO).csv(f"{path}.csv")
 
 
+#: Decimals of the columns of the table of load states; counts and names have none.
+LOAD_STATE_DECIMALS = {c: 3 if c == "PF_avg" else 2 for c in ("hours", "duty_pct", "kWh", "P_avg_kW", "P_min_kW", "P_max_kW", "I_avg_A", "S_avg_kVA", "PF_avg", "V_LN_avg_V", "V_THD_p95_pct")}
+
+
+def write_load_states(rows: DataFrame, path: str) -> None:
+    """Load states as JSON lines, and as one CSV with a fixed number of decimals."""
+    write_json(rows, f"{path}.json")
+    cells = [F.format_string(f"%.{LOAD_STATE_DECIMALS[c]}f", F.col(c)).alias(c) if c in LOAD_STATE_DECIMALS else F.col(c) for c in rows.columns]
+    rows.select(*cells).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}.csv")
+
+
 def write_occurrences(records: DataFrame, events: DataFrame, occurrences: DataFrame, path: str) -> None:
     """Records and events of each stretch of a shift, a folder for each label."""
     spans = occurrences.select("session_id", "shift", "label", "lo", "hi")

@@ -26,7 +26,7 @@ class NoSession(ValueError):
 def read_csv_session(spark: SparkSession, path: str, session: str | None = None, strict: bool = False) -> DataFrame:
     """A session exported as CSV; columns are taken by name, any subset of the channels.
 
-    Cells that are missing or no numbers are 0 (with ``strict``, values that aren't finite too). Rows without a readable start are
+    A column ``session_id`` of the table names the sessions, unless ``session`` does; without either it is the path's name. Cells that are missing or no numbers are 0 (with ``strict``, values that aren't finite too). Rows without a readable start are
     left out and their numbers stay unused; a missing end is a second later; times without a zone are UTC.
     """
     rows = spark.read.option("header", True).csv(path)
@@ -42,7 +42,8 @@ def read_csv_session(spark: SparkSession, path: str, session: str | None = None,
         cell = lambda c, plain=cell: F.when(F.abs(plain(c)) < float("inf"), plain(c)).otherwise(0.0)
     start = F.try_to_timestamp("timestamp_utc")
     end = F.try_to_timestamp("window_end_utc") if "window_end_utc" in rows.columns else F.lit(None).cast("timestamp")
-    out = rows.select(F.lit(session or session_name(path)).alias("session_id"), number.alias("record_index"), start.alias("t_start"), F.coalesce(end, start + F.expr("interval 1 second")).alias("t_end"), *[cell(c).cast("float").alias(c) for c in known])
+    named = F.col("session_id") if session is None and "session_id" in rows.columns else F.lit(session or session_name(path))
+    out = rows.select(named.alias("session_id"), number.alias("record_index"), start.alias("t_start"), F.coalesce(end, start + F.expr("interval 1 second")).alias("t_end"), *[cell(c).cast("float").alias(c) for c in known])
     if "record_index" not in rows.columns:
         out = renumber(out, span=1 << 33)  # row numbers before rows are left out, so those leave holes
     return out.where(F.col("t_start").isNotNull())

@@ -1,8 +1,9 @@
 import math
 
+import numpy as np
 import pytest
 
-from gridlens.operators import correlate, events, grouping, rolling, sequence, stats
+from gridlens.operators import correlate, events, grouping, rolling, sequence, sketch, stats
 from gridlens.rules import EventRules, Period, ShiftSet
 
 from .helpers import OUT, session
@@ -148,3 +149,42 @@ def test_shift_across_a_clock_change(spark):
     got = grouping.shift_occurrences(rows, ShiftSet.parse("A=00:00-12:00,B=12:00-00:00"), "America/Chicago").orderBy("lo").collect()
     assert [r.hi - r.lo for r in got][:4] == [12, 12, 13, 12]  # the night of the change has an hour more
     assert got[2].label == "A 2026-11-01"
+
+
+def test_quiet_windows_are_the_greedy_ones(spark):
+    """Against a plain greedy loop over all candidates, with ties and events, at several distances."""
+    rng = np.random.default_rng(9)
+    rows = session(spark, 900, [(k, k, {"P_total_avg_W": float(p)}) for k, p in enumerate((rng.integers(0, 4, 900) * 1000).tolist())] + [(300, 310, OUT)])
+    found = events.detect_events(rows, 277.0, kinds=("outage",))
+    left = rolling.snapshot_candidates(rows, found, 10).collect()
+    for n, apart in ((3, 60), (5, 7), (4, 400), (2, 10_000)):
+        picks = []
+        for c in sorted(left, key=lambda c: (round(c.stdev_w, 6), c.record_index)):
+            center = c.t_start + (c.t_end - c.t_start) / 2
+            if len(picks) < n and all(abs((center - p).total_seconds()) >= apart for p in picks):
+                picks.append(center)
+        got = [r.t_center for r in rolling.pick_snapshots(rows, found, n, 10, apart).orderBy("id").collect()]
+        assert got == picks and len(got) >= 1
+
+
+def test_sketches_merge_exactly(spark):
+    """Sketches of parts, merged by one set of keys and by several, say what one of all values says."""
+    rng = np.random.default_rng(3)
+    values = [("s", f"d{k % 3}", int(k % 7), float(v), 0.0, 0.25, 400) for k, v in enumerate([*rng.normal(50, 20, 4000), -5.0, 1e9])]
+    rows = spark.createDataFrame(values, "session_id string, day string, hour int, v double, lo double, width double, bins int")
+    whole = lambda keys: sorted(map(tuple, sketch.finished(sketch.sketch(rows, keys), a=0.05, b=0.5, c=0.99).collect()))
+    parts = sketch.sketch(rows, ["session_id", "day", "hour"])
+    near = lambda a, b: len(a) == len(b) and all(x[:-8] == y[:-8] and x[-8:] == pytest.approx(y[-8:]) for x, y in zip(a, b, strict=True))
+    assert near(sorted(map(tuple, sketch.finished(sketch.merged(parts, ["session_id", "day"]), a=0.05, b=0.5, c=0.99).collect())), whole(["session_id", "day"]))
+    both = sketch.finished(sketch.merged(parts, ["session_id", "day"], ["session_id"]), a=0.05, b=0.5, c=0.99)
+    assert both.where("day is null").count() == 1 and both.count() == 4
+    assert near([tuple(r) for r in both.where("day is null").drop("day").collect()], whole(["session_id"]))
+    assert sketch.merged(parts.limit(0), ["session_id"]).count() == 0
+
+
+def test_median_of_continuous_values(spark):
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 501):
+        volts = [rng.normal(277, 3, 3).tolist() for _ in range(n)] + [[0.0, 49.0, math.nan]]
+        rows = spark.createDataFrame([("s", i, *v) for i, v in enumerate(volts)], "session_id string, record_index long, " + ", ".join(f"V_LN_{p}_avg_V double" for p in "abc"))
+        assert events.nominal_voltage(rows).first().nominal_v == np.median([x for v in volts[:-1] for x in v])

@@ -1,6 +1,7 @@
 import gc
 import json
 import math
+import re
 import tracemalloc
 import zipfile
 from datetime import datetime
@@ -127,6 +128,14 @@ def test_report(spark, tmp_path):
     assert {"outage_signature", "pf_drift", "outage_frequency"} <= kinds
     assert (tmp_path / "narrative/s.md").read_text() == f"# Session\n\n{report.narrative(s, 's')}\n" and (tmp_path / "summary/s.txt").read_text() == report.summary_text(s, "s")
     assert spark.read.option("header", True).csv(f"{tmp_path}/export/session.csv").count() == 400
+    again = report.reload(spark, str(tmp_path))
+    assert (again.records.count(), again.minutes.count()) == (400, 7) and {r.session_id for r in again.records.select("session_id").distinct().collect()} == {"s"}
+    assert sorted((r.id, r.kind, str(r.t_start), r.severity) for r in again.events.collect()) == sorted((r.id, r.kind, str(r.t_start), r.severity) for r in s.events.collect())
+    assert again.snapshots.count() == s.snapshots.count()
+    [text] = (tmp_path / "load_states.csv").glob("part-*.csv")
+    assert re.fullmatch(r"s,(active|standby),\d+,\d+\.\d\d,\d+\.\d\d,.*,-?\d\.\d{3},\d+\.\d\d,\d+\.\d\d", text.read_text().splitlines()[1])
+    with pytest.raises(FileNotFoundError):
+        report.reload(spark, str(tmp_path / "narrative"))
     zoom = (tmp_path / "events/s").glob("event-*-outage.tsv")
     assert [len(f.read_text().splitlines()) for f in zoom] == [1 + 30 + 71 + 61]
 
