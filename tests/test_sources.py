@@ -305,7 +305,7 @@ def test_damaged_files_cut_anywhere(spark, tmp_path):
         counts.append((f"F{k}", stats["total_seen"], stats["good"], stats["bad_magic"], stats["truncated"]))
     assert sum(c[3] > 0 for c in counts) > 3
     for split in (RECORD_BYTES, 1000, 1 << 20):
-        got = trend.read_trend(spark, str(tmp_path), ["V_LN_a_min_V"], tolerant=True, split=split).collect()
+        got = trend.read_trend(spark, str(tmp_path), ["V_LN_a_min_V"], tolerant=True, split=split).drop("t_start", "t_end").collect()  # what only looks like a record has any time
         assert sorted((r.session_id, r.record_index, r.V_LN_a_min_V) for r in got) == sorted(want)
         assert sorted(tuple(r)[:5] for r in trend.scan_stats(spark, str(tmp_path), split=split).collect()) == sorted(counts)
 
