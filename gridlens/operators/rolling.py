@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridlens.functions.electrical import finite, seconds_between
+from gridlens.functions.electrical import finite
 from gridlens.operators.sequence import INDEX, SESSION, rolling_sums
 
 
@@ -89,7 +89,8 @@ def pick_snapshots(records: DataFrame, events: DataFrame, n: int = 3, window: in
     if n < 1 or apart_s < 1:
         raise ValueError("a number of windows and a distance of at least 1 are needed")
     micros = lambda t: F.unix_micros(t.cast("timestamp"))
-    center = F.timestamp_add("MICROSECOND", F.floor(seconds_between(F.col("t_start"), F.col("t_end")) * 500_000).cast("long"), F.col("t_start"))
+    # whole microseconds, cut towards the start, also where a clock was set back and the end comes first
+    center = F.timestamp_add("MICROSECOND", F.call_function("div", micros(F.col("t_end")) - micros(F.col("t_start")), F.lit(2).cast("long")), F.col("t_start"))
     left = snapshot_candidates(records, events, window).withColumn("t_center", center).withColumns({"stdev_w": F.round("stdev_w", 6), "_us": micros(F.col("t_center"))})
     held = F.struct("stdev_w", INDEX, "_us", "t_start", "t_end", "t_center", "mean_w")
     slots = left.groupBy(SESSION, F.floor(F.col("_us") / (apart_s * 1_000_000)).alias("_slot")).agg(F.min(F.struct("stdev_w", INDEX)).alias("_best"), F.collect_list(held).alias("_held"))
