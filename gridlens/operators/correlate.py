@@ -26,10 +26,12 @@ def nearest_events(marks: DataFrame, events: DataFrame, slot_s: int = 3600) -> D
     both = starts.unionByName(asked)
     # one row per slot: its first and last event, and those of the slots around it
     slots = both.groupBy(*keys, "_slot").agg(F.min(event).alias("_first"), F.max(event).alias("_last"))
-    line = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_slot")
-    slots = slots.select(*keys, "_slot", F.last("_last", True).over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("_prior"), F.first("_first", True).over(line.rowsBetween(1, Window.unboundedFollowing)).alias("_next"))
-    w = Window.partitionBy(*keys, "_slot").orderBy("at", "mark")
-    rows = both.withColumn("before", F.last(event, True).over(w)).withColumn("after", F.first(event, True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    # what comes after is what came before in the opposite order: frames that end at the last row are gone through anew for every row
+    line = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    past = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.select(*keys, "_slot", F.last("_last", True).over(past(line.orderBy("_slot"))).alias("_prior"), F.last("_first", True).over(past(line.orderBy(F.desc("_slot")))).alias("_next"))
+    w = Window.partitionBy(*keys, "_slot")
+    rows = both.withColumn("before", F.last(event, True).over(w.orderBy("at", "mark"))).withColumn("after", F.last(event, True).over(past(w.orderBy(F.desc("at"), F.desc("mark")))))
     rows = rows.where("mark = 1").join(slots, [*keys, "_slot"]).withColumns({"before": F.coalesce("before", "_prior"), "after": F.coalesce("after", "_next")})
     gap = lambda c: seconds_between(F.col(f"{c}.at"), F.col("at"))
     later = F.col("after").isNotNull() & (F.col("before").isNull() | (F.abs(gap("after")) < F.abs(gap("before"))) | ((F.abs(gap("after")) == F.abs(gap("before"))) & (F.col("after.e.id") < F.col("before.e.id"))))

@@ -1,10 +1,16 @@
 """Results and plans on tables that repeat a month many times over, with clocks that are set back in between."""
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
-from gridlens.operators import events, rolling
+import numpy as np
 
-from .helpers import session
+from gridlens.operators import correlate, events, rolling
+
+from .helpers import BASE, session
+
+
+def plan(rows) -> str:
+    return rows._jdf.queryExecution().executedPlan().toString().lower()
 
 
 def test_center_of_a_window_over_a_clock_set_back(spark):
@@ -12,3 +18,15 @@ def test_center_of_a_window_over_a_clock_set_back(spark):
     rows = session(spark, 20).withColumns({c: events.F.expr(f"case when record_index >= 10 then {c} - interval '1 00:00:00.000003' day to second else {c} end") for c in ("t_start", "t_end")})
     got = rolling.pick_snapshots(rows, events.detect_events(rows, 277.0), 1, 20, 60).first()
     assert got.t_end < got.t_start and got.t_center == got.t_start + timedelta(microseconds=-((got.t_start - got.t_end) // timedelta(microseconds=1) // 2))
+
+
+def test_marks_of_a_crowded_hour(spark):
+    """Against every event for every mark; no frame of the plan is gone through anew for each row."""
+    rng = np.random.default_rng(5)
+    at = lambda n, most: [BASE + timedelta(seconds=int(s)) for s in rng.integers(0, most, n)]
+    found = [(k, "dip", t, t) for k, t in enumerate(at(200, 9000))]
+    marks = [(t, f"m{k}") for k, t in enumerate([*at(300, 3600), *at(100, 40_000), datetime(2023, 5, 1), datetime(2023, 6, 1)])]
+    got = correlate.nearest_events(spark.createDataFrame(marks, "time timestamp_ntz, label string"), spark.createDataFrame(found, "id int, kind string, t_start timestamp_ntz, t_end timestamp_ntz"))
+    assert "unboundedfollowing" not in plan(got)
+    want = {label: min((abs(t - e[2]), e[0]) for e in found)[1] for t, label in marks}
+    assert {r.label: r.event_id for r in got.collect()} == want
