@@ -19,6 +19,10 @@ from gridlens.sources.trend import _all_magic, _known, _schema, decode, read_tre
 from gridlens.spec import INDEX, RECORD_BYTES
 
 
+#: Bytes asked of a packed member at a time.
+PART = 1 << 16
+
+
 class NoSession(ValueError):
     """A table or bundle holds no session."""
 
@@ -125,8 +129,13 @@ def unpacked(member, tolerant: bool, step: int | None = None) -> Iterator[tuple[
     """(bytes, places of records in them, number of the first) of a stream that can't be entered in its middle."""
     rest, first = b"", 0
     while True:
-        more = member.read(step or STEP)
-        rest += more
+        # small reads, joined once: what a member's own buffer holds on top of a step stays small
+        parts, left = [rest], step or STEP
+        while left and (more := member.read(min(left, PART))):
+            parts.append(more)
+            left -= len(more)
+        more, rest = len(parts) > 1, b"".join(parts)
+        del parts
         stop = last_start(len(rest))
         if tolerant:
             offsets, at = record_starts(rest, stop)

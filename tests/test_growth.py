@@ -3,8 +3,12 @@
 from datetime import datetime, timedelta
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from gridlens.operators import correlate, events, rolling
+from gridlens.plans.bridge import _encoded, by_days
+from gridlens.sinks import grouped
+from gridlens.spec import CORE, RECORD_BYTES
 
 from .helpers import BASE, session
 
@@ -15,7 +19,7 @@ def plan(rows) -> str:
 
 def test_center_of_a_window_over_a_clock_set_back(spark):
     """Half of an odd, negative number of microseconds is cut towards the start."""
-    rows = session(spark, 20).withColumns({c: events.F.expr(f"case when record_index >= 10 then {c} - interval '1 00:00:00.000003' day to second else {c} end") for c in ("t_start", "t_end")})
+    rows = session(spark, 20).withColumns({c: F.expr(f"case when record_index >= 10 then {c} - interval '1 00:00:00.000003' day to second else {c} end") for c in ("t_start", "t_end")})
     got = rolling.pick_snapshots(rows, events.detect_events(rows, 277.0), 1, 20, 60).first()
     assert got.t_end < got.t_start and got.t_center == got.t_start + timedelta(microseconds=-((got.t_start - got.t_end) // timedelta(microseconds=1) // 2))
 
@@ -30,3 +34,24 @@ def test_marks_of_a_crowded_hour(spark):
     assert "unboundedfollowing" not in plan(got)
     want = {label: min((abs(t - e[2]), e[0]) for e in found)[1] for t, label in marks}
     assert {r.label: r.event_id for r in got.collect()} == want
+
+
+def test_no_task_sorts_a_file(spark, tmp_path, monkeypatch):
+    """A file's rows are put in order piece by piece; what comes together are places of pieces, copied in steps."""
+    monkeypatch.setattr(grouped, "PIECE", 100)
+    rows = spark.range(2000, numPartitions=7).select(F.concat(F.lit("g"), F.expr("id div 1990"), F.lit("/t.txt")).alias("file"), (F.col("id") - 1).alias("seq"), F.concat("id", F.lit("\n")).alias("content"))
+    rows = rows.orderBy(F.xxhash64("seq"))
+    places = []
+    monkeypatch.setattr(grouped, "_kept", lambda make, folder, plain=grouped._kept: places.append(folder) or plain(make, folder))
+    grouped.write_files(rows, str(tmp_path / "out"))
+    assert (tmp_path / "out/g0/t.txt").read_text() == "".join(f"{k}\n" for k in range(1990)) and (tmp_path / "out/g1/t.txt").read_text() == "".join(f"{k}\n" for k in range(1990, 2000))
+    assert len(places) == 1 and not (tmp_path / "out/_attempts").exists()
+    held = rows.withColumn("piece", F.expr("greatest(seq, 0L) div 100")).repartition("file", "piece").sortWithinPartitions("file", "piece", "seq").mapInArrow(grouped._kept(None, str(tmp_path / "held")), grouped.SCHEMA).collect()
+    assert len(held) == 21 and sum(r.hi - r.lo for r in held) == sum(len(f"{k}\n") for k in range(2000))
+
+
+def test_runs_of_records_are_pieces(spark, sf):
+    """The records of a session reach its file as runs, not row by row."""
+    rows = by_days(spark, sf).select("session_id", "record_index", *[F.unix_micros(F.col(c).cast("timestamp")).alias(a) for c, a in (("t_start", "s"), ("t_end", "e"))], *[F.col(c).cast("double").alias(c) for c in CORE])
+    got = rows.mapInArrow(_encoded(True), "file string, seq long, content binary").select("file", "seq", F.length("content").alias("n")).collect()
+    assert sum(r.n for r in got) == rows.count() * RECORD_BYTES + 5 * (5 + 40) and len(got) == 10 and {r.n for r in got if r.seq == 1 << 60} == {40}
