@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridlens.functions.electrical import finite
-from gridlens.operators.sequence import INDEX, SESSION, rolling_sums
+from gridlens.operators.sequence import INDEX, SESSION, rolling_sums, with_halo
 
 
 def _power(records: DataFrame):
@@ -51,11 +51,47 @@ def rolling_stdev(records: DataFrame, window: int = 300, times: bool = False) ->
     rows, kept = _power(records), ["t_start", "t_end"] if times else []
     if window <= 1:
         return rows.select(SESSION, INDEX, *kept, *[F.lit(None).cast("double").alias(c) for c in ("mean_w", "stdev_w")])
-    # the mean of a session is taken off first, so that the difference of squares keeps its digits
-    rows = rows.join(rows.groupBy(SESSION).agg(F.avg("p").alias("m")), SESSION).withColumn("d", F.col("p") - F.col("m"))
-    rows = rolling_sums(rows, window, first=("t_start",) if times else (), s=F.col("d"), q=F.col("d") * F.col("d"))
-    mean = F.col("s") / window
-    return rows.select(SESSION, INDEX, *kept, (mean + F.col("m")).alias("mean_w"), F.when(F.col("q").isNotNull(), F.sqrt(F.greatest(F.lit(0.0), F.col("q") / window - mean * mean))).alias("stdev_w"))
+    kinds = {f.name: f.dataType for f in rows.schema}
+    names = [SESSION, INDEX, *kept, "mean_w", "stdev_w"]
+
+    def reduce(chunk: pa.Table) -> pa.Table:
+        chunk = chunk.sort_by(INDEX)
+        mean, deviation = window_moments(chunk.column("p").to_numpy(), window)
+        none = np.arange(chunk.num_rows) < window - 1
+        got = [pa.array(x, pa.float64(), mask=none) for x in (mean, deviation)]
+        if times:
+            first = pa.array(np.maximum(np.arange(chunk.num_rows) - (window - 1), 0), mask=none)
+            got = [chunk.column("t_start").take(first), chunk.column("t_end"), *got]
+        return pa.Table.from_arrays([chunk.column(SESSION), chunk.column(INDEX), *got], names).filter(chunk.column("_own"))
+
+    schema = T.StructType([T.StructField(c, kinds.get(c, T.DoubleType())) for c in names])
+    return with_halo(rows.select(SESSION, INDEX, *kept, "p"), window).groupBy(SESSION, "_chunk").applyInArrow(reduce, schema)
+
+
+def window_moments(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population deviation of the last ``width`` values at each place (of no meaning before there are so many).
+
+    Values are cut into blocks of ``width``: a window is the end of one and the beginning of the next. Moments of both come from running sums of terms that
+    are never negative, so nothing large is taken from something large, and the time doesn't depend on the width.
+    """
+    n = len(x)
+    blocks = np.zeros(-(-n // width) * width)
+    blocks[:n] = x
+    blocks, k = blocks.reshape(-1, width), np.arange(1, width + 1)
+
+    def running(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mean = b[:, :1] + np.cumsum(b - b[:, :1], 1) / k
+        terms = np.zeros_like(b)
+        terms[:, 1:] = (b[:, 1:] - mean[:, :-1]) * (b[:, 1:] - mean[:, 1:])
+        return mean, np.cumsum(terms, 1)
+
+    mean, squares = running(blocks)
+    back_mean, back_squares = (a[:, ::-1] for a in running(blocks[:, ::-1]))
+    rest = width - k[:-1]  # values of a window that lie in the block before
+    gap = back_mean[:-1, 1:] - mean[1:, :-1]
+    squares[1:, :-1] += back_squares[:-1, 1:] + gap * gap * (k[:-1] * rest / width)
+    mean[1:, :-1] += gap * (rest / width)
+    return mean.ravel()[:n], np.sqrt(np.maximum(squares.ravel()[:n], 0.0) / width)
 
 
 def snapshot_candidates(records: DataFrame, events: DataFrame, window: int = 300) -> DataFrame:

@@ -55,3 +55,15 @@ def test_runs_of_records_are_pieces(spark, sf):
     rows = by_days(spark, sf).select("session_id", "record_index", *[F.unix_micros(F.col(c).cast("timestamp")).alias(a) for c, a in (("t_start", "s"), ("t_end", "e"))], *[F.col(c).cast("double").alias(c) for c in CORE])
     got = rows.mapInArrow(_encoded(True), "file string, seq long, content binary").select("file", "seq", F.length("content").alias("n")).collect()
     assert sum(r.n for r in got) == rows.count() * RECORD_BYTES + 5 * (5 + 40) and len(got) == 10 and {r.n for r in got if r.seq == 1 << 60} == {40}
+
+
+def test_deviation_keeps_its_digits(spark):
+    """Small deviations behind much larger values, over chunks' edges, against each window by itself; no join by session."""
+    rng = np.random.default_rng(2)
+    p = np.concatenate([rng.normal(5e7, 1e7, 40_000), 1000 + rng.integers(0, 3, 60_000) * 1e-3])
+    rows = spark.createDataFrame([("s", i, BASE, BASE, float(v)) for i, v in enumerate(p)], "session_id string, record_index long, t_start timestamp_ntz, t_end timestamp_ntz, P_total_avg_W double")
+    got = rolling.rolling_stdev(rows, 60)
+    assert "join" not in plan(got)
+    got = got.orderBy("record_index").toArrow()
+    windows = np.lib.stride_tricks.sliding_window_view(p, 60)
+    assert got.column("stdev_w").null_count == 59 and np.allclose(got.column("stdev_w").to_numpy()[59:], windows.std(1), rtol=1e-7, atol=0) and np.allclose(got.column("mean_w").to_numpy()[59:], windows.mean(1), rtol=1e-12)
