@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlens.functions.electrical import seconds_between
-from gridlens.operators.sequence import INDEX, SESSION, renumber
+from gridlens.operators.sequence import INDEX, SESSION, of_session, renumber
 from gridlens.spec import CORE, SLIM, reversed_channels
 
 
@@ -103,10 +103,9 @@ def relative_time(records: DataFrame) -> DataFrame:
 
 def decimate(records: DataFrame, channel: str, target: int = 4000) -> DataFrame:
     """At most ``target`` rows that keep a curve's shape: the first lowest and the first highest row of each of target/2 equal buckets."""
-    size = records.groupBy(SESSION).agg(F.count("*").alias("_n"))
-    rows = records.join(size, SESSION)
     if target < 2:
         return records
+    rows = of_session(records, _n=(F.count("*"), F.sum))
     half = max(1, target // 2)
     # floor(b n / B) <= i < floor((b+1) n / B)  <=>  b = ceil((i + 1) B / n) - 1
     bucket = F.ceil((F.col(INDEX) + 1) * half / F.col("_n")) - 1

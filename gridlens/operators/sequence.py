@@ -7,6 +7,8 @@ an edge are merged afterwards, when only runs are left.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,17 @@ def per_session(rows: DataFrame, most: int = 100_000) -> DataFrame:
     return rows if got.num_rows > most else F.broadcast(rows.sparkSession.createDataFrame(got))
 
 
+def of_session(rows: DataFrame, **values: tuple[Column, Callable[[str], Column]]) -> DataFrame:
+    """``rows`` with values of their whole session, each given as what a chunk's rows come to and what the chunks come to.
+
+    They are joined by chunk: joined by session, all rows of a session would meet in one task.
+    """
+    at, session = F.floor(F.col(INDEX) / CHUNK).alias("_chunk"), Window.partitionBy(SESSION)
+    parts = rows.groupBy(SESSION, at).agg(*[part.alias(name) for name, (part, _) in values.items()])
+    parts = parts.select(SESSION, "_chunk", *[whole(name).over(session).alias(name) for name, (_, whole) in values.items()])
+    return rows.withColumn("_chunk", at).join(parts, [SESSION, "_chunk"]).drop("_chunk")
+
+
 def renumber(rows: DataFrame, keys: list[str] | None = None, order: str = INDEX, into: str = INDEX, span: int = CHUNK, ties: tuple[str, ...] = ()) -> DataFrame:
     """Number each key's rows 0, 1, 2, ... in the order of a LONG column (and ``ties``); a count per span of it, then places within spans."""
     keys = keys or [SESSION]

@@ -1,11 +1,12 @@
 """Results and plans on tables that repeat a month many times over, with clocks that are set back in between."""
 
+import re
 from datetime import datetime, timedelta
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from gridlens.operators import correlate, events, rolling
+from gridlens.operators import correlate, events, filters, rolling
 from gridlens.plans.bridge import _encoded, by_days
 from gridlens.sinks import grouped
 from gridlens.spec import CORE, RECORD_BYTES
@@ -67,3 +68,12 @@ def test_deviation_keeps_its_digits(spark):
     got = got.orderBy("record_index").toArrow()
     windows = np.lib.stride_tricks.sliding_window_view(p, 60)
     assert got.column("stdev_w").null_count == 59 and np.allclose(got.column("stdev_w").to_numpy()[59:], windows.std(1), rtol=1e-7, atol=0) and np.allclose(got.column("mean_w").to_numpy()[59:], windows.mean(1), rtol=1e-12)
+
+
+def test_thinning_joins_by_chunk(spark):
+    """Rows meet their session's size by chunk, and not all of a session in one task."""
+    rows = spark.range(200_000).select(F.lit("s").alias("session_id"), F.col("id").alias("record_index"), F.col("id").alias("t_start"), (F.col("id") % 1000).cast("double").alias("I_a_max_A"))
+    thin = filters.decimate(rows, "I_a_max_A", 400)
+    assert "session_id, _chunk" in re.sub(r"#\d+l?", "", plan(thin))
+    got = {r.record_index for r in thin.collect()}
+    assert got == {b * 1000 + i for b in range(200) for i in (0, 999)}
