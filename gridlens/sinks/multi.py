@@ -33,7 +33,7 @@ class ExportWriter(GroupedWriter):
     """Rows of (_line, _full, _sample, the store's columns); ``header`` is the first line of each text part."""
 
     def __init__(self, path: str, overwrite: bool, header: str):
-        super().__init__(path, overwrite)
+        super().__init__(path, overwrite, uuid.uuid4().hex)
         self.header = header
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:

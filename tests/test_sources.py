@@ -195,6 +195,15 @@ def test_one_pass_for_all_sinks(spark, tmp_path):
         multi.export_all(rows, str(tmp_path / "no"), most=3)
 
 
+def test_export_again(spark, tmp_path):
+    """A second export takes the place of the first; nothing of either's attempts stays."""
+    for n in (300, 120):
+        counts = multi.export_all(session(spark, n).repartition(2), str(tmp_path / "all"))
+        assert counts["records"] == counts["exported"] == n
+        assert spark.read.parquet(str(tmp_path / "all/store")).count() == spark.read.option("header", True).csv(str(tmp_path / "all/session.csv")).count() == n
+        assert sorted(x.name for x in (tmp_path / "all").iterdir()) == ["session.csv", "session_1min.csv", "store"]
+
+
 def test_quiet_report(spark):
     assert report.narrative(report.analyse(session(spark, 50, PF_total_avg=0.95)), "s").endswith("The supply looks clean.")
 
