@@ -6,7 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gridlens.operators import correlate, events, filters, rolling
+from gridlens.plans import compare
 from gridlens.plans.bridge import _encoded, by_days
+from gridlens.rules import CompareRules
 from gridlens.sinks import grouped
 from gridlens.spec import CORE, RECORD_BYTES
 
@@ -69,6 +71,14 @@ def test_deviation_keeps_its_digits(spark):
     assert got.column("stdev_w").null_count == 59 and np.allclose(got.column("stdev_w").to_numpy()[59:], windows.std(1), rtol=1e-7, atol=0) and np.allclose(got.column("mean_w").to_numpy()[59:], windows.mean(1), rtol=1e-12)
 
 
+def test_trends_are_judged_as_reported(spark):
+    """Of very many records the share of low power factors is almost the same each session: a slope of 0.000000 is no trend. One of 0.000100 reaches its limit."""
+    facts = spark.createDataFrame([(k, 6.0 * k, 277 + 6 * k * 0.00009996, 277.0, 277 + 6 * k * 0.0001996, 0.9 + 6 * k * 2e-7) for k in range(5)], "session_id int, days double, mean_a_v double, mean_b_v double, mean_c_v double, low_pf_fraction double")
+    rules = CompareRules(voltage_drift_v_per_day=0.0001)
+    assert compare.pf_trend(facts).first().r == 1 and compare.pf_degradation(facts, rules).count() == 0
+    assert {(r.subject, r.severity, r.value) for r in compare.voltage_drift(facts, rules).collect()} == {("A", "warn", 0.0001), ("C", "alert", 0.0002)}
+
+
 def test_thinning_joins_by_chunk(spark):
     """Rows meet their session's size by chunk, and not all of a session in one task."""
     rows = spark.range(200_000).select(F.lit("s").alias("session_id"), F.col("id").alias("record_index"), F.col("id").alias("t_start"), (F.col("id") % 1000).cast("double").alias("I_a_max_A"))
