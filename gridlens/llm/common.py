@@ -101,11 +101,25 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting for whether a query's shuffle files go when it ends; else they stay until the driver's JVM happens to collect its garbage.
+NO_LEFTOVERS = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
-    """Write a table to the shared folder (``by``: in folders by a column) and read it back: lineage ends here, and a lost executor costs no recomputation."""
+    """Write a table to the shared folder (``by``: in folders by a column) and read it back: lineage ends here, and a lost executor costs no recomputation.
+
+    What the write shuffled is removed with its end, so the disk holds no more than one step's shuffles beside what is staged.
+    """
     spark = df.sparkSession
-    path = new_path(spark, tag)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    path, before = new_path(spark, tag), spark.conf.get(NO_LEFTOVERS, None)
+    spark.conf.set(NO_LEFTOVERS, "true")
+    try:
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(NO_LEFTOVERS)
+        else:
+            spark.conf.set(NO_LEFTOVERS, before)
     out = spark.read.schema(df.schema).parquet(path)
     _folders[out] = path
     return out

@@ -25,13 +25,14 @@ smallest doc_id in it, and no id is smaller than any. No documents, no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.llm.common import chunks, components, inside, join_hot, key_back, lower_ascii, mix, pack, partitions, partitions_for, rolling, signed, stage, texts, unpack, word_hashes, words
+from gridlens.llm.common import chunks, components, discard, inside, join_hot, key_back, lower_ascii, mix, pack, partitions, partitions_for, rolling, signed, stage, texts, unpack, word_hashes, words
 
 SIZE = 4
 PERCENT = 85
@@ -385,7 +386,7 @@ def _links(placed: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def row_groups(rows: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` (the smallest doc_id reachable by links) of rows with a number of their own each."""
+    """``doc_id, n_shingles, component_id`` (the smallest doc_id reachable by links) of rows with a number of their own each; staged, and all it was made of is removed."""
     spark = rows.sparkSession
     docs, bytes_ = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     rows = texts(rows)
@@ -410,26 +411,28 @@ def row_groups(rows: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Dat
     zero = F.lit(0).cast("long")
     # each tile with the first; the first tile's documents go to all of them
     to = F.when(F.col("tile") == 0, F.sequence(F.least(F.lit(1), F.col("tiles") - 1), F.col("tiles") - 1)).otherwise(F.array("tile"))
-    edges = stage(_links(asked.select("doc_id", "text", "block", zero.alias("i"), F.explode(to).alias("j")), size, percent), "links")
+    links = [stage(_links(asked.select("doc_id", "text", "block", zero.alias("i"), F.explode(to).alias("j")), size, percent), "links")]
     large = asked.where("tiles > 2").select("doc_id", "block")
     if not large.isEmpty():
-        part = components(edges, "doc_id", "other")
+        part = components(links[0], "doc_id", "other")
         parts = large.join(part, large.doc_id == part.id, "left").select("block", F.coalesce("component", large.doc_id).alias("part"))
         open_ = parts.groupBy("block").agg(F.min("part").alias("l"), F.max("part").alias("h")).where("l <> h").select("block")
         rest = asked.where("tiles > 2 and tile > 0").join(open_, "block")
         rest = rest.select("doc_id", "text", "block", "tile", F.explode(F.sequence(zero + 1, F.col("tiles") - 1)).alias("k"))
         rest = rest.select("doc_id", "text", "block", F.least("tile", "k").alias("i"), F.greatest("tile", "k").alias("j"))
-        edges = edges.union(stage(_links(rest, size, percent), "links"))
-    group = components(edges.union(same.where("doc_id <> other").select("doc_id", "other")), "doc_id", "other")
+        links.append(stage(_links(rest, size, percent), "links"))
+    discard(asked)
+    group = components(reduce(DataFrame.union, [*links, same.where("doc_id <> other").select("doc_id", "other")]), "doc_id", "other")
     out = same.join(group, same.doc_id == group.id, "left")
-    out = out.select(same.doc_id, F.col("n").alias("n_shingles"), F.coalesce("component", same.doc_id).alias("component_id"))
+    out = stage(out.select(same.doc_id, F.col("n").alias("n_shingles"), F.coalesce("component", same.doc_id).alias("component_id")), "groups")
+    discard(met, *links)
     return out
 
 
 def join_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` (the smallest doc_id reachable by links) per row of ``docs``."""
     rows = stage(texts(docs).withColumn("row", F.monotonically_increasing_id()), "rows")
-    found = stage(row_groups(rows.select(F.col("row").alias("doc_id"), "text"), size, percent).withColumnRenamed("doc_id", "row"), "groups")
+    found = row_groups(rows.select(F.col("row").alias("doc_id"), "text"), size, percent).withColumnRenamed("doc_id", "row")
     found = found.join(rows.select("row", "doc_id"), "row").drop("row")
     least = found.groupBy("component_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("k"))
     out = join_hot(found, least, ["component_id"], rows.count())

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import json
 import math
+import os
 import re
 
 import numpy as np
@@ -671,3 +672,23 @@ def test_every_pattern_that_passes_its_bound_is_used(spark):
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     weights, _, _ = toxicity.learn(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
     assert len(weights) == 5200
+
+
+def test_near_copies_leave_little_on_disk(spark, sf, tmp_path, monkeypatch):
+    """Of a stage's disk: no shuffle outlives the table it was for, what groups were made of goes, and texts move once, to meet the rows that go."""
+    import corpus_pipeline as cp
+
+    blanks = [(-7, None), (-7, ""), (-7, " \t"), (-7, " \t"), (-8, ""), (None, "\x0b\x0c\r\n"), (None, "\x0b\x0c\r\n"), (-9, "\u00a0"), (-9, "\u00a0"), (-10, "\x00")]
+    docs = spark.createDataFrame([(i, t, "en", "blank", 0) for i, t in blanks], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(*docs.columns).unionByName(docs.repartition(3))
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    out = cp.drop_near_copies(spark, docs, sf)
+    left = {x.rpartition("-")[0] for x in os.listdir(tmp_path)}
+    assert {"rows", "gone"} <= left <= {"rows", "gone", "edges", "stars"}
+    assert len(re.findall("Join", out._jdf.queryExecution().optimizedPlan().toString())) == 1
+    assert rows_of(out.where("source = 'blank'").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", "text") == [(None, "\x0b\x0c\r\n"), (-10, "\x00"), (-9, "\u00a0"), (-8, ""), (-7, ""), (-7, " \t")]
+    where = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in where for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+    had = files()
+    common.stage(spark.range(1000).repartition(5, "id"), "dealt")
+    assert not files() - had
